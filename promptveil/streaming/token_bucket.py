@@ -41,14 +41,14 @@ class BucketProcessor(StatefulProcessor):
 
 
 def replay_stream(events: DataFrame, capacity: int, refill_per_sec: float, user: str = "user_id", ts: str = "ts",
-                  event_id: str = "event_id") -> DataFrame:
-    """The batch replay's columns for a stream. Rows are taken in (ts, event_id) order within a micro-batch; a row that
+                  event_id: str = "event_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The batch replay's columns for a stream, and the columns named in ``carry`` (of plain types). Rows are taken in (ts, event_id) order within a micro-batch; a row that
     comes in a later micro-batch than its time is metered on arrival, with no refill for the clock going back."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rate = Rate.of(capacity, refill_per_sec)
     moments = events.select(F.col(event_id).alias("event_id"), F.col(user).alias("user_id"), F.col(ts).alias("ts"),
-                            micros_of(events, ts).alias("micros"))
+                            *carry, micros_of(events, ts).alias("micros"))
     metered = moments.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=BucketProcessor(rate),
         outputStructType=moments.withColumn("offered", F.lit(0).cast("bigint")).schema,
