@@ -22,21 +22,22 @@ def find_all(text: Column, pattern: PiiPattern) -> Column:
     return F.when(F.rlike(text, F.lit(pattern.gate)), extract_all(text, pattern.regex)).otherwise(none)
 
 
-def placeholder(label: str, index: Column) -> Column:
-    return F.concat(F.lit(f"[{label}_"), index.cast("string"), F.lit("]"))
+def placeholder(label: str, index: Column, mark: str = "") -> Column:
+    return F.concat(F.lit(f"[{mark}{label}_"), index.cast("string"), F.lit("]"))
 
 
-def vault_entries(label: str, values: Column) -> Column:
+def vault_entries(label: str, values: Column, mark: str = "") -> Column:
     """Vault entries of one label; the index is the place in ``values``."""
     return F.transform(values, lambda value, i: F.struct(
-        F.lit(label).alias("label"), (i + 1).cast("int").alias("idx"), placeholder(label, i + 1).alias("placeholder"),
-        value.alias("original")))
+        F.lit(label).alias("label"), (i + 1).cast("int").alias("idx"),
+        placeholder(label, i + 1, mark).alias("placeholder"), value.alias("original")))
 
 
-def scrubbed(texts: Column, patterns: Sequence[PiiPattern] | None = None) -> Column:
+def scrubbed(texts: Column, patterns: Sequence[PiiPattern] | None = None, mark: str = "") -> Column:
     """Struct (texts, vault) for an array of texts numbered together.
 
-    Labels run in their fixed order, each on the texts the one before has left.
+    Labels run in their fixed order, each on the texts the one before has left. ``mark`` goes into the placeholders
+    when they are not the final ones.
     """
     state = F.struct(texts.alias("texts"), F.array().cast(f"array<{VAULT_ENTRY}>").alias("vault"))
     for pattern in patterns or pii_patterns():
@@ -47,15 +48,15 @@ def scrubbed(texts: Column, patterns: Sequence[PiiPattern] | None = None) -> Col
             s["texts"].alias("texts"), s["vault"].alias("vault"), s["hits"].alias("hits"),
             F.array_distinct(F.flatten(s["hits"])).alias("values")))
         state = bind(state, lambda s: F.struct(
-            replaced(s, pattern).alias("texts"),
-            F.concat(s["vault"], vault_entries(pattern.label, s["values"])).alias("vault")))
+            replaced(s, pattern, mark).alias("texts"),
+            F.concat(s["vault"], vault_entries(pattern.label, s["values"], mark)).alias("vault")))
     return state
 
 
-def replaced(state: Column, pattern: PiiPattern) -> Column:
+def replaced(state: Column, pattern: PiiPattern, mark: str) -> Column:
     """The texts of ``state`` with its hits replaced. Requests with nothing of a label keep their texts as they are."""
     def number(hit: Column) -> Column:
-        return placeholder(pattern.label, F.array_position(state["values"], hit))
+        return placeholder(pattern.label, F.array_position(state["values"], hit), mark)
 
     def rewrite(text: Column, hits: Column) -> Column:
         return F.when(F.size(hits) == 0, text).otherwise(weave(text, pattern.regex, hits, number))

@@ -61,7 +61,7 @@ def with_authorization(rows: DataFrame, key: Column, user: Column, ts: Column) -
 
 
 def document_requests(documents: DataFrame) -> DataFrame:
-    """Each document as a request with one user message: 97 users, a request every 37 seconds."""
+    """Each document as a request with one user message: 17 users, a request every 37 seconds."""
     doc = F.col("doc_id")
     rows = documents.select(
         F.concat(F.lit("doc-"), doc.cast("string")).alias("request_id"),
@@ -73,15 +73,16 @@ def document_requests(documents: DataFrame) -> DataFrame:
         F.when(F.pmod(doc, F.lit(5)) != 0, F.lit(256)).alias("max_tokens"),
         doc.alias("key__"),
         (F.pmod(doc, F.lit(400)) / 4.0).alias("latency_ms"))
-    user = F.concat(F.lit("user-"), F.pmod(F.col("key__"), F.lit(97)).cast("string"))
+    user = F.concat(F.lit("user-"), F.pmod(F.col("key__"), F.lit(17)).cast("string"))
     return with_authorization(rows, F.col("key__"), user, F.col("ts")).drop("key__")
 
 
 def document_responses(documents: DataFrame) -> DataFrame:
-    """Block-form responses that repeat the document; every 13th is missing, every 13th plus one is an error."""
+    """Block-form responses. Each document answers the request before it, after two placeholders; every 13th is
+    missing and the one after that an error."""
     kind = F.pmod("doc_id", F.lit(13))
-    body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
-                              .alias("content")))
+    said = F.concat(F.lit("Re: [EMAIL_1] [CREDIT_CARD_1] "), F.col("text"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content")))
     return documents.where(kind != 0).select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("request_id"),
+        F.concat(F.lit("doc-"), (F.col("doc_id") - 1).cast("string")).alias("request_id"),
         F.when(kind == 1, F.lit(500)).otherwise(F.lit(200)).alias("http_status"), body.alias("body"))

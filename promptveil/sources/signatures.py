@@ -2,40 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def signatures_from_json(files: DataFrame, body: str = "value") -> DataFrame:
-    """Signature rows of whole-file JSON texts, one file per row.
+def signatures_from_json(files: DataFrame, body: str = "value", *keep: str) -> DataFrame:
+    """Signature rows of whole-file JSON texts, one file per row, with the columns in ``keep`` to tell files apart.
 
     A file is a list of strings or an object of named lists. Object keys that start with ``_`` and values that are
-    not lists are skipped; ids are positions in the flattened list, in file order. Any other shape fails the job.
+    not lists are skipped; ids are positions in the file's flattened list. Any other shape fails the job.
     """
     text = F.trim(F.col(body))
-    shape = (F.when(text.startswith("["), F.lit("list")).when(text.startswith("{"), F.lit("object"))
-             .otherwise(F.raise_error(F.lit("signature file is neither a list nor an object"))))
+    is_list = text.startswith("[")
+    bad = F.raise_error(F.lit("a signature file holds neither a list nor an object"))
     # one map covers both shapes: a list becomes the only, unnamed, category
-    as_object = F.when(shape == "list", F.concat(F.lit('{"":'), text, F.lit("}"))).otherwise(text)
-    lists = (
-        files.select(shape.alias("shape"), F.from_json(as_object, "map<string,string>").alias("lists"))
-        .select("shape", F.posexplode("lists").alias("list_pos", "category", "items"))
-        .where((F.col("shape") == "list") | ~F.col("category").startswith("_"))
-        .where(F.trim("items").startswith("["))
-    )
-    items = lists.select("shape", "list_pos", "category",
-                         F.posexplode(F.from_json("items", "array<string>")).alias("item_pos", "pattern"))
-    position = Window.partitionBy(F.lit(0)).orderBy("list_pos", "item_pos")  # one configuration file, read whole
-    name = F.when(F.col("shape") == "list", F.col("pattern")).otherwise(F.concat_ws(":", "category", "pattern"))
-    return items.select(
-        (F.row_number().over(position) - 1).cast("int").alias("sig_id"),
-        F.when(F.col("shape") == "object", F.col("category")).alias("category"),
-        "pattern",
-        name.alias("name"),
-    )
+    as_object = F.when(is_list, F.concat(F.lit('{"":'), text, F.lit("}"))).when(text.startswith("{"), text) \
+        .otherwise(bad.cast("string"))
+    lists = F.filter(F.map_entries(F.from_json(as_object, "map<string,string>")), lambda entry:
+                     (is_list | ~entry["key"].startswith("_")) & F.trim(entry["value"]).startswith("["))
+    items = F.flatten(F.transform(lists, lambda entry: F.transform(
+        F.from_json(entry["value"], "array<string>"),
+        lambda item: F.struct(F.when(~is_list, entry["key"]).alias("category"), item.alias("pattern")))))
+    return (files.select(*keep, F.posexplode(items).alias("sig_id", "item"))
+            .select(*keep, "sig_id", F.col("item.category").alias("category"), F.col("item.pattern").alias("pattern"),
+                    F.concat_ws(":", "item.category", "item.pattern").alias("name")))
 
 
 def load_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """The signatures of one file."""
     return signatures_from_json(spark.read.text(path, wholetext=True))
 
 
