@@ -16,6 +16,7 @@ from promptveil.functions.patterns import PiiPattern
 from promptveil.functions.text import extract_all, weave
 from promptveil.operators import scan
 from promptveil.operators.redact import scrubbed
+from promptveil.session import written
 
 # messages per numbering block
 BLOCK = 1_000
@@ -27,10 +28,14 @@ LOCAL_PLACEHOLDER = rf"\[{MARK}[A-Z_]+_[0-9]+\]"
 
 def redact_messages(messages: DataFrame, patterns: Sequence[PiiPattern] | None = None,
                     key: str = "request_id") -> tuple[DataFrame, DataFrame]:
-    """(messages with ``content`` scrubbed, vault rows (key, label, idx, placeholder, original))."""
-    local = (messages.withColumn("s__", scrubbed(F.array("content"), patterns, mark=MARK))
+    """(messages with ``content`` scrubbed, vault rows (key, label, idx, placeholder, original)).
+
+    Messages are scrubbed once, each by itself, into a table in the shared folder (it holds originals: protect it as
+    the vault); the vault and the renamed texts both start from there.
+    """
+    local = written((messages.withColumn("s__", scrubbed(F.array("content"), patterns, mark=MARK))
              .withColumn("content", F.get("s__.texts", F.lit(0))).withColumn("found__", F.col("s__.vault"))
-             .drop("s__"))
+             .drop("s__")), "messages")
     # a message's own index is the order of appearance within it
     entries = local.select(key, "msg_idx", F.inline(F.filter("found__", lambda e: e["original"].isNotNull())))
     vault = numbered(entries, key)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptveil.functions.times import micros_of
-from promptveil.session import fix
+from promptveil.session import fix, settled
 
 # users with more events than this are replayed in pieces of about this size
 HOT_EVENTS = 5_000_000
@@ -71,14 +71,12 @@ def replay(events: DataFrame, capacity: int, refill_per_sec: float, user: str =
     # A bucket of one token forgets its remainder at each grant, which leaves nothing to compose: always one chain.
     hot = None
     if capacity > 1:
-        hot = fix(moments.groupBy(user).count().where(F.col("count") > hot_events))
-    hot_total = 0 if hot is None else hot.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
-
-    usual = moments if hot_total == 0 else moments.join(hot.select(user), user, "left_anti").select(*moments.columns)
+        hot = settled(moments.groupBy(user).count().where(F.col("count") > hot_events))
+    usual = moments if hot is None else moments.join(hot.select(user), user, "left_anti").select(*moments.columns)
     out = (usual.repartition(F.col(user)).sortWithinPartitions(*order)
            .mapInArrow(_Fold(rate, user, {}), schema))
-    if hot_total:
-        pieces = math.ceil(hot_total / hot_events)
+    if hot is not None:
+        pieces = math.ceil(hot.agg(F.sum("count")).first()[0] / hot_events)
         busy = moments.join(hot.select(user), user, "left_semi").select(*moments.columns)
         ranged = fix(busy.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
                      .withColumn("piece", F.spark_partition_id()))

@@ -1,8 +1,8 @@
 """The whole request flow as one batch plan.
 
-Stages are columns: nothing stops a request, but each costly stage looks only at requests that got that far. The flow
-exchanges data twice on narrow columns (the token bucket) and once on request_id, which the bucket's outcome and the
-response join share; scan, redaction and restoration are projections.
+Stages are columns: nothing stops a request, but each costly stage looks only at requests that got that far. Texts are
+exchanged once, on request_id, which the bucket's outcome and the response join share; all other exchanges are of narrow
+columns, and scan, redaction and restoration are projections. Request ids are unique.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from promptveil.operators import auth, decisions, entities, providers, redact, scan, token_bucket
 from promptveil.schemas import VAULT_ENTRY
-from promptveil.session import run_folder
+from promptveil.session import written
 from promptveil.settings import Settings
-from promptveil.sources.requests import contents, scan_text, valid_requests
+from promptveil.sources.requests import CORRUPT, contents, scan_text, valid_requests, with_defaults
 
 
 @dataclass(frozen=True)
@@ -32,12 +32,18 @@ def authenticated(requests: DataFrame, settings: Settings) -> DataFrame:
     return auth.authenticate(valid_requests(requests), settings, F.col("ts"))
 
 
-def metered(checked: DataFrame, settings: Settings) -> DataFrame:
-    """Add the bucket's outcome. Only authenticated requests take tokens; later stages do not give them back."""
-    takers = checked.where(F.col("auth.ok")).select("request_id", F.col("auth.user_id").alias("user_id"), "ts")
+def metered(requests: DataFrame, settings: Settings) -> DataFrame:
+    """Valid requests with ``auth`` and the bucket's outcome.
+
+    Only authenticated requests take tokens; later stages do not give them back. Validity and tokens are checked once,
+    into a narrow table that the bucket reads and that the requests are then joined with.
+    """
+    envelope = written(authenticated(requests, settings).select("request_id", "ts", "auth"), "envelope")
+    takers = envelope.where(F.col("auth.ok")).select("request_id", F.col("auth.user_id").alias("user_id"), "ts")
     outcomes = token_bucket.replay(takers, settings.rate_capacity, settings.rate_refill_per_sec, event_id="request_id")
-    return checked.join(outcomes.select("request_id", "allowed", "retry_after", "retry_after_header"),
-                        "request_id", "left")
+    known = envelope.join(outcomes.select("request_id", "allowed", "retry_after", "retry_after_header"),
+                          "request_id", "left")
+    return with_defaults(requests).drop("ts", "authorization", CORRUPT).join(known, "request_id")
 
 
 def scanned_and_scrubbed(limited: DataFrame, words: Dictionaries) -> DataFrame:
@@ -84,11 +90,11 @@ def filtered(replied: DataFrame, words: Dictionaries) -> DataFrame:
 def decided_requests(requests: DataFrame, words: Dictionaries, settings: Settings,
                      responses: DataFrame | None = None) -> DataFrame:
     """Every valid request with all stage results and its decision."""
-    checked = authenticated(requests, settings)
-    if "latency_ms" not in checked.columns:
-        checked = checked.withColumn("latency_ms", F.lit(None).cast("double"))
-    checked = checked.withColumn("model", providers.resolved_model(F.col("model"), settings.provider_model))
-    scrubbed = scanned_and_scrubbed(metered(checked, settings), words)
+    limited = metered(requests, settings)
+    if "latency_ms" not in limited.columns:
+        limited = limited.withColumn("latency_ms", F.lit(None).cast("double"))
+    limited = limited.withColumn("model", providers.resolved_model(F.col("model"), settings.provider_model))
+    scrubbed = scanned_and_scrubbed(limited, words)
     return decisions.decide(filtered(answered(scrubbed, responses, settings), words))
 
 
@@ -99,6 +105,4 @@ def stored(decided: DataFrame) -> DataFrame:
     plan itself each would repeat the scans, and a filter on a result would be pushed into them. The table holds
     original values: keep the folder as protected as the vault.
     """
-    folder = run_folder(decided.sparkSession, "decided")
-    decided.write.parquet(folder)
-    return decided.sparkSession.read.schema(decided.schema).parquet(folder)
+    return written(decided, "decided")

@@ -269,7 +269,9 @@ ORACLES: dict[str, str] = {
         FROM documents LEFT JOIN (SELECT doc_id, count(DISTINCT (label, tok)) AS n, sum(length(tok)) AS gone FROM spans
         GROUP BY doc_id) USING (doc_id)""",
     "rate_outcomes": RATES,
-    "rate_outcomes_pieces": RATES,
+    "rate_outcomes_pieces": "WITH RECURSIVE " + bucket_ctes(
+        "(SELECT event_id, user_id % 3 AS user_id, epoch_us(ts) AS us FROM events)", 5, 900)
+        + f" SELECT {bucket_columns(900)} FROM metered",
     "stream_rate_outcomes": RATES,
     "auth_outcomes": f"""SELECT event_id, {reason('event_id')} IS NULL AS ok,
         CASE WHEN {reason('event_id')} IS NULL THEN user_id::VARCHAR END AS user_id, {reason('event_id')} AS reason,

@@ -33,12 +33,28 @@ def fix(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh shared folder and read back, so that several uses do its work once."""
+    folder = run_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     """All rows when there are at most ``limit`` of them, otherwise None (the caller then joins)."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 
+def settled(df: DataFrame, limit: int = 100_000) -> DataFrame | None:
+    """The rows of a small summary, worked out once: kept in the plan up to ``limit`` rows, stored beyond; None when
+    there are none."""
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return fix(df)
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a file with fewer splits than there are cores; large inputs stay as they were read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

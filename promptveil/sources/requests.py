@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptveil.schemas import REQUEST, REQUEST_BODY
-from promptveil.session import fix
+from promptveil.session import settled
 from promptveil.settings import DEFAULT_MAX_TOKENS, MAX_TOKENS_LIMIT, ROLES
 
 CORRUPT = "_corrupt_record"
@@ -55,11 +55,14 @@ def invalid_reason(corrupt: Column | None = None) -> Column:
     return reason
 
 
+def with_defaults(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("max_tokens", F.coalesce("max_tokens", F.lit(DEFAULT_MAX_TOKENS)))
+
+
 def check_requests(requests: DataFrame) -> DataFrame:
     """Add ``invalid_reason`` and fill in the default of ``max_tokens``."""
     corrupt = F.col(CORRUPT) if CORRUPT in requests.columns else None
-    return (requests.withColumn("invalid_reason", invalid_reason(corrupt))
-            .withColumn("max_tokens", F.coalesce("max_tokens", F.lit(DEFAULT_MAX_TOKENS))))
+    return with_defaults(requests.withColumn("invalid_reason", invalid_reason(corrupt)))
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:
@@ -75,8 +78,8 @@ def split_by_size(messages: DataFrame, key: str, max_messages: int = MAX_MESSAGE
 
     The first pass reads the key column only. There can be few long conversations, each having so many rows.
     """
-    long = fix(messages.groupBy(key).count().where(F.col("count") > max_messages).select(key))
-    if long.isEmpty():
+    long = settled(messages.groupBy(key).count().where(F.col("count") > max_messages).select(key))
+    if long is None:
         return messages, None
     return messages.join(long, key, "left_anti"), messages.join(long, key, "left_semi")
 
