@@ -26,6 +26,28 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def lookup_table(entries: Column) -> Column:
+    """An array of (key, value) structs as hash buckets for ``look_up``.
+
+    Spark searches arrays and maps from the front, which for a text full of hits would take time with their square;
+    with about as many buckets as each then holds entries, it is the power 1.5.
+    """
+    def buckets(all_entries: Column) -> Column:
+        count = F.ceil(F.sqrt(F.size(all_entries))).cast("int")
+        hashed = F.transform(all_entries, lambda e: F.struct(
+            F.pmod(F.xxhash64(e["key"]), count).alias("bucket"), e["key"].alias("key"), e["value"].alias("value")))
+        return bind(hashed, lambda rows: F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda b:
+                    F.filter(rows, lambda row: row["bucket"] == b)))
+
+    return bind(entries, buckets)
+
+
+def look_up(table: Column, key: Column) -> Column:
+    """The value of ``key`` in a lookup table, null when it is not there."""
+    bucket = F.get(table, F.pmod(F.xxhash64(key), F.size(table)).cast("int"))
+    return F.get(F.filter(bucket, lambda row: row["key"] == key), F.lit(0))["value"]
+
+
 def bytes_before(text: Column, part: Column) -> Column:
     """Bytes of ``text`` before the first ``part``, which it must contain."""
     return F.octet_length(F.call_function("substring_index", text, part, F.lit(1)))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PLACEHOLDER, WORD
-from promptveil.functions.text import alternation, ascii_fold, bind, extract_all, fold_literal, weave
+from promptveil.functions.text import alternation, ascii_fold, bind, extract_all, look_up, lookup_table, weave
+from promptveil.operators import scan
 from promptveil.operators.redact import vault_entries
 from promptveil.schemas import VAULT_ENTRY
 from promptveil.session import read_bounded
@@ -23,6 +24,7 @@ from promptveil.settings import ENTITY_LABELS
 
 MAX_NAMES = 20_000
 SPAN = "struct<start:int,end:int,label:string>"
+WIDE_SPAN = "struct<start:bigint,end:bigint,label:string>"
 
 
 @dataclass(frozen=True)
@@ -34,41 +36,88 @@ class Gazetteer:
     @property
     def regex(self) -> str:
         """Placeholders first, so that a name is never taken out of one; then the longest name, as whole words."""
+        if not self.labels:
+            return PLACEHOLDER
         return f"{PLACEHOLDER}|(?i:(?<![{WORD}])(?:{alternation(self.labels)})(?![{WORD}]))"
 
 
-def read_gazetteer(names: DataFrame, labels: Iterable[str] = ENTITY_LABELS) -> Gazetteer:
-    """Read a (name, label) table, keeping the wanted labels. A name with two labels takes the first in order."""
-    wanted = names.where(F.col("label").isin(*labels) & (F.length("name") > 0)).select("name", "label")
-    rows = read_bounded(wanted, MAX_NAMES)
-    if rows is None:
-        raise ValueError(f"more than {MAX_NAMES} names: find their spans with a model function or a join instead")
-    known: dict[str, str] = {}
-    for row in sorted(rows, reverse=True):
-        known[fold_literal(row["name"])] = row["label"]
-    if not known:
-        raise ValueError("the gazetteer holds no name of the wanted labels")
-    return Gazetteer(known)
-
-
-def gazetteer_spans(text: Column, gazetteer: Gazetteer) -> Column:
-    """Spans (start, end, label) in characters, in text order."""
-    known = F.from_json(F.lit(json.dumps(gazetteer.labels)), "map<string,string>")
-    hits = extract_all(text, gazetteer.regex)
-    gaps = F.split(text, gazetteer.regex, -1)
-    sizes = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
+def wanted_names(names: DataFrame, labels: Iterable[str] = ENTITY_LABELS) -> DataFrame:
+    """(name, label) with folded names, each once: of several labels the first by (name, label) as written."""
+    kept = names.where(F.col("label").isin(*labels) & (F.length("name") > 0))
+    return (kept.groupBy(ascii_fold(F.col("name")).alias("folded"))
+            .agg(F.min(F.struct("name", "label")).alias("first"))
+            .select(F.col("folded").alias("name"), F.col("first.label").alias("label")))
+
+
+def read_gazetteer(names: DataFrame, labels: Iterable[str] = ENTITY_LABELS) -> Gazetteer | None:
+    """Read a (name, label) table if it is small enough, else None: then use ``joined_spans``."""
+    rows = read_bounded(wanted_names(names, labels), MAX_NAMES)
+    return None if rows is None else Gazetteer({row["name"]: row["label"] for row in rows})
+
+
+def joined_spans(texts: DataFrame, names: DataFrame, key: str, labels: Iterable[str] = ENTITY_LABELS,
+                 text: str = "text") -> DataFrame:
+    """Span rows (key, start, end, label) for a name list of any size; equal to ``gazetteer_spans``."""
+    known = wanted_names(names, labels).select(F.col("name").alias("pattern"), "label")
+    bodies = texts.select(key, ascii_fold(F.col(text)).alias("body"))
+    # A name stands between word boundaries, so the first word in it is a whole word of the text as well.
+    first_word = F.regexp_extract("pattern", f"[{WORD}]+", 0)
+    worded = known.withColumn("word", first_word).where(F.col("word") != "")
+    words = bodies.select(key, F.explode(F.array_distinct(extract_all(F.col("body"), f"[{WORD}]+"))).alias("word"))
+    pairs = words.join(worded, "word").select(key, "pattern", "label")
+    # names without any word character go through the dictionary scan
+    bare = known.where(first_word == "").withColumn("sig_id", F.lit(0)).withColumn("name", F.col("pattern"))
+    bare_hits = scan.scan_join(texts, bare, key, text).select(key, "pattern")
+    pairs = pairs.unionByName(bare_hits.join(bare.select("pattern", "label"), "pattern").select(key, "pattern", "label"))
+    fenced = F.concat(F.lit(f"(?<![{WORD}])"), scan.quoted(F.col("pattern")), F.lit(f"(?![{WORD}])"))
+    found = scan.positions(pairs.withColumn("item", F.struct("pattern", "label")).join(bodies, key), key, "item",
+                           fenced, F.char_length)
+    per_text = (found.groupBy(key).agg(F.collect_list(F.struct("start", "end", F.col("item.label").alias("label")))
+                                       .alias("found")).join(texts.select(key, text), key))
+    # a placeholder goes before any name that begins in it
+    marks = F.when(F.rlike(F.col(text), F.lit(PLACEHOLDER)), placeholder_spans(F.col(text))) \
+        .otherwise(F.array().cast(f"array<{WIDE_SPAN}>"))
+    ranked = F.array_sort(F.transform(F.concat(F.col("found").cast(f"array<{WIDE_SPAN}>"), marks), lambda s: F.struct(
+        s["start"].alias("start"), s["label"].isNotNull().alias("is_name"), (-s["end"]).alias("neg_end"),
+        s["label"].alias("label"))))
+
+    def choose(done: Column, s: Column) -> Column:  # leftmost first, the longest at a place, no overlaps
+        span = F.struct(s["start"].alias("start"), (-s["neg_end"]).alias("end"), s["label"].alias("label"))
+        free = s["start"] >= done["at"]
+        return F.struct(F.when(free, -s["neg_end"]).otherwise(done["at"]).alias("at"),
+                        F.when(free, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{WIDE_SPAN}>").alias("spans"))
+    chosen = F.aggregate(ranked, begin, choose, lambda done: F.filter(done["spans"], lambda s: s["label"].isNotNull()))
+    return per_text.select(key, F.inline(chosen))
+
+
+def placeholder_spans(text: Column) -> Column:
+    """Where placeholders stand in ``text``, as spans without a label."""
+    return located(text, PLACEHOLDER, lambda hit: F.lit(None).cast("string"))
+
+
+def located(text: Column, pattern: str, label_of: Callable[[Column], Column]) -> Column:
+    """Spans of all matches of ``pattern``, in characters."""
+    hits, gaps = extract_all(text, pattern), F.split(text, pattern, -1)
+    pieces = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
 
     def add(done: Column, piece: Column) -> Column:
         start = done["at"] + piece["gap"]
         end = start + F.coalesce(F.char_length(piece["hit"]), F.lit(0))
-        label = F.try_element_at(known, ascii_fold(piece["hit"]))
-        span = F.struct(start.alias("start"), end.alias("end"), label.alias("label"))
-        found = F.when(label.isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(span)))
+        span = F.struct(start.alias("start"), end.alias("end"), label_of(piece["hit"]).alias("label"))
+        found = F.when(piece["hit"].isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(span)))
         return F.struct(end.alias("at"), found.alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.when(F.size(hits) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(
-        F.aggregate(sizes, begin, add, lambda done: done["spans"]))
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{WIDE_SPAN}>").alias("spans"))
+    return F.aggregate(pieces, begin, add, lambda done: done["spans"])
+
+
+def gazetteer_spans(text: Column, gazetteer: Gazetteer) -> Column:
+    """Spans (start, end, label) in characters, in text order."""
+    known = F.from_json(F.lit(json.dumps(gazetteer.labels)), "map<string,string>")
+    spans = located(text, gazetteer.regex, lambda hit: F.try_element_at(known, ascii_fold(hit)))
+    return F.filter(spans, lambda s: s["label"].isNotNull())
 
 
 def gazetteer_scrubbed(texts: Column, vault: Column, gazetteer: Gazetteer,
@@ -91,10 +140,10 @@ def gazetteer_scrubbed(texts: Column, vault: Column, gazetteer: Gazetteer,
         _entries(s["pairs"], labels).alias("entries")))
 
     def replaced(s: Column) -> Column:
-        placeholder = F.map_from_arrays(F.transform(s["entries"], lambda e: e["original"]),
-                                        F.transform(s["entries"], lambda e: e["placeholder"]))
-        done = bind(placeholder, lambda known_names: F.zip_with(s["texts"], s["hits"], lambda text, hits: weave(
-            text, gazetteer.regex, hits, lambda hit: F.coalesce(F.try_element_at(known_names, hit), hit))))
+        names = lookup_table(F.transform(s["entries"], lambda e: F.struct(
+            e["original"].alias("key"), e["placeholder"].alias("value"))))
+        done = bind(names, lambda table: F.zip_with(s["texts"], s["hits"], lambda text, hits: weave(
+            text, gazetteer.regex, hits, lambda hit: F.coalesce(look_up(table, hit), hit))))
         return F.struct(F.when(F.size(s["pairs"]) == 0, s["texts"]).otherwise(done).alias("texts"),
                         F.concat(vault, s["entries"]).alias("vault"))
 

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PiiPattern
-from promptveil.functions.text import extract_all, weave
+from promptveil.functions.text import bind, extract_all, look_up, lookup_table, weave
 from promptveil.operators import scan
-from promptveil.operators.redact import scrubbed
+from promptveil.operators.redact import scrub_into
 from promptveil.session import written
 
 # messages per numbering block
@@ -33,9 +33,9 @@ def redact_messages(messages: DataFrame, patterns: Sequence[PiiPattern] | None =
     Messages are scrubbed once, each by itself, into a table in the shared folder (it holds originals: protect it as
     the vault); the vault and the renamed texts both start from there.
     """
-    local = written((messages.withColumn("s__", scrubbed(F.array("content"), patterns, mark=MARK))
-             .withColumn("content", F.get("s__.texts", F.lit(0))).withColumn("found__", F.col("s__.vault"))
-             .drop("s__")), "messages")
+    local = scrub_into(messages, F.array("content"), "s__", patterns, MARK)
+    local = written(local.withColumns({"content": F.get("s__.texts", F.lit(0)), "found__": F.col("s__.vault")})
+                    .drop("s__"), "messages")
     # a message's own index is the order of appearance within it
     entries = local.select(key, "msg_idx", F.inline(F.filter("found__", lambda e: e["original"].isNotNull())))
     vault = numbered(entries, key)
@@ -43,9 +43,11 @@ def redact_messages(messages: DataFrame, patterns: Sequence[PiiPattern] | None =
     names = (entries.select(key, "msg_idx", "label", "original", F.col("placeholder").alias("own"))
              .join(vault, [key, "label", "original"])
              .groupBy(key, "msg_idx")
-             .agg(F.map_from_entries(F.collect_list(F.struct("own", "placeholder"))).alias("names__")))
-    renamed = weave(F.col("content"), LOCAL_PLACEHOLDER, extract_all(F.col("content"), LOCAL_PLACEHOLDER),
-                    lambda token: F.coalesce(F.try_element_at(F.col("names__"), token), token))
+             .agg(F.collect_list(F.struct(F.col("own").alias("key"), F.col("placeholder").alias("value")))
+                  .alias("names__")))
+    renamed = bind(lookup_table(F.col("names__")), lambda table: weave(
+        F.col("content"), LOCAL_PLACEHOLDER, extract_all(F.col("content"), LOCAL_PLACEHOLDER),
+        lambda token: F.coalesce(look_up(table, token), token)))
     out = (local.drop("found__").join(names, [key, "msg_idx"], "left")
            .withColumn("content", F.when(F.col("names__").isNull(), F.col("content")).otherwise(renamed))
            .drop("names__"))

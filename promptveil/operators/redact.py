@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PLACEHOLDER, PiiPattern, pii_patterns
-from promptveil.functions.text import bind, extract_all, weave
+from promptveil.functions.text import bind, extract_all, look_up, lookup_table, weave
 from promptveil.schemas import VAULT_ENTRY
 
 
@@ -33,41 +33,47 @@ def vault_entries(label: str, values: Column, mark: str = "") -> Column:
         placeholder(label, i + 1, mark).alias("placeholder"), value.alias("original")))
 
 
-def scrubbed(texts: Column, patterns: Sequence[PiiPattern] | None = None, mark: str = "") -> Column:
-    """Struct (texts, vault) for an array of texts numbered together.
+def scrub_into(requests: DataFrame, texts: Column, into: str, patterns: Sequence[PiiPattern] | None = None,
+               mark: str = "") -> DataFrame:
+    """Add struct ``into`` (texts, vault) for an array of texts that are numbered together; null texts stay null.
 
     Labels run in their fixed order, each on the texts the one before has left. ``mark`` goes into the placeholders
-    when they are not the final ones.
+    when they are not the final ones. Each step uses the one before exactly once, so the steps fold into one projection
+    and stay one, whatever is filtered on later.
     """
-    state = F.struct(texts.alias("texts"), F.array().cast(f"array<{VAULT_ENTRY}>").alias("vault"))
+    vault = F.array().cast(f"array<{VAULT_ENTRY}>")
+    out = requests.withColumn(into, F.struct(texts.alias("texts"), vault.alias("vault")))
     for pattern in patterns or pii_patterns():
-        state = bind(state, lambda s: F.struct(
+        found = bind(F.col(into), lambda s: F.struct(
             s["texts"].alias("texts"), s["vault"].alias("vault"),
             F.transform(s["texts"], lambda text: find_all(text, pattern)).alias("hits")))
-        state = bind(state, lambda s: F.struct(
+        valued = bind(found, lambda s: F.struct(
             s["texts"].alias("texts"), s["vault"].alias("vault"), s["hits"].alias("hits"),
             F.array_distinct(F.flatten(s["hits"])).alias("values")))
-        state = bind(state, lambda s: F.struct(
+        out = out.withColumn(into, bind(valued, lambda s: F.struct(
             replaced(s, pattern, mark).alias("texts"),
-            F.concat(s["vault"], vault_entries(pattern.label, s["values"], mark)).alias("vault")))
-    return state
+            F.concat(s["vault"], vault_entries(pattern.label, s["values"], mark)).alias("vault"))))
+    return out
 
 
 def replaced(state: Column, pattern: PiiPattern, mark: str) -> Column:
     """The texts of ``state`` with its hits replaced. Requests with nothing of a label keep their texts as they are."""
-    def number(hit: Column) -> Column:
-        return placeholder(pattern.label, F.array_position(state["values"], hit), mark)
+    names = F.transform(state["values"], lambda value, i: F.struct(
+        value.alias("key"), placeholder(pattern.label, i + 1, mark).alias("value")))
 
-    def rewrite(text: Column, hits: Column) -> Column:
-        return F.when(F.size(hits) == 0, text).otherwise(weave(text, pattern.regex, hits, number))
+    def with_names(table: Column) -> Column:
+        def rewrite(text: Column, hits: Column) -> Column:
+            return F.when(F.size(hits) == 0, text).otherwise(
+                weave(text, pattern.regex, hits, lambda hit: look_up(table, hit)))
 
-    return F.when(F.size(state["values"]) == 0, state["texts"]).otherwise(
-        F.zip_with(state["texts"], state["hits"], rewrite))
+        return F.zip_with(state["texts"], state["hits"], rewrite)
+
+    return F.when(F.size(state["values"]) == 0, state["texts"]).otherwise(bind(lookup_table(names), with_names))
 
 
 def scrub(requests: DataFrame, texts: str = "texts", patterns: Sequence[PiiPattern] | None = None) -> DataFrame:
     """Replace ``texts`` by its scrubbed form and add ``vault`` (array of label, idx, placeholder, original)."""
-    return (requests.withColumn("scrubbed__", scrubbed(F.col(texts), patterns))
+    return (scrub_into(requests, F.col(texts), "scrubbed__", patterns)
             .withColumns({texts: F.col("scrubbed__.texts"), "vault": F.col("scrubbed__.vault")}).drop("scrubbed__"))
 
 
@@ -98,14 +104,17 @@ def restore(text: Column, vault: Column) -> Column:
     """Put the originals back in one pass. Unknown placeholders stay, and restored text is not searched again."""
     def rebuilt(state: Column) -> Column:
         def original(token: Column) -> Column:
-            return F.coalesce(F.try_element_at(state["known"], token), token)
+            return F.coalesce(look_up(state["known"], token), token)
+
+        return weave(state["text"], PLACEHOLDER, extract_all(state["text"], PLACEHOLDER), original)
 
-        return F.when(F.size(state["known"]) == 0, state["text"]).otherwise(
-            weave(state["text"], PLACEHOLDER, extract_all(state["text"], PLACEHOLDER), original))
+    def restored(state: Column) -> Column:
+        known = lookup_table(F.transform(state["vault"], lambda e: F.struct(
+            e["placeholder"].alias("key"), e["original"].alias("value"))))
+        return F.when(F.size(state["vault"]) == 0, state["text"]).otherwise(
+            bind(F.struct(state["text"].alias("text"), known.alias("known")), rebuilt))
 
-    known = bind(vault, lambda entries: F.map_from_arrays(F.transform(entries, lambda e: e["placeholder"]),
-                                                          F.transform(entries, lambda e: e["original"])))
-    return bind(F.struct(text.alias("text"), known.alias("known")), rebuilt)
+    return bind(F.struct(text.alias("text"), vault.alias("vault")), restored)
 
 
 def holds_placeholder(texts: Column) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +153,11 @@ def scan_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "te
                     (before + F.octet_length("pattern")).alias("first_end")))
 
 
+def quoted(text: Column) -> Column:
+    """A regex that reads ``text`` literally."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def occurrences(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every occurrence, overlaps and repeats included: (key, sig_id, start, end) in bytes, half-open."""
     dictionary = read_dictionary(signatures)
@@ -161,31 +167,53 @@ def occurrences(texts: DataFrame, signatures: DataFrame, key: str, text: str = "
     else:
         found = (texts.select(key, text, F.inline(hits_column(F.col(text), dictionary)))
                  .select(key, "sig_id", "pattern", ascii_fold(F.col(text)).alias("body")))
-    # cutting before each occurrence leaves pieces whose running length gives the starts
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace("pattern", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    sizes = F.transform(F.split("body", quoted, F.lit(-1)), F.octet_length)
-    # the cut never shows an occurrence at the very beginning
-    sizes = F.when(F.startswith("body", F.col("pattern")), F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)
-    pieces = found.select(key, "sig_id", F.octet_length("pattern").alias("size"),
+    return positions(found, key, "sig_id", quoted(F.col("pattern")), F.octet_length)
+
+
+def positions(found: DataFrame, key: str, item: str, regex: Column, unit: Callable[[Column], Column]) -> DataFrame:
+    """(key, item, start, end) of every match of each row's ``regex`` in its ``body``; ``pattern`` gives the length.
+
+    Cutting before each match leaves pieces whose running length gives the starts.
+    """
+    sizes = F.transform(F.split("body", F.concat(F.lit("(?="), regex, F.lit(")")), F.lit(-1)), unit)
+    # the cut never shows a match at the very beginning
+    at_start = F.rlike("body", F.concat(F.lit("^(?:"), regex, F.lit(")")))
+    sizes = F.when(at_start, F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)
+    pieces = found.select(key, item, unit(F.col("pattern")).alias("size"),
                           F.posexplode(sizes).alias("pos", "piece"), F.size(sizes).alias("pieces"))
-    # one window per (text, signature): as long as one text's hits, never longer
-    running = Window.partitionBy(key, "sig_id").orderBy("pos")
+    # one window per (text, item): as long as one text's matches, never longer
+    running = Window.partitionBy(key, item).orderBy("pos")
     start = F.sum(F.col("piece").cast("bigint")).over(running)
     return (pieces.withColumn("start", start)
             .where(F.col("pos") < F.col("pieces") - 1)
-            .select(key, "sig_id", "start", (F.col("start") + F.col("size")).alias("end")))
+            .select(key, item, "start", (F.col("start") + F.col("size")).alias("end")))
 
 
 def matches(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, names): distinct signature names in first-seen order, for texts with a hit."""
-    order = F.struct("first_end", (-F.octet_length("pattern")).alias("neg_length"), "sig_id", "name")
-    per_text = scan(texts, signatures, key, text).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("hits"))
-    return per_text.select(key, F.transform("hits", lambda hit: hit["name"]).alias("names"))
+    dictionary = read_dictionary(signatures)
+    if dictionary is None:
+        order = F.struct("first_end", (-F.octet_length("pattern")).alias("neg_length"), "sig_id", "name")
+        found = (scan_join(texts, signatures, key, text).groupBy(key)
+                 .agg(F.array_sort(F.collect_list(order)).alias("hits")))
+        return found.select(key, F.transform("hits", lambda hit: hit["name"]).alias("names"))
+    return per_text(texts, dictionary, key, text, "names", lambda hits: F.transform(hits, lambda hit: hit["name"]))
 
 
 def hit_counts(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, n_hits): distinct signature ids per text, for texts with a hit."""
-    return scan(texts, signatures, key, text).groupBy(key).agg(F.count_distinct("sig_id").alias("n_hits"))
+    dictionary = read_dictionary(signatures)
+    if dictionary is None:
+        return scan_join(texts, signatures, key, text).groupBy(key).agg(F.count_distinct("sig_id").alias("n_hits"))
+    return per_text(texts, dictionary, key, text, "n_hits", lambda hits: F.size(hits).cast("bigint"))
+
+
+def per_text(texts: DataFrame, dictionary: Dictionary, key: str, text: str, name: str,
+             value: Callable[[Column], Column]) -> DataFrame:
+    """(key, value of the hits) for texts with a hit. The generator drops the others; a filter on the hits would be
+    pushed down and look for them a second time."""
+    kept = bind(hits_column(F.col(text), dictionary), lambda hits: F.when(F.size(hits) > 0, F.array(value(hits))))
+    return texts.select(key, F.explode(kept).alias(name))
 
 
 def blocked(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -51,7 +51,7 @@ def scanned_and_scrubbed(limited: DataFrame, words: Dictionaries) -> DataFrame:
     hits = F.when(F.col("allowed"), F.size(scan.hits_column(scan_text(F.col("messages")), words.injection)))
     out = limited.withColumn("ingress_hits", F.coalesce(hits, F.lit(0)))
     live = F.col("allowed") & (F.col("ingress_hits") == 0)
-    out = out.withColumn("scrubbed__", F.when(live, redact.scrubbed(contents(F.col("messages")))))
+    out = redact.scrub_into(out, F.when(live, contents(F.col("messages"))), "scrubbed__")
     if words.names:
         out = out.withColumn("scrubbed__", F.when(live, entities.gazetteer_scrubbed(
             F.col("scrubbed__.texts"), F.col("scrubbed__.vault"), words.names)))

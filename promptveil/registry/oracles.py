@@ -262,6 +262,7 @@ ORACLES: dict[str, str] = {
         SELECT source AS request_id, doc_id AS msg_idx, md5({weave('g', 'coalesce(parts, [])')}) AS scrubbed_md5
         FROM cut LEFT JOIN named USING (doc_id)""",
     "entity_spans": f'WITH {NAMES} SELECT doc_id, start, stop AS "end", label FROM spans',
+    "entity_spans_join": f'WITH {NAMES} SELECT doc_id, start, stop AS "end", label FROM spans',
     "entity_vault": ENTITY_VAULT,
     "span_vault": ENTITY_VAULT,
     "entity_restored": f"""WITH {NAMES} SELECT doc_id, coalesce(n, 0)::BIGINT AS redactions,

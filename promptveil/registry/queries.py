@@ -229,12 +229,16 @@ def message_redacted(spark, folder):
 
 # --- entities ---
 
-def gazetteer(spark, folder):
+def names(spark, folder):
     """Names are the first words of the benchmark items, labelled in turn."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     label = F.element_at(F.lit(["PERSON", "GPE", "LOC", "ORG"]), (F.pmod("item_id", F.lit(4)) + 1).cast("int"))
     word = F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)
-    return entities.read_gazetteer(items.select(word.alias("name"), label.alias("label")))
+    return items.select(word.alias("name"), label.alias("label"))
+
+
+def gazetteer(spark, folder):
+    return entities.read_gazetteer(names(spark, folder))
 
 
 def entity_spans(spark, folder):
@@ -244,6 +248,11 @@ def entity_spans(spark, folder):
                         F.col("end").cast("bigint").alias("end"), "label")
 
 
+def entity_spans_join(spark, folder):
+    """The same spans by the route for name lists of any size."""
+    return entities.joined_spans(documents(spark, folder), names(spark, folder), "doc_id")
+
+
 def no_vault():
     return F.array().cast(f"array<{redact.VAULT_ENTRY}>")
 
@@ -507,7 +516,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     signature_file, pattern_count, scan_distinct, scan_join, scan_offsets, scan_names, scan_hit_counts, scan_blocked,
     scan_clean, ingress_scan, message_scan, egress_scan,
     pii_vault, pii_counts, pii_redacted, pii_restore, page_pii_counts, message_vault, message_redacted,
-    entity_spans, entity_vault, entity_restored, span_vault,
+    entity_spans, entity_spans_join, entity_vault, entity_restored, span_vault,
     rate_outcomes, rate_outcomes_pieces, stream_rate_outcomes, auth_outcomes, metered_events,
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
     response_join, request_decisions, audit_rows, response_projection, rejection_projection, audit_upsert, echo_audit,

@@ -33,6 +33,13 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return newest(read_audit_rows(spark, path))
 
 
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Write the newest rows into a store of their own, as one batch numbered like the last one read."""
+    rows = newest(read_audit_rows(spark, path).drop("date"))
+    last = read_audit_rows(spark, path).agg(F.max("write_seq")).first()[0]
+    write_audit(rows, target, last)
+
+
 def outcomes(audit: DataFrame) -> DataFrame:
     """The narrow projection most readers want."""
     return audit.select("decision", "status_code", "terminating_stage")
