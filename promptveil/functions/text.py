@@ -26,28 +26,6 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def lookup_table(entries: Column) -> Column:
-    """An array of (key, value) structs as hash buckets for ``look_up``.
-
-    Spark searches arrays and maps from the front, which for a text full of hits would take time with their square;
-    with about as many buckets as each then holds entries, it is the power 1.5.
-    """
-    def buckets(all_entries: Column) -> Column:
-        count = F.ceil(F.sqrt(F.size(all_entries))).cast("int")
-        hashed = F.transform(all_entries, lambda e: F.struct(
-            F.pmod(F.xxhash64(e["key"]), count).alias("bucket"), e["key"].alias("key"), e["value"].alias("value")))
-        return bind(hashed, lambda rows: F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda b:
-                    F.filter(rows, lambda row: row["bucket"] == b)))
-
-    return bind(entries, buckets)
-
-
-def look_up(table: Column, key: Column) -> Column:
-    """The value of ``key`` in a lookup table, null when it is not there."""
-    bucket = F.get(table, F.pmod(F.xxhash64(key), F.size(table)).cast("int"))
-    return F.get(F.filter(bucket, lambda row: row["key"] == key), F.lit(0))["value"]
-
-
 def bytes_before(text: Column, part: Column) -> Column:
     """Bytes of ``text`` before the first ``part``, which it must contain."""
     return F.octet_length(F.call_function("substring_index", text, part, F.lit(1)))
@@ -62,14 +40,46 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def weave(text: Column, pattern: str, hits: Column, render: Callable[[Column], Column]) -> Column:
-    """Rebuild ``text`` with each match of ``pattern`` (already extracted as ``hits``, in order) rendered anew.
+# The longer expressions are written as SQL text: they name a step's parts where Column objects would have to be built
+# one call at a time.
+
+def sql_text(value: str) -> str:
+    """A raw SQL string literal; for regexes and labels, which hold no quotes."""
+    if "'" in value:
+        raise ValueError("quotes are not allowed here; write them as \\x27 in a regex")
+    return f"r'{value}'"
+
+
+def sql_bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def sql_weave(text: str, pattern: str, hits: str, render: str) -> str:
+    """Rebuild ``text`` with each match of ``pattern`` (already extracted as ``hits``, in order) rendered anew, by an
+    expression of ``hit``.
 
     The text is cut once at the matches, so a replacement is never itself searched.
     """
-    gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(render(hit), F.lit(""))))
-    return F.array_join(parts, "")
+    return (f"array_join(zip_with(split({text}, {sql_text(pattern)}, -1), {hits}, "
+            f"(gap, hit) -> concat(gap, coalesce({render}, ''))), '')")
+
+
+def sql_lookup_table(entries: str) -> str:
+    """An array of (key, value) structs as hash buckets for ``sql_look_up``.
+
+    Spark searches arrays and maps from the front, which for a text full of hits would take time with their square;
+    with about as many buckets as each then holds entries, it is the power 1.5.
+    """
+    count = "greatest(cast(ceil(sqrt(size(es))) AS int), 1)"
+    return sql_bind(entries, "es", f"transform(sequence(0, {count} - 1), b -> "
+                                   f"filter(es, e -> pmod(xxhash64(e.key), {count}) = b))")
+
+
+def sql_look_up(table: str, key: str) -> str:
+    """The value of ``key`` in a lookup table, null when it is not there."""
+    bucket = f"{table}[cast(pmod(xxhash64({key}), size({table})) AS int)]"
+    return f"get(filter({bucket}, e -> e.key = {key}), 0).value"
 
 
 def regex_literal(text: str) -> str:

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PLACEHOLDER, WORD
-from promptveil.functions.text import alternation, ascii_fold, bind, extract_all, look_up, lookup_table, weave
+from promptveil.functions.text import (
+    UPPER, alternation, ascii_fold, extract_all, sql_bind, sql_look_up, sql_lookup_table, sql_text, sql_weave)
 from promptveil.operators import scan
 from promptveil.operators.redact import vault_entries
-from promptveil.schemas import VAULT_ENTRY
 from promptveil.session import read_bounded
 from promptveil.settings import ENTITY_LABELS
 
@@ -120,69 +120,56 @@ def gazetteer_spans(text: Column, gazetteer: Gazetteer) -> Column:
     return F.filter(spans, lambda s: s["label"].isNotNull())
 
 
-def gazetteer_scrubbed(texts: Column, vault: Column, gazetteer: Gazetteer,
+def gazetteer_scrubbed(gazetteer: Gazetteer, texts: str = "texts", vault: str = "vault",
                        labels: Iterable[str] = ENTITY_LABELS) -> Column:
-    """Struct (texts, vault) with the gazetteer's names replaced: one cut and rejoin per text."""
-    known = F.from_json(F.lit(json.dumps(gazetteer.labels)), "map<string,string>")
-    label_of = lambda hit: F.try_element_at(known, ascii_fold(hit))
-
-    state = bind(texts, lambda t: F.struct(
-        t.alias("texts"), F.transform(t, lambda text: extract_all(text, gazetteer.regex)).alias("hits")))
-    # (label, value) pairs in numbering order
-    state = bind(state, lambda s: F.struct(
-        s["texts"].alias("texts"), s["hits"].alias("hits"),
-        F.array_distinct(F.filter(
-            F.transform(F.flatten(F.transform(s["hits"], F.reverse)),
-                        lambda hit: F.struct(label_of(hit).alias("label"), hit.alias("value"))),
-            lambda pair: pair["label"].isNotNull())).alias("pairs")))
-    state = bind(state, lambda s: F.struct(
-        s["texts"].alias("texts"), s["hits"].alias("hits"), s["pairs"].alias("pairs"),
-        _entries(s["pairs"], labels).alias("entries")))
-
-    def replaced(s: Column) -> Column:
-        names = lookup_table(F.transform(s["entries"], lambda e: F.struct(
-            e["original"].alias("key"), e["placeholder"].alias("value"))))
-        done = bind(names, lambda table: F.zip_with(s["texts"], s["hits"], lambda text, hits: weave(
-            text, gazetteer.regex, hits, lambda hit: F.coalesce(look_up(table, hit), hit))))
-        return F.struct(F.when(F.size(s["pairs"]) == 0, s["texts"]).otherwise(done).alias("texts"),
-                        F.concat(vault, s["entries"]).alias("vault"))
-
-    return bind(state, replaced)
-
-
-def _entries(pairs: Column, labels: Iterable[str]) -> Column:
-    per_label = [vault_entries(label, F.transform(F.filter(pairs, lambda p: p["label"] == label), lambda p: p["value"]))
-                 for label in labels]
-    return F.concat(*per_label).cast(f"array<{VAULT_ENTRY}>")
-
-
-def span_scrubbed(texts: Column, vault: Column, spans: Column, labels: Iterable[str] = ENTITY_LABELS) -> Column:
+    """Struct (texts, vault) with the names in the SQL expression ``texts`` replaced: one cut and rejoin per text."""
+    labelled = json.dumps(gazetteer.labels).replace("'", "\\u0027")
+    known = f"from_json({sql_text(labelled)}, 'map<string,string>')"
+    folded = f"CASE WHEN octet_length(h) = char_length(h) THEN lower(h) ELSE translate(h, '{UPPER}', '{UPPER.lower()}') END"
+    regex = sql_text(gazetteer.regex)
+    found = sql_bind(f"struct({texts} AS texts, {vault} AS vault)", "s",
+                     f"struct(s.texts AS texts, s.vault AS vault, "
+                     f"transform(s.texts, t -> regexp_extract_all(t, {regex}, 0)) AS hits)")
+    # (label, value) pairs in numbering order; placeholders among the hits have no label
+    pairs = (f"array_distinct(filter(transform(flatten(transform(s.hits, h -> reverse(h))), h -> "
+             f"struct(try_element_at({known}, {folded}) AS label, h AS value)), p -> p.label IS NOT NULL))")
+    paired = sql_bind(found, "s", f"struct(s.texts AS texts, s.vault AS vault, s.hits AS hits, {pairs} AS pairs)")
+    entered = sql_bind(paired, "s", f"struct(s.texts AS texts, s.vault AS vault, s.hits AS hits, "
+                                    f"{_entries('s.pairs', labels)} AS entries)")
+    names = sql_lookup_table("transform(s.entries, e -> struct(e.original AS key, e.placeholder AS value))")
+    woven = sql_weave("t", gazetteer.regex, "h", f"coalesce({sql_look_up('names', 'hit')}, hit)")
+    renamed = sql_bind(names, "names", f"zip_with(s.texts, s.hits, (t, h) -> {woven})")
+    return F.expr(sql_bind(entered, "s", f"struct(CASE WHEN size(s.entries) = 0 THEN s.texts ELSE {renamed} END "
+                                         "AS texts, concat(s.vault, s.entries) AS vault)"))
+
+
+def _entries(pairs: str, labels: Iterable[str]) -> str:
+    """Vault entries (SQL) for (label, value) pairs in numbering order, label by label."""
+    return "concat(" + ", ".join(
+        vault_entries(label, f"transform(filter({pairs}, p -> p.label = {sql_text(label)}), p -> p.value)")
+        for label in labels) + ")"
+
+
+def span_scrubbed(spans: str = "spans", texts: str = "texts", vault: str = "vault",
+                  labels: Iterable[str] = ENTITY_LABELS) -> Column:
     """Struct (texts, vault) for spans given as one array of (start, end, label) per text, in characters."""
-    kept = F.transform(spans, lambda of_text: F.reverse(F.array_sort(
-        F.filter(F.coalesce(of_text, F.array().cast(f"array<{SPAN}>")), lambda s: s["label"].isin(*labels)))))
-
-    def valued(text: Column, of_text: Column) -> Column:
-        return F.transform(of_text, lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"),
-            F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value")))
-
-    state = bind(F.struct(texts.alias("texts"), kept.alias("spans")), lambda s: F.struct(
-        s["texts"].alias("texts"), F.zip_with(s["texts"], s["spans"], valued).alias("spans")))
-    state = bind(state, lambda s: F.struct(
-        s["texts"].alias("texts"), s["spans"].alias("spans"),
-        _entries(F.array_distinct(F.transform(F.flatten(s["spans"]), lambda x: F.struct(
-            x["label"].alias("label"), x["value"].alias("value")))), labels).alias("entries")))
-
-    def replaced(s: Column) -> Column:
-        def put(text: Column, span: Column) -> Column:
-            entry = F.filter(s["entries"], lambda e: (e["label"] == span["label"]) & (e["original"] == span["value"]))
-            return F.concat(F.substring(text, F.lit(1), span["start"]), F.get(entry, F.lit(0))["placeholder"],
-                            F.substring(text, span["end"] + 1, F.char_length(text)))
-
-        done = F.zip_with(s["texts"], s["spans"], lambda text, of_text: F.aggregate(of_text, text, put))
-        return F.struct(done.alias("texts"), F.concat(vault, s["entries"]).alias("vault"))
-
-    return bind(state, replaced)
+    wanted = ", ".join(sql_text(label) for label in labels)
+    backwards = (f"reverse(array_sort(filter(coalesce(f, cast(array() AS array<{SPAN}>)), "
+                 f"x -> x.label IN ({wanted}))))")
+    valued = (f"transform({backwards}, x -> struct(x.start AS start, x.end AS end, x.label AS label, "
+              "substring(t, x.start + 1, x.end - x.start) AS value))")
+    found = sql_bind(f"struct({texts} AS texts, {vault} AS vault, {spans} AS spans)", "s",
+                     f"struct(s.texts AS texts, s.vault AS vault, zip_with(s.texts, slice(s.spans, 1, size(s.texts)), "
+                     f"(t, f) -> {valued}) AS spans)")
+    pairs = "array_distinct(transform(flatten(s.spans), x -> struct(x.label AS label, x.value AS value)))"
+    entered = sql_bind(found, "s", f"struct(s.texts AS texts, s.vault AS vault, s.spans AS spans, "
+                                   f"{_entries(pairs, labels)} AS entries)")
+    names = sql_lookup_table("transform(s.entries, e -> struct(struct(e.label, e.original) AS key, "
+                             "e.placeholder AS value))")
+    put = (f"(t, x) -> concat(substring(t, 1, x.start), "
+           f"{sql_look_up('names', 'struct(x.label, x.value)')}, substring(t, x.end + 1, char_length(t)))")
+    renamed = sql_bind(names, "names", f"zip_with(s.texts, s.spans, (t, f) -> aggregate(f, t, {put}))")
+    return F.expr(sql_bind(entered, "s", f"struct({renamed} AS texts, concat(s.vault, s.entries) AS vault)"))
 
 
 def gather_spans(spans: DataFrame, key: str = "request_id") -> DataFrame:

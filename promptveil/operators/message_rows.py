@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PiiPattern
-from promptveil.functions.text import bind, extract_all, look_up, lookup_table, weave
+from promptveil.functions.text import sql_bind, sql_look_up, sql_lookup_table, sql_text, sql_weave
 from promptveil.operators import scan
 from promptveil.operators.redact import scrub_into
 from promptveil.session import written
@@ -45,9 +45,9 @@ def redact_messages(messages: DataFrame, patterns: Sequence[PiiPattern] | None =
              .groupBy(key, "msg_idx")
              .agg(F.collect_list(F.struct(F.col("own").alias("key"), F.col("placeholder").alias("value")))
                   .alias("names__")))
-    renamed = bind(lookup_table(F.col("names__")), lambda table: weave(
-        F.col("content"), LOCAL_PLACEHOLDER, extract_all(F.col("content"), LOCAL_PLACEHOLDER),
-        lambda token: F.coalesce(look_up(table, token), token)))
+    tokens = f"regexp_extract_all(content, {sql_text(LOCAL_PLACEHOLDER)}, 0)"
+    renamed = F.expr(sql_bind(sql_lookup_table("names__"), "names", sql_weave(
+        "content", LOCAL_PLACEHOLDER, tokens, f"coalesce({sql_look_up('names', 'hit')}, hit)")))
     out = (local.drop("found__").join(names, [key, "msg_idx"], "left")
            .withColumn("content", F.when(F.col("names__").isNull(), F.col("content")).otherwise(renamed))
            .drop("names__"))

@@ -12,27 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PLACEHOLDER, PiiPattern, pii_patterns
-from promptveil.functions.text import bind, extract_all, look_up, lookup_table, weave
+from promptveil.functions.text import sql_bind, sql_look_up, sql_lookup_table, sql_text, sql_weave
 from promptveil.schemas import VAULT_ENTRY
 
 
-def find_all(text: Column, pattern: PiiPattern) -> Column:
-    """All matches of one pattern; the gate spares most texts the full pattern."""
-    none = F.array().cast("array<string>")
-    return F.when(F.rlike(text, F.lit(pattern.gate)), extract_all(text, pattern.regex)).otherwise(none)
-
-
-def placeholder(label: str, index: Column, mark: str = "") -> Column:
-    return F.concat(F.lit(f"[{mark}{label}_"), index.cast("string"), F.lit("]"))
-
-
-def vault_entries(label: str, values: Column, mark: str = "") -> Column:
-    """Vault entries of one label; the index is the place in ``values``."""
-    return F.transform(values, lambda value, i: F.struct(
-        F.lit(label).alias("label"), (i + 1).cast("int").alias("idx"),
-        placeholder(label, i + 1, mark).alias("placeholder"), value.alias("original")))
-
-
 def scrub_into(requests: DataFrame, texts: Column, into: str, patterns: Sequence[PiiPattern] | None = None,
                mark: str = "") -> DataFrame:
     """Add struct ``into`` (texts, vault) for an array of texts that are numbered together; null texts stay null.
@@ -44,31 +27,30 @@ def scrub_into(requests: DataFrame, texts: Column, into: str, patterns: Sequence
     vault = F.array().cast(f"array<{VAULT_ENTRY}>")
     out = requests.withColumn(into, F.struct(texts.alias("texts"), vault.alias("vault")))
     for pattern in patterns or pii_patterns():
-        found = bind(F.col(into), lambda s: F.struct(
-            s["texts"].alias("texts"), s["vault"].alias("vault"),
-            F.transform(s["texts"], lambda text: find_all(text, pattern)).alias("hits")))
-        valued = bind(found, lambda s: F.struct(
-            s["texts"].alias("texts"), s["vault"].alias("vault"), s["hits"].alias("hits"),
-            F.array_distinct(F.flatten(s["hits"])).alias("values")))
-        out = out.withColumn(into, bind(valued, lambda s: F.struct(
-            replaced(s, pattern, mark).alias("texts"),
-            F.concat(s["vault"], vault_entries(pattern.label, s["values"], mark)).alias("vault"))))
+        out = out.withColumn(into, F.expr(label_step(into, pattern, mark)))
     return out
 
 
-def replaced(state: Column, pattern: PiiPattern, mark: str) -> Column:
-    """The texts of ``state`` with its hits replaced. Requests with nothing of a label keep their texts as they are."""
-    names = F.transform(state["values"], lambda value, i: F.struct(
-        value.alias("key"), placeholder(pattern.label, i + 1, mark).alias("value")))
-
-    def with_names(table: Column) -> Column:
-        def rewrite(text: Column, hits: Column) -> Column:
-            return F.when(F.size(hits) == 0, text).otherwise(
-                weave(text, pattern.regex, hits, lambda hit: look_up(table, hit)))
+def label_step(state: str, pattern: PiiPattern, mark: str) -> str:
+    """One label's pass over a (texts, vault) struct. The gate spares most texts the full pattern, and requests with
+    nothing of the label keep their texts as they are."""
+    regex, gate = sql_text(pattern.regex), sql_text(pattern.gate)
+    hits = f"CASE WHEN t RLIKE {gate} THEN regexp_extract_all(t, {regex}, 0) ELSE cast(array() AS array<string>) END"
+    found = sql_bind(state, "s", f"struct(s.texts AS texts, s.vault AS vault, transform(s.texts, t -> {hits}) AS hits)")
+    entered = sql_bind(found, "s", "struct(s.texts AS texts, s.vault AS vault, s.hits AS hits, "
+                       f"{vault_entries(pattern.label, 'array_distinct(flatten(s.hits))', mark)} AS entries)")
+    names = sql_lookup_table("transform(s.entries, e -> struct(e.original AS key, e.placeholder AS value))")
+    woven = sql_weave("t", pattern.regex, "h", sql_look_up("names", "hit"))
+    renamed = sql_bind(names, "names",
+                       f"zip_with(s.texts, s.hits, (t, h) -> CASE WHEN size(h) = 0 THEN t ELSE {woven} END)")
+    return sql_bind(entered, "s", f"struct(CASE WHEN size(s.entries) = 0 THEN s.texts ELSE {renamed} END AS texts, "
+                                  "concat(s.vault, s.entries) AS vault)")
 
-        return F.zip_with(state["texts"], state["hits"], rewrite)
 
-    return F.when(F.size(state["values"]) == 0, state["texts"]).otherwise(bind(lookup_table(names), with_names))
+def vault_entries(label: str, values: str, mark: str = "") -> str:
+    """Vault entries (SQL) of one label; the index is the place in ``values``."""
+    return (f"transform({values}, (v, i) -> struct({sql_text(label)} AS label, i + 1 AS idx, "
+            f"concat({sql_text(f'[{mark}{label}_')}, cast(i + 1 AS string), ']') AS placeholder, v AS original))")
 
 
 def scrub(requests: DataFrame, texts: str = "texts", patterns: Sequence[PiiPattern] | None = None) -> DataFrame:
@@ -100,21 +82,14 @@ def opened(vault: DataFrame, key: Column) -> DataFrame:
     return vault.withColumn("original", F.aes_decrypt(F.col("original"), key).cast("string"))
 
 
-def restore(text: Column, vault: Column) -> Column:
-    """Put the originals back in one pass. Unknown placeholders stay, and restored text is not searched again."""
-    def rebuilt(state: Column) -> Column:
-        def original(token: Column) -> Column:
-            return F.coalesce(look_up(state["known"], token), token)
-
-        return weave(state["text"], PLACEHOLDER, extract_all(state["text"], PLACEHOLDER), original)
-
-    def restored(state: Column) -> Column:
-        known = lookup_table(F.transform(state["vault"], lambda e: F.struct(
-            e["placeholder"].alias("key"), e["original"].alias("value"))))
-        return F.when(F.size(state["vault"]) == 0, state["text"]).otherwise(
-            bind(F.struct(state["text"].alias("text"), known.alias("known")), rebuilt))
-
-    return bind(F.struct(text.alias("text"), vault.alias("vault")), restored)
+def restore(text: str, vault: str = "vault") -> Column:
+    """Put the originals back into the SQL expression ``text``, in one pass. Unknown placeholders stay, and restored
+    text is not searched again."""
+    known = sql_lookup_table("transform(s.vault, e -> struct(e.placeholder AS key, e.original AS value))")
+    woven = sql_weave("s.text", PLACEHOLDER, f"regexp_extract_all(s.text, {sql_text(PLACEHOLDER)}, 0)",
+                      f"coalesce({sql_look_up('known', 'hit')}, hit)")
+    return F.expr(sql_bind(f"struct({text} AS text, {vault} AS vault)", "s",
+                           f"CASE WHEN size(s.vault) = 0 THEN s.text ELSE {sql_bind(known, 'known', woven)} END"))
 
 
 def holds_placeholder(texts: Column) -> Column:

@@ -54,7 +54,7 @@ def scanned_and_scrubbed(limited: DataFrame, words: Dictionaries) -> DataFrame:
     out = redact.scrub_into(out, F.when(live, contents(F.col("messages"))), "scrubbed__")
     if words.names:
         out = out.withColumn("scrubbed__", F.when(live, entities.gazetteer_scrubbed(
-            F.col("scrubbed__.texts"), F.col("scrubbed__.vault"), words.names)))
+            words.names, "scrubbed__.texts", "scrubbed__.vault")))
     return out.select(
         *limited.columns, "ingress_hits",
         F.col("scrubbed__.texts").alias("scrubbed_texts"),
@@ -84,7 +84,7 @@ def filtered(replied: DataFrame, words: Dictionaries) -> DataFrame:
     leaks = F.when(live, F.size(scan.hits_column(F.col("response_text"), words.internal)))
     out = replied.withColumn("egress_hits", F.coalesce(leaks, F.lit(0)))
     passed = live & (F.col("egress_hits") == 0)
-    return out.withColumn("restored_text", F.when(passed, redact.restore(F.col("response_text"), F.col("vault"))))
+    return out.withColumn("restored_text", F.when(passed, redact.restore("response_text")))
 
 
 def decided_requests(requests: DataFrame, words: Dictionaries, settings: Settings,

@@ -197,8 +197,7 @@ def pii_redacted(spark, folder):
 
 
 def pii_restore(spark, folder):
-    restored = redact.restore(F.get("texts", F.lit(0)), F.col("vault"))
-    return redacted_documents(spark, folder).select("doc_id", F.md5(restored).alias("restored_md5"))
+    return redacted_documents(spark, folder).select("doc_id", F.md5(redact.restore("texts[0]")).alias("restored_md5"))
 
 
 def page_pii_counts(spark, folder):
@@ -253,12 +252,11 @@ def entity_spans_join(spark, folder):
     return entities.joined_spans(documents(spark, folder), names(spark, folder), "doc_id")
 
 
-def no_vault():
-    return F.array().cast(f"array<{redact.VAULT_ENTRY}>")
+NO_VAULT = f"cast(array() AS array<{redact.VAULT_ENTRY}>)"
 
 
 def entity_documents(spark, folder):
-    done = entities.gazetteer_scrubbed(F.array("text"), no_vault(), gazetteer(spark, folder))
+    done = entities.gazetteer_scrubbed(gazetteer(spark, folder), "array(text)", NO_VAULT)
     return documents(spark, folder).select("doc_id", done.alias("done")).select(
         "doc_id", F.get("done.texts", F.lit(0)).alias("text"), F.col("done.vault").alias("vault"))
 
@@ -272,7 +270,7 @@ def entity_restored(spark, folder):
     return entity_documents(spark, folder).select(
         "doc_id", F.size("vault").cast("bigint").alias("redactions"),
         F.length(F.regexp_replace("text", PLACEHOLDER, "")).cast("bigint").alias("rest_length"),
-        F.md5(redact.restore(F.col("text"), F.col("vault"))).alias("restored_md5"))
+        F.md5(redact.restore("text")).alias("restored_md5"))
 
 
 def span_vault(spark, folder):
@@ -281,8 +279,8 @@ def span_vault(spark, folder):
     spans = docs.select("doc_id", F.lit(0).alias("msg_idx"), F.inline(
         entities.gazetteer_spans(F.col("text"), gazetteer(spark, folder))))
     joined = docs.join(entities.gather_spans(spans, "doc_id"), "doc_id", "left")
-    done = entities.span_scrubbed(F.array("text"), no_vault(), F.coalesce("spans", F.array().cast(
-        f"array<array<{entities.SPAN}>>")))
+    done = entities.span_scrubbed(f"coalesce(spans, cast(array() AS array<array<{entities.SPAN}>>))", "array(text)",
+                                  NO_VAULT)
     out = joined.select("doc_id", done.alias("done")).select("doc_id", F.col("done.vault").alias("vault"))
     return redact.vault_rows(out, "doc_id").select("doc_id", "label", F.col("idx").cast("bigint").alias("idx"),
                                                    "original")
