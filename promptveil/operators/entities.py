@@ -57,10 +57,13 @@ def read_gazetteer(names: DataFrame, labels: Iterable[str] = ENTITY_LABELS) -> G
 
 def joined_spans(texts: DataFrame, names: DataFrame, key: str, labels: Iterable[str] = ENTITY_LABELS,
                  text: str = "text") -> DataFrame:
-    """Span rows (key, start, end, label) for a name list of any size; equal to ``gazetteer_spans``."""
+    """Span rows (key, start, end, label) for a name list of any size; equal to ``gazetteer_spans``.
+
+    A name stands between word boundaries, so the first word in it is a whole word of the text as well: the join on
+    such words gives each text the few names it may hold, and each text is then cut once by a regex of just these.
+    """
     known = wanted_names(names, labels).select(F.col("name").alias("pattern"), "label")
     bodies = texts.select(key, ascii_fold(F.col(text)).alias("body"))
-    # A name stands between word boundaries, so the first word in it is a whole word of the text as well.
     first_word = F.regexp_extract("pattern", f"[{WORD}]+", 0)
     worded = known.withColumn("word", first_word).where(F.col("word") != "")
     words = bodies.select(key, F.explode(F.array_distinct(extract_all(F.col("body"), f"[{WORD}]+"))).alias("word"))
@@ -69,37 +72,22 @@ def joined_spans(texts: DataFrame, names: DataFrame, key: str, labels: Iterable[
     bare = known.where(first_word == "").withColumn("sig_id", F.lit(0)).withColumn("name", F.col("pattern"))
     bare_hits = scan.scan_join(texts, bare, key, text).select(key, "pattern")
     pairs = pairs.unionByName(bare_hits.join(bare.select("pattern", "label"), "pattern").select(key, "pattern", "label"))
-    fenced = F.concat(F.lit(f"(?<![{WORD}])"), scan.quoted(F.col("pattern")), F.lit(f"(?![{WORD}])"))
-    found = scan.positions(pairs.withColumn("item", F.struct("pattern", "label")).join(bodies, key), key, "item",
-                           fenced, F.char_length)
-    per_text = (found.groupBy(key).agg(F.collect_list(F.struct("start", "end", F.col("item.label").alias("label")))
-                                       .alias("found")).join(texts.select(key, text), key))
-    # a placeholder goes before any name that begins in it
-    marks = F.when(F.rlike(F.col(text), F.lit(PLACEHOLDER)), placeholder_spans(F.col(text))) \
-        .otherwise(F.array().cast(f"array<{WIDE_SPAN}>"))
-    ranked = F.array_sort(F.transform(F.concat(F.col("found").cast(f"array<{WIDE_SPAN}>"), marks), lambda s: F.struct(
-        s["start"].alias("start"), s["label"].isNotNull().alias("is_name"), (-s["end"]).alias("neg_end"),
-        s["label"].alias("label"))))
-
-    def choose(done: Column, s: Column) -> Column:  # leftmost first, the longest at a place, no overlaps
-        span = F.struct(s["start"].alias("start"), (-s["neg_end"]).alias("end"), s["label"].alias("label"))
-        free = s["start"] >= done["at"]
-        return F.struct(F.when(free, -s["neg_end"]).otherwise(done["at"]).alias("at"),
-                        F.when(free, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
-
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{WIDE_SPAN}>").alias("spans"))
-    chosen = F.aggregate(ranked, begin, choose, lambda done: F.filter(done["spans"], lambda s: s["label"].isNotNull()))
-    return per_text.select(key, F.inline(chosen))
+    entry = F.struct((-F.char_length("pattern")).alias("neg_length"), "pattern", "label")
+    per_text = pairs.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("tried")).join(
+        texts.select(key, text), key)
+    longest_first = F.array_join(F.transform("tried", lambda t: scan.quoted(t["pattern"])), "|")
+    regex = F.concat(F.lit(f"{PLACEHOLDER}|(?i:(?<![{WORD}])(?:"), longest_first, F.lit(f")(?![{WORD}]))"))
 
+    def label_of(hit: Column) -> Column:
+        return F.get(F.filter("tried", lambda t: t["pattern"] == ascii_fold(hit)), F.lit(0))["label"]
 
-def placeholder_spans(text: Column) -> Column:
-    """Where placeholders stand in ``text``, as spans without a label."""
-    return located(text, PLACEHOLDER, lambda hit: F.lit(None).cast("string"))
+    spans = located(F.col(text), regex, label_of)
+    return per_text.select(key, F.inline(F.filter(spans, lambda s: s["label"].isNotNull())))
 
 
-def located(text: Column, pattern: str, label_of: Callable[[Column], Column]) -> Column:
+def located(text: Column, pattern: Column, label_of: Callable[[Column], Column]) -> Column:
     """Spans of all matches of ``pattern``, in characters."""
-    hits, gaps = extract_all(text, pattern), F.split(text, pattern, -1)
+    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, F.lit(-1))
     pieces = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
 
     def add(done: Column, piece: Column) -> Column:
@@ -116,7 +104,7 @@ def located(text: Column, pattern: str, label_of: Callable[[Column], Column]) ->
 def gazetteer_spans(text: Column, gazetteer: Gazetteer) -> Column:
     """Spans (start, end, label) in characters, in text order."""
     known = F.from_json(F.lit(json.dumps(gazetteer.labels)), "map<string,string>")
-    spans = located(text, gazetteer.regex, lambda hit: F.try_element_at(known, ascii_fold(hit)))
+    spans = located(text, F.lit(gazetteer.regex), lambda hit: F.try_element_at(known, ascii_fold(hit)))
     return F.filter(spans, lambda s: s["label"].isNotNull())
 
 

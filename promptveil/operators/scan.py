@@ -167,26 +167,19 @@ def occurrences(texts: DataFrame, signatures: DataFrame, key: str, text: str = "
     else:
         found = (texts.select(key, text, F.inline(hits_column(F.col(text), dictionary)))
                  .select(key, "sig_id", "pattern", ascii_fold(F.col(text)).alias("body")))
-    return positions(found, key, "sig_id", quoted(F.col("pattern")), F.octet_length)
-
-
-def positions(found: DataFrame, key: str, item: str, regex: Column, unit: Callable[[Column], Column]) -> DataFrame:
-    """(key, item, start, end) of every match of each row's ``regex`` in its ``body``; ``pattern`` gives the length.
-
-    Cutting before each match leaves pieces whose running length gives the starts.
-    """
-    sizes = F.transform(F.split("body", F.concat(F.lit("(?="), regex, F.lit(")")), F.lit(-1)), unit)
-    # the cut never shows a match at the very beginning
-    at_start = F.rlike("body", F.concat(F.lit("^(?:"), regex, F.lit(")")))
-    sizes = F.when(at_start, F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)
-    pieces = found.select(key, item, unit(F.col("pattern")).alias("size"),
+    # Cutting before each occurrence leaves pieces whose running length gives the starts.
+    ahead = F.concat(F.lit("(?="), quoted(F.col("pattern")), F.lit(")"))
+    sizes = F.transform(F.split("body", ahead, F.lit(-1)), F.octet_length)
+    # the cut never shows an occurrence at the very beginning
+    sizes = F.when(F.startswith("body", F.col("pattern")), F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)
+    pieces = found.select(key, "sig_id", F.octet_length("pattern").alias("size"),
                           F.posexplode(sizes).alias("pos", "piece"), F.size(sizes).alias("pieces"))
-    # one window per (text, item): as long as one text's matches, never longer
-    running = Window.partitionBy(key, item).orderBy("pos")
+    # one window per (text, signature): as long as one text's hits, never longer
+    running = Window.partitionBy(key, "sig_id").orderBy("pos")
     start = F.sum(F.col("piece").cast("bigint")).over(running)
     return (pieces.withColumn("start", start)
             .where(F.col("pos") < F.col("pieces") - 1)
-            .select(key, item, "start", (F.col("start") + F.col("size")).alias("end")))
+            .select(key, "sig_id", "start", (F.col("start") + F.col("size")).alias("end")))
 
 
 def matches(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
