@@ -35,7 +35,9 @@ DETAILS = {
 def _json_segment(segment: Column, schema: str) -> Column:
     """A base64url JSON segment as a struct; null when it is not one."""
     padded = F.rpad(F.translate(segment, "-_", "+/"), (F.ceil(F.length(segment) / 4) * 4).cast("int"), F.lit("="))
-    return F.from_json(F.try_to_binary(padded, F.lit("base64")).cast("string"), schema)
+    text = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    parsed = F.from_json(text, f"{schema}, bad string", {"columnNameOfCorruptRecord": "bad"})
+    return F.when(text.startswith("{"), parsed)
 
 
 def signature_check(secret: str, algorithm: str):
@@ -104,10 +106,10 @@ def _outcome(header: Column, token: Column, good: Column, state: Column, setting
         F.when(header.isNull() | (header == ""), "missing_header")
         .when(token.isNull(), "malformed_header")
         .when(state["segments"] != 3, "malformed_token")
-        .when(state["header"].isNull(), "bad_header")
+        .when(state["header"].isNull() | state["header"]["bad"].isNotNull(), "bad_header")
         .when(~state["header"]["alg"].eqNullSafe(settings.jwt_algorithm), "bad_algorithm")
         .when(~good, "bad_signature")
-        .when(claims.isNull(), "bad_payload")
+        .when(claims.isNull() | claims["bad"].isNotNull(), "bad_payload")
         .when(claims["sub"].isNull(), "missing_sub")
         .when(late("iat") | late("nbf"), "not_yet_valid")
         .when(F.coalesce(whole["exp"] <= now, F.lit(False)), "expired")
