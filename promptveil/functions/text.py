@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -82,6 +84,29 @@ def sql_look_up(table: str, key: str) -> str:
     return f"get(filter({bucket}, e -> e.key = {key}), 0).value"
 
 
+def _bucketed(mapping: dict) -> tuple[str, int]:
+    """A driver-side dictionary as JSON: an array of small maps, chosen by the key's CRC-32."""
+    count = max(1, len(mapping))
+    buckets: list[dict] = [{} for _ in range(count)]
+    for key, value in mapping.items():
+        buckets[zlib.crc32(key.encode()) % count][key] = value
+    return json.dumps(buckets).replace("'", "\\u0027"), count
+
+
+def constant_look_up(mapping: dict, value_type: str) -> Callable[[Column], Column]:
+    """Look-up in a dictionary that lives in the plan; null for other keys. Spark searches a map from the front, so a
+    large one is kept as many small ones."""
+    text, count = _bucketed(mapping)
+    table = F.from_json(F.lit(text), f"array<map<string,{value_type}>>")
+    return lambda key: F.try_element_at(F.get(table, (F.crc32(key) % count).cast("int")), key)
+
+
+def sql_constant_look_up(mapping: dict, value_type: str, key: str) -> str:
+    text, count = _bucketed(mapping)
+    table = f"from_json({sql_text(text)}, 'array<map<string,{value_type}>>')"
+    return f"try_element_at(get({table}, cast(crc32({key}) % {count} AS int)), {key})"
+
+
 def regex_literal(text: str) -> str:
     """``text`` as a regex that both Java and Python read as these exact characters."""
     return "".join(ch if ch.isascii() and ch.isalnum() else f"\\x{{{ord(ch):x}}}" for ch in text)

@@ -6,7 +6,6 @@ output. Both follow one numbering rule: messages in order, and within a message
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PLACEHOLDER, WORD
 from promptveil.functions.text import (
-    UPPER, alternation, ascii_fold, extract_all, sql_bind, sql_look_up, sql_lookup_table, sql_text, sql_weave)
+    UPPER, alternation, ascii_fold, constant_look_up, extract_all, sql_bind, sql_constant_look_up, sql_look_up,
+    sql_lookup_table, sql_text, sql_weave)
 from promptveil.operators import scan
 from promptveil.operators.redact import vault_entries
 from promptveil.session import read_bounded
@@ -103,24 +103,23 @@ def located(text: Column, pattern: Column, label_of: Callable[[Column], Column])
 
 def gazetteer_spans(text: Column, gazetteer: Gazetteer) -> Column:
     """Spans (start, end, label) in characters, in text order."""
-    known = F.from_json(F.lit(json.dumps(gazetteer.labels)), "map<string,string>")
-    spans = located(text, F.lit(gazetteer.regex), lambda hit: F.try_element_at(known, ascii_fold(hit)))
+    label_of = constant_look_up(gazetteer.labels, "string")
+    spans = located(text, F.lit(gazetteer.regex), lambda hit: label_of(ascii_fold(hit)))
     return F.filter(spans, lambda s: s["label"].isNotNull())
 
 
 def gazetteer_scrubbed(gazetteer: Gazetteer, texts: str = "texts", vault: str = "vault",
                        labels: Iterable[str] = ENTITY_LABELS) -> Column:
     """Struct (texts, vault) with the names in the SQL expression ``texts`` replaced: one cut and rejoin per text."""
-    labelled = json.dumps(gazetteer.labels).replace("'", "\\u0027")
-    known = f"from_json({sql_text(labelled)}, 'map<string,string>')"
     folded = f"CASE WHEN octet_length(h) = char_length(h) THEN lower(h) ELSE translate(h, '{UPPER}', '{UPPER.lower()}') END"
+    label = sql_bind(folded, "f", sql_constant_look_up(gazetteer.labels, "string", "f"))
     regex = sql_text(gazetteer.regex)
     found = sql_bind(f"struct({texts} AS texts, {vault} AS vault)", "s",
                      f"struct(s.texts AS texts, s.vault AS vault, "
                      f"transform(s.texts, t -> regexp_extract_all(t, {regex}, 0)) AS hits)")
     # (label, value) pairs in numbering order; placeholders among the hits have no label
     pairs = (f"array_distinct(filter(transform(flatten(transform(s.hits, h -> reverse(h))), h -> "
-             f"struct(try_element_at({known}, {folded}) AS label, h AS value)), p -> p.label IS NOT NULL))")
+             f"struct({label} AS label, h AS value)), p -> p.label IS NOT NULL))")
     paired = sql_bind(found, "s", f"struct(s.texts AS texts, s.vault AS vault, s.hits AS hits, {pairs} AS pairs)")
     entered = sql_bind(paired, "s", f"struct(s.texts AS texts, s.vault AS vault, s.hits AS hits, "
                                     f"{_entries('s.pairs', labels)} AS entries)")

@@ -22,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptveil.functions.text import alternation, ascii_fold, bind, bytes_before, extract_all, fold_literal
+from promptveil.functions.text import (
+    alternation, ascii_fold, bind, bytes_before, constant_look_up, extract_all, fold_literal)
 from promptveil.session import read_bounded
 
 ANCHOR = 6
@@ -67,10 +68,10 @@ def candidates_column(text: Column, dictionary: Dictionary) -> Column:
     """Array of the signatures worth verifying in ``text``: a superset of its hits, and empty for most texts."""
     found = []
     if dictionary.anchored:
-        table = F.from_json(F.lit(json.dumps(dictionary.anchored)), f"map<string,array<{HIT}>>")
+        signatures_of = constant_look_up(dictionary.anchored, f"array<{HIT}>")
         grams = F.transform(F.array_distinct(extract_all(text, WORD_START_GRAMS, 1)), ascii_fold)
         known = F.filter(F.array_distinct(grams), lambda gram: gram.isin(*dictionary.anchored))
-        found.append(F.flatten(F.transform(known, lambda gram: F.element_at(table, gram))))
+        found.append(F.flatten(F.transform(known, signatures_of)))
     if dictionary.direct:
         entries = F.from_json(F.lit(json.dumps(dictionary.direct)), f"array<{HIT}>")
         gate = "(?i)" + alternation(entry["pattern"] for entry in dictionary.direct)
