@@ -64,9 +64,12 @@ def decide(checked: DataFrame) -> DataFrame:
     })
 
 
-def audit_rows(decided: DataFrame, provider: str, store_redacted_prompt: bool = False) -> DataFrame:
+def audit_rows(decided: DataFrame, provider: str, store_redacted_prompt: bool = False,
+               counts: Column | None = None) -> DataFrame:
     """The audit row of each request. Fields of stages a request did not get to keep their defaults, and no text or
-    original value is in it unless the scrubbed prompt was asked for."""
+    original value is in it unless the scrubbed prompt was asked for. ``counts`` are taken from the vault if not given.
+    """
+    counts = counts_by_label(F.col("vault")) if counts is None else counts
     stage = F.col("stage")
     no_counts = F.create_map().cast("map<string,int>")
     scrubbed = reached(stage, "proxy")
@@ -79,7 +82,7 @@ def audit_rows(decided: DataFrame, provider: str, store_redacted_prompt: bool =
         F.coalesce(stage == "ratelimit", F.lit(False)).alias("rate_limited"),
         F.when(reached(stage, "threatscan"), F.col("ingress_hits")).otherwise(0).cast("int").alias("ingress_hits"),
         F.when(reached(stage, "egress"), F.col("egress_hits")).otherwise(0).cast("int").alias("egress_hits"),
-        F.when(scrubbed, counts_by_label(F.col("vault"))).otherwise(no_counts).alias("redaction_counts"),
+        F.when(scrubbed, counts).otherwise(no_counts).alias("redaction_counts"),
         F.lit(provider).alias("provider"),
         F.col("latency_ms").cast("double").alias("latency_ms"),
         prompt.cast("string").alias("redacted_prompt"))

@@ -309,6 +309,35 @@ ORACLES: dict[str, str] = {
         FROM flow WHERE terminating_stage IS NULL""",
     "rejection_projection": f"""{FLOW} SELECT '' AS request_id, terminating_stage AS stage, status_code, detail,
         retry_after, count(*) AS n FROM flow WHERE terminating_stage IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
+    "source_audit": f"""WITH RECURSIVE
+        srcs AS (SELECT DISTINCT source AS request_id, substr(source, 4)::BIGINT AS num FROM documents),
+        {bucket_ctes(f"(SELECT request_id AS event_id, (num + 7) % 3 AS user_id, ({START} + num * 60) * 1000000 AS us "
+                     "FROM srcs WHERE (num + 7) % 12 >= 7)", 3, 3600)},
+        {pii_ctes('documents', 'doc_id, source', 'text')},
+        entries AS ({pii_entries('doc_id, source')}),
+        firsts AS (SELECT source, label, original, min((doc_id, idx)) AS f FROM entries GROUP BY ALL),
+        vault AS (SELECT source, label, row_number() OVER (PARTITION BY source, label ORDER BY f) AS idx, original
+          FROM firsts),
+        threats AS (SELECT source, count(DISTINCT sig_id) AS n FROM (SELECT source, {fold('text')} AS f FROM documents)
+          JOIN {phrases(1, 60)} ON contains(f, p) GROUP BY source),
+        joined AS (SELECT s.request_id, num, {reason('(num + 7)')} AS reason, m.offered >= 3600000000 AS allowed,
+          coalesce(t.n, 0) AS threats,
+          (SELECT count(*) FROM vault v WHERE v.source = s.request_id) AS held,
+          (SELECT original FROM vault v WHERE v.source = s.request_id AND label = 'EMAIL' AND idx = 1) AS email,
+          (SELECT original FROM vault v WHERE v.source = s.request_id AND label = 'PHONE' AND idx = 2) AS phone
+          FROM srcs s LEFT JOIN metered m ON m.event_id = s.request_id LEFT JOIN threats t ON t.source = s.request_id),
+        staged AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'auth' WHEN NOT allowed THEN 'ratelimit'
+          WHEN threats > 0 THEN 'threatscan' WHEN (num + 7) % 20 = 0 THEN 'proxy' END AS stage FROM joined)
+        SELECT request_id, CASE WHEN reason IS NULL THEN ((num + 7) % 3)::VARCHAR END AS user_id,
+          CASE WHEN stage IS NULL THEN 'allowed' ELSE 'rejected' END AS decision, stage AS terminating_stage,
+          (CASE stage WHEN 'auth' THEN 401 WHEN 'ratelimit' THEN 429 WHEN 'threatscan' THEN 403 WHEN 'proxy' THEN 502
+            ELSE 200 END)::BIGINT AS status_code, reason IS NULL AS jwt_valid,
+          coalesce(stage = 'ratelimit', false) AS rate_limited,
+          (CASE WHEN stage IN ('auth', 'ratelimit') THEN 0 ELSE threats END)::BIGINT AS ingress_hits,
+          0::BIGINT AS egress_hits,
+          (CASE WHEN stage IN ('auth', 'ratelimit', 'threatscan') THEN 0 ELSE held END)::BIGINT AS redactions,
+          'anthropic' AS provider, CASE WHEN stage IS NULL THEN 'Re: ' || coalesce(email, '[EMAIL_1]') || ' '
+            || coalesce(phone, '[PHONE_2]') || ' [IP_99999]' END AS answer FROM staged""",
     "audit_upsert": f"""{ECHO_FLOW} SELECT request_id, decision, status_code, terminating_stage,
         CASE WHEN doc_id % 3 = 0 THEN -1.0 ELSE latency_ms END AS latency_ms FROM flow""",
     "echo_audit": f"{ECHO_FLOW} SELECT {AUDIT_COLUMNS} FROM flow",

@@ -11,7 +11,7 @@ from promptveil.functions.patterns import PLACEHOLDER
 from promptveil.functions.times import as_instant
 from promptveil.operators import auth, decisions, entities, message_rows, providers, redact, scan, token_bucket
 from promptveil.plans import requests as plan
-from promptveil.plans import rollups
+from promptveil.plans import long_requests, rollups
 from promptveil.session import run_folder, spread
 from promptveil.settings import Settings
 from promptveil.sources import audit_store, demo_requests
@@ -453,6 +453,28 @@ def rejection_projection(spark, folder):
             .groupBy("request_id", "stage", "status_code", "detail", "retry_after").agg(F.count("*").alias("n")))
 
 
+def source_audit(spark, folder):
+    """The flow over few, long requests kept as message rows: each source's documents are one request."""
+    messages = source_messages(spark, folder)
+    number = F.substring("request_id", 4, 10).cast("bigint")
+    sources = messages.select("request_id").distinct().select(
+        "request_id", F.timestamp_seconds(F.lit(demo_requests.START) + number * 60).alias("ts"),
+        F.lit("10.0.0.1").alias("client_ip"), F.lit(None).cast("string").alias("model"),
+        F.lit(None).cast("int").alias("max_tokens"), (number + 7).alias("key__"))
+    envelopes = demo_requests.with_authorization(sources, F.col("key__"), F.pmod("key__", F.lit(3)), F.col("ts"))
+    said = F.lit("Re: [EMAIL_1] [PHONE_2] [IP_99999]")
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content")))
+    responses = sources.where(F.pmod("key__", F.lit(20)) != 0).select(
+        "request_id", F.lit(200).alias("http_status"), body.alias("body"))
+    # long texts hold many phrases, so only rarer ones are signatures here
+    signatures = phrases(spark, folder, 1, 60)
+    outcome = long_requests.decide_long(envelopes.drop("key__"), messages, signatures, phrases(spark, folder, 31, 30),
+                                        DEMO, responses)
+    answers = outcome.decided.select("request_id", F.regexp_replace("restored_text", ACCENTED, "z").alias("answer"))
+    rows = flat_audit(long_requests.audit_rows(outcome, DEMO.provider)).drop("micros", "client_ip", "latency_ms")
+    return rows.join(answers, "request_id")
+
+
 def audit_upsert(spark, folder):
     """Two batches in the store, the second repeating a third of the keys; the newest row of each key is read."""
     path = run_folder(spark, "audit")
@@ -517,5 +539,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_spans, entity_spans_join, entity_vault, entity_restored, span_vault,
     rate_outcomes, rate_outcomes_pieces, stream_rate_outcomes, auth_outcomes, metered_events,
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
-    response_join, request_decisions, audit_rows, response_projection, rejection_projection, audit_upsert, echo_audit,
+    response_join, request_decisions, audit_rows, response_projection, rejection_projection, source_audit, audit_upsert, echo_audit,
     stream_audit, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}

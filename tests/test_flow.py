@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from promptveil.operators import decisions, providers, scan
 from promptveil.plans import requests as plan
-from promptveil.plans import rollups
+from promptveil.plans import long_requests, rollups
 from promptveil.schemas import AUDIT, REQUEST, RESPONSE
 from promptveil.settings import Settings
 from promptveil.sources import audit_store, signatures
@@ -170,3 +170,20 @@ def test_registry():
     import __spark_entry__ as entry
     assert set(entry.queries()) == set(entry.oracle_sql())
     assert not [name for name in entry.queries() if "pipeline" in name or name.startswith("op")]
+
+
+def test_long_requests_equal_whole_ones(spark, words):
+    """The message-row flow against the whole-row flow on the same requests."""
+    rows = requests(spark, *ROWS, ("many", [("user", f"u{i % 5}@x.com and 555-12{i:02}") for i in range(30)], HEADER, "", 9))
+    rows = rows.where(F.size("messages") > 0)
+    messages = rows.select("request_id", F.posexplode("messages").alias("msg_idx", "m")).select(
+        "request_id", "msg_idx", "m.role", "m.content")
+    outcome = long_requests.decide_long(
+        rows.drop("messages"), messages, signatures.load_signatures(spark, "signatures/injection.json"),
+        signatures.load_signatures(spark, "signatures/internal.json"), SETTINGS)
+    decided = plan.stored(plan.decided_requests(rows, words, SETTINGS))
+    whole, long = by_id(decisions.audit_rows(decided, "mock")), by_id(long_requests.audit_rows(outcome, "mock"))
+    assert whole == long and whole["many"]["redaction_counts"] == {"EMAIL": 5, "PHONE": 30}
+    answers = {r["request_id"]: r["restored_text"] for r in decided.collect()}
+    assert {r["request_id"]: r["restored_text"] for r in outcome.decided.collect()} == answers
+    assert answers["many"] == "[mock-echo] u4@x.com and 555-1229"
