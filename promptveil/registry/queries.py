@@ -12,7 +12,7 @@ from promptveil.functions.times import as_instant
 from promptveil.operators import auth, decisions, entities, message_rows, providers, redact, scan, token_bucket
 from promptveil.plans import requests as plan
 from promptveil.plans import long_requests, rollups
-from promptveil.session import run_folder, spread
+from promptveil.session import run_folder, spread, written
 from promptveil.settings import Settings
 from promptveil.sources import audit_store, demo_requests
 from promptveil.sources import requests as request_source
@@ -342,8 +342,8 @@ def auth_outcomes(spark, folder):
 
 def metered_events(spark, folder):
     """Only authenticated events take tokens."""
-    known = auth_events(spark, folder).where(F.col("auth.ok")).select(
-        "event_id", F.col("auth.user_id").alias("user_id"), "ts")
+    known = written(auth_events(spark, folder).where(F.col("auth.ok")).select(
+        "event_id", F.col("auth.user_id").alias("user_id"), "ts"), "takers")
     return bucket_columns(token_bucket.replay(known, 3, 1 / 86400))
 
 
