@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptveil.llm.common import small_batches
+from promptveil.llm.common import small_batches, worker_cache
 from promptveil.session import read_bounded
 
 PROFILE = 400
@@ -28,14 +28,14 @@ UNKNOWN = "und"
 _EDGE = 32
 _BITS = np.uint64(21)
 _PIECE = 1 << 20
-_letters: list[np.ndarray] = []
 
 
 def _is_letter() -> np.ndarray:
     """Whether each code point is a letter; built once in a worker."""
-    if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.bool_, 0x110000))
-    return _letters[0]
+    cache = worker_cache()
+    if "letters" not in cache:
+        cache["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.bool_, 0x110000)
+    return cache["letters"]
 
 
 def grams_of(text: str) -> Iterator[np.ndarray]:

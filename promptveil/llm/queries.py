@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import language, licenses, mixing, simhash
+from promptveil.llm import language, licenses, mixing, simhash, token_files
 from promptveil.llm.common import table
+from promptveil.session import run_folder
 
 
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +20,18 @@ def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the token queries; installed with Python on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = run_folder(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), path, tokenizer_path())
+    return token_files.read_index(spark, path)
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -31,4 +44,4 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op9_simhash": op9_simhash, "op10_language": op10_language}
+    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op7_token_files": op7_token_files, "op9_simhash": op9_simhash, "op10_language": op10_language}
