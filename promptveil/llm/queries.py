@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import language, licenses, mixing, simhash, token_files
+from promptveil.llm import graph_search, language, licenses, mixing, simhash, token_files
 from promptveil.llm.common import table
 from promptveil.session import run_folder
 
@@ -32,6 +32,10 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_index(spark, path)
 
 
+def op8_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_search.nearest(table(spark, folder, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -44,4 +48,5 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op7_token_files": op7_token_files, "op9_simhash": op9_simhash, "op10_language": op10_language}
+    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
+    "op9_simhash": op9_simhash, "op10_language": op10_language}
