@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import graph_search, language, licenses, mixing, simhash, token_files
+from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, simhash, token_files
 from promptveil.llm.common import table
 from promptveil.session import run_folder
 
@@ -20,6 +20,11 @@ def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and benchmark items that share a passage."""
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def tokenizer_path() -> str:
     """The tokenizer file of the token queries; installed with Python on every machine."""
     import public_tokenizers
@@ -48,5 +53,6 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
+    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op5_decontaminate": op5_decontaminate,
+    "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
     "op9_simhash": op9_simhash, "op10_language": op10_language}
