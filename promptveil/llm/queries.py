@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, simhash, token_files
+from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, simhash, token_files, toxicity
 from promptveil.llm.common import table
 from promptveil.session import run_folder
 
@@ -31,6 +31,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    part = language.bucket(F.col("doc_id"), 5)
+    machine = toxicity.learned(docs.where(part != 0), table(spark, folder, "labels").where(part != 0))
+    return toxicity.scored(docs, machine).select("doc_id", (part == 0).alias("held_out"), "score",
+                                                (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = run_folder(spark, "token-files")
     token_files.write(table(spark, folder, "documents"), path, tokenizer_path())
@@ -54,5 +62,5 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op5_decontaminate": op5_decontaminate,
-    "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
+    "op6_toxicity": op6_toxicity, "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
     "op9_simhash": op9_simhash, "op10_language": op10_language}
