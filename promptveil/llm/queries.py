@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, simhash, token_files, toxicity
+from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, personal_data, simhash, token_files, toxicity
 from promptveil.llm.common import table
 from promptveil.session import run_folder
 
 
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.detected(table(spark, folder, "documents"))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, personal_data.BASE_KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
@@ -61,6 +73,6 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op5_decontaminate": op5_decontaminate,
+    "op1_personal_data": op1_personal_data, "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity, "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
     "op9_simhash": op9_simhash, "op10_language": op10_language}
