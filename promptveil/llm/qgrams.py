@@ -167,6 +167,8 @@ class Index:
         near = np.searchsorted(at, at + self.reach, side="right") - np.searchsorted(at, at - self.reach)
         good = near >= self.least_need
         at, slot, text = at[good], slot[good], text[good]
+        if not len(at):
+            return out
         times = self.count[slot]
         which = np.repeat(np.arange(len(at)), times)
         entry = np.repeat(self.first[slot], times) + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)

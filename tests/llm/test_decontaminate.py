@@ -65,6 +65,11 @@ def test_against_all_alignments(seed):
         assert abs(len(part) - len(window)) <= f[5] and least_edits(window, part) <= f[5]
 
 
+def test_few_shared_grams():
+    item = "the quick brown fox jumps over the lazy dog and runs away from the old farm where nobody lives any more"
+    assert qgrams.Index([(1, item)]).find(["a quick brown fox", "lazy dog and", ""]) == []
+
+
 def test_slices_of_a_long_text(monkeypatch):
     rng = random.Random(5)
     item = " ".join("".join(rng.choice("abcd") for _ in range(5)) for _ in range(30))
