@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, personal_data, simhash, token_files, toxicity
+from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, personal_data, simhash, token_counts, token_files, toxicity
 from promptveil.llm.common import table
 from promptveil.session import run_folder
 
@@ -24,6 +24,30 @@ def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *map(count, personal_data.BASE_KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def edits_of(doc_id: Column, text: Column) -> Column:
+    """Three edits per document, at places that a hash of its id gives: a deletion, an insertion of a piece of the
+    text itself, and a replacement."""
+    length = F.length(text)
+
+    def place(n: int) -> Column:
+        return F.pmod(F.xxhash64(doc_id, F.lit(n)), length + 1)
+
+    def piece(n: int) -> Column:
+        return F.substr(text, (place(n) + 1).cast("int"), F.lit(5 + 12 * n))
+
+    def edit(at: Column, delete: int, insert: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("place"), F.lit(delete).cast("bigint").alias("delete"), insert.alias("insert"))
+
+    return F.array(edit(place(1), 9, F.lit("")), edit(place(2), 0, piece(3)), edit(place(4), 30, piece(5)))
+
+
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, folder, "documents")
+    edited = docs.select("doc_id", "text", edits_of(F.col("doc_id"), F.col("text")).alias("edits"))
+    return token_counts.counted(edited, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
@@ -73,6 +97,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_personal_data": op1_personal_data, "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op5_decontaminate": op5_decontaminate,
+    "op1_personal_data": op1_personal_data, "op2_token_counts": op2_token_counts,
+    "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity, "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
     "op9_simhash": op9_simhash, "op10_language": op10_language}
