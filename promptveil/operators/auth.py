@@ -24,18 +24,33 @@ DETAILS = {
     "bad_signature": "Invalid token signature.",
     "bad_payload": "Invalid token: Invalid payload string: must be a json object",
     "missing_sub": 'Invalid token: Token is missing the "sub" claim',
+    "bad_iat": "Invalid token: Issued At claim (iat) must be an integer.",
+    "bad_nbf": "Invalid token: Not Before claim (nbf) must be an integer.",
+    "bad_exp": "Invalid token: Expiration Time claim (exp) must be an integer.",
     "not_yet_valid": "Invalid token: The token is not yet valid",
     "expired": "Token has expired.",
     "bad_issuer": "Invalid token: Invalid issuer",
     "bad_audience": "Invalid token: Audience doesn't match",
     "empty_sub": "Token missing 'sub' claim.",
+    "bad_sub": "Invalid token: Subject must be a string",
 }
 
 
+def _segment_text(segment: Column) -> Column:
+    padded = F.rpad(F.translate(segment, "-_", "+/"), (F.ceil(F.length(segment) / 4) * 4).cast("int"), F.lit("="))
+    return F.try_to_binary(padded, F.lit("base64")).cast("string")
+
+
+def _claim_kinds(segment: Column, names: tuple[str, ...]) -> Column:
+    """The JSON type of each claim, null for one that is not there: a null claim differs from a missing one."""
+    document = F.try_parse_json(_segment_text(segment))
+    return F.struct(*[F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant")).alias(name)
+                      for name in names])
+
+
 def _json_segment(segment: Column, schema: str) -> Column:
     """A base64url JSON segment as a struct; null when it is not one."""
-    padded = F.rpad(F.translate(segment, "-_", "+/"), (F.ceil(F.length(segment) / 4) * 4).cast("int"), F.lit("="))
-    text = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    text = _segment_text(segment)
     parsed = F.from_json(text, f"{schema}, bad string", {"columnNameOfCorruptRecord": "bad"})
     return F.when(text.startswith("{"), parsed)
 
@@ -85,6 +100,7 @@ def authenticate(requests: DataFrame, settings: Settings, as_of: Column, header:
         F.size(segments).alias("segments"),
         _json_segment(F.get(segments, F.lit(0)), "alg string").alias("header"),
         _json_segment(F.get(segments, F.lit(1)), claims).alias("claims"),
+        _claim_kinds(F.get(segments, F.lit(1)), ("sub", "iat", "nbf", "exp")).alias("kinds"),
         as_of.cast("timestamp").cast("double").alias("now"))
     auth = bind(state, lambda s: _outcome(F.col(header), F.col("token__"), F.col("good__"), s, settings))
     return out.withColumn("auth", auth).drop(header, "token__", "good__")
@@ -101,6 +117,14 @@ def _outcome(header: Column, token: Column, good: Column, state: Column, setting
         wrong_audience = claims["aud"].isNull() | ~F.array_contains(audiences, F.lit(settings.jwt_audience))
     wrong_issuer = F.lit(False) if settings.jwt_issuer is None else ~claims["iss"].eqNullSafe(settings.jwt_issuer)
     late = lambda name: F.coalesce(whole[name] > now, F.lit(False))
+    kinds = state["kinds"]
+
+    def no_number(name: str) -> Column:
+        """A time that is there but no number: text must hold a whole one."""
+        text = (kinds[name] == "STRING") & ~F.rlike(claims[name], F.lit(r"^\s*[+-]?[0-9]+\s*$"))
+        return F.coalesce(kinds[name].isNotNull() & (whole[name].isNull() | text), F.lit(False))
+
+    falsy = claims["sub"].isin("", "[]", "{}", "false") | (claims["sub"].try_cast("double") == 0) & (kinds["sub"] != "STRING")
 
     reason = (
         F.when(header.isNull() | (header == ""), "missing_header")
@@ -111,11 +135,15 @@ def _outcome(header: Column, token: Column, good: Column, state: Column, setting
         .when(~good, "bad_signature")
         .when(claims.isNull() | claims["bad"].isNotNull(), "bad_payload")
         .when(claims["sub"].isNull(), "missing_sub")
-        .when(late("iat") | late("nbf"), "not_yet_valid")
+        .when(no_number("iat"), "bad_iat").when(late("iat"), "not_yet_valid")
+        .when(no_number("nbf"), "bad_nbf").when(late("nbf"), "not_yet_valid")
+        .when(no_number("exp"), "bad_exp")
         .when(F.coalesce(whole["exp"] <= now, F.lit(False)), "expired")
         .when(wrong_issuer, "bad_issuer")
         .when(F.coalesce(wrong_audience, F.lit(True)), "bad_audience")
-        .when(claims["sub"] == "", "empty_sub"))
+        .when(F.when(kinds["sub"] == "STRING", claims["sub"] == "").otherwise(falsy), "empty_sub")
+        .when(kinds["sub"] != "STRING", "bad_sub"))
+
     def filled(why: Column) -> Column:
         text = F.lit(None).cast("string")
         for name, message in DETAILS.items():

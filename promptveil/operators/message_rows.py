@@ -74,6 +74,18 @@ def numbered(entries: DataFrame, key: str = "request_id") -> DataFrame:
                     "original"))
 
 
+def positions(messages: DataFrame, key: str = "request_id") -> DataFrame:
+    """``messages`` with ``pos__``, the place in its request from 1 without gaps, whatever the steps of ``msg_idx``.
+    Ranks are taken within blocks and shifted, as in ``numbered``."""
+    narrow = messages.select(key, "msg_idx").withColumn("block", F.floor(F.col("msg_idx") / BLOCK))
+    sizes = narrow.groupBy(key, "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(key, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(key, "block").orderBy("msg_idx"))
+    placed = narrow.withColumn("rank", rank).join(before, [key, "block"])
+    return messages.join(placed.select(key, "msg_idx", (F.col("before") + F.col("rank")).alias("pos__")), [key, "msg_idx"])
+
+
 def scan_messages(messages: DataFrame, signatures: DataFrame, key: str = "request_id") -> DataFrame:
     """Distinct (key, sig_id, name) over each request's contents joined by newlines.
 
@@ -86,12 +98,12 @@ def scan_messages(messages: DataFrame, signatures: DataFrame, key: str = "reques
     broken = signatures.where(F.contains("pattern", F.lit("\n")))
     reach = broken.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("\n"), F.lit(""))))).first()[0]
     if reach:
+        placed = positions(messages.select(key, "msg_idx", "content"), key)
+
         def follower(step: int) -> DataFrame:
-            return messages.select(F.col(key), (F.col("msg_idx") - step).alias("msg_idx"),
-                                   F.col("content").alias(f"next{step}"))
+            return placed.select(F.col(key), (F.col("pos__") - step).alias("pos__"), F.col("content").alias(f"next{step}"))
 
-        joined = reduce(lambda left, step: left.join(follower(step), [key, "msg_idx"], "left"),
-                        range(1, reach + 1), messages)
+        joined = reduce(lambda left, step: left.join(follower(step), [key, "pos__"], "left"), range(1, reach + 1), placed)
         text: Column = F.concat_ws("\n", "content", *[f"next{step}" for step in range(1, reach + 1)])
         spanning = joined.select(F.struct(key, "msg_idx").alias("at__"), text.alias("text"))
         found = found.unionByName(scan.scan(spanning, broken, "at__"))

@@ -87,12 +87,15 @@ def request_bodies(requests: DataFrame, provider: str, default_model: str = DEFA
 def with_responses(requests: DataFrame, responses: DataFrame, provider: str) -> DataFrame:
     """Add ``response_text`` and ``proxy_detail`` (null where a good response has arrived) by request_id.
 
-    A request sent more than once has several responses; the one with the lowest status counts.
+    A request sent more than once has several responses: a good one counts before any other, then the lowest status,
+    one without a status last.
     """
     form = provider_form(provider)
     if form.text is None:
         raise ValueError(f"provider {form.name!r} gives no response files")
-    one = responses.groupBy("request_id").agg(F.min(F.struct("http_status", "body")).alias("response__"))
+    rank = F.struct(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), F.col("http_status").isNull(),
+                    "http_status", "body")
+    one = responses.groupBy("request_id").agg(F.min_by(F.struct("http_status", "body"), rank).alias("response__"))
     good = F.coalesce(F.col("response__.http_status").between(200, 299), F.lit(False))
     return (requests.join(one, "request_id", "left")
             .withColumn("proxy_detail", F.when(F.col("response__").isNull(), UPSTREAM_MISSING)

@@ -33,15 +33,24 @@ def accents(text: str) -> str:
     return f"regexp_replace({text}, '[À-ɏ]', 'z', 'g')"
 
 
-def phrases(start: int = 1, length: int = 30) -> str:
-    piece = f"substr(text, {start}, {length})"
-    return f"(SELECT item_id::INT AS sig_id, {fold(piece)} AS p, {piece} AS name FROM benchmark WHERE {piece} <> '')"
+def pieces(length: int) -> str:
+    """All consecutive pieces of column text, the last one with the rest."""
+    count = f"greatest(1, length(text) // {length})"
+    return (f"list_transform(range(0, {count}), lambda n: substr(text, n * {length} + 1, CASE WHEN n = {count} - 1 "
+            f"THEN length(text) ELSE {length} END))")
 
 
-def hits(source: str, key: str, text: str, start: int = 1, length: int = 30) -> str:
+def phrases(length: int = 30, part: int | None = None) -> str:
+    cut = (f"SELECT item_id, unnest(range(0, len(ps))) AS n, unnest(ps) AS name FROM (SELECT item_id, {pieces(length)} AS ps "
+           "FROM benchmark WHERE text <> '')")
+    side = "" if part is None else f" WHERE n % 2 = {part}"
+    return f"(SELECT (item_id * 1000 + n)::INT AS sig_id, {fold('name')} AS p, name FROM ({cut}){side})"
+
+
+def hits(source: str, key: str, text: str, length: int = 30, part: int | None = None) -> str:
     """Rows (key, sig_id, name, p, f, first_end) of the texts' distinct hits."""
     return (f"(SELECT {key}, sig_id, name, p, f, strlen(substr(f, 1, instr(f, p) - 1)) + strlen(p) AS first_end "
-            f"FROM (SELECT {key}, {fold(text)} AS f FROM {source}) JOIN {phrases(start, length)} ON contains(f, p))")
+            f"FROM (SELECT {key}, {fold(text)} AS f FROM {source}) JOIN {phrases(length, part)} ON contains(f, p))")
 
 
 def weave(gaps: str, parts: str) -> str:
@@ -122,8 +131,9 @@ INVALID = """CASE WHEN empty THEN 'no_messages' WHEN tool THEN 'bad_role' WHEN b
   WHEN NOT coalesce(given, 1024) BETWEEN 1 AND 32000 THEN 'bad_max_tokens' END"""
 
 NAMES = f"""names AS (SELECT {fold('word')} AS w, first(label ORDER BY word, label) AS label FROM (
-    SELECT regexp_extract(text, '{WORDS}') AS word, ['PERSON', 'GPE', 'LOC', 'ORG'][(item_id % 4) + 1] AS label
-    FROM benchmark) GROUP BY w),
+    SELECT * FROM (SELECT unnest(regexp_extract_all(text, '{WORDS}')) AS word,
+      ['PERSON', 'GPE', 'LOC', 'ORG'][(item_id % 4) + 1] AS label FROM benchmark)
+    WHERE length(word) >= 6 AND word <> lower(word)) GROUP BY w),
   cut AS (SELECT doc_id, regexp_extract_all(text, '{WORDS}') AS toks, string_split_regex(text, '{WORDS}') AS gaps
     FROM documents),
   toks AS (SELECT doc_id, unnest(range(1, len(toks) + 1)) AS i, unnest(toks) AS tok,
@@ -141,9 +151,9 @@ def flow_ctes(echo: bool) -> str:
     leak_text = f"(SELECT doc_id, '{ECHO_PREFIX}' || t AS r FROM pii)" if echo else "replies"
     if echo:  # its texts have had their accents removed, so the signatures have to as well
         leaks = (f"(SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {fold('r')} AS f FROM {leak_text}) JOIN "
-                 f"(SELECT {accents('p')} AS p FROM {phrases(31, 30)}) ON contains(f, p) GROUP BY doc_id)")
+                 f"(SELECT {accents('p')} AS p FROM {phrases(30, 1)}) ON contains(f, p) GROUP BY doc_id)")
     else:
-        leaks = (f"(SELECT doc_id, count(*) AS n FROM {hits(leak_text, 'doc_id', 'r', 31, 30)} GROUP BY doc_id)")
+        leaks = (f"(SELECT doc_id, count(*) AS n FROM {hits(leak_text, 'doc_id', 'r', 30, 1)} GROUP BY doc_id)")
     proxy = "NULL" if echo else (f"CASE WHEN r.doc_id IS NULL THEN '{UPSTREAM_MISSING}' "
                                  f"WHEN r.status <> 200 THEN '{UPSTREAM_ERROR}' END")
     token = 3600 * 1_000_000
@@ -156,7 +166,7 @@ def flow_ctes(echo: bool) -> str:
     replies AS (SELECT doc_id - 1 AS doc_id, CASE WHEN doc_id % 13 = 1 THEN 500 ELSE 200 END AS status,
       CASE WHEN doc_id % 13 <> 1 THEN 'Re: [EMAIL_1] [CREDIT_CARD_1] ' || text END AS r, text AS rest
       FROM documents WHERE doc_id % 13 <> 0),
-    threats AS (SELECT doc_id, count(*) AS n FROM {hits('documents', 'doc_id', 'text')} GROUP BY doc_id),
+    threats AS (SELECT doc_id, count(*) AS n FROM {hits('documents', 'doc_id', 'text', 30, 0)} GROUP BY doc_id),
     leaks AS {leaks},
     joined AS (SELECT d.doc_id, 'doc-' || d.doc_id AS request_id, ({START} + d.doc_id * 37) * 1000000 AS us,
       {reason('d.doc_id')} AS reason, m.offered >= {token} AS allowed,
@@ -192,7 +202,7 @@ AUDIT_COLUMNS = ("request_id, micros, user_id, client_ip, decision, terminating_
                  "rate_limited, ingress_hits, egress_hits, redactions, provider, latency_ms")
 
 SCAN = f"SELECT doc_id, sig_id, first_end::BIGINT AS first_end FROM {hits('documents', 'doc_id', 'text')}"
-SHORT_CONV = (f"SELECT conv_id, count(*) AS n_hits FROM {hits(CONVERSATION, 'conv_id', 'joined', 1, 6)} "
+SHORT_CONV = (f"SELECT conv_id, count(*) AS n_hits FROM {hits(CONVERSATION, 'conv_id', 'joined', 6)} "
               "GROUP BY conv_id")
 PII_DOCS = f"WITH {pii_ctes('documents', 'doc_id', 'text')} "
 SOURCES = f"""WITH {pii_ctes('documents', 'doc_id, source', 'text')},
@@ -217,13 +227,13 @@ ORACLES: dict[str, str] = {
         '10.0.0.' || (doc_id % 250) AS client_ip, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'model-a' END AS model,
         (CASE WHEN doc_id % 5 = 0 THEN 1024 ELSE 256 END)::INT AS max_tokens, md5(text) AS content_md5
         FROM documents""",
-    "signature_file": """SELECT item_id, sig_id::INT AS sig_id, category, pattern, category || ':' || pattern AS name
-        FROM (SELECT item_id, unnest(range(0, 5)) AS sig_id,
-          unnest(['first', 'first', 'second', 'second', 'second']) AS category,
-          unnest([substr(text, 1, 12), substr(text, 13, 12), substr(text, 25, 12), substr(text, 37, 12),
-                  substr(text, 49, 12)]) AS pattern FROM benchmark)""",
-    "pattern_count": "SELECT (coalesce(max(CASE WHEN item_id % 5 <> 4 AND text <> '' THEN item_id END) + 1, 0))::INT "
-                     "AS pattern_count FROM benchmark",
+    "signature_file": f"""SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY n % 2, n) - 1)::INT AS sig_id,
+        category, pattern, category || ':' || pattern AS name FROM (SELECT item_id, n,
+          CASE n % 2 WHEN 0 THEN 'first' ELSE 'second' END AS category, pattern FROM (
+            SELECT item_id, unnest(range(0, len(ps))) AS n, unnest(ps) AS pattern
+            FROM (SELECT item_id, {pieces(12)} AS ps FROM benchmark)))""",
+    "pattern_count": f"SELECT (coalesce(max(CASE WHEN (sig_id // 1000) % 5 <> 4 AND p <> '' THEN sig_id END) + 1, 0))::INT "
+                     f"AS pattern_count FROM {phrases()}",
     "scan_distinct": SCAN,
     "scan_join": SCAN,
     "scan_offsets": f"""SELECT doc_id, sig_id, strlen(substr(f, 1, pos - 1))::BIGINT AS start,
@@ -232,7 +242,7 @@ ORACLES: dict[str, str] = {
               FROM {hits('documents', 'doc_id', 'text')}) WHERE substr(f, pos, length(p)) = p""",
     "scan_names": f"""SELECT doc_id, string_agg(name, '|' ORDER BY first_end, -strlen(p), sig_id) AS names
         FROM {hits('documents', 'doc_id', 'text')} GROUP BY doc_id""",
-    "scan_hit_counts": f"SELECT doc_id, count(*) AS n_hits FROM {hits('documents', 'doc_id', 'text', 1, 6)} "
+    "scan_hit_counts": f"SELECT doc_id, count(*) AS n_hits FROM {hits('documents', 'doc_id', 'text', 6)} "
                        "GROUP BY doc_id",
     "scan_blocked": f"SELECT doc_id, md5(text) AS text_md5 FROM documents d WHERE EXISTS "
                     f"(SELECT 1 FROM {phrases()} WHERE contains({fold('d.text')}, p))",
@@ -240,7 +250,7 @@ ORACLES: dict[str, str] = {
                   f"(SELECT 1 FROM {phrases()} WHERE contains({fold('d.text')}, p))",
     "ingress_scan": SHORT_CONV,
     "message_scan": SHORT_CONV,
-    "egress_scan": f"SELECT page_id, count(*) AS n_hits FROM {hits('pages', 'page_id', 'html', 7, 5)} GROUP BY page_id",
+    "egress_scan": f"SELECT page_id, count(*) AS n_hits FROM {hits('pages', 'page_id', 'html', 5)} GROUP BY page_id",
     "pii_vault": f"{PII_DOCS} SELECT doc_id, label, idx, '[' || label || '_' || idx || ']' AS placeholder, original "
                  f"FROM ({pii_entries('doc_id')})",
     "pii_counts": f"{PII_DOCS} SELECT doc_id, label, count(*) AS n FROM ({pii_entries('doc_id')}) GROUP BY 1, 2",
@@ -274,9 +284,10 @@ ORACLES: dict[str, str] = {
         "(SELECT event_id, user_id % 3 AS user_id, epoch_us(ts) AS us FROM events)", 5, 900)
         + f" SELECT {bucket_columns(900)} FROM metered",
     "stream_rate_outcomes": RATES,
-    "auth_outcomes": f"""SELECT event_id, {reason('event_id')} IS NULL AS ok,
-        CASE WHEN {reason('event_id')} IS NULL THEN user_id::VARCHAR END AS user_id, {reason('event_id')} AS reason,
-        event_id % 12 = 8 AS never_expires FROM events""",
+    "auth_outcomes": f"""SELECT event_id, reason IS NULL AS ok, CASE WHEN reason IS NULL THEN user_id::VARCHAR END AS user_id,
+        reason, event_id % 12 = 8 AS never_expires FROM (SELECT *, CASE WHEN event_id % 12 = 9 THEN
+          ['bad_exp', 'bad_exp', 'bad_exp', 'bad_iat', 'bad_nbf', 'empty_sub', 'empty_sub', 'empty_sub', 'bad_sub'][
+            (event_id // 12) % 9 + 1] ELSE {reason('event_id')} END AS reason FROM events)""",
     "metered_events": "WITH RECURSIVE " + bucket_ctes(
         "(SELECT event_id, user_id::VARCHAR AS user_id, epoch_us(ts) AS us FROM events WHERE event_id % 12 >= 7)",
         3, 86400) + f" SELECT {bucket_columns(86400)} FROM metered",
@@ -319,7 +330,7 @@ ORACLES: dict[str, str] = {
         vault AS (SELECT source, label, row_number() OVER (PARTITION BY source, label ORDER BY f) AS idx, original
           FROM firsts),
         threats AS (SELECT source, count(DISTINCT sig_id) AS n FROM (SELECT source, {fold('text')} AS f FROM documents)
-          JOIN {phrases(1, 60)} ON contains(f, p) GROUP BY source),
+          JOIN {phrases(60)} ON contains(f, p) GROUP BY source),
         joined AS (SELECT s.request_id, num, {reason('(num + 7)')} AS reason, m.offered >= 3600000000 AS allowed,
           coalesce(t.n, 0) AS threats,
           (SELECT count(*) FROM vault v WHERE v.source = s.request_id) AS held,

@@ -33,16 +33,25 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "text")
 
 
-def phrases(spark: SparkSession, folder: str, start: int = 1, length: int = 30) -> DataFrame:
-    """Signatures cut from the benchmark items."""
-    items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return signature_source.signatures_from_table(items, F.col("item_id"), F.substring("text", start, length))
+def pieces(length: int):
+    """All consecutive pieces of ``length`` characters of column text, the last one with the rest: nothing is left out."""
+    count = F.greatest(F.lit(1), F.floor(F.char_length("text") / length)).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.substr(
+        F.col("text"), n * length + 1, F.when(n == count - 1, F.char_length("text")).otherwise(F.lit(length))))
+
+
+def phrases(spark: SparkSession, folder: str, length: int = 30, part: int | None = None) -> DataFrame:
+    """Signatures: the benchmark items cut into all their pieces, or every second one from piece ``part``."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").where(F.length("text") > 0)
+    cut = items.select("item_id", F.posexplode(pieces(length)).alias("n", "piece"))
+    if part is not None:
+        cut = cut.where(F.col("n") % 2 == part)
+    return signature_source.signatures_from_table(cut, F.col("item_id") * 1000 + F.col("n"), F.col("piece"))
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations that fit a row; ``long_conversations`` has no rows in the given tables."""
-    usual, _ = request_source.split_by_size(table(spark, folder, "conversations"), "conv_id")
-    return request_source.assemble(usual, "conv_id")
+    """Every conversation as one row."""
+    return request_source.assemble(table(spark, folder, "conversations"), "conv_id")
 
 
 # --- requests ---
@@ -104,19 +113,18 @@ def stored_requests(spark, folder):
 # --- signatures and scanning ---
 
 def signature_file(spark, folder):
-    """Each benchmark item written as a signature file: two lists among keys to be skipped."""
-    part = lambda start: F.substring("text", start, 12)
-    body = F.to_json(F.struct(F.array(part(1)).alias("_hidden"), F.array(part(1), part(13)).alias("first"),
-                              F.lit("no list").alias("note"), F.array(part(25), part(37), part(49)).alias("second")))
+    """Each benchmark item written as a signature file: its pieces in two lists, among keys to be skipped."""
+    side = lambda odd: F.filter(pieces(12), lambda _, n: n % 2 == odd)
+    body = F.to_json(F.struct(pieces(12).alias("_hidden"), side(0).alias("first"), F.lit("no list").alias("note"),
+                              side(1).alias("second")))
     files = table(spark, folder, "benchmark").select("item_id", body.alias("value"))
     return signature_source.signatures_from_json(files, "value", "item_id")
 
 
 def pattern_count(spark, folder):
-    items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    pattern = F.when(F.pmod("item_id", F.lit(5)) == 4, F.lit("")).otherwise(F.substring("text", 1, 30))
-    return signature_source.pattern_count(
-        signature_source.signatures_from_table(items, F.col("item_id"), pattern))
+    known = phrases(spark, folder)
+    return signature_source.pattern_count(known.withColumn(
+        "pattern", F.when(F.pmod(F.floor(F.col("sig_id") / 1000), F.lit(5)) == 4, F.lit("")).otherwise(F.col("pattern"))))
 
 
 def scan_distinct(spark, folder):
@@ -140,7 +148,7 @@ def scan_names(spark, folder):
 
 
 def scan_hit_counts(spark, folder):
-    return scan.hit_counts(documents(spark, folder), phrases(spark, folder, 1, 6), "doc_id")
+    return scan.hit_counts(documents(spark, folder), phrases(spark, folder, 6), "doc_id")
 
 
 def scan_blocked(spark, folder):
@@ -156,19 +164,20 @@ def scan_clean(spark, folder):
 def ingress_scan(spark, folder):
     """Whole conversations against short phrases."""
     texts = conversations(spark, folder).select("conv_id", request_source.scan_text(F.col("messages")).alias("text"))
-    return scan.hit_counts(texts, phrases(spark, folder, 1, 6), "conv_id")
+    return scan.hit_counts(texts, phrases(spark, folder, 6), "conv_id")
 
 
 def message_scan(spark, folder):
-    """The same hits with one message per row, no conversation gathered."""
+    """The same hits with one message per row, no conversation gathered; signatures with newlines span messages, whose
+    numbers have gaps."""
     rows = table(spark, folder, "conversations").select(
-        "conv_id", F.col("turn").cast("int").alias("msg_idx"), "role", F.col("text").alias("content"))
-    return message_rows.hit_counts(rows, phrases(spark, folder, 1, 6), "conv_id")
+        "conv_id", (F.col("turn") * 3 + 1).cast("int").alias("msg_idx"), "role", F.col("text").alias("content"))
+    return message_rows.hit_counts(rows, phrases(spark, folder, 6), "conv_id")
 
 
 def egress_scan(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", F.col("html").alias("text"))
-    return scan.hit_counts(pages, phrases(spark, folder, 7, 5), "page_id")
+    return scan.hit_counts(pages, phrases(spark, folder, 5), "page_id")
 
 
 # --- redaction ---
@@ -229,11 +238,12 @@ def message_redacted(spark, folder):
 # --- entities ---
 
 def names(spark, folder):
-    """Names are the first words of the benchmark items, labelled in turn."""
+    """Names are the longer capitalised words of the benchmark items, labelled by item."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     label = F.element_at(F.lit(["PERSON", "GPE", "LOC", "ORG"]), (F.pmod("item_id", F.lit(4)) + 1).cast("int"))
-    word = F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)
-    return items.select(word.alias("name"), label.alias("label"))
+    words = items.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"),
+                         label.alias("label"))
+    return words.where((F.char_length("name") >= 6) & (F.col("name") != F.lower("name")))
 
 
 def gazetteer(spark, folder):
@@ -334,7 +344,9 @@ def auth_events(spark, folder):
 
 
 def auth_outcomes(spark, folder):
-    return auth_events(spark, folder).select("event_id", F.col("auth.ok").alias("ok"),
+    """Every class of token, claims of the wrong type among them."""
+    rows = demo_requests.with_authorization(events(spark, folder), F.col("event_id"), F.col("user_id"), F.col("ts"), odd=True)
+    return auth.authenticate(rows, DEMO, F.col("ts")).select("event_id", F.col("auth.ok").alias("ok"),
                                              F.col("auth.user_id").alias("user_id"),
                                              F.col("auth.reason").alias("reason"),
                                              F.col("auth.never_expires").alias("never_expires"))
@@ -407,8 +419,8 @@ def response_join(spark, folder):
 # --- decisions and audit ---
 
 def dictionaries(spark, folder):
-    return plan.Dictionaries(scan.read_dictionary(phrases(spark, folder)),
-                             scan.read_dictionary(phrases(spark, folder, 31, 30)))
+    return plan.Dictionaries(scan.read_dictionary(phrases(spark, folder, 30, 0)),
+                             scan.read_dictionary(phrases(spark, folder, 30, 1)))
 
 
 def decided(spark, folder):
@@ -467,8 +479,8 @@ def source_audit(spark, folder):
     responses = sources.where(F.pmod("key__", F.lit(20)) != 0).select(
         "request_id", F.lit(200).alias("http_status"), body.alias("body"))
     # long texts hold many phrases, so only rarer ones are signatures here
-    signatures = phrases(spark, folder, 1, 60)
-    outcome = long_requests.decide_long(envelopes.drop("key__"), messages, signatures, phrases(spark, folder, 31, 30),
+    signatures = phrases(spark, folder, 60)
+    outcome = long_requests.decide_long(envelopes.drop("key__"), messages, signatures, phrases(spark, folder, 30, 1),
                                         DEMO, responses)
     answers = outcome.decided.select("request_id", F.regexp_replace("restored_text", ACCENTED, "z").alias("answer"))
     rows = flat_audit(long_requests.audit_rows(outcome, DEMO.provider)).drop("micros", "client_ip", "latency_ms")

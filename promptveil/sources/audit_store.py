@@ -29,8 +29,22 @@ def newest(rows: DataFrame, key: str = "request_id", seq: str = "write_seq") ->
     return latest.select(key, *[F.col(f"row__.{c}").alias(c) for c in others])
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return newest(read_audit_rows(spark, path))
+def read_audit(spark: SparkSession, path: str, dates: tuple[str | None, str | None] = (None, None),
+               columns: list[str] | None = None) -> DataFrame:
+    """The newest row per request, from the first to the last of ``dates`` (either may be open), and of it ``columns``.
+
+    Both bounds and columns are applied before the rows of a request are brought together, so that partitions and
+    columns not asked for are never read. A request keeps its time, so all its rows lie in one date.
+    """
+    rows = read_audit_rows(spark, path)
+    first, last = dates
+    if first is not None:
+        rows = rows.where(F.col("date") >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.where(F.col("date") <= F.lit(last).cast("date"))
+    if columns is not None:
+        rows = rows.select("request_id", *[c for c in columns if c != "request_id"], "write_seq")
+    return newest(rows)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:

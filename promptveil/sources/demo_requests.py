@@ -39,13 +39,26 @@ def minted(claims: Column, secret: str = SECRET) -> Column:
 HEADER_CLASSES = ("missing", "no_scheme", "expired", "tampered", "no_sub", "not_a_token", "empty_sub", "lower_scheme")
 
 
-def with_authorization(rows: DataFrame, key: Column, user: Column, ts: Column) -> DataFrame:
-    """Add ``authorization``: the class is the key modulo twelve, the user and the times are the row's own."""
+# Claims that replace a token's own, by key // 12 % 9, in class 9 (which else is a good token).
+ODD_CLAIMS = ('"exp":"abc"', '"exp":[1]', '"exp":null', '"iat":"abc"', '"nbf":"1.5"', '"sub":0', '"sub":false', '"sub":[]',
+              '"sub":{"a":1}')
+
+
+def with_authorization(rows: DataFrame, key: Column, user: Column, ts: Column, odd: bool = False) -> DataFrame:
+    """Add ``authorization``: the class is the key modulo twelve, the user and the times are the row's own. With
+    ``odd``, class 9 has claims of the wrong type."""
     kind = F.pmod(key, F.lit(12))
     seconds = F.unix_seconds(ts)
     subject = F.when(kind == 4, F.lit(None)).when(kind == 6, F.lit("")).otherwise(user.cast("string"))
     expiry = F.when(kind == 2, seconds - 10).when(kind != 8, seconds + 3600)  # class 8 never ends
-    token = minted(F.to_json(F.struct(subject.alias("sub"), expiry.alias("exp"))))
+    claims = F.to_json(F.struct(subject.alias("sub"), expiry.alias("exp")))
+    if odd:
+        which = F.pmod(F.floor(key / 12), F.lit(len(ODD_CLAIMS))).cast("int")
+        own = F.when(which < 5, F.concat(F.lit('"sub":"'), user.cast("string"), F.lit('",'))).otherwise(
+            F.concat(F.lit('"exp":'), (seconds + 3600).cast("string"), F.lit(",")))
+        claims = F.when(kind == 9, F.concat(F.lit("{"), own, F.element_at(F.lit(list(ODD_CLAIMS)), which + 1), F.lit("}"))
+                        ).otherwise(claims)
+    token = minted(claims)
     # flipping a middle character of the signature spoils it
     cut = F.length("token__") - 20
     spoiled = F.concat(F.substring("token__", F.lit(1), cut),

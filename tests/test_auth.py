@@ -44,6 +44,11 @@ CASES = [
     (f"Bearer {token({**GOOD, 'exp': NOW - 10}, secret='other')}", "bad_signature"),
     (f"Bearer {token({'exp': NOW + 60})}", "missing_sub"), (f"Bearer {token({**GOOD, 'sub': ''})}", "empty_sub"),
     (f"Bearer {token({**GOOD, 'nbf': NOW + 60})}", "not_yet_valid"),
+    *((f"Bearer {token({**GOOD, 'exp': odd})}", "bad_exp") for odd in ("abc", [1], {}, None, "1.5")),
+    *((f"Bearer {token({**GOOD, 'iat': odd})}", "bad_iat") for odd in ("abc", [])),
+    (f"Bearer {token({**GOOD, 'nbf': 'soon'})}", "bad_nbf"), (f"Bearer {token({**GOOD, 'exp': str(NOW + 60)})}", None),
+    *((f"Bearer {token({**GOOD, 'sub': odd})}", "empty_sub") for odd in (0, 0.0, False, [], {})),
+    *((f"Bearer {token({**GOOD, 'sub': odd})}", "bad_sub") for odd in (5, True, ["a"], {"a": 1})),
     (f"Bearer {token({**GOOD, 'aud': 'x'})}", "bad_audience"), (f"Bearer {token(None, raw=b'no json')}", "bad_payload"),
     (f"Bearer {token(None, raw=b'[1]')}", "bad_payload"), (f"Bearer {token(None, raw=b'{1')}", "bad_payload"),
 ]

@@ -93,6 +93,27 @@ def test_stored_responses(spark, words):
     assert audit["missing"]["redaction_counts"] == {"EMAIL": 1} and audit["ok"]["egress_hits"] == 0
 
 
+def test_a_good_response_counts_before_any_other(spark):
+    body = '{"content":[{"type":"text","text":"hi"}]}'
+    rows = [("a", None, None), ("a", 200, body), ("b", 100, None), ("b", 201, body), ("c", None, body), ("d", 500, body), ("d", 404, None)]
+    responses = spark.createDataFrame(rows, "request_id string, http_status int, body string")
+    asked = spark.createDataFrame([(c,) for c in "abcde"], "request_id string")
+    got = {r["request_id"]: (r["response_text"], r["proxy_detail"]) for r in
+           providers.with_responses(asked, responses, "anthropic").collect()}
+    assert got == {"a": ("hi", None), "b": ("hi", None), "c": (None, providers.UPSTREAM_ERROR),
+                   "d": (None, providers.UPSTREAM_ERROR), "e": (None, providers.UPSTREAM_MISSING)}
+
+
+def test_audit_reads_only_what_is_asked_for(spark, words, tmp_path):
+    rows = plan.decided_requests(requests(spark, *ROWS), words, SETTINGS)
+    audit_store.write_audit(decisions.audit_rows(rows, "mock"), str(tmp_path / "audit"), 0)
+    some = audit_store.read_audit(spark, str(tmp_path / "audit"), ("2023-11-01", None), ["decision"])
+    text = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in text and "client_ip" not in text
+    assert some.columns == ["request_id", "decision"] and some.count() == 5
+    assert audit_store.read_audit(spark, str(tmp_path / "audit"), (None, "2020-01-01")).count() == 0
+
+
 def test_bodies_and_parsing(spark):
     rows = requests(spark, ("a", [("system", "s1"), ("user", "ü\n\"q\""), ("system", "s2"), ("assistant", "x")], None, "", 7),
                     ("b", [("user", "u")], None, "m", 8))
