@@ -55,6 +55,27 @@ def read_gazetteer(names: DataFrame, labels: Iterable[str] = ENTITY_LABELS) -> G
     return None if rows is None else Gazetteer({row["name"]: row["label"] for row in rows})
 
 
+def usable(names: DataFrame, labels: Iterable[str] = ENTITY_LABELS) -> Gazetteer | DataFrame:
+    """The form in which the flow takes a name list: in the plan if it is small enough, else as the table, joined."""
+    gazetteer = read_gazetteer(names, labels)
+    return names if gazetteer is None else gazetteer
+
+
+def joined_scrubbed(rows: DataFrame, names: DataFrame, scrubbed: str, key: str = "request_id",
+                    labels: Iterable[str] = ENTITY_LABELS) -> DataFrame:
+    """``rows`` with the names of a list of any size replaced in struct column ``scrubbed`` (texts, vault; null stays
+    null), as ``gazetteer_scrubbed`` does: texts go out by (key, message), spans come back by key."""
+    texts = (rows.select(key, F.posexplode(f"{scrubbed}.texts").alias("msg_idx", "text"))
+             .select(F.struct(key, "msg_idx").alias("at__"), "text"))
+    spans = joined_spans(texts, names, "at__", labels)
+    listed = gather_spans(spans.select(F.col(f"at__.{key}").alias(key), F.col("at__.msg_idx").alias("msg_idx"),
+                                       F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+                                       "label"), key)
+    done = span_scrubbed("spans__", f"{scrubbed}.texts", f"{scrubbed}.vault", labels)
+    joined = rows.join(listed.withColumnRenamed("spans", "spans__"), key, "left")
+    return joined.withColumn(scrubbed, F.when(F.col("spans__").isNotNull(), done).otherwise(F.col(scrubbed))).drop("spans__")
+
+
 def joined_spans(texts: DataFrame, names: DataFrame, key: str, labels: Iterable[str] = ENTITY_LABELS,
                  text: str = "text") -> DataFrame:
     """Span rows (key, start, end, label) for a name list of any size; equal to ``gazetteer_spans``.

@@ -64,6 +64,25 @@ def read_dictionary(signatures: DataFrame) -> Dictionary | None:
     return Dictionary(dict(anchored), direct) if len(direct) <= MAX_DIRECT else None
 
 
+def usable(signatures: DataFrame) -> Dictionary | DataFrame:
+    """The form in which the flows take a signature table: in the plan if it is small enough, else as the table, which
+    they join. Both give the same results."""
+    dictionary = read_dictionary(signatures)
+    return signatures if dictionary is None else dictionary
+
+
+def counted(rows: DataFrame, text: Column, words: Dictionary | DataFrame, live: Column, key: str, name: str) -> DataFrame:
+    """``rows`` with column ``name``, the number of distinct signatures in ``text`` where ``live``, else 0. For a
+    signature table ``rows`` is read twice, and only (key, count) rows come back to it."""
+    if isinstance(words, Dictionary):
+        return rows.withColumn(name, F.coalesce(F.when(live, F.size(hits_column(text, words))), F.lit(0)))
+    if not isinstance(words, DataFrame):
+        raise TypeError("give a signature set as usable() returns it")
+    texts = rows.where(live).select(key, text.alias("text"))
+    found = scan_join(texts, words, key).groupBy(key).agg(F.count_distinct("sig_id").cast("int").alias(name))
+    return rows.join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def candidates_column(text: Column, dictionary: Dictionary) -> Column:
     """Array of the signatures worth verifying in ``text``: a superset of its hits, and empty for most texts."""
     found = []

@@ -21,11 +21,21 @@ from promptveil.sources.requests import CORRUPT, contents, scan_text, valid_requ
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """The two signature sets, and the name list if entities are to be redacted."""
+    """The two signature sets, and the name list if entities are to be redacted (None: they are not). Each is held in
+    the plan or, when it is too large for that, a table that the flow joins; ``scan.usable`` and ``entities.usable``
+    choose, and the results are the same."""
 
-    injection: scan.Dictionary
-    internal: scan.Dictionary
-    names: entities.Gazetteer | None = None
+    injection: scan.Dictionary | DataFrame
+    internal: scan.Dictionary | DataFrame
+    names: entities.Gazetteer | DataFrame | None = None
+
+    def __post_init__(self):
+        if self.injection is None or self.internal is None:
+            raise TypeError("a signature set is missing; scan.usable() gives one for a table of any size")
+
+    @property
+    def joined(self) -> bool:
+        return any(isinstance(words, DataFrame) for words in (self.injection, self.internal, self.names))
 
 
 def authenticated(requests: DataFrame, settings: Settings) -> DataFrame:
@@ -48,11 +58,13 @@ def metered(requests: DataFrame, settings: Settings) -> DataFrame:
 
 def scanned_and_scrubbed(limited: DataFrame, words: Dictionaries) -> DataFrame:
     """Add ``ingress_hits`` for requests with a token, and ``scrubbed_texts`` and ``vault`` for those without a hit."""
-    hits = F.when(F.col("allowed"), F.size(scan.hits_column(scan_text(F.col("messages")), words.injection)))
-    out = limited.withColumn("ingress_hits", F.coalesce(hits, F.lit(0)))
+    out = scan.counted(limited, scan_text(F.col("messages")), words.injection, F.coalesce("allowed", F.lit(False)),
+                       "request_id", "ingress_hits")
     live = F.col("allowed") & (F.col("ingress_hits") == 0)
     out = redact.scrub_into(out, F.when(live, contents(F.col("messages"))), "scrubbed__")
-    if words.names:
+    if isinstance(words.names, DataFrame):
+        out = entities.joined_scrubbed(out, words.names, "scrubbed__")
+    elif words.names is not None:
         out = out.withColumn("scrubbed__", F.when(live, entities.gazetteer_scrubbed(
             words.names, "scrubbed__.texts", "scrubbed__.vault")))
     return out.select(
@@ -81,8 +93,7 @@ def answered(scrubbed: DataFrame, responses: DataFrame | None, settings: Setting
 def filtered(replied: DataFrame, words: Dictionaries) -> DataFrame:
     """Add ``egress_hits`` on the response as it came, and ``restored_text``."""
     live = F.col("scrubbed_texts").isNotNull() & F.col("response_text").isNotNull()
-    leaks = F.when(live, F.size(scan.hits_column(F.col("response_text"), words.internal)))
-    out = replied.withColumn("egress_hits", F.coalesce(leaks, F.lit(0)))
+    out = scan.counted(replied, F.col("response_text"), words.internal, live, "request_id", "egress_hits")
     passed = live & (F.col("egress_hits") == 0)
     return out.withColumn("restored_text", F.when(passed, redact.restore("response_text")))
 
@@ -94,8 +105,19 @@ def decided_requests(requests: DataFrame, words: Dictionaries, settings: Setting
     if "latency_ms" not in limited.columns:
         limited = limited.withColumn("latency_ms", F.lit(None).cast("double"))
     limited = limited.withColumn("model", providers.resolved_model(F.col("model"), settings.provider_model))
+    return decided_from(written(limited, "metered") if words.joined else limited, words, settings, responses)
+
+
+def decided_from(limited: DataFrame, words: Dictionaries, settings: Settings, responses: DataFrame | None = None) -> DataFrame:
+    """The stages after the bucket. Tables of words are joined with rows that are then read more than once, so those are
+    stored on the way."""
     scrubbed = scanned_and_scrubbed(limited, words)
-    return decisions.decide(filtered(answered(scrubbed, responses, settings), words))
+    if words.joined:
+        scrubbed = written(scrubbed, "scrubbed")
+    replied = answered(scrubbed, responses, settings)
+    if isinstance(words.internal, DataFrame):
+        replied = written(replied, "replied")
+    return decisions.decide(filtered(replied, words))
 
 
 def stored(decided: DataFrame) -> DataFrame:

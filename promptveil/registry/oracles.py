@@ -146,8 +146,14 @@ ENTITY_VAULT = f"""WITH {NAMES} SELECT doc_id, label,
     FROM spans GROUP BY doc_id, label, tok"""
 
 
-def flow_ctes(echo: bool) -> str:
+LONG_WORDS = f"""(SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {fold('text')} AS f FROM documents) JOIN (
+    SELECT DISTINCT {fold('word')} AS p FROM (SELECT unnest(regexp_extract_all(text, '{WORDS}')) AS word FROM benchmark)
+    WHERE length(word) >= 8) ON contains(f, p) GROUP BY doc_id)"""
+
+
+def flow_ctes(echo: bool, threats: str | None = None) -> str:
     """CTEs that end in ``flow``, one row per document request with all stage results."""
+    threats = threats or f"(SELECT doc_id, count(*) AS n FROM {hits('documents', 'doc_id', 'text', 30, 0)} GROUP BY doc_id)"
     leak_text = f"(SELECT doc_id, '{ECHO_PREFIX}' || t AS r FROM pii)" if echo else "replies"
     if echo:  # its texts have had their accents removed, so the signatures have to as well
         leaks = (f"(SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {fold('r')} AS f FROM {leak_text}) JOIN "
@@ -166,7 +172,7 @@ def flow_ctes(echo: bool) -> str:
     replies AS (SELECT doc_id - 1 AS doc_id, CASE WHEN doc_id % 13 = 1 THEN 500 ELSE 200 END AS status,
       CASE WHEN doc_id % 13 <> 1 THEN 'Re: [EMAIL_1] [CREDIT_CARD_1] ' || text END AS r, text AS rest
       FROM documents WHERE doc_id % 13 <> 0),
-    threats AS (SELECT doc_id, count(*) AS n FROM {hits('documents', 'doc_id', 'text', 30, 0)} GROUP BY doc_id),
+    threats AS {threats},
     leaks AS {leaks},
     joined AS (SELECT d.doc_id, 'doc-' || d.doc_id AS request_id, ({START} + d.doc_id * 37) * 1000000 AS us,
       {reason('d.doc_id')} AS reason, m.offered >= {token} AS allowed,
@@ -313,6 +319,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN r.doc_id % 13 <> 1 THEN md5('Re: [EMAIL_1] [CREDIT_CARD_1] ' || r.text) END AS response_md5
         FROM documents d LEFT JOIN (SELECT * FROM documents WHERE doc_id % 13 <> 0) r ON r.doc_id = d.doc_id + 1""",
     "request_decisions": f"{FLOW} SELECT request_id, decision, terminating_stage, status_code, detail FROM flow",
+    "audit_rows_large_dictionary": f"WITH RECURSIVE {flow_ctes(False, LONG_WORDS)} SELECT {AUDIT_COLUMNS} FROM flow",
     "audit_rows": f"{FLOW} SELECT {AUDIT_COLUMNS} FROM flow",
     "response_projection": f"""{FLOW} SELECT request_id, CASE WHEN doc_id % 3 = 1 THEN 'model-a'
         ELSE '{DEFAULT_MODEL}' END AS model, md5({accents("'Re: ' || coalesce(v_EMAIL[1], '[EMAIL_1]') || ' ' || "

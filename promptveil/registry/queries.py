@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PLACEHOLDER
+from promptveil.functions.text import ascii_fold
 from promptveil.functions.times import as_instant
 from promptveil.operators import auth, decisions, entities, message_rows, providers, redact, scan, token_bucket
 from promptveil.plans import requests as plan
@@ -419,8 +420,7 @@ def response_join(spark, folder):
 # --- decisions and audit ---
 
 def dictionaries(spark, folder):
-    return plan.Dictionaries(scan.read_dictionary(phrases(spark, folder, 30, 0)),
-                             scan.read_dictionary(phrases(spark, folder, 30, 1)))
+    return plan.Dictionaries(scan.usable(phrases(spark, folder, 30, 0)), scan.usable(phrases(spark, folder, 30, 1)))
 
 
 def decided(spark, folder):
@@ -438,6 +438,22 @@ def audit(spark, folder):
     return decisions.audit_rows(decided(spark, folder), DEMO.provider)
 
 
+def long_words(spark, folder, least: int = 8):
+    """Signatures: the long words of the benchmark items. Few hold a word start inside, so they are joined as a table."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    words = items.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
+    folded = words.where(F.char_length("word") >= least).select(ascii_fold(F.col("word")).alias("word")).distinct()
+    return signature_source.signatures_from_table(folded, F.row_number().over(Window.orderBy("word")), F.col("word"))
+
+
+def audit_rows_large_dictionary(spark, folder):
+    """The flow with more signatures than the plan holds."""
+    words = plan.Dictionaries(scan.usable(long_words(spark, folder)), scan.usable(phrases(spark, folder, 30, 1)))
+    docs = documents(spark, folder)
+    decided_rows = plan.decided_requests(demo_requests.document_requests(docs), words, DEMO, demo_requests.document_responses(docs))
+    return flat_audit(decisions.audit_rows(decided_rows, DEMO.provider))
+
+
 def flat_audit(rows):
     return rows.select(
         "request_id", F.unix_micros("ts").alias("micros"), "user_id", "client_ip", "decision", "terminating_stage",
@@ -459,7 +475,7 @@ def response_projection(spark, folder):
 
 
 def rejection_projection(spark, folder):
-    out = decisions.rejections_out(decided(spark, folder))
+    out = decisions.rejections_out(plan.stored(decided(spark, folder)))
     return (out.select("request_id", "stage", F.col("status_code").cast("bigint").alias("status_code"), "detail",
                        F.try_element_at("headers", F.lit("Retry-After")).alias("retry_after"))
             .groupBy("request_id", "stage", "status_code", "detail", "retry_after").agg(F.count("*").alias("n")))
@@ -551,5 +567,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_spans, entity_spans_join, entity_vault, entity_restored, span_vault,
     rate_outcomes, rate_outcomes_pieces, stream_rate_outcomes, auth_outcomes, metered_events,
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
-    response_join, request_decisions, audit_rows, response_projection, rejection_projection, source_audit, audit_upsert, echo_audit,
+    response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit, audit_upsert, echo_audit,
     stream_audit, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}

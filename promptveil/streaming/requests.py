@@ -1,7 +1,7 @@
 """The request flow over files that keep arriving.
 
-Stateless stages are the batch plan's own functions; the token bucket is keyed state; each micro-batch lands in the
-audit table under its batch number, so a repeated micro-batch replaces its own output.
+The token bucket is keyed state; the stages after it are the batch plan over each micro-batch, which lands in the audit
+table under its batch number, so a repeated micro-batch replaces its own output.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from pyspark.sql.streaming import StreamingQuery
 from promptveil.operators import decisions, providers
 from promptveil.plans import requests as plan
 from promptveil.plans.requests import Dictionaries
+from promptveil.session import written
 from promptveil.settings import Settings
 from promptveil.sources.audit_store import write_audit
 from promptveil.streaming.token_bucket import replay_stream
 
 
 def audit_stream(requests: DataFrame, words: Dictionaries, settings: Settings, audit_path: str, checkpoint: str,
-                 **trigger) -> StreamingQuery:
-    """Start the flow with the echo responder.
+                 responses: DataFrame | None = None, **trigger) -> StreamingQuery:
+    """Start the flow, with stored ``responses`` or, for the provider "mock", the echo responder.
 
     Authenticated requests travel through the bucket as part of its rows, since a stream cannot join its own outcome
     back as the batch plan does; the rest go around it.
@@ -40,12 +41,11 @@ def audit_stream(requests: DataFrame, words: Dictionaries, settings: Settings, a
         "allowed": F.lit(None).cast("boolean"), "retry_after": F.lit(None).cast("double"),
         "retry_after_header": F.lit(None).cast("int")})
     limited = limited.unionByName(unknown).withColumn("latency_ms", F.lit(None).cast("double"))
-    scrubbed = plan.scanned_and_scrubbed(limited, words)
-    decided = decisions.decide(plan.filtered(plan.answered(scrubbed, None, settings), words))
-    rows = decisions.audit_rows(decided, settings.provider, settings.store_redacted_prompt)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        write_audit(batch, audit_path, batch_id)
+        # the rest is the batch plan over the micro-batch, stored because more than one join may read it
+        decided = plan.decided_from(written(batch, "micro-batch"), words, settings, responses)
+        write_audit(decisions.audit_rows(decided, settings.provider, settings.store_redacted_prompt), audit_path, batch_id)
 
-    return (rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    return (limited.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

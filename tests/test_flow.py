@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptveil.operators import decisions, providers, scan
+from promptveil.operators import decisions, entities, providers, scan
 from promptveil.plans import requests as plan
 from promptveil.plans import long_requests, rollups
 from promptveil.schemas import AUDIT, REQUEST, RESPONSE
@@ -187,10 +188,60 @@ def test_stream_equals_batch(spark, words, tmp_path):
     assert by_id(streamed) == by_id(batch)
 
 
+def test_word_tables_beyond_the_bounds_give_equal_rows(spark, words, tmp_path, monkeypatch):
+    """The same flow with dictionaries and names in the plan, and with all three joined as tables."""
+    load = lambda name: signatures.load_signatures(spark, f"signatures/{name}.json")
+    names = spark.createDataFrame([("Ada Lovelace", "PERSON"), ("Paris", "GPE"), ("paris", "LOC"), ("summarize", "ORG")],
+                                  "name string, label string")
+    rows = ROWS + [("names", [("user", "Ada Lovelace of Paris, ada@x.org"), ("user", "paris and ADA LOVELACE")], HEADER, None, None),
+                   ("unknown", [("user", "Paris")], None, None, None)]
+    sent = requests(spark, *rows)
+    columns = ("request_id", "decision", "stage", "status_code", "ingress_hits", "egress_hits", "restored_text", "scrubbed_texts")
+
+    def run(given):
+        decided = plan.decided_requests(sent, given, SETTINGS)
+        vault = {(r["request_id"], *e) for r in decided.select("request_id", "vault").collect() for e in r["vault"]}
+        return sorted(map(str, decided.select(*columns).collect())), vault
+
+    small = plan.Dictionaries(scan.usable(load("injection")), scan.usable(load("internal")), entities.usable(names))
+    assert not small.joined
+    monkeypatch.setattr(scan, "MAX_SIGNATURES", 1)
+    monkeypatch.setattr(entities, "MAX_NAMES", 1)
+    large = plan.Dictionaries(scan.usable(load("injection")), scan.usable(load("internal")), entities.usable(names))
+    assert all(isinstance(w, DataFrame) for w in (large.injection, large.internal, large.names))
+    want, found = run(small), run(large)
+    assert want == found and any("PERSON_1" in str(e) for e in want[1]) and any("threatscan" in r for r in want[0])
+
+    sent.write.json(str(tmp_path / "in"))
+    for name, given in (("small", small), ("large", large)):
+        audit_stream(source.stream_requests(spark, str(tmp_path / "in")), given, SETTINGS, str(tmp_path / name),
+                     str(tmp_path / f"{name}-state")).awaitTermination(300)
+    read = lambda name: sorted(map(str, audit_store.read_audit(spark, str(tmp_path / name)).collect()))
+    assert read("small") == read("large") and len(read("small")) == len(want[0])
+
+
+def test_stream_takes_stored_responses(spark, words, tmp_path):
+    requests(spark, *ROWS).write.json(str(tmp_path / "in"))
+    responses = spark.createDataFrame([("happy", 200, '{"content":[{"type":"text","text":"to [EMAIL_1]"}]}')], RESPONSE)
+    settings = Settings(jwt_secret=SECRET, rate_capacity=100, rate_refill_per_sec=100.0, provider="anthropic")
+    audit_stream(source.stream_requests(spark, str(tmp_path / "in")), words, settings, str(tmp_path / "audit"),
+                 str(tmp_path / "state"), responses).awaitTermination(300)
+    streamed = {r["request_id"]: (r["decision"], r["status_code"]) for r in audit_store.read_audit(spark, str(tmp_path / "audit")).collect()}
+    batch = plan.decided_requests(requests(spark, *ROWS), words, settings, responses)
+    assert streamed == {r["request_id"]: (r["decision"], r["status_code"]) for r in batch.collect()}
+    assert streamed["happy"] == ("allowed", 200)
+
+
+def test_a_missing_dictionary_is_an_error():
+    with pytest.raises(TypeError):
+        plan.Dictionaries(None, None)
+
+
 def test_registry():
     import __spark_entry__ as entry
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert not [name for name in entry.queries() if "pipeline" in name or name.startswith("op")]
+    from promptveil.registry.oracles import ORACLES
+    from promptveil.registry.queries import QUERIES
+    assert set(QUERIES) == set(ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_long_requests_equal_whole_ones(spark, words):
