@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PLACEHOLDER, WORD
 from promptveil.functions.text import (
-    UPPER, alternation, ascii_fold, constant_look_up, extract_all, sql_bind, sql_constant_look_up, sql_look_up,
+    UPPER, alternation, ascii_fold, bind, constant_look_up, extract_all, sql_bind, sql_constant_look_up, sql_look_up,
     sql_lookup_table, sql_text, sql_weave)
 from promptveil.operators import scan
 from promptveil.operators.redact import vault_entries
@@ -111,6 +111,20 @@ def located(text: Column, pattern: Column, label_of: Callable[[Column], Column])
     hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, F.lit(-1))
     pieces = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
 
+    # Running sums in blocks of about the square root of their number: a fold that grows an array copies it each time.
+    def blocked(every: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(every))).cast("int")
+        starts = F.when(F.size(every) > 0, F.sequence(F.lit(1), F.size(every), F.greatest(width, F.lit(1)))).otherwise(
+            F.array().cast("array<int>"))
+        return bind(F.transform(starts, lambda at: placed(F.slice(every, at, width))), shifted)
+
+    def shifted(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: b["at"])
+        before = F.transform(blocks, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("bigint"),
+                                                              lambda total, n: total + n))
+        return F.flatten(F.zip_with(blocks, before, lambda b, offset: F.transform(b["spans"], lambda s: F.struct(
+            (s["start"] + offset).alias("start"), (s["end"] + offset).alias("end"), s["label"].alias("label")))))
+
     def add(done: Column, piece: Column) -> Column:
         start = done["at"] + piece["gap"]
         end = start + F.coalesce(F.char_length(piece["hit"]), F.lit(0))
@@ -119,7 +133,11 @@ def located(text: Column, pattern: Column, label_of: Callable[[Column], Column])
         return F.struct(end.alias("at"), found.alias("spans"))
 
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{WIDE_SPAN}>").alias("spans"))
-    return F.aggregate(pieces, begin, add, lambda done: done["spans"])
+
+    def placed(some: Column) -> Column:
+        return F.aggregate(some, begin, add)
+
+    return bind(pieces, blocked)
 
 
 def gazetteer_spans(text: Column, gazetteer: Gazetteer) -> Column:
@@ -139,8 +157,8 @@ def gazetteer_scrubbed(gazetteer: Gazetteer, texts: str = "texts", vault: str =
                      f"struct(s.texts AS texts, s.vault AS vault, "
                      f"transform(s.texts, t -> regexp_extract_all(t, {regex}, 0)) AS hits)")
     # (label, value) pairs in numbering order; placeholders among the hits have no label
-    pairs = (f"array_distinct(filter(transform(flatten(transform(s.hits, h -> reverse(h))), h -> "
-             f"struct({label} AS label, h AS value)), p -> p.label IS NOT NULL))")
+    pairs = _distinct_pairs(f"filter(transform(flatten(transform(s.hits, h -> reverse(h))), h -> "
+                            f"struct({label} AS label, h AS value)), p -> p.label IS NOT NULL)")
     paired = sql_bind(found, "s", f"struct(s.texts AS texts, s.vault AS vault, s.hits AS hits, {pairs} AS pairs)")
     entered = sql_bind(paired, "s", f"struct(s.texts AS texts, s.vault AS vault, s.hits AS hits, "
                                     f"{_entries('s.pairs', labels)} AS entries)")
@@ -151,6 +169,13 @@ def gazetteer_scrubbed(gazetteer: Gazetteer, texts: str = "texts", vault: str =
                                          "AS texts, concat(s.vault, s.entries) AS vault)"))
 
 
+def _distinct_pairs(pairs: str) -> str:
+    """(label, value) pairs (SQL), each once. As strings, which are told apart by hash; structs are compared in pairs.
+    Labels hold no colon."""
+    return (f"transform(array_distinct(transform({pairs}, p -> concat(p.label, ':', p.value))), k -> "
+            "struct(substring_index(k, ':', 1) AS label, substr(k, length(substring_index(k, ':', 1)) + 2) AS value))")
+
+
 def _entries(pairs: str, labels: Iterable[str]) -> str:
     """Vault entries (SQL) for (label, value) pairs in numbering order, label by label."""
     return "concat(" + ", ".join(
@@ -169,7 +194,7 @@ def span_scrubbed(spans: str = "spans", texts: str = "texts", vault: str = "vaul
     found = sql_bind(f"struct({texts} AS texts, {vault} AS vault, {spans} AS spans)", "s",
                      f"struct(s.texts AS texts, s.vault AS vault, zip_with(s.texts, slice(s.spans, 1, size(s.texts)), "
                      f"(t, f) -> {valued}) AS spans)")
-    pairs = "array_distinct(transform(flatten(s.spans), x -> struct(x.label AS label, x.value AS value)))"
+    pairs = _distinct_pairs("transform(flatten(s.spans), x -> struct(x.label AS label, x.value AS value))")
     entered = sql_bind(found, "s", f"struct(s.texts AS texts, s.vault AS vault, s.spans AS spans, "
                                    f"{_entries(pairs, labels)} AS entries)")
     names = sql_lookup_table("transform(s.entries, e -> struct(struct(e.label, e.original) AS key, "

@@ -21,6 +21,7 @@ from promptveil.session import fix, settled
 
 # users with more events than this are replayed in pieces of about this size
 HOT_EVENTS = 5_000_000
+_MOST_UNITS = 2**62
 
 
 @dataclass(frozen=True)
@@ -33,9 +34,17 @@ class Rate:
 
     @classmethod
     def of(cls, capacity: int, refill_per_sec: float) -> Rate:
-        exact = Fraction(refill_per_sec).limit_denominator(10**9)
-        token = exact.denominator * 1_000_000
-        return cls(capacity * token, token, exact.numerator)
+        """The refill as a fraction whose units fit 64 bits; an error if there is none that equals it to 12 digits."""
+        if capacity < 1 or not 0 < refill_per_sec < math.inf:
+            raise ValueError("a bucket needs a capacity of at least 1 and a positive refill")
+        given = Fraction(refill_per_sec)
+        finest = _MOST_UNITS // (capacity * 1_000_000)
+        for bound in (10**9, finest):
+            near = given.limit_denominator(min(bound, finest)) if finest else Fraction(0)
+            if abs(near - given) <= given / 10**12 and near.numerator <= _MOST_UNITS:
+                token = near.denominator * 1_000_000
+                return cls(capacity * token, token, near.numerator)
+        raise ValueError(f"capacity {capacity} with refill {refill_per_sec} per second needs more units than 64 bits hold")
 
     def offered(self, left: int, elapsed_micros: int) -> int:
         """Units on hand when a request arrives; a clock that goes back adds nothing."""

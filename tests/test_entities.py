@@ -66,3 +66,17 @@ def test_model_spans_and_unwanted_labels(spark):
 def test_large_lists_are_not_read(spark, monkeypatch):
     monkeypatch.setattr(entities, "MAX_NAMES", 2)
     assert entities.read_gazetteer(setup(spark)[0]) is None
+
+
+def test_many_names_in_one_text(spark):
+    """Forty thousand names in one text, in seconds."""
+    import time
+    words = [f"name{i:05d}" for i in range(40_000)]
+    row = spark.createDataFrame([(" ".join(words),), ("",), ("none",)], "text string")
+    names = entities.Gazetteer({f"name{i:05d}": "PERSON" for i in range(0, 40_000, 4)})
+    began = time.time()
+    found = row.select(F.size(entities.gazetteer_spans(F.col("text"), names)).alias("n"),
+                       F.get(entities.gazetteer_spans(F.col("text"), names), F.lit(9999)).alias("last")).collect()
+    assert [r["n"] for r in found] == [10_000, 0, 0]
+    assert (found[0]["last"]["start"], found[0]["last"]["end"]) == (39_996 * 10, 39_996 * 10 + 9)
+    assert time.time() - began < 60

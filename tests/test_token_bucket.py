@@ -89,3 +89,14 @@ def test_a_clock_that_goes_back_adds_nothing():
     rate = token_bucket.Rate.of(3, 0.5)
     assert rate.offered(rate.token, -5_000_000) == rate.token
     assert rate.offered(rate.token, 2_000_000) == 2 * rate.token
+
+
+def test_refills_that_64_bits_cannot_hold_are_errors():
+    assert token_bucket.Rate.of(3, 1 / 86400) == token_bucket.Rate(3 * 86400 * 10**6, 86400 * 10**6, 1)
+    small = token_bucket.Rate.of(3, 1e-10)
+    assert small.per_micro == 1 and small.token == 10**16
+    fine = token_bucket.Rate.of(10_000, 0.123456789)
+    assert fine.full < 2**63 and abs(fine.per_micro * 10**6 / fine.token - 0.123456789) < 1e-13
+    for capacity, refill in ((0, 1.0), (3, 0.0), (3, -1.0), (3, float("inf")), (10**6, 1e-12), (10**14, 0.5)):
+        with pytest.raises(ValueError):
+            token_bucket.Rate.of(capacity, refill)
