@@ -23,6 +23,7 @@ _MASK = np.uint64((1 << 48) - 1)
 _BOT = np.uint64(1 << 24)
 _W = np.uint64(16)
 _TOP = np.uint64(32)
+_LINE = np.uint64(1 << 32)
 _STATES = np.arange(128)
 _CONF2, _CONF1, _SAME = _STATES & 7, _STATES >> 3 & 7, _STATES >> 6 == 1
 _RATE = 0.5
@@ -37,6 +38,10 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * x / (1 + np.abs(x))
 
 
+def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return table.take(at, mode="clip")  # no bounds check of its own; all places are in range
+
+
 def _sum(x: np.ndarray) -> float:
     return float(np.cumsum(x)[-1])  # in order, whatever the machine's vector width
 
@@ -46,8 +51,8 @@ class Model:
 
     def __init__(self, alphabet: int):
         self.alphabet = alphabet
-        self.one = np.full(alphabet + 1, alphabet << 3, np.int32)  # predicted id << 3 | confidence, 0 for nothing yet
-        self.two = np.full(1 << _TWO_BITS, alphabet << 3, np.int32)
+        self.one = np.full(alphabet + 1, alphabet << 3, np.int64)  # predicted id << 3 | confidence, 0 for nothing yet
+        self.two = np.full(1 << _TWO_BITS, alphabet << 3, np.int64)
         self.right = np.ones((2, 8), np.int64)  # by order 2 and 1, and confidence
         self.tried = np.full((2, 8), 2, np.int64)
         self.weights = np.array([[0.0, 0.7, 0.3], [0.0, 0.7, 0.3]])
@@ -72,8 +77,8 @@ class Model:
 
     def symbol_of(self, slot: np.ndarray) -> np.ndarray:
         if self.slots is None:
-            self.slots = np.repeat(np.arange(self.alphabet, dtype=np.int32), self.freq0.astype(np.int64))
-        return self.slots[slot]
+            self.slots = np.repeat(np.arange(self.alphabet), self.freq0.astype(np.int64))
+        return _take(self.slots, slot)
 
     def _mix(self) -> None:
         known = _stretch(self.right / self.tried)
@@ -115,17 +120,25 @@ class Model:
 
     def look(self, before: np.ndarray, last: np.ndarray):
         """What both orders say about the next symbol of every lane."""
-        at = before.view(np.uint32) * np.uint32(0x9E3779B1) + last.view(np.uint32) * np.uint32(0x85EBCA6B)
-        at >>= np.uint32(32 - _TWO_BITS)
-        e2, e1 = self.two[at], self.one[last]
+        at = before * 0x9E3779B1 + last * 0x85EBCA6B
+        at >>= 13
+        at &= (1 << _TWO_BITS) - 1
+        e2, e1 = _take(self.two, at), _take(self.one, last)
         c2, c1 = e2 >> 3, e1 >> 3
-        state = (e2 & 7) | (e1 & 7) << 3 | (c1 == c2).astype(np.int32) << 6
-        return at, e2, e1, c2, c1, state
-
-    def learn(self, last, at, e2, e1, hit2, hit1, x, outcome_at) -> None:
-        for table, where, entry, hit in ((self.two, at, e2, hit2), (self.one, last, e1, hit1)):
-            sure = entry & 7
-            table[where] = np.where(hit, entry + (sure < 7), np.where(sure > 1, entry - 1, x << 3 | 1))
+        sure2, sure1 = e2 & 7, e1 & 7
+        state = (c1 == c2).astype(np.int64)
+        state <<= 3
+        state += sure1
+        state <<= 3
+        state += sure2
+        return at, e2, e1, c2, c1, sure2, sure1, state
+
+    def learn(self, last, at, e2, e1, sure2, sure1, hit2, hit1, x, outcome_at) -> None:
+        anew = x << 3
+        anew += 1
+        for table, where, entry, sure, hit in ((self.two, at, e2, sure2, hit2), (self.one, last, e1, sure1, hit1)):
+            # up by one when right (7 at most), down by one when wrong, replaced when there was little trust
+            table[where] = np.where(hit, entry + (sure < 7), np.where(sure > 1, entry - 1, anew))
         self.seen += np.bincount(outcome_at, minlength=384)
         self.step += 1
         if self.step < 8 or self.step % 4 == 0:
@@ -152,48 +165,50 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
     if n == 0:
         return np.zeros(0, np.uint16), np.zeros(lanes, np.uint32)
     steps, full, starts = _layout(n, lanes)
-    source = ids.astype(np.int32)
+    order = starts[None, :] + np.arange(steps)[:, None]
+    source = ids.astype(np.int64)[np.minimum(order, n - 1)]  # a row for each step
     model = Model(alphabet)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    before, last = np.full(lanes, alphabet, np.int32), np.full(lanes, alphabet, np.int32)
+    before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
     words: list[np.ndarray] = []
     owners: list[np.ndarray] = []
     every = np.arange(lanes, dtype=np.uint16)
 
     def settle(lo, ra, own):
         """Moves out what is decided; changes lo and ra in place."""
-        decided = (lo ^ (lo + ra)) >> _TOP == 0
-        i = np.flatnonzero(decided | (ra < _BOT))
+        i = np.flatnonzero(((lo ^ (lo + ra)) < _LINE) | (ra < _BOT))
         while len(i):
-            a, r = lo[i], ra[i]
-            r = np.where((a ^ (a + r)) >> _TOP == 0, r, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
+            a, r = lo.take(i, mode="clip"), ra.take(i, mode="clip")
+            r = np.where((a ^ (a + r)) < _LINE, r, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
             words.append((a >> _TOP).astype(np.uint16))
-            owners.append(own[i])
-            a, r = (a << _W) & _MASK, r << _W
+            owners.append(own.take(i, mode="clip"))
+            a <<= _W
+            a &= _MASK
+            r <<= _W
             lo[i], ra[i] = a, r
-            i = i[((a ^ (a + r)) >> _TOP == 0) | (r < _BOT)]
+            i = i[((a ^ (a + r)) < _LINE) | (r < _BOT)]
 
     for t in range(steps):
         k = lanes if t < steps - 1 else full
-        x = source[starts[:k] + t]
+        x = source[t, :k]
         now = last[:k]
-        at, e2, e1, c2, c1, state = model.look(before[:k], now)
+        at, e2, e1, c2, c1, sure2, sure1, state = model.look(before[:k], now)
         hit2, hit1 = c2 == x, c1 == x
         spot = state * 3 + np.where(hit2, 0, 2 - hit1)
         lo, ra = low[:k], rng[:k]
         part = ra >> np.uint64(FLAG_BITS)
-        lo += part * model.cum[spot]
-        np.multiply(part, model.freq[spot], out=ra)
+        lo += part * _take(model.cum, spot)
+        np.multiply(part, _take(model.freq, spot), out=ra)
         settle(lo, ra, every)
         i = np.flatnonzero(~(hit2 | hit1))
         if len(i):
             xs = x[i]
             part = ra[i] >> np.uint64(ZERO_BITS)
-            a, r = lo[i] + part * model.cum0[xs], part * model.freq0[xs]
+            a, r = lo[i] + part * _take(model.cum0, xs), part * _take(model.freq0, xs)
             settle(a, r, every[i])
             lo[i], ra[i] = a, r
             model.escaped.append(xs)
-        model.learn(now, at, e2, e1, hit2, hit1, x, spot)
+        model.learn(now, at, e2, e1, sure2, sure1, hit2, hit1, x, spot)
         before[:k] = now
         last[:k] = x
     for shift in (32, 16, 0):
@@ -206,7 +221,7 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
 def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np.ndarray:
     """The ids that ``encode`` was given."""
     if n == 0:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     lanes = len(per_lane)
     steps, full, starts = _layout(n, lanes)
     ends = np.cumsum(per_lane.astype(np.int64))
@@ -218,32 +233,35 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
     for _ in range(3):
         code = code << _W | words[at_word]
         at_word = at_word + 1
-    before, last = np.full(lanes, alphabet, np.int32), np.full(lanes, alphabet, np.int32)
-    out = np.zeros(n, np.int32)
+    before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
+    out = np.zeros((steps, lanes), np.int64)
 
     def settle(lo, ra, co, at):
-        i = np.flatnonzero(((lo ^ (lo + ra)) >> _TOP == 0) | (ra < _BOT))
+        i = np.flatnonzero(((lo ^ (lo + ra)) < _LINE) | (ra < _BOT))
         while len(i):
-            a, r = lo[i], ra[i]
-            r = np.where((a ^ (a + r)) >> _TOP == 0, r, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
-            co[i] = (co[i] << _W) & _MASK | words[at[i]]
-            at[i] += 1
-            a, r = (a << _W) & _MASK, r << _W
-            lo[i], ra[i] = a, r
-            i = i[((a ^ (a + r)) >> _TOP == 0) | (r < _BOT)]
+            a, r, c, w = lo.take(i, mode="clip"), ra.take(i, mode="clip"), co.take(i, mode="clip"), at.take(i, mode="clip")
+            r = np.where((a ^ (a + r)) < _LINE, r, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
+            c <<= _W
+            c &= _MASK
+            c |= words.take(w, mode="clip")
+            a <<= _W
+            a &= _MASK
+            r <<= _W
+            lo[i], ra[i], co[i], at[i] = a, r, c, w + 1
+            i = i[((a ^ (a + r)) < _LINE) | (r < _BOT)]
 
     for t in range(steps):
         k = lanes if t < steps - 1 else full
         now = last[:k]
-        at, e2, e1, c2, c1, state = model.look(before[:k], now)
+        at, e2, e1, c2, c1, sure2, sure1, state = model.look(before[:k], now)
         lo, ra, co, wo = low[:k], rng[:k], code[:k], at_word[:k]
         part = ra >> np.uint64(FLAG_BITS)
         value = (co - lo) // part
-        hit2 = value < model.edge2[state]
-        escape = value >= model.edge1[state]
+        hit2 = value < _take(model.edge2, state)
+        escape = value >= _take(model.edge1, state)
         spot = state * 3 + np.where(hit2, 0, 1 + escape)
-        lo += part * model.cum[spot]
-        np.multiply(part, model.freq[spot], out=ra)
+        lo += part * _take(model.cum, spot)
+        np.multiply(part, _take(model.freq, spot), out=ra)
         settle(lo, ra, co, wo)
         x = np.where(hit2, c2, c1)
         i = np.flatnonzero(escape)
@@ -251,13 +269,16 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
             part = ra[i] >> np.uint64(ZERO_BITS)
             slot = np.minimum((co[i] - lo[i]) // part, np.uint64((1 << ZERO_BITS) - 1))
             xs = model.symbol_of(slot.astype(np.int64))
-            a, r, c, w = lo[i] + part * model.cum0[xs], part * model.freq0[xs], co[i], wo[i]
+            a, r, c, w = lo[i] + part * _take(model.cum0, xs), part * _take(model.freq0, xs), co[i], wo[i]
             settle(a, r, c, w)
             lo[i], ra[i], co[i], wo[i] = a, r, c, w
             x[i] = xs
             model.escaped.append(xs)
-        model.learn(now, at, e2, e1, hit2, c1 == x, x, spot)
-        out[starts[:k] + t] = x
+        model.learn(now, at, e2, e1, sure2, sure1, hit2, c1 == x, x, spot)
+        out[t, :k] = x
         before[:k] = now
         last[:k] = x
-    return out
+    ids = out.T.ravel()
+    if full < lanes:  # the other lanes are one shorter
+        ids = np.concatenate([ids[:full * steps], out[:steps - 1, full:].T.ravel()])
+    return ids

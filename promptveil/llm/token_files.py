@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,13 +33,14 @@ from promptveil.llm.common import pieces, small_batches, utf8, worker_cache
 BLOCK = 1 << 20
 _MAGIC = b"IDC1"
 _HEAD = "<4sIIIQQ"
-_MEMO_WORDS = 1 << 20
+_MEMO_WORDS = 300_000
 _MEMO_BYTES = 64
 
 
 class WordEncoder:
     """Token ids of whole texts, each word encoded once. For tokenizers that lower-case, drop white space and never join
-    across it: a text's ids are then those of its lower-cased runs between ASCII white space, one after the other."""
+    across it: a text's ids are then those of its lower-cased runs between ASCII white space, one after the other.
+    Arrow splits and tells words apart; known words stay in two generations, so that frequent ones outlive rare ones."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -48,27 +50,9 @@ class WordEncoder:
         self.ends_word = np.zeros(self.alphabet, np.bool_)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _fill(self, words: list[bytes], parts: list[bytes | None]) -> None:
-        """Encodes what the memo lacks."""
-        lacking = [i for i, part in enumerate(parts) if part is None]
-        if not lacking:
-            return
-        fresh = list(dict.fromkeys(words[i] for i in lacking))
-        made = self._many([w for w in fresh if w.isalpha()])  # bytes: ASCII letters only
-        rest = [w for w in fresh if w not in made]
-        for at in range(0, len(rest), 20000):
-            some = rest[at:at + 20000]
-            for word, encoding in zip(some, self.tokenizer.encode_batch_fast(
-                    [w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                made[word] = np.array(encoding.ids, np.uint32).tobytes()
-        for i in lacking:
-            parts[i] = made[words[i]]
-        if len(self.memo) + len(made) > _MEMO_WORDS:
-            self.memo.clear()
-        self.memo.update((w, ids) for w, ids in made.items() if len(w) <= _MEMO_BYTES)
-
-    def _many(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _joined(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words of ASCII letters, many in one call, cut where a word ends; nothing where that doesn't add up
         (a tokenizer without word ends)."""
         made = {}
@@ -81,31 +65,98 @@ class WordEncoder:
                 made.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, [0, *ends], ends, strict=False))
         return made
 
+    def _single(self, words: list[bytes]) -> dict[bytes, bytes]:
+        made = {}
+        for at in range(0, len(words), 20000):
+            some = words[at:at + 20000]
+            made.update((word, np.array(e.ids, np.uint32).tobytes()) for word, e in zip(
+                some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some],
+                                                       add_special_tokens=False), strict=True))
+        return made
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, as little-endian 32-bit integers."""
+        parts = list(map(self.memo.get, words))
+        lacking = [i for i, part in enumerate(parts) if part is None]
+        if not lacking:
+            return parts
+        found = {words[i]: self.older.get(words[i]) for i in lacking}
+        fresh = [w for w, part in found.items() if part is None]
+        # a word and the marks after it are cut apart by the tokenizer: known words need no new encoding
+        cuts = {w: _marks(w) for w in fresh}
+        wanted = {p for w, cut in cuts.items() for p in (cut or (w,)) if p not in found or found[p] is None}
+        known = {p: self.memo.get(p) or self.older.get(p) for p in wanted}
+        anew = [p for p, part in known.items() if part is None]
+        known.update(self._joined([p for p in anew if p.isalpha()]))  # bytes: ASCII letters only
+        known.update(self._single([p for p in anew if known[p] is None]))
+        known.update((w, part) for w, part in found.items() if part is not None)
+        for w in fresh:
+            found[w] = b"".join(known[p] for p in cuts[w] or (w,))
+        for i in lacking:
+            parts[i] = found[words[i]]
+        self.memo.update((w, ids) for w, ids in (*found.items(), *((p, known[p]) for p in wanted)) if len(w) <= _MEMO_BYTES)
+        if len(self.memo) > _MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
+        return parts
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         out: list[list[bytes]] = [[] for _ in texts]
-        words: list[bytes] = []
-        spans: list[tuple[int, int]] = []
+        rows: list[bytes] = []
+        owners: list[int] = []
+        held = 0
 
         def settle() -> None:
-            parts: list[bytes | None] = list(map(self.memo.get, words))
-            self._fill(words, parts)
-            at = 0
-            for n, count in spans:
-                out[n].append(b"".join(parts[at:at + count]))
-                at += count
-            words.clear()
-            spans.clear()
+            nonlocal held
+            for n, ids in zip(owners, self._batch(rows), strict=True):
+                out[n].append(ids)
+            rows.clear()
+            owners.clear()
+            held = 0
 
         for n, text in enumerate(texts):
             for piece in pieces(text):
-                own = (piece if b"<|" in piece else piece.lower()).split()  # case counts in special tokens alone
-                words += own
-                spans.append((n, len(own)))
-                if len(words) > 200_000:
+                rows.append(piece)
+                owners.append(n)
+                held += len(piece)
+                if held > 1 << 23:
                     settle()
         settle()
-        return [b"".join(x) for x in out]
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _batch(self, rows: list[bytes]) -> list[bytes]:
+        if any(b"<|" in row for row in rows):  # case counts in special tokens
+            return [b"".join(map(dict(zip(u := list(dict.fromkeys(w)), self.ids_of(u), strict=True)).get, w))
+                    for w in ((row if b"<|" in row else row.lower()).split() for row in rows)]
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(rows, pa.binary()).cast(pa.string())))
+        coded = split.flatten().dictionary_encode()
+        parts = self.ids_of(_values(coded.dictionary))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        table = np.frombuffer(b"".join(parts), "<u4")
+        word = coded.indices.to_numpy()
+        size = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        begin = (np.cumsum(sizes) - sizes)[word] - ends[:-1]
+        data = table[np.repeat(begin, size) + np.arange(ends[-1])].tobytes()
+        at = (ends[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _values(words: pa.Array) -> list[bytes]:
+    """All values of a string array, cut from one copy of its data."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1].tolist() if len(words) else []
+    held = data.to_pybytes() if data is not None else b""
+    return [held[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _marks(word: bytes) -> tuple[bytes, bytes] | None:
+    """A Latin word and the ASCII marks after it, if that is what ``word`` is."""
+    base = word.rstrip(b".,;:!?%&*#$()|\"")
+    if not base or len(base) == len(word):
+        return None
+    text = base.decode("utf-8", "replace")
+    return (base, word[len(base):]) if text.isalpha() and max(text) < "\u0250" else None
 
 
 def encoder(path: str) -> WordEncoder:
@@ -200,7 +251,8 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return blocks.join(starts, "part").select((F.col("before") + F.col("first")).alias("start"), "data")
+    # one row per file of the write: small whatever the documents, and the blocks stay where they are
+    return blocks.join(F.broadcast(starts), "part").select((F.col("before") + F.col("first")).alias("start"), "data")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
