@@ -10,8 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 1000
-BATCH_BYTES = 32 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
 
 

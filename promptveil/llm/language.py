@@ -80,7 +80,7 @@ def counts_of(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         for grams in grams_of(text):
             waiting.append(grams)
             held += len(grams)
-            if held > 1 << 22:
+            if held > 1 << 20:
                 settle()
                 held = 0
     if waiting:
