@@ -6,7 +6,7 @@ request is worked out on its distinct values, in blocks, and joined back by (req
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from promptveil.functions.patterns import PiiPattern
 from promptveil.functions.text import sql_bind, sql_look_up, sql_lookup_table, sql_text, sql_weave
-from promptveil.operators import scan
+from promptveil.operators import entities, scan
 from promptveil.operators.redact import scrub_into
 from promptveil.session import written
+from promptveil.settings import ENTITY_LABELS
 
 # messages per numbering block
 BLOCK = 1_000
@@ -54,6 +55,28 @@ def redact_messages(messages: DataFrame, patterns: Sequence[PiiPattern] | None =
     return out.select(*messages.columns), vault
 
 
+def redact_names(messages: DataFrame, names: DataFrame, key: str = "request_id",
+                 labels: Iterable[str] = ENTITY_LABELS) -> tuple[DataFrame, DataFrame]:
+    """The same for names of a list of any size: messages in order, and within a message from the last name to the
+    first. ``messages`` are pattern-scrubbed and stored, as they are read more than once."""
+    texts = messages.select(F.struct(key, "msg_idx").alias("at__"), F.col("content").alias("text"))
+    spans = entities.joined_spans(texts, names, "at__", labels)
+    valued = written(spans.join(texts, "at__").select(
+        F.col(f"at__.{key}").alias(key), F.col("at__.msg_idx").alias("msg_idx"), "start", "end", "label",
+        F.substr("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("original")),
+        "name-spans")
+    vault = numbered(valued.select(key, "msg_idx", (-F.col("start")).alias("idx"), "label", "original"), key)
+    placed = (valued.join(vault.select(key, "label", "original", "placeholder"), [key, "label", "original"])
+              .groupBy(key, "msg_idx").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("spans__")))
+    # what stands before each name, then its placeholder, then the rest
+    woven = F.expr("""concat(array_join(transform(spans__, (s, i) -> concat(substring(content, 1 + cast(if(i = 0, 0,
+        spans__[i - 1].end) AS int), cast(s.start - if(i = 0, 0, spans__[i - 1].end) AS int)), s.placeholder)), ''),
+        substring(content, 1 + cast(element_at(spans__, -1).end AS int), char_length(content)))""")
+    out = (messages.join(placed, [key, "msg_idx"], "left")
+           .withColumn("content", F.when(F.col("spans__").isNull(), F.col("content")).otherwise(woven)))
+    return out.select(*messages.columns), vault
+
+
 def numbered(entries: DataFrame, key: str = "request_id") -> DataFrame:
     """Number distinct (label, original) pairs of each request by first appearance.
 

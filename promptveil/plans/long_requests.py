@@ -36,16 +36,28 @@ def valid_envelopes(envelopes: DataFrame, messages: DataFrame) -> DataFrame:
             .join(sound.select("request_id"), "request_id", "left_semi"))
 
 
-def decide_long(envelopes: DataFrame, messages: DataFrame, injection: DataFrame, internal: DataFrame,
-                settings: Settings, responses: DataFrame | None = None) -> LongOutcome:
-    """``injection`` and ``internal`` are signature tables. Request ids are unique."""
+def metered_envelopes(envelopes: DataFrame, messages: DataFrame, settings: Settings) -> DataFrame:
+    """Valid envelopes with ``auth`` and the bucket's outcome, stored."""
     checked = auth.authenticate(valid_envelopes(envelopes, messages), settings, F.col("ts"))
     checked = written(checked.withColumn("model", providers.resolved_model(F.col("model"), settings.provider_model)),
                       "envelope")
     takers = checked.where(F.col("auth.ok")).select("request_id", F.col("auth.user_id").alias("user_id"), "ts")
     outcomes = token_bucket.replay(takers, settings.rate_capacity, settings.rate_refill_per_sec, event_id="request_id")
-    limited = checked.join(outcomes.select("request_id", "allowed", "retry_after", "retry_after_header"),
-                           "request_id", "left")
+    return written(checked.join(outcomes.select("request_id", "allowed", "retry_after", "retry_after_header"),
+                                "request_id", "left"), "metered")
+
+
+def decide_long(envelopes: DataFrame, messages: DataFrame, injection: DataFrame, internal: DataFrame,
+                settings: Settings, responses: DataFrame | None = None, names: DataFrame | None = None) -> LongOutcome:
+    """``injection`` and ``internal`` are signature tables, ``names`` a name list if entities are to be redacted.
+    Request ids are unique."""
+    return decide_limited(metered_envelopes(envelopes, messages, settings), messages, injection, internal, settings,
+                          responses, names)
+
+
+def decide_limited(limited: DataFrame, messages: DataFrame, injection: DataFrame, internal: DataFrame, settings: Settings,
+                   responses: DataFrame | None = None, names: DataFrame | None = None) -> LongOutcome:
+    """The stages after the bucket."""
     admitted = limited.where(F.col("allowed")).select("request_id")
     threats = message_rows.hit_counts(messages.join(admitted, "request_id", "left_semi"), injection)
     gated = written(limited.join(threats.withColumnRenamed("n_hits", "ingress_hits"), "request_id", "left")
@@ -53,6 +65,9 @@ def decide_long(envelopes: DataFrame, messages: DataFrame, injection: DataFrame,
     live = gated.where(F.col("allowed") & (F.col("ingress_hits") == 0))
 
     texts, vault = message_rows.redact_messages(messages.join(live.select("request_id"), "request_id", "left_semi"))
+    if names is not None:
+        texts, named = message_rows.redact_names(written(texts, "scrubbed"), names)
+        vault = vault.unionByName(named)
     vault = written(vault, "vault")
     if settings.provider.lower() == "mock":
         said = texts.where(F.col("role") == "user").groupBy("request_id").agg(

@@ -376,3 +376,4 @@ ORACLES: dict[str, str] = {
         quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95,
         quantile_disc(latency_ms, 0.99) AS p99 FROM flow GROUP BY 1""",
 }
+ORACLES["source_audit_split"] = ORACLES["source_audit"]

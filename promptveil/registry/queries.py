@@ -12,7 +12,7 @@ from promptveil.functions.text import ascii_fold
 from promptveil.functions.times import as_instant
 from promptveil.operators import auth, decisions, entities, message_rows, providers, redact, scan, token_bucket
 from promptveil.plans import requests as plan
-from promptveil.plans import long_requests, rollups
+from promptveil.plans import any_size, long_requests, rollups
 from promptveil.session import run_folder, spread, written
 from promptveil.settings import Settings
 from promptveil.sources import audit_store, demo_requests
@@ -481,8 +481,8 @@ def rejection_projection(spark, folder):
             .groupBy("request_id", "stage", "status_code", "detail", "retry_after").agg(F.count("*").alias("n")))
 
 
-def source_audit(spark, folder):
-    """The flow over few, long requests kept as message rows: each source's documents are one request."""
+def source_requests(spark, folder):
+    """Each source's documents as one request: envelopes, messages, responses and both signature tables."""
     messages = source_messages(spark, folder)
     number = F.substring("request_id", 4, 10).cast("bigint")
     sources = messages.select("request_id").distinct().select(
@@ -494,13 +494,28 @@ def source_audit(spark, folder):
     body = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), said.alias("text"))).alias("content")))
     responses = sources.where(F.pmod("key__", F.lit(20)) != 0).select(
         "request_id", F.lit(200).alias("http_status"), body.alias("body"))
-    # long texts hold many phrases, so only rarer ones are signatures here
-    signatures = phrases(spark, folder, 60)
-    outcome = long_requests.decide_long(envelopes.drop("key__"), messages, signatures, phrases(spark, folder, 30, 1),
-                                        DEMO, responses)
+    return envelopes.drop("key__"), messages, phrases(spark, folder, 60), phrases(spark, folder, 30, 1), responses
+
+
+def source_rows(outcome, audit):
     answers = outcome.decided.select("request_id", F.regexp_replace("restored_text", ACCENTED, "z").alias("answer"))
-    rows = flat_audit(long_requests.audit_rows(outcome, DEMO.provider)).drop("micros", "client_ip", "latency_ms")
-    return rows.join(answers, "request_id")
+    return flat_audit(audit).drop("micros", "client_ip", "latency_ms").join(answers, "request_id")
+
+
+def source_audit(spark, folder):
+    """The flow over few, long requests kept as message rows."""
+    envelopes, messages, injection, internal, responses = source_requests(spark, folder)
+    outcome = long_requests.decide_long(envelopes, messages, injection, internal, DEMO, responses)
+    return source_rows(outcome, long_requests.audit_rows(outcome, DEMO.provider))
+
+
+def source_audit_split(spark, folder):
+    """The same requests through the flow for any size, with a bound that lies among their sizes."""
+    envelopes, messages, injection, internal, responses = source_requests(spark, folder)
+    sizes = messages.groupBy("request_id").agg(F.sum(F.octet_length("content")).alias("bytes"))
+    bound = sizes.agg(F.percentile_approx("bytes", 0.5)).head()[0] or 0
+    outcome = any_size.decide_all(envelopes, messages, injection, internal, DEMO, responses, max_bytes=bound)
+    return source_rows(outcome, any_size.audit_rows(outcome, DEMO.provider))
 
 
 def audit_upsert(spark, folder):
@@ -567,5 +582,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     entity_spans, entity_spans_join, entity_vault, entity_restored, span_vault,
     rate_outcomes, rate_outcomes_pieces, stream_rate_outcomes, auth_outcomes, metered_events,
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
-    response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit, audit_upsert, echo_audit,
+    response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit,
+    source_audit_split, audit_upsert, echo_audit,
     stream_audit, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from promptveil.operators import decisions, entities, providers, scan
 from promptveil.plans import requests as plan
-from promptveil.plans import long_requests, rollups
+from promptveil.plans import any_size, long_requests, rollups
 from promptveil.schemas import AUDIT, REQUEST, RESPONSE
 from promptveil.settings import Settings
 from promptveil.sources import audit_store, signatures
@@ -259,3 +259,26 @@ def test_long_requests_equal_whole_ones(spark, words):
     answers = {r["request_id"]: r["restored_text"] for r in decided.collect()}
     assert {r["request_id"]: r["restored_text"] for r in outcome.decided.collect()} == answers
     assert answers["many"] == "[mock-echo] u4@x.com and 555-1229"
+
+
+def test_any_bound_between_the_routes_gives_equal_rows(spark):
+    """Requests split by messages and by bytes: all in rows, all as message rows, and in between."""
+    rows = requests(spark, *ROWS, ("many", [("user", f"Ada of Paris u{i % 5}@x.com and 555-12{i:02}") for i in range(30)], HEADER, "", 9),
+                    ("names", [("user", "Paris, ADA, ada"), ("system", "nothing"), ("user", "Ada Paris")], HEADER, None, None))
+    rows = rows.where(F.size("messages") > 0)
+    messages = rows.select("request_id", F.posexplode("messages").alias("n", "m")).select(
+        "request_id", (F.col("n") * 4).cast("int").alias("msg_idx"), "m.role", "m.content")
+    names = spark.createDataFrame([("Ada", "PERSON"), ("Paris", "GPE")], "name string, label string")
+    load = lambda name: signatures.load_signatures(spark, f"signatures/{name}.json")
+
+    def run(max_messages, max_bytes):
+        out = any_size.decide_all(rows.drop("messages"), messages, load("injection"), load("internal"), SETTINGS, None, names,
+                                  max_messages, max_bytes)
+        return (by_id(any_size.audit_rows(out, "mock")), sorted(map(tuple, out.vault.collect())),
+                sorted(map(tuple, out.messages.collect())),
+                {r["request_id"]: r["restored_text"] for r in out.decided.collect()})
+
+    want = run(1000, 1 << 20)
+    assert want[0]["many"]["redaction_counts"] == {"EMAIL": 5, "PHONE": 30, "PERSON": 1, "GPE": 1}
+    assert ("names", "PERSON", 1, "[PERSON_1]", "ada") in want[1]
+    assert run(0, 1 << 20) == want and run(2, 1 << 20) == want and run(1000, 60) == want
