@@ -155,7 +155,7 @@ def _layout(n: int, lanes: int) -> tuple[int, int, np.ndarray]:
     return steps, full, lane * (steps - 1) + np.minimum(lane, full)
 
 
-def lanes_for(n: int, most: int = 4096) -> int:
+def lanes_for(n: int, most: int = 8192) -> int:
     return max(1, min(most, n // 64))
 
 

@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from promptveil.llm import range_coder
 from promptveil.llm.common import pieces, small_batches, utf8, worker_cache
 
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 _MAGIC = b"IDC1"
 _HEAD = "<4sIIIQQ"
 _MEMO_WORDS = 300_000
 _MEMO_BYTES = 64
+_MARKED = r"([a-z])([.,;:!?%&*#$]+)([ \t-\r]|$)"
 
 
 class WordEncoder:
@@ -77,24 +78,23 @@ class WordEncoder:
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words, as little-endian 32-bit integers."""
         parts = list(map(self.memo.get, words))
-        lacking = [i for i, part in enumerate(parts) if part is None]
-        if not lacking:
-            return parts
-        found = {words[i]: self.older.get(words[i]) for i in lacking}
-        fresh = [w for w, part in found.items() if part is None]
-        # a word and the marks after it are cut apart by the tokenizer: known words need no new encoding
-        cuts = {w: _marks(w) for w in fresh}
-        wanted = {p for w, cut in cuts.items() for p in (cut or (w,)) if p not in found or found[p] is None}
-        known = {p: self.memo.get(p) or self.older.get(p) for p in wanted}
-        anew = [p for p, part in known.items() if part is None]
-        known.update(self._joined([p for p in anew if p.isalpha()]))  # bytes: ASCII letters only
-        known.update(self._single([p for p in anew if known[p] is None]))
-        known.update((w, part) for w, part in found.items() if part is not None)
-        for w in fresh:
-            found[w] = b"".join(known[p] for p in cuts[w] or (w,))
-        for i in lacking:
-            parts[i] = found[words[i]]
-        self.memo.update((w, ids) for w, ids in (*found.items(), *((p, known[p]) for p in wanted)) if len(w) <= _MEMO_BYTES)
+        fresh = []
+        for i in [i for i, part in enumerate(parts) if part is None]:
+            part = self.older.get(words[i])
+            if part is None:
+                fresh.append(i)
+            else:
+                parts[i] = self.memo[words[i]] = part
+        if fresh:
+            anew = [words[i] for i in fresh]
+            made = self._joined([w for w in anew if w.isalpha()])  # bytes: ASCII letters only
+            made.update(self._single([w for w in anew if w not in made]))
+            for i in fresh:
+                parts[i] = made[words[i]]
+            self.memo.update(made)
+            for w in anew:
+                if len(w) > _MEMO_BYTES:
+                    del self.memo[w]
         if len(self.memo) > _MEMO_WORDS:
             self.memo, self.older = {}, self.memo
         return parts
@@ -128,7 +128,9 @@ class WordEncoder:
         if any(b"<|" in row for row in rows):  # case counts in special tokens
             return [b"".join(map(dict(zip(u := list(dict.fromkeys(w)), self.ids_of(u), strict=True)).get, w))
                     for w in ((row if b"<|" in row else row.lower()).split() for row in rows)]
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(rows, pa.binary()).cast(pa.string())))
+        lower = pc.ascii_lower(pa.array(rows, pa.binary()).cast(pa.string()))
+        # marks after a word are a token of their own: set apart, they leave fewer distinct words
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _MARKED, r"\1 \2\3"))
         coded = split.flatten().dictionary_encode()
         parts = self.ids_of(_values(coded.dictionary))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -150,15 +152,6 @@ def _values(words: pa.Array) -> list[bytes]:
     return [held[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def _marks(word: bytes) -> tuple[bytes, bytes] | None:
-    """A Latin word and the ASCII marks after it, if that is what ``word`` is."""
-    base = word.rstrip(b".,;:!?%&*#$()|\"")
-    if not base or len(base) == len(word):
-        return None
-    text = base.decode("utf-8", "replace")
-    return (base, word[len(base):]) if text.isalpha() and max(text) < "\u0250" else None
-
-
 def encoder(path: str) -> WordEncoder:
     """The encoder of a tokenizer file, one in each worker."""
     cache = worker_cache()

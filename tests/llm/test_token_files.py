@@ -28,7 +28,8 @@ def test_table(spark, folder, documents):
 
 
 ROWS = [(7, None), (3, ""), (5, " \t\n"), (-2, "<|endoftext|> A <|ENDOFTEXT|>"), (9, "Σας ΟΔΟΣ, a\x1cb \x85c é ́x 'S it's 123 ½ I'LL"),
-        (11, "word " * 50000 + "x" * 3000), (12, "Ａ é b　c d İstanbul ﬁ")]
+        (11, "word " * 50000 + "x" * 3000), (12, "Ａ é b　c d İstanbul ﬁ"),
+        (13, "end. next, (x) é. a.\u0301 b.’ word...\n A.B. c.\u00a0d it's. l'. 5. ½. x!?\tz$$$"), (14, "a. b.\x0bc.\x1c d,")]
 
 
 def test_odd_rows_and_blocks(spark):
