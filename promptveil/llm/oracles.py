@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from promptveil.llm import licenses
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 _DRAWS = ", ".join(f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{s // 4}'), {1 + 8 * (s % 4)}, 8))::BIGINT"
                    " / 4294967296.0" for s in range(32))
@@ -30,4 +32,48 @@ SELECT d.doc_id, d.size, r.source_size, r.target,
 FROM sizes d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN best b ON b.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLES: dict[str, str] = {"op4_mix": OP4}
+
+
+def _count(words: str) -> str:
+    return f"((length({words}) - length(replace({words}, ' ', ''))) // 2)"
+
+
+def _op3() -> str:
+    rows = ",\n".join(f"({n}, '{label}', '{keyword}', '{licenses.spaced(expr)}', {priority}, {score}::DOUBLE)"
+                      for n, (label, keyword, expr, priority, score) in enumerate(licenses.rules()))
+    gate = " OR ".join(f"contains(line, '{g.replace(' ', '  ')}')" for g in licenses.GATES)
+    n, first, last, labels = [], [], [], []
+    for phrase, label in licenses.BASE:
+        cut, size = f"string_split(line, '{licenses.spaced(phrase)}')", len(phrase.split())
+        n.append(f"len({cut}) - 1")
+        first.append(f"CASE WHEN len({cut}) > 1 THEN {_count(f'{cut}[1]')} END")
+        last.append(f"CASE WHEN len({cut}) > 1 THEN n_words - {size} - {_count(f'{cut}[-1]')} END")
+        labels.append(f"CASE WHEN len({cut}) > 1 THEN '{label}' END")
+    reach = " ".join(f"WHEN {p} THEN max(CASE WHEN priority <= {p} THEN stop END) OVER w"
+                     for p in sorted({r[3] for r in licenses.rules()}))
+    return f"""
+WITH lines AS (SELECT doc_id, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS line FROM (SELECT doc_id, trim(
+    regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g'), ' ') AS t FROM documents)),
+counted AS (SELECT *, {_count('line')}::BIGINT AS n_words FROM lines),
+base AS (SELECT doc_id, n_words, ({' + '.join(n)})::BIGINT AS n_base, least({', '.join(first)})::BIGINT AS first_word,
+    greatest({', '.join(last)})::BIGINT AS last_word, list_filter([{', '.join(labels)}], lambda x: x IS NOT NULL) AS found
+  FROM counted),
+rules(rule, label, keyword, expr, priority, score) AS (VALUES {rows}),
+cut AS (SELECT doc_id, rule, label, priority, score, string_split_regex(line, expr) AS gaps,
+    regexp_extract_all(line, expr) AS hits FROM lines JOIN rules ON contains(line, keyword) AND regexp_matches(line, expr)
+  WHERE {gate}),
+steps AS (SELECT doc_id, rule, label, priority, score, unnest(range(1, len(hits) + 1)) AS n,
+    unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit FROM cut),
+placed AS (SELECT *, sum({_count('gap')} + {_count('hit')}) OVER (PARTITION BY doc_id, rule ORDER BY n) AS stop FROM steps),
+spans AS (SELECT doc_id, rule, label, priority, score, stop - {_count('hit')} AS start, stop FROM placed),
+reached AS (SELECT *, coalesce(CASE priority {reach} END, -1) AS reach FROM spans
+  WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop DESC, priority, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+own AS (SELECT doc_id, list(DISTINCT label) AS own, max(score) AS best FROM reached WHERE reach < stop GROUP BY doc_id)
+SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(found), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(found, coalesce(own, [])))), ',') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN {licenses.BASE_SCORE} ELSE 0 END, coalesce(best, 0))::DOUBLE AS score
+FROM base LEFT JOIN own USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op3_licenses": _op3(), "op4_mix": OP4}
