@@ -6,6 +6,7 @@ output. Both follow one numbering rule: messages in order, and within a message
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from promptveil.functions.text import (
     sql_lookup_table, sql_text, sql_weave)
 from promptveil.operators import scan
 from promptveil.operators.redact import vault_entries
-from promptveil.session import read_bounded
+from promptveil.session import read_bounded, worker_cache
 from promptveil.settings import ENTITY_LABELS
 
 MAX_NAMES = 20_000
@@ -80,17 +81,17 @@ def joined_spans(texts: DataFrame, names: DataFrame, key: str, labels: Iterable[
                  text: str = "text") -> DataFrame:
     """Span rows (key, start, end, label) for a name list of any size; equal to ``gazetteer_spans``.
 
-    A name stands between word boundaries, so the first word in it is a whole word of the text as well: the join on
-    such words gives each text the few names it may hold, and each text is then cut once by a regex of just these.
+    A name stands between word boundaries, so each word in it is a whole word of the text as well: the join on the word
+    that the fewest names share gives each text the few names it may hold, and each text is then cut once by a regex of just these.
     """
     known = wanted_names(names, labels).select(F.col("name").alias("pattern"), "label")
     bodies = texts.select(key, ascii_fold(F.col(text)).alias("body"))
-    first_word = F.regexp_extract("pattern", f"[{WORD}]+", 0)
-    worded = known.withColumn("word", first_word).where(F.col("word") != "")
+    own_words = extract_all(F.col("pattern"), f"[{WORD}]+")
+    worded = scan.least_shared(known.withColumn("choices__", own_words), "choices__", "word")
     words = bodies.select(key, F.explode(F.array_distinct(extract_all(F.col("body"), f"[{WORD}]+"))).alias("word"))
     pairs = words.join(worded, "word").select(key, "pattern", "label")
     # names without any word character go through the dictionary scan
-    bare = known.where(first_word == "").withColumn("sig_id", F.lit(0)).withColumn("name", F.col("pattern"))
+    bare = known.where(F.size(own_words) == 0).withColumn("sig_id", F.lit(0)).withColumn("name", F.col("pattern"))
     bare_hits = scan.scan_join(texts, bare, key, text).select(key, "pattern")
     pairs = pairs.unionByName(bare_hits.join(bare.select("pattern", "label"), "pattern").select(key, "pattern", "label"))
     entry = F.struct((-F.char_length("pattern")).alias("neg_length"), "pattern", "label")
@@ -219,12 +220,15 @@ def gather_spans(spans: DataFrame, key: str = "request_id") -> DataFrame:
 
 def model_spans(messages: DataFrame, load: Callable[[], Callable[[list[str]], list[list[tuple]]]],
                 key: str = "request_id") -> DataFrame:
-    """A span table from a user's model. ``load`` runs once per task and returns a function from texts to lists of
+    """A span table from a user's model. ``load`` runs once per worker and returns a function from texts to lists of
     (start, end, label); ``messages`` holds (key, msg_idx, content) with the pattern-scrubbed contents."""
-    kind = dict(messages.dtypes)[key]
+    kind, mark = dict(messages.dtypes)[key], uuid.uuid4().hex
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        kept = worker_cache()
+        if mark not in kept:
+            kept[mark] = load()
+        model = kept[mark]
         for batch in batches:
             rows = [(k, i, *span) for k, i, found in zip(batch[key], batch["msg_idx"], model(batch["content"].tolist()))
                     for span in found]

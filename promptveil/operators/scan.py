@@ -136,6 +136,16 @@ def scan(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text")
             .select(key, "sig_id", "name", "pattern", "first_end"))
 
 
+def least_shared(entries: DataFrame, choices: str, chosen: str) -> DataFrame:
+    """For each row the one of its array ``choices`` that the fewest rows have too, longer first, as column ``chosen``;
+    rows without a choice are left out. Entries that begin alike so get different anchors."""
+    own = [c for c in entries.columns if c != choices]
+    each = entries.select(*own, F.explode(F.array_distinct(choices)).alias(chosen))
+    counts = each.groupBy(chosen).agg(F.count("*").alias("sharing__"))
+    rank = F.struct("sharing__", -F.length(chosen), chosen)
+    return each.join(counts, chosen).groupBy(*own).agg(F.min_by(chosen, rank).alias(chosen))
+
+
 def scan_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The same rows for a dictionary of any size.
 
@@ -145,10 +155,10 @@ def scan_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "te
     folded_pattern = ascii_fold(F.col("pattern"))
     known = (signatures.where(F.length("pattern") > 0)
              .select("sig_id", "name", folded_pattern.alias("pattern"))
-             .withColumn("gram", F.regexp_extract("pattern", INNER_WORD_START, 1)))
+             .withColumn("choices__", extract_all(F.col("pattern"), INNER_WORD_START, 1)))
     # signatures without an inner word start: their first four characters, or all of a shorter one, anywhere
-    anchored = known.where(F.col("gram") != "").withColumn("kind", F.lit(0))
-    loose = (known.where(F.col("gram") == "")
+    anchored = least_shared(known, "choices__", "gram").withColumn("kind", F.lit(0))
+    loose = (known.where(F.size("choices__") == 0).drop("choices__")
              .withColumn("kind", F.least(F.char_length("pattern"), F.lit(4)))
              .withColumn("gram", F.substring("pattern", 1, 4)))
     anchors = anchored.unionByName(loose)

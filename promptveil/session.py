@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -56,6 +58,17 @@ def settled(df: DataFrame, limit: int = 100_000) -> DataFrame | None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a file with fewer splits than there are cores; large inputs stay as they were read."""
+    """Use more cores for a file of very few splits; inputs with a fair number of splits stay as they were read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() < cores else df
+
+
+def worker_cache() -> dict:
+    """A dictionary of this process. Functions reach workers by value, so a global of theirs would start anew with
+    every task; what is slow to build stays here from task to task."""
+    name = "_promptveil_worker_cache"
+    if name not in sys.modules:
+        holder = types.ModuleType(name)
+        holder.kept = {}
+        sys.modules[name] = holder
+    return sys.modules[name].kept

@@ -1,7 +1,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from promptveil.operators import entities
+from promptveil.operators import entities, scan
 from promptveil.schemas import VAULT_ENTRY
 
 NAMES = [("Ann", "PERSON"), ("Ann Lee", "PERSON"), ("Paris", "GPE"), ("O'Neil & Co", "ORG"), ("email", "ORG"),
@@ -80,3 +80,14 @@ def test_many_names_in_one_text(spark):
     assert [r["n"] for r in found] == [10_000, 0, 0]
     assert (found[0]["last"]["start"], found[0]["last"]["end"]) == (39_996 * 10, 39_996 * 10 + 9)
     assert time.time() - began < 60
+
+
+def test_names_that_begin_alike_get_anchors_of_their_own(spark):
+    names = spark.createDataFrame([("the old man", "PERSON"), ("the sea", "LOC"), ("the", "ORG"), ("the new sea", "GPE")],
+                                  "name string, label string")
+    words = scan.least_shared(names.select("name", F.split("name", " ").alias("w")), "w", "word")
+    assert {r["name"]: r["word"] for r in words.collect()} == {"the old man": "man", "the sea": "sea", "the": "the",
+                                                               "the new sea": "new"}
+    rows = spark.createDataFrame([(1, "The old man and the SEA; the new sea."), (2, "old man, sea"), (3, None)], "id int, text string")
+    found = {(r["id"], r["start"], r["end"], r["label"]) for r in entities.joined_spans(rows, names, "id").collect()}
+    assert found == {(1, 0, 11, "PERSON"), (1, 16, 23, "LOC"), (1, 25, 36, "GPE")}
