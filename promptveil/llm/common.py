@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from promptveil.session import worker_cache  # noqa: F401  for the operators here
+
 BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -44,14 +44,3 @@ def pieces(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
         yield data[start:cut.start()]
         start = cut.start()
     yield data[start:] if start else data
-
-
-def worker_cache() -> dict:
-    """A dictionary of this process. Functions reach workers by value, so a global of theirs would start anew with
-    every task; what is slow to build stays here from task to task."""
-    name = "_promptveil_worker_cache"
-    if name not in sys.modules:
-        holder = types.ModuleType(name)
-        holder.kept = {}
-        sys.modules[name] = holder
-    return sys.modules[name].kept
