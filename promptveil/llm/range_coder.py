@@ -141,9 +141,9 @@ class Model:
             table[where] = np.where(hit, entry + (sure < 7), np.where(sure > 1, entry - 1, anew))
         self.seen += np.bincount(outcome_at, minlength=384)
         self.step += 1
-        if self.step < 8 or self.step % 4 == 0:
+        if self.step < 8 or self.step % 8 == 0:
             self._learn()
-        if self.step & (self.step - 1) == 0 or self.step % 32 == 0:
+        if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
             self._order0()
 
 

@@ -33,7 +33,7 @@ from promptveil.llm.common import pieces, small_batches, utf8, worker_cache
 BLOCK = 1 << 21
 _MAGIC = b"IDC1"
 _HEAD = "<4sIIIQQ"
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 500_000
 _MEMO_BYTES = 64
 _MARKED = r"([a-z])([.,;:!?%&*#$]+)([ \t-\r]|$)"
 
