@@ -3,7 +3,8 @@
 Vectors are inserted in batches that grow with the graph. A greedy search of the graph so far proposes neighbours for
 each new vector; robust pruning keeps the nearest and drops what lies, up to the factor ``ALPHA``, nearer to a kept one
 than to the vector, so edges point in diverse directions. Every edge is entered in reverse too, and a list that grows
-over ``DEGREE`` is pruned again. Largest inner product becomes nearest neighbour by one more dimension that brings all
+over ``DEGREE`` is pruned again. Searches start from the best of ``ENTRIES`` nodes drawn at random, as a large group of
+near copies would hold a search that starts in its midst. Largest inner product becomes nearest neighbour by one more dimension that brings all
 vectors to one length.
 """
 
@@ -15,6 +16,7 @@ DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
 WIDTH = 4
+ENTRIES = 256
 _BATCH = 512
 
 
@@ -153,12 +155,12 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     while done < n:
         # all points have one length, so the larger inner product is the smaller distance
         own = order[done:done + min(_BATCH, max(1, done))]
-        met, _, followed = beam_search(points, edges, np.array([middle]), points[own], beam)
+        met, _, followed = beam_search(points, edges, order[:min(done, ENTRIES)], points[own], beam)
         kept = robust_prune(points, own, np.concatenate([met, followed], axis=1), degree, alpha)
         edges[own] = kept
         _enter_reverse(points, edges, own, kept, degree, alpha)
         done += len(own)
-    return edges, np.array(_unreached(edges, [middle]))
+    return edges, np.array(_unreached(edges, order[:ENTRIES].tolist()))
 
 
 def search(vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:

@@ -45,6 +45,18 @@ def test_shards_blocks_and_norms(spark):
     assert recall(got, plain(rows)) >= 0.9
 
 
+def test_a_large_group_of_near_copies_hides_nothing():
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=32)
+    x = np.concatenate([centre + rng.normal(size=(2000, 32)) * 0.02, rng.normal(size=(3000, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)[rng.permutation(5000)]
+    edges, entries = pruned_graph.build(x)
+    found = pruned_graph.search(x, edges, entries, x[::20], 192)
+    best = np.argsort(-(x[::20] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found.tolist(), best.tolist(), strict=True)]) / 20 > 0.9
+
+
 def test_odd_rows(spark):
     rows = [(i, [1.0, 0.0, float(i % 3)]) for i in range(90)]  # thirty copies each of three vectors
     rows += [(100, None), (101, []), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 2.0]), (104, [float("nan"), 1.0, 1.0]),
