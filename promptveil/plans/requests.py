@@ -120,6 +120,11 @@ def decided_from(limited: DataFrame, words: Dictionaries, settings: Settings, re
     return decisions.decide(filtered(replied, words))
 
 
+def audit(decided: DataFrame, settings: Settings) -> DataFrame:
+    """The audit rows as the settings want them."""
+    return decisions.audit_rows(decided, settings.provider, settings.store_redacted_prompt)
+
+
 def stored(decided: DataFrame) -> DataFrame:
     """Write decided requests to the run's folder and read them back.
 

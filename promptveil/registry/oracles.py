@@ -377,3 +377,12 @@ ORACLES: dict[str, str] = {
         quantile_disc(latency_ms, 0.99) AS p99 FROM flow GROUP BY 1""",
 }
 ORACLES["source_audit_split"] = ORACLES["source_audit"]
+ORACLES["vault_opened"] = ORACLES["pii_vault"]
+PLANTED = ("(SELECT doc_id, text || chr(10) || 'id ' || (doc_id % 800 + 100) || '-' || (doc_id % 80 + 10) || '-' || "
+           "(doc_id % 8000 + 1000) || ', lives at ' || (doc_id % 200 + 1) || ' Old Mill Road, says so.' AS text FROM documents)")
+ORACLES["pii_planted"] = (f"WITH {pii_ctes(PLANTED, 'doc_id', 'text')} SELECT doc_id, label, count(*) AS n "
+                          f"FROM ({pii_entries('doc_id')}) GROUP BY 1, 2")
+ORACLES["redacted_prompts"] = f"""{FLOW} SELECT request_id, CASE WHEN terminating_stage IS NULL
+    OR terminating_stage IN ('proxy', 'egress') THEN md5(t) END AS prompt_md5 FROM flow JOIN pii USING (doc_id)"""
+ORACLES["audit_outcomes"] = f"""{ECHO_FLOW} SELECT decision, status_code, terminating_stage, count(*) AS n FROM flow
+    GROUP BY ALL"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -193,6 +194,26 @@ def pii_vault(spark, folder):
         F.regexp_replace("original", ACCENTED, "z").alias("original"))
 
 
+def vault_opened(spark, folder):
+    """The vault sealed and opened again, with a key column that a table gives."""
+    vault = redact.vault_rows(redacted_documents(spark, folder), "doc_id")
+    keyed = vault.withColumn("key", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 16))
+    closed = written(redact.sealed(keyed, F.col("key")), "sealed")
+    return redact.opened(closed, F.col("key")).select(
+        "doc_id", "label", F.col("idx").cast("bigint").alias("idx"), "placeholder",
+        F.regexp_replace("original", ACCENTED, "z").alias("original"))
+
+
+def pii_planted(spark, folder):
+    """Counts with an identity number and an address, made from the key, added to every text."""
+    doc = F.col("doc_id")
+    number = lambda of, least: (F.pmod(doc, F.lit(of)) + least).cast("string")
+    more = F.concat(F.lit("\nid "), number(800, 100), F.lit("-"), number(80, 10), F.lit("-"), number(8000, 1000),
+                    F.lit(", lives at "), number(200, 1), F.lit(" Old Mill Road, says so."))
+    docs = documents(spark, folder).select("doc_id", F.array(F.concat("text", more)).alias("texts"))
+    return (redact.vault_rows(redact.scrub(docs), "doc_id").groupBy("doc_id", "label").agg(F.count("*").alias("n")))
+
+
 def pii_counts(spark, folder):
     counted = redacted_documents(spark, folder).select(
         "doc_id", F.explode(redact.counts_by_label(F.col("vault"))).alias("label", "n"))
@@ -454,6 +475,21 @@ def audit_rows_large_dictionary(spark, folder):
     return flat_audit(decisions.audit_rows(decided_rows, DEMO.provider))
 
 
+def redacted_prompts(spark, folder):
+    """The audit with scrubbed prompts, as the setting asks for."""
+    rows = plan.audit(decided(spark, folder), replace(DEMO, store_redacted_prompt=True))
+    return rows.select("request_id", F.md5(F.regexp_replace("redacted_prompt", ACCENTED, "z")).alias("prompt_md5"))
+
+
+def audit_outcomes(spark, folder):
+    """The narrow projection, from a stored audit of which only its columns are read."""
+    path = run_folder(spark, "audit")
+    audit_store.write_audit(plan_echo_audit(spark, folder), path, 0)
+    columns = ["decision", "status_code", "terminating_stage"]
+    back = audit_store.outcomes(audit_store.read_audit(spark, path, ("2024-01-01", None), columns))
+    return back.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("status_code", F.col("status_code").cast("bigint"))
+
+
 def flat_audit(rows):
     return rows.select(
         "request_id", F.unix_micros("ts").alias("micros"), "user_id", "client_ip", "decision", "terminating_stage",
@@ -578,10 +614,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     conv_requests, validate_requests, quarantined_requests, request_parse, stored_requests,
     signature_file, pattern_count, scan_distinct, scan_join, scan_offsets, scan_names, scan_hit_counts, scan_blocked,
     scan_clean, ingress_scan, message_scan, egress_scan,
-    pii_vault, pii_counts, pii_redacted, pii_restore, page_pii_counts, message_vault, message_redacted,
+    pii_vault, vault_opened, pii_planted, pii_counts, pii_redacted, pii_restore, page_pii_counts, message_vault, message_redacted,
     entity_spans, entity_spans_join, entity_vault, entity_restored, span_vault,
     rate_outcomes, rate_outcomes_pieces, stream_rate_outcomes, auth_outcomes, metered_events,
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
     response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit,
-    source_audit_split, audit_upsert, echo_audit,
+    source_audit_split, redacted_prompts, audit_outcomes, audit_upsert, echo_audit,
     stream_audit, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from promptveil.operators import decisions, providers
+from promptveil.operators import providers
 from promptveil.plans import requests as plan
 from promptveil.plans.requests import Dictionaries
 from promptveil.session import written
@@ -45,7 +45,7 @@ def audit_stream(requests: DataFrame, words: Dictionaries, settings: Settings, a
     def land(batch: DataFrame, batch_id: int) -> None:
         # the rest is the batch plan over the micro-batch, stored because more than one join may read it
         decided = plan.decided_from(written(batch, "micro-batch"), words, settings, responses)
-        write_audit(decisions.audit_rows(decided, settings.provider, settings.store_redacted_prompt), audit_path, batch_id)
+        write_audit(plan.audit(decided, settings), audit_path, batch_id)
 
     return (limited.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
