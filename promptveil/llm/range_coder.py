@@ -147,12 +147,10 @@ class Model:
             self._order0()
 
 
-def _layout(n: int, lanes: int) -> tuple[int, int, np.ndarray]:
-    """Steps, lanes with a symbol in the last step, first symbol of each lane."""
+def _layout(n: int, lanes: int) -> tuple[int, int]:
+    """Steps, and lanes with a symbol in the last step; the first lanes are the full ones."""
     steps = -(-n // lanes)
-    full = n - (steps - 1) * lanes
-    lane = np.arange(lanes)
-    return steps, full, lane * (steps - 1) + np.minimum(lane, full)
+    return steps, n - (steps - 1) * lanes
 
 
 def lanes_for(n: int, most: int = 8192) -> int:
@@ -164,9 +162,10 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint16), np.zeros(lanes, np.uint32)
-    steps, full, starts = _layout(n, lanes)
-    order = starts[None, :] + np.arange(steps)[:, None]
-    source = ids.astype(np.int64)[np.minimum(order, n - 1)]  # a row for each step
+    steps, full = _layout(n, lanes)
+    source = np.zeros((steps, lanes), np.int32)  # a row for each step
+    source[:, :full] = ids[:full * steps].reshape(full, steps).T
+    source[:steps - 1, full:] = ids[full * steps:].reshape(lanes - full, steps - 1).T
     model = Model(alphabet)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
     before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
@@ -190,7 +189,7 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
 
     for t in range(steps):
         k = lanes if t < steps - 1 else full
-        x = source[t, :k]
+        x = source[t, :k].astype(np.int64)
         now = last[:k]
         at, e2, e1, c2, c1, sure2, sure1, state = model.look(before[:k], now)
         hit2, hit1 = c2 == x, c1 == x
@@ -215,7 +214,8 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
         words.append((low >> np.uint64(shift)).astype(np.uint16))
         owners.append(every)
     owner = np.concatenate(owners)
-    return np.concatenate(words)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=lanes).astype(np.uint32)
+    per_lane = np.bincount(owner, minlength=lanes).astype(np.uint32)
+    return np.concatenate(words)[np.argsort(owner, kind="stable")], per_lane
 
 
 def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np.ndarray:
@@ -223,7 +223,7 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
     if n == 0:
         return np.zeros(0, np.int64)
     lanes = len(per_lane)
-    steps, full, starts = _layout(n, lanes)
+    steps, full = _layout(n, lanes)
     ends = np.cumsum(per_lane.astype(np.int64))
     at_word = ends - per_lane
     words = np.concatenate([words, np.zeros(4, np.uint16)]).astype(np.uint64)
@@ -234,7 +234,7 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
         code = code << _W | words[at_word]
         at_word = at_word + 1
     before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
 
     def settle(lo, ra, co, at):
         i = np.flatnonzero(((lo ^ (lo + ra)) < _LINE) | (ra < _BOT))
@@ -256,9 +256,9 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
         at, e2, e1, c2, c1, sure2, sure1, state = model.look(before[:k], now)
         lo, ra, co, wo = low[:k], rng[:k], code[:k], at_word[:k]
         part = ra >> np.uint64(FLAG_BITS)
-        value = (co - lo) // part
-        hit2 = value < _take(model.edge2, state)
-        escape = value >= _take(model.edge1, state)
+        above = co - lo  # against the edges times the part: a product is cheaper than a quotient
+        hit2 = above < part * _take(model.edge2, state)
+        escape = above >= part * _take(model.edge1, state)
         spot = state * 3 + np.where(hit2, 0, 1 + escape)
         lo += part * _take(model.cum, spot)
         np.multiply(part, _take(model.freq, spot), out=ra)

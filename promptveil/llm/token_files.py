@@ -33,8 +33,9 @@ from promptveil.llm.common import pieces, small_batches, utf8, worker_cache
 BLOCK = 1 << 21
 _MAGIC = b"IDC1"
 _HEAD = "<4sIIIQQ"
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 400_000
 _MEMO_BYTES = 64
+_TOGETHER = 8 << 20
 _MARKED = r"([a-z])([.,;:!?%&*#$]+)([ \t-\r]|$)"
 
 
@@ -221,9 +222,16 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str
         coder = encoder(tokenizer)
 
         def rows():
+            # several batches at a time: the more text, the fewer distinct words for each of its words
+            ids_of, texts, held = [], [], 0
             for batch in batches:
-                found = coder.encode(list(utf8(batch.column("text"))))
-                yield from zip(batch.column("id").to_pylist(), (ids + end for ids in found), strict=True)
+                ids_of += batch.column("id").to_pylist()
+                texts += utf8(batch.column("text"))
+                held += batch.column("text").nbytes
+                if held > _TOGETHER:
+                    yield from zip(ids_of, (ids + end for ids in coder.encode(texts)), strict=True)
+                    ids_of, texts, held = [], [], 0
+            yield from zip(ids_of, (ids + end for ids in coder.encode(texts)), strict=True)
 
         part = TaskContext.get().partitionId()
         for n, (first, size, data) in enumerate(_blocks(rows(), max(coder.alphabet, end_id + 1), block)):
