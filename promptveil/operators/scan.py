@@ -32,15 +32,19 @@ INNER_WORD_START = rf"(?s)[^a-z0-9](?=([a-z0-9].{{{ANCHOR - 1}}}))"
 # bounds for a dictionary held in the plan
 MAX_SIGNATURES = 20_000
 MAX_DIRECT = 200
+# so few signatures are looked for one by one: quicker than taking anchors from every text
+FEW = 32
 HIT = "struct<sig_id:int,pattern:string,name:string>"
 
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Signatures small enough for the plan; ``direct`` ones have no usable anchor."""
+    """Signatures small enough for the plan; ``direct`` ones have no usable anchor, ``gated`` ones are looked for only
+    in texts that hold one of them."""
 
     anchored: dict[str, list[dict]]
     direct: list[dict]
+    gated: bool = True
 
 
 def read_dictionary(signatures: DataFrame) -> Dictionary | None:
@@ -55,6 +59,8 @@ def read_dictionary(signatures: DataFrame) -> Dictionary | None:
         for gram in choices:
             grams[gram] += 1
         entries.append(({"sig_id": row["sig_id"], "pattern": pattern, "name": row["name"]}, choices))
+    if len(entries) <= FEW:
+        return Dictionary({}, [entry for entry, _ in entries], gated=False)
     anchored, direct = defaultdict(list), []
     for entry, choices in entries:
         if choices:  # the gram shared with the fewest other signatures
@@ -93,6 +99,8 @@ def candidates_column(text: Column, dictionary: Dictionary) -> Column:
         found.append(F.flatten(F.transform(known, signatures_of)))
     if dictionary.direct:
         entries = F.from_json(F.lit(json.dumps(dictionary.direct)), f"array<{HIT}>")
+        if not dictionary.gated:
+            return entries
         gate = "(?i)" + alternation(entry["pattern"] for entry in dictionary.direct)
         found.append(F.when(F.rlike(text, F.lit(gate)), entries).otherwise(F.slice(entries, 1, 0)))
     if not found:

@@ -7,6 +7,12 @@ from promptveil.operators import message_rows, scan
 from promptveil.sources import signatures as source
 
 
+@pytest.fixture(autouse=True, params=[0, scan.FEW], ids=["anchors", "one by one"])
+def few(request, monkeypatch):
+    """Every test both through anchors and with few signatures looked for one by one."""
+    monkeypatch.setattr(scan, "FEW", request.param)
+
+
 def table(spark, patterns):
     return spark.createDataFrame([(i, None, p, p) for i, p in enumerate(patterns)],
                                  "sig_id int, category string, pattern string, name string")
