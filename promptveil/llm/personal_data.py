@@ -36,7 +36,7 @@ KINDS = (*BASE_KINDS, "id", "secret")
 LABELERS = 6
 KEEP = 0.5
 LENGTHS = (8, 14, 20)
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = len(KINDS) * 3 ** LABELERS * (len(LENGTHS) + 1)  # all there can be
 #: Shares of no, nothing and yes that true and false spans get, before any data: from the rule, from another labeler.
 PRIOR = (((0.02, 0.25, 0.73), (0.5, 0.25, 0.25)), ((0.25, 0.25, 0.5), (0.5, 0.25, 0.25)))
 
