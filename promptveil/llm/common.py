@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -44,3 +46,10 @@ def pieces(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
         yield data[start:cut.start()]
         start = cut.start()
     yield data[start:] if start else data
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: workers live on, and other stages need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)

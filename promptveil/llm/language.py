@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptveil.llm.common import small_batches, worker_cache
+from promptveil.llm.common import give_back, small_batches, worker_cache
 from promptveil.session import read_bounded
 
 PROFILE = 400
@@ -125,6 +125,7 @@ def profiles(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts)],
                     names=["lang", "gram", "n"])
+        give_back()
 
     counted = (small_batches(df).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
                .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptveil.llm.common import pieces, small_batches, utf8
+from promptveil.llm.common import give_back, pieces, small_batches, utf8
 from promptveil.session import written
 
 SEED = 42
@@ -102,6 +102,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = fingerprints_of(utf8(batch.column("text")), words)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found), batch.column("mark")],
                                              names=["id", "fp", "mark"])
+        give_back()
 
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.LongType()),
                            T.StructField("mark", T.LongType())])

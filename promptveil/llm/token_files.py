@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptveil.llm import range_coder
-from promptveil.llm.common import pieces, small_batches, utf8, worker_cache
+from promptveil.llm.common import give_back, pieces, small_batches, utf8, worker_cache
 
 BLOCK = 1 << 21
 _MAGIC = b"IDC1"
@@ -238,6 +238,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()),
                                               pa.array([first]), pa.array([size]), pa.array([data], pa.binary())],
                                              names=["part", "block", "first", "n_ids", "data"])
+        give_back()
 
     dealt = (small_batches(df).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
              .repartitionByRange(parts, F.col("id").asc_nulls_first(), F.xxhash64("text"))
@@ -288,6 +289,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             if len(docs) >= 10_000:
                 yield flush()
         yield flush()
+        give_back()
 
     return small_batches(_stored(spark, path)).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
