@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from promptveil.llm import language
 from promptveil.llm.queries import tokenizer_path
@@ -46,6 +48,18 @@ def test_what_is_no_language_goes(spark, folder, documents):
     assert kept == {d for d, *_ in documents[:80]}
 
 
+def test_no_language_learned(spark, folder, documents):
+    rows = [(d, t, None, s, len(t)) for d, t, _, s in documents[:20]]
+    rows += [(1000, None, None, "a", 0), (1001, "", None, "a", 0), (1002, "12 34 !!", None, "a", 8), (1003, "東京都", None, "a", 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.spoken(spark, df, folder)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, *_ in documents[:20]} | {1003}
+    one = df.where(language.bucket(F.col("doc_id"), 4) == 2).withColumn("lang", F.lit("en"))  # labels held out only
+    clean = one.where("doc_id < 1000")
+    assert clean.count() > 0 and corpus_pipeline.spoken(spark, clean, folder).count() == clean.count()
+
+
 def test_no_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES[:-1]:
