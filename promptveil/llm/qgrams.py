@@ -180,7 +180,8 @@ class Index:
         need = np.array([budget[n][1] for n in length.tolist()])
         width = np.maximum(edits, 1)
         for shift in (0, 1):
-            band = diagonal // width - shift
+            band = (diagonal + shift * width) // (2 * width)  # from low to low + 2 * width - 1
+            low = band * 2 * width - shift * width
             order = np.lexsort((spot, band, owner, text))
             o, b, t, s = owner[order], band[order], text[order], spot[order]
             # the gram that completes the count, for each gram
@@ -191,7 +192,7 @@ class Index:
             ok &= s[last] - s <= np.minimum(length[order], self.window) + edits[order] - q
             i = np.flatnonzero(ok)
             if len(i):
-                runs = np.stack([t[i], o[i], b[i] * width[order][i], width[order][i], s[i] - diagonal[order][i],
+                runs = np.stack([t[i], o[i], low[order][i], width[order][i], s[i] - diagonal[order][i],
                                  s[last[i]] - diagonal[order][last[i]]], axis=1)
                 out += self._verified(runs, waiting, begins)
         return out

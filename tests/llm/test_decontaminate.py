@@ -65,6 +65,28 @@ def test_against_all_alignments(seed):
         assert abs(len(part) - len(window)) <= f[5] and least_edits(window, part) <= f[5]
 
 
+@pytest.mark.parametrize("size", [20, 25, 30, 38, 49, 50, 62, 75, 95, 99, 100])
+def test_full_budget_of_insertions(size):
+    """Edits at even distances, as many as allowed, in every direction: none may be lost between bands."""
+    rng = random.Random(size)
+    for case in range(60):
+        item = "".join(rng.choice("abcdefgh") for _ in range(size))
+        index = qgrams.Index([(1, item)])
+        k = index._budget(size)[0]
+        out = list(item)
+        for n in range(k, 0, -1):
+            at = n * size // (k + 1)
+            if case % 3 == 2:
+                del out[at]
+            else:
+                out.insert(at, rng.choice("xyz"))
+        text = "".join(rng.choice("abcdefgh") for _ in range(case)) + "".join(out) + "".join(
+            rng.choice("abcdefgh") for _ in range(20))
+        want = least_edits(index.points[0], qgrams.folded(text))
+        assert want <= k
+        assert min((f[5] for f in index.find([text])), default=None) == want, (size, case)
+
+
 def test_few_shared_grams():
     item = "the quick brown fox jumps over the lazy dog and runs away from the old farm where nobody lives any more"
     assert qgrams.Index([(1, item)]).find(["a quick brown fox", "lazy dog and", ""]) == []
