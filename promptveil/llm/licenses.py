@@ -4,7 +4,8 @@ A text becomes its words (ASCII letters in lower case, digits, all of non-ASCII;
 a space before and after, so that two spaces lie between words and matches of neighbours share no character. The base
 phrases are counted and placed in it. Then the rules run:
 
-1. prefilter: a text that holds none of ``GATES`` has no detection, and a rule runs only on texts that hold its keyword;
+1. prefilter: a rule runs only on texts that hold its keyword, and none on texts without one of ``GATES``. Every match of
+   a rule holds its keyword and a gate, so both lose nothing;
 2. a rule's regular expression is matched over the words; every match is an interval of words;
 3. suppression: intervals are visited by start, longer first, then by priority; one that lies inside an interval of the
    same or a better priority is dropped. One running end per priority tells that, in one sorted pass over the
@@ -52,7 +53,7 @@ LICENSES = (
     ("isc", "isc", "isc", "", "isc", "opensource org licenses isc"),
     ("zlib", "zlib", "zlib(?: libpng)?", "", "zlib", "opensource org licenses zlib"),
     ("unlicense", "unlicense", "unlicense", "", "unlicense", "unlicense org"),
-    ("wtfpl", "wtfpl", "wtf public|wtfpl", "2", "wtfpl", "wtfpl net"),
+    ("wtfpl", "wtf", "wtf public|wtfpl", "2", "wtfpl", "wtfpl net"),
     ("boost", "boost", "boost software", "1 0", "bsl 1 0", "boost org license"),
     ("eupl", "european", "european union public", "1 1|1 2", "eupl", "joinup ec europa eu"),
     ("cecill", "cecill", "cecill(?: free software)?", "1 0|2 0|2 1", "cecill", "cecill info"),
@@ -77,7 +78,7 @@ LICENSES = (
     ("cc-by-sa", "creative", "creative commons attribution share ?alike", "2 0|2 5|3 0|4 0", "cc by sa",
      "creativecommons org licenses by sa"),
     ("cc-by", "creative", "creative commons attribution", "2 0|2 5|3 0|4 0", "cc by", "creativecommons org licenses by"),
-    ("cc0", "creative", "creative commons zero|cc zero|cc0", "1 0", "cc0", "creativecommons org publicdomain zero"),
+    ("cc0", "c", "creative commons zero|cc zero|cc0", "1 0", "cc0", "creativecommons org publicdomain zero"),
     ("postgresql", "postgresql", "postgresql", "", "postgresql", "postgresql org about licence"),
     ("openssl", "openssl", "openssl", "", "openssl", "openssl org source license"),
     ("curl", "curl", "curl", "", "curl", "curl se docs copyright"),
@@ -99,16 +100,11 @@ NOTICES = (
     ("public-domain", "domain", "public domain (?:work|mark|notice)", 2, 0.7),
     ("proprietary", "proprietary", "proprietary and confidential", 2, 0.8),
     ("permissive", "charge", "permission is hereby granted free of charge", 2, 0.9),
-    ("permissive", "fee", "permission to use copy modify (?:and or |and )?distribute", 2, 0.9),
+    ("permissive", "permission", "permission to use copy modify (?:and or |and )?distribute", 2, 0.9),
     ("permissive", "redistribution", "redistribution and use in source and binary forms", 2, 0.9),
     ("no-warranty", "warrant", "without warranty of any kind", 3, 0.3),
-    ("no-warranty", "warrant", "provided as is without", 3, 0.3),
+    ("no-warranty", "provided", "provided as is without", 3, 0.3),
 )
-#: What one of must stand in a text (as one of its words' parts) for any rule to run.
-GATES = ("licen", "copyright", "reserved", "cc by", "cc0", "spdx", "public domain", "permission", "redistribution",
-         "proprietary", "warrant")
-
-
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, expression over words one space apart, priority from 1, confidence), in order."""
     made = []
@@ -127,6 +123,22 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return made + list(NOTICES)
 
 
+def _gates() -> tuple[str, ...]:
+    """Parts of words of which every match of every rule holds one; none holds another."""
+    held = {"licen", "released under", "distributed under", "spdx"}
+    for _, _, _, _, short, host in LICENSES:
+        held |= {host} | ({short} if " " in short else set())
+    held |= {"rights reserved", "rights are reserved", "copyright", "the public domain", "public domain work",
+             "public domain mark", "public domain notice", "proprietary and confidential", "permission is hereby granted",
+             "permission to use copy modify", "redistribution and use in source", "without warranty of any kind",
+             "provided as is without"}
+    return tuple(sorted(g for g in held if not any(h != g and h in g for h in held)))
+
+
+#: What one of must stand in a text (as one of its words' parts) for any rule to run: implied by the rules.
+GATES = _gates()
+
+
 def spaced(expression: str) -> str:
     """An expression over words one space apart, made to match words with a space on each side."""
     return " " + expression.replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?") + " "

@@ -70,3 +70,47 @@ def test_suppression_against_plain_python(spark):
                 want.add((doc, f[4], f[0], f[1], f[2]))
     assert got == want and len(want) > 20
     assert len(licenses.rules()) > 200
+
+
+def alternatives(expr):
+    """Some texts that an expression over words matches: each of the words it offers at every place, once."""
+    import re._parser as parser
+
+    def made(tree):
+        outs = [""]
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                parts = [chr(arg)]
+            elif name == "IN":
+                parts = [chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])]
+            elif name == "SUBPATTERN":
+                parts = made(arg[3])
+            elif name == "BRANCH":
+                parts = [p for branch in arg[1] for p in made(branch)]
+            else:
+                assert name == "MAX_REPEAT", name
+                parts = ([""] if arg[0] == 0 else []) + made(arg[2])
+            outs = [o + p for o in outs for p in parts]
+        return outs
+
+    return made(parser.parse(expr))
+
+
+def test_every_rule_by_itself_passes_the_prefilter():
+    for label, keyword, expr, _, _ in licenses.rules():
+        for text in alternatives(expr):
+            line = "".join(f" {w} " for w in text.split())
+            assert re.search(licenses.spaced(expr), line), (expr, text)
+            assert keyword in line and any(g.replace(" ", "  ") in line for g in licenses.GATES), (label, text)
+
+
+def test_short_forms_without_other_words(spark):
+    rows = [(1, "Released under the GPL v2", "gpl", 0.9), (2, "distributed under the MIT", "mit", 0.9),
+            (3, "see https://mozilla.org/MPL/2.0/", "mpl", 0.95), (4, "wtfpl.net", "wtfpl", 0.95), (5, "BSD-3-Clause", "bsd-3", 0.7),
+            (6, "WTF Public License", "wtfpl", 0.9), (7, "CC0 license", "cc0", 0.9), (8, "released into the wild", "", 0.0),
+            (9, "provided as is without", "no-warranty", 0.3), (10, "permission to use, copy, modify and distribute", "permissive", 0.9)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(df).collect()}
+    for d, _, label, score in rows:
+        assert label in got[d][0].split(",") and got[d][1] == score, (d, got[d])
