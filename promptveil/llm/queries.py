@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import decontaminate, graph_search, language, licenses, mixing, personal_data, simhash, token_counts, token_files, toxicity
+from promptveil.llm import (decontaminate, graph_search, language, length_strata, licenses, link_graph, mixing, personal_data, simhash,
+                            token_counts, token_files, toxicity, vector_codes)
 from promptveil.llm.common import table
 from promptveil.session import run_folder
 
@@ -96,8 +97,21 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return length_strata.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return link_graph.judged(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data, "op2_token_counts": op2_token_counts,
     "op3_licenses": op3_licenses, "op4_mix": op4_mix, "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity, "op7_token_files": op7_token_files, "op8_graph_search": op8_graph_search,
-    "op9_simhash": op9_simhash, "op10_language": op10_language}
+    "op9_simhash": op9_simhash, "op10_language": op10_language, "op11_vector_codes": op11_vector_codes,
+    "op12_ranked_search": op12_ranked_search, "op13_url_filter": op13_url_filter}
