@@ -4,6 +4,10 @@ A string of n characters that occurs with at most k edits shares at least n + 1
 on diagonals (place in the text minus place in the string) that differ by at most k. Shared grams are counted in bands
 of 2k diagonals that overlap by k, so one band holds all those of an occurrence; a band is a candidate where that many
 of its grams lie within n + k characters. Candidates are verified by alignment within a band of diagonals.
+
+Windows of a long string are verified at every ``STRIDE``-th place first. Where none of them is found, a part of the string
+may still be there: every window that can hold a candidate's first gram is verified then, at any place, and the one of
+fewest edits is taken. A text that holds any window of a string within the budget is found.
 """
 
 from __future__ import annotations
@@ -88,14 +92,15 @@ class Index:
             number = len(self.ids)
             self.ids.append(item)
             self.points.append(points)
-            if not len(points):
+            if len(points) < 2 * q:
                 continue
             own = gram_hashes(points, q)
             grams.append(own)
             owners.append(np.full(len(own), number))
             places.append(np.arange(len(own)))
         self.starts = [self._starts(len(p), stride) for p in self.points]
-        self.tiny = [n for n, p in enumerate(self.points) if 0 < len(p) < 2 * q]  # whole and exact
+        self.strided = [set(s) for s in self.starts]
+        self.tiny = [n for n, p in enumerate(self.points) if 0 < len(p) < 2 * q]  # exact, see _exact
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
@@ -179,6 +184,7 @@ class Index:
         edits = np.array([budget[n][0] for n in length.tolist()])
         need = np.array([budget[n][1] for n in length.tolist()])
         width = np.maximum(edits, 1)
+        candidates = []
         for shift in (0, 1):
             band = (diagonal + shift * width) // (2 * width)  # from low to low + 2 * width - 1
             low = band * 2 * width - shift * width
@@ -194,18 +200,37 @@ class Index:
             if len(i):
                 runs = np.stack([t[i], o[i], low[order][i], width[order][i], s[i] - diagonal[order][i],
                                  s[last[i]] - diagonal[order][last[i]]], axis=1)
-                out += self._verified(runs, waiting, begins)
-        return out
+                candidates += runs.tolist()
+        hits = self._aligned(self._strided(candidates), waiting, begins)
+        met = {h[:2] for h in hits}
+        best: dict[tuple[int, int], tuple[int, ...]] = {}
+        for h in self._aligned(self._between([c for c in candidates if (c[0], c[1]) not in met]), waiting, begins):
+            if h[:2] not in best or (h[5], h[2], h[3]) < (best[h[:2]][5], best[h[:2]][2], best[h[:2]][3]):
+                best[h[:2]] = h
+        return out + [(waiting[h[0]][0], *h[1:]) for h in [*hits, *best.values()]]
 
-    def _verified(self, runs: np.ndarray, waiting, begins) -> list[tuple[int, int, int, int, int, int]]:
-        """Aligns every window that a run of shared grams (between two places of an item) may belong to."""
+    def _strided(self, candidates) -> set[tuple[int, ...]]:
+        """The windows at strides that a run of shared grams (between two places of an item) may belong to."""
         asked = set()
-        for text, owner, low, width, one, two in runs.tolist():
+        for text, owner, low, width, one, two in candidates:
             size = min(self.window, len(self.points[owner]))
             one, two = min(one, two), max(one, two) + self.q
             for start in self.starts[owner]:
                 if start < two + 3 * width and one - 3 * width < start + size:
                     asked.add((text, owner, low, width, start))
+        return asked
+
+    def _between(self, candidates) -> set[tuple[int, ...]]:
+        """The other windows that hold the first gram of a run."""
+        asked = set()
+        for text, owner, low, width, one, _ in candidates:
+            last = len(self.points[owner]) - self.window
+            for start in range(max(0, one + self.q - self.window), min(one, last) + 1):
+                asked.add((text, owner, low, width, start))
+        return {a for a in asked if a[4] not in self.strided[a[1]]}
+
+    def _aligned(self, asked, waiting, begins) -> list[tuple[int, int, int, int, int, int]]:
+        """The windows (place in ``waiting``, item, low diagonal, width, start) that are found, aligned."""
         out = []
         by_shape: dict[tuple[int, int], list[tuple[int, ...]]] = {}
         for a in asked:
@@ -236,15 +261,23 @@ class Index:
                 for j, n in enumerate(hit):
                     t, owner, _, _, start = chunk[n]
                     close = begin[n] + int(end[n]) + waiting[t][1]
-                    out.append((waiting[t][0], owner, start, close - int(long[j]), close, int(cost[n])))
+                    out.append((t, owner, start, close - int(long[j]), close, int(cost[n])))
         return out
 
     def _exact(self, number: int, waiting) -> list[tuple[int, int, int, int, int, int]]:
-        own = self.points[number].tobytes()
+        """Places of an item of under two grams, as whole words; an item of under one gram is no passage and has to be the
+        whole text."""
+        points = self.points[number]
+        own = points.tobytes()
         out = []
-        for text, offset, points in waiting:
-            line, at = points.tobytes(), -1
+        for text, offset, part in waiting:
+            line, at = part.tobytes(), -1
             while (at := line.find(own, at + 1)) >= 0:
-                if at % 4 == 0:
-                    out.append((text, number, 0, offset + at // 4, offset + (at + len(own)) // 4, 0))
+                start, end = at // 4, (at + len(own)) // 4
+                around = [chr(int(part[i])) for i in (start - 1, end) if 0 <= i < len(part)]
+                if at % 4 or any(map(str.isalnum, around)):
+                    continue
+                if len(points) < self.q and (offset or (part[:start] != 32).any() or (part[end:] != 32).any()):
+                    continue
+                out.append((text, number, 0, offset + start, offset + end, 0))
         return out

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -53,7 +54,7 @@ def test_against_all_alignments(seed):
             for start in index.starts[i]:
                 window = points[start:start + index.window]
                 if i in index.tiny:
-                    want, budget = least_edits(window, text), 0
+                    want, budget = 0 if re.search(r"(?<!\w)tiny piece(?!\w)", "".join(map(chr, text.tolist()))) else 1, 0
                 else:
                     want, budget = least_edits(window, text), index._budget(len(points))[0]
                 assert (n, i, start) in got if want <= budget else (n, i, start) not in got, (n, i, start, want)
@@ -87,6 +88,37 @@ def test_full_budget_of_insertions(size):
         assert min((f[5] for f in index.find([text])), default=None) == want, (size, case)
 
 
+@pytest.mark.parametrize("size", [100, 105, 110, 120, 130, 150])
+def test_excerpts_from_any_place(size):
+    """A part of an item, as it is or with as many edits as a window may have, is found wherever it begins."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    item = " ".join(word() for _ in range(90))[:400]
+    index = qgrams.Index([(1, item)])
+    texts, tight = [], []
+    for case in range(100):
+        at = rng.randrange(len(item) - size + 1)
+        part = item[at:at + size] if case % 2 else edited(rng, item[at:at + 100], 8)
+        texts.append(" ".join(word() for _ in range(case)) + "#" + part + "#" + " ".join(word() for _ in range(20)))
+    got = {f[0]: f for f in index.find(texts)}
+    points = qgrams.folded(item)
+    for n, text in enumerate(texts):
+        if n % 2:
+            assert n in got and got[n][5] <= 8
+        elif n % 10 == 0:  # against every window of the item
+            least = min(least_edits(points[a:a + 100], qgrams.folded(text)) for a in range(len(points) - 99))
+            assert (n in got) == (least <= 8)
+            tight.append(least)
+    assert min(tight) >= 3
+
+
+def test_items_of_few_characters():
+    index = qgrams.Index([(1, "a"), (2, "x yz"), (3, "twelve chars"), (4, "the")])
+    found = {f[:2] for f in index.find(["a cat and the x yz", "A", " x  yz", "x\nyz ", "so twelve  chars", "mytwelve chars", "my Twelve chars.",
+                                        "twelve chars", "the"])}
+    assert found == {(1, 0), (3, 1), (6, 2), (7, 2), (8, 3)}
+
+
 def test_few_shared_grams():
     item = "the quick brown fox jumps over the lazy dog and runs away from the old farm where nobody lives any more"
     assert qgrams.Index([(1, item)]).find(["a quick brown fox", "lazy dog and", ""]) == []
@@ -122,6 +154,9 @@ def test_odd_rows(spark, monkeypatch):
         assert sorted(((r[0], r[1]) for r in decontaminate.matches(df, items).collect()), key=repr) == want
         kept = decontaminate.clean(df, items)
         assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
+    twice = items.union(items.where("item_id = 1")).union(items.where("item_id = 1").withColumn("item_id", F.lit(9).cast("bigint")))
+    assert sorted(((r[0], r[1]) for r in decontaminate.matches(df, twice).collect()), key=repr) == sorted(
+        [*want, *[(d, i) for d, i in want if i == 1], *[(d, 9) for d, i in want if i == 1]], key=repr)
     assert decontaminate.matches(df.where("false"), items).count() == 0
     assert decontaminate.matches(df, items.where("false")).count() == 0
     assert decontaminate.clean(df, items.where("false")).count() == len(rows)
