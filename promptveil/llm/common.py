@@ -30,6 +30,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The texts of an Arrow column as UTF-8, one at a time; null is empty."""
     for value in column.cast(pa.binary()):

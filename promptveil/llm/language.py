@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptveil.llm.common import give_back, small_batches, worker_cache
+from promptveil.llm.common import give_back, small_batches, unused, worker_cache
 from promptveil.session import read_bounded
 
 PROFILE = 400
@@ -171,16 +171,22 @@ def learned(train: DataFrame, lang_col: str = "lang", text_col: str = "text", si
     return Ranks(rows, size)
 
 
-def identified(df: DataFrame, ranks: Ranks, text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score; its own columns pass through."""
+def nearest(ranks: Ranks):
+    """A function of a text column: struct(lang_pred, score)."""
     @F.pandas_udf("lang_pred string, score double")
-    def nearest(texts):
+    def named(texts):
         import pandas as pd
         return pd.DataFrame([ranks.nearest(t) for t in texts], columns=["lang_pred", "score"])
 
-    mine = [c for c in df.columns if c not in ("lang_pred", "score")]
-    found = small_batches(df).select(*mine, nearest(F.col(text_col)).alias("_found"))
-    return found.select(*mine, "_found.lang_pred", "_found.score")
+    return named
+
+
+def identified(df: DataFrame, ranks: Ranks, text_col: str = "text") -> DataFrame:
+    """``df`` with lang_pred and score, in place of columns of these names; its other columns pass through."""
+    [found] = unused(df, "found")
+    mine = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
+    return small_batches(df).withColumn(found, nearest(ranks)(F.col(text_col))).select(
+        *[F.col(f"`{c}`") for c in mine], f"{found}.lang_pred", f"{found}.score")
 
 
 def identify(df: DataFrame, train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

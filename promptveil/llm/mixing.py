@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptveil.llm.common import unused
 from promptveil.session import written
 
 WEIGHTS = (5, 2, 1)
@@ -102,8 +103,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken, its columns unchanged."""
     _, rates = plan(df, id_col, text_col, source_col)
-    narrow = rates.select(F.col("source").alias("_of"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    times = copies(F.col("_rate"), F.col("_seed"), F.col(id_col))
-    return (df.join(narrow, F.col(source_col).eqNullSafe(F.col("_of")))
-            .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-            .select(*df.columns))
+    names = unused(df, "of", "rate", "seed", "copy")
+    of, rate, seed, copy = names
+    narrow = rates.select(F.col("source").alias(of), F.col("rate").alias(rate), F.col("seed").alias(seed))
+    times = copies(F.col(rate), F.col(seed), F.col(id_col))
+    return (df.join(narrow, F.col(source_col).eqNullSafe(F.col(of)))
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop(*names))

@@ -39,9 +39,8 @@ def _count(words: str) -> str:
 
 
 def _op3() -> str:
-    rows = ",\n".join(f"({n}, '{label}', '{keyword}', '{licenses.spaced(expr)}', {priority}, {score}::DOUBLE)"
-                      for n, (label, keyword, expr, priority, score) in enumerate(licenses.rules()))
-    gate = " OR ".join(f"contains(line, '{g.replace(' ', '  ')}')" for g in licenses.GATES)
+    rows = ",\n".join(f"({n}, '{label}', '{licenses.spaced(expr)}', {priority}, {score}::DOUBLE)"
+                      for n, (label, _, expr, priority, score) in enumerate(licenses.rules()))
     n, first, last, labels = [], [], [], []
     for phrase, label in licenses.BASE:
         cut, size = f"string_split(line, '{licenses.spaced(phrase)}')", len(phrase.split())
@@ -59,10 +58,9 @@ counted AS (SELECT *, {_count('line')}::BIGINT AS n_words FROM lines),
 base AS (SELECT doc_id, n_words, ({' + '.join(n)})::BIGINT AS n_base, least({', '.join(first)})::BIGINT AS first_word,
     greatest({', '.join(last)})::BIGINT AS last_word, list_filter([{', '.join(labels)}], lambda x: x IS NOT NULL) AS found
   FROM counted),
-rules(rule, label, keyword, expr, priority, score) AS (VALUES {rows}),
+rules(rule, label, expr, priority, score) AS (VALUES {rows}),
 cut AS (SELECT doc_id, rule, label, priority, score, string_split_regex(line, expr) AS gaps,
-    regexp_extract_all(line, expr) AS hits FROM lines JOIN rules ON contains(line, keyword) AND regexp_matches(line, expr)
-  WHERE {gate}),
+    regexp_extract_all(line, expr) AS hits FROM lines JOIN rules ON regexp_matches(line, expr)),
 steps AS (SELECT doc_id, rule, label, priority, score, unnest(range(1, len(hits) + 1)) AS n,
     unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit FROM cut),
 placed AS (SELECT *, sum({_count('gap')} + {_count('hit')}) OVER (PARTITION BY doc_id, rule ORDER BY n) AS stop FROM steps),

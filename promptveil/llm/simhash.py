@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptveil.llm.common import give_back, pieces, small_batches, utf8
+from promptveil.llm.common import give_back, pieces, small_batches, unused, utf8
 from promptveil.session import written
 
 SEED = 42
@@ -186,14 +186,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row of each component: that with the smallest id, of equal ids that with the smallest text hash, of equal
-    rows any. Only ids and hashes are looked at; texts are dealt once, by (id, text hash)."""
+    rows any. Only ids and hashes are looked at; texts are dealt once, by (id, text hash), and a second time only those of
+    repeated rows."""
     prints = written(fingerprints(df, id_col, text_col, words), "simhash-prints")
     found = written(classes(prints), "simhash-classes")
+    own, mark, row, n = unused(df, "own", "mark", "row", "n")
     stays = (prints.join(found, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-             .groupBy("root").agg(F.min("mark").alias("_mark"), F.min("id").alias("_id")).select("_id", "_mark"))
-    own, mark = F.col(id_col), F.xxhash64(text_col)
-    once = Window.partitionBy(own, "_own").orderBy(F.lit(1))
-    single = df.withColumn("_own", mark).withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    return (single.join(stays, own.eqNullSafe(stays["_id"]) & (single["_own"] == stays["_mark"]), "left_semi")
-            .select(*df.columns))
-
+             .groupBy("root", "mark").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+             .groupBy("root").agg(F.min(F.struct("mark", "id", "n")).alias("row")))
+    stays = written(stays.select(F.col("row.id").alias(own), F.col("row.mark").alias(mark), F.col("row.n").alias(n)), "simhash-stays")
+
+    def those(some: DataFrame) -> DataFrame:
+        same = F.col(id_col).eqNullSafe(some[own]) & (F.xxhash64(text_col) == some[mark])
+        return df.join(some, same, "left_semi")
+
+    repeated = stays.where(F.col(n) > 1)
+    if repeated.isEmpty():
+        return those(stays)
+    once = (those(repeated).withColumn(own, F.col(id_col)).withColumn(mark, F.xxhash64(text_col))
+            .withColumn(row, F.row_number().over(Window.partitionBy(own, mark).orderBy(F.lit(1)))))
+    return those(stays.where(F.col(n) == 1)).unionByName(once.where(F.col(row) == 1).drop(own, mark, row))

@@ -5,7 +5,7 @@ The score is the logistic of w0 + sum of w over the text's terms + sum of <v, v'
 pair such as an insult and a group weighs more than both alone.
 
 The model is fitted on a bounded sample: the labelled texts whose id's hash falls below the share that gives about
-``SAMPLE`` texts, equal texts once. Out of the terms of the sample the ``TERMS`` that differ most in frequency between
+``SAMPLE`` texts, texts of equal terms once and by the larger of their labels. Out of the terms of the sample the ``TERMS`` that differ most in frequency between
 the labels become features; ties go to the smaller bucket. Everything else covers all rows, and scoring is one pass.
 
 A null text is an empty one; a text without terms scores by w0 alone. Labels that are null or without a text teach
@@ -149,12 +149,10 @@ def learned(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             texts = batch.column("text").take(pa.array(mine, pa.int64())).to_pylist()
             found = [sorted({t for word in set(words_of(text or "")) for t in word_terms(word)}) for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                 pa.array([chosen[ids[i]] for i in mine], pa.int32()), pa.array(found, pa.list_(pa.int32()))],
-                names=["mark", "y", "terms"])
+                [pa.array([chosen[ids[i]] for i in mine], pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["y", "terms"])
 
     texts = written(small_batches(df).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-                    .mapInArrow(run, "mark long, y int, terms array<int>").dropDuplicates(["mark"]), "toxicity-sample")
+                    .mapInArrow(run, "y int, terms array<int>").groupBy("terms").agg(F.max("y").alias("y")), "toxicity-sample")
     n, ones = texts.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
     share = ones / n if n else 0.0
     spread = (share * (1 - share)) or 1.0
@@ -170,12 +168,12 @@ def learned(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pandas as pd
         return pd.Series([[at[t] for t in own if t in at] for own in found])
 
-    rows = texts.select("mark", "y", features("terms").alias("features")).orderBy("mark").collect()
+    rows = texts.select("terms", "y", features("terms").alias("features")).orderBy("terms").select("y", "features").collect()
     return Machine(buckets, *fit([list(r["features"]) for r in rows], np.array([r["y"] for r in rows], np.float64), len(buckets)))
 
 
 def scored(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """``df`` with column score."""
+    """``df`` with column score, in place of one of that name."""
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd

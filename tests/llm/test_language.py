@@ -62,3 +62,24 @@ def test_odd_rows(spark):
     nothing = language.identify(df, train.where("false")).collect()
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
     assert language.identify(df.where("false"), train).count() == 0
+
+
+def test_every_row_by_plain_distances(spark, folder, documents):
+    """The whole query against n-gram counts, profiles and out-of-place distances by plain loops."""
+    totals = {}
+    for d, text, lang, _ in documents:
+        if zlib.crc32(str(d).encode()) % 4 != 2 and lang is not None and text is not None:
+            own = totals.setdefault(lang, {})
+            for code, n in plain_grams(text).items():
+                own[code] = own.get(code, 0) + n
+    first = lambda counts: sorted(counts, key=lambda c: (-counts[c], c))[:language.PROFILE]
+    ranks = {lang: {code: n for n, code in enumerate(first(counts))} for lang, counts in totals.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op10_language(spark, folder).collect()}
+    for d, text, _, _ in documents:
+        own = first(plain_grams(text or ""))
+        if not own:
+            assert got[d] == ("und", 0.0)
+            continue
+        far, lang = min((sum(abs(r[c] - n) if c in r else language.PROFILE for n, c in enumerate(own)) / len(own), lang)
+                        for lang, r in ranks.items())
+        assert got[d][0] == lang and abs(got[d][1] - (1 - far / language.PROFILE)) < 1e-9

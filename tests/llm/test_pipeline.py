@@ -60,6 +60,29 @@ def test_no_language_learned(spark, folder, documents):
     assert clean.count() > 0 and corpus_pipeline.spoken(spark, clean, folder).count() == clean.count()
 
 
+HELPERS = ("score lang_pred found _found own _own mark row n _n of _of rate _rate seed _seed copy _copy id fp root key label item place "
+           "start size part data block component_id fingerprint a b node").split()
+
+
+def test_clashing_columns_and_odd_rows(spark, folder, documents):
+    """Columns with the names of helpers pass through unchanged; null and repeated rows are dealt with in every stage."""
+    rows = [(d, t, lang, s, len(t)) for d, t, lang, s in documents[:60]]
+    rows += [rows[3], rows[3], (rows[5][0], rows[6][1], None, None, None), (None, rows[7][1], "en", None, 1), (None, None, None, None, None),
+             (None, None, None, None, None), (2000, "", None, "a", 0), (2001, rows[8][1] + " and more", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in HELPERS:
+        df = df.withColumn(name, F.concat(F.lit(name), F.xxhash64("doc_id", "text").cast("string")))
+    docs = written(df, "clash")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, folder), "stage")
+        assert docs.columns == df.columns
+        for r in docs.select("*", F.xxhash64("doc_id", "text").alias("hash")).collect():
+            assert all(r[name] == f"{name}{r['hash']}" for name in HELPERS)
+            assert r["text"]
+    assert docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
 def test_no_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES[:-1]:

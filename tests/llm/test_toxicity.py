@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -64,3 +66,32 @@ def test_odd_rows(spark):
         plain = toxicity.learned(df, some)
         assert {r["score"] < 0.01 for r in toxicity.scored(df, plain).collect()} == {True}
     assert toxicity.learned(df.where("false"), labels).margin([]) < -5
+
+
+def test_equal_texts_with_different_labels(spark):
+    """The larger label counts, whatever the order of the rows."""
+    rows = [(i, f"{'abcdefghij'[i % 10] * 4}{'klmno'[i % 50 // 10]} plain text" + (" villain" if i % 50 < 20 else "")) for i in range(400)]
+    labels = [(i, int(i % 50 < 20 and i < 200)) for i in range(400)]  # of equal texts only the first are marked
+    found = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts, "text")
+        machine = toxicity.learned(df, spark.createDataFrame(labels[::-1], "doc_id bigint, toxic int").repartition(parts))
+        found.append([round(r["score"], 12) for r in toxicity.scored(df, machine).orderBy("doc_id").collect()])
+    assert found[0] == found[1]
+    assert all((s > 0.5) == (i % 50 < 20) for i, s in enumerate(found[0]))
+
+
+def test_every_score_by_plain_sums(spark, documents):
+    """Scores of the whole table against the sum over all pairs of a text's terms, one by one."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    df = spark.createDataFrame([(d, t) for d, t, _, _ in documents] + [(None, None)], "doc_id bigint, text string")
+    machine = toxicity.learned(df, labels)
+    place = {int(b): n for n, b in enumerate(machine.buckets)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(df, machine).collect()}
+    for doc, text, _, _ in documents:
+        words = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
+        terms = sorted({place[t] for w in words for t in toxicity.word_terms(w) if t in place})
+        margin = machine.bias + sum(float(machine.weights[t]) for t in terms)
+        for n, a in enumerate(terms):
+            margin += sum(float(machine.factors[a] @ machine.factors[b]) for b in terms[n + 1:])
+        assert abs(got[doc] - 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))) < 1e-9, doc
