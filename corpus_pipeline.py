@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptveil.llm import decontaminate, language, mixing, resemblance, token_files
-from promptveil.llm.common import table
+from promptveil.llm import decontaminate, language, mixing, simhash, token_files
+from promptveil.llm.common import small_batches, table, unused
 from promptveil.llm.queries import tokenizer_path
 from promptveil.session import run_folder, written
 
@@ -24,13 +24,14 @@ def spoken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = language.learned(docs.where(language.bucket(F.col("doc_id"), 4) != 2))
     if not ranks.langs:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
-    named = language.identified(docs, ranks)
-    return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    [found] = unused(docs, "found")
+    named = small_batches(docs).withColumn(found, language.nearest(ranks)(F.col("text")))
+    return named.where((F.col(f"{found}.lang_pred") != language.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE)).drop(found)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles of a Jaccard similarity of 0.8 or more."""
-    return resemblance.one_of_each(docs)
+    """One document of each group linked by SimHash: three-word shingles, fingerprints at most two bits apart."""
+    return simhash.one_of_each(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
