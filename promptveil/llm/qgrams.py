@@ -7,7 +7,9 @@ of its grams lie within n + k characters. Candidates are verified by alignment w
 
 Windows of a long string are verified at every ``STRIDE``-th place first. Where none of them is found, a part of the string
 may still be there: every window that can hold a candidate's first gram is verified then, at any place, and the one of
-fewest edits is taken. A text that holds any window of a string within the budget is found.
+fewest edits is taken. A text that holds any window of a string within the budget is found. Before it is aligned, a
+window has to meet the same bound for shorter grams, counted near its band: most candidates share one run of characters
+and end there.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 
 Q = 10
+Q_FINE = 5
 WINDOW = 100
 STRIDE = 50
 EDITS = 0.08
@@ -201,10 +204,11 @@ class Index:
                 runs = np.stack([t[i], o[i], low[order][i], width[order][i], s[i] - diagonal[order][i],
                                  s[last[i]] - diagonal[order][last[i]]], axis=1)
                 candidates += runs.tolist()
-        hits = self._aligned(self._strided(candidates), waiting, begins)
+        hits = self._aligned(self._fine(self._strided(candidates), waiting, begins), waiting, begins)
         met = {h[:2] for h in hits}
         best: dict[tuple[int, int], tuple[int, ...]] = {}
-        for h in self._aligned(self._between([c for c in candidates if (c[0], c[1]) not in met]), waiting, begins):
+        between = self._between([c for c in candidates if (c[0], c[1]) not in met])
+        for h in self._aligned(self._fine(between, waiting, begins), waiting, begins):
             if h[:2] not in best or (h[5], h[2], h[3]) < (best[h[:2]][5], best[h[:2]][2], best[h[:2]][3]):
                 best[h[:2]] = h
         return out + [(waiting[h[0]][0], *h[1:]) for h in [*hits, *best.values()]]
@@ -229,6 +233,30 @@ class Index:
                 asked.add((text, owner, low, width, start))
         return {a for a in asked if a[4] not in self.strided[a[1]]}
 
+    def _fine(self, asked, waiting, begins) -> list[tuple[int, ...]]:
+        """Those of the windows that share enough grams of ``Q_FINE`` with the text, on the diagonals looked at."""
+        q, n = Q_FINE, self.window
+        need = n + 1 - q * (self.edits + 1)
+        groups: dict[tuple[int, ...], list[int]] = {}
+        out = []
+        for *key, start in asked:
+            if len(self.points[key[1]]) < n or need < 1:
+                out.append((*key, start))
+            else:
+                groups.setdefault(tuple(key), []).append(start)
+        for (text, owner, low, width), starts in groups.items():
+            first, last = min(starts), max(starts) + n
+            own = gram_hashes(self.points[owner][first:last], q)
+            region = np.zeros(last - first + 4 * width, np.uint32)  # 0 is in no text
+            a = low - width + first - int(begins[text])
+            part = waiting[text][2][max(0, a):max(0, a + len(region))]
+            region[max(0, -a):max(0, -a) + len(part)] = part
+            lines = np.lib.stride_tricks.sliding_window_view(gram_hashes(region, q), len(own))
+            shared = np.concatenate([[0], np.cumsum((lines == own).any(axis=0))])
+            at = np.array(starts) - first
+            out += [(text, owner, low, width, starts[i]) for i in np.flatnonzero(shared[at + n - q + 1] - shared[at] >= need)]
+        return out
+
     def _aligned(self, asked, waiting, begins) -> list[tuple[int, int, int, int, int, int]]:
         """The windows (place in ``waiting``, item, low diagonal, width, start) that are found, aligned."""
         out = []
