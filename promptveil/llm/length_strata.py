@@ -38,7 +38,7 @@ from promptveil.llm.common import give_back, small_batches, utf8, worker_cache
 from promptveil.session import run_folder, written
 
 BEST = 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 BLOCK_DOCS = 1 << 16
 SLICE_CHARS = 4 << 20
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -87,8 +87,8 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     words = pc.ascii_split_whitespace(cleaned)
     lengths = np.diff(words.offsets.to_numpy())
     coded = words.flatten().dictionary_encode()
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    code = coded.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    code = coded.indices.to_numpy()
     empty = pc.index_in(pa.scalar(""), coded.dictionary).as_py() if len(coded.dictionary) else None
     if empty is not None:  # a text without terms splits into one empty word
         owner, code = owner[code != empty], code[code != empty]
@@ -102,15 +102,19 @@ def block_of(texts: list[bytes], n_docs: int, n_terms: int) -> Block:
     order = np.lexsort((np.arange(len(texts)), m))
     order = order[lengths[order] > 0]
     strata, first_doc = np.unique(m[order], return_index=True)
-    rank = np.zeros(len(texts), np.int64)
+    rank = np.zeros(len(texts), np.int32)
     rank[order] = np.arange(len(order))
     # one posting for each (term, document), terms in byte order
     by_bytes = pc.sort_indices(terms.cast(pa.binary())).to_numpy()
     place = np.zeros(len(terms), np.int64)
     place[by_bytes] = np.arange(len(terms))
-    posting, tf = np.unique((place[code] << 32) | rank[owner], return_counts=True)
-    term, doc = posting >> 32, posting & 0xFFFFFFFF
-    stratum = np.searchsorted(first_doc, doc, side="right") - 1
+    posting = place[code] << 32
+    posting |= rank[owner]
+    del owner, code
+    posting, tf = np.unique(posting, return_counts=True)
+    term, doc, tf = (posting >> 32).astype(np.int32), (posting & 0xFFFFFFFF).astype(np.int32), tf.astype(np.int32)
+    del posting
+    stratum = (np.searchsorted(first_doc, doc, side="right") - 1).astype(np.int32)
     seq = np.lexsort((doc, -tf, stratum, term))
     term, doc, stratum, tf = term[seq], doc[seq], stratum[seq], tf[seq]
     new = np.ones(len(seq), np.bool_)
@@ -147,6 +151,7 @@ def index(df: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", text
                     ids.append(batch.column("id").slice(start, at + 1 - start))
                     yield packed()
                     texts, ids, held, start = [], [], 0, at + 1
+                    give_back()
             if start < len(batch):
                 ids.append(batch.column("id").slice(start))
         if texts:
