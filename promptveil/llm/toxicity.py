@@ -168,7 +168,8 @@ def learned(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pandas as pd
         return pd.Series([[at[t] for t in own if t in at] for own in found])
 
-    rows = texts.select("terms", "y", features("terms").alias("features")).orderBy("terms").select("y", "features").collect()
+    rows = texts.select("terms", "y", features("terms").alias("features")).orderBy(F.xxhash64("terms"), F.hash("terms")).select(
+        "y", "features").collect()
     return Machine(buckets, *fit([list(r["features"]) for r in rows], np.array([r["y"] for r in rows], np.float64), len(buckets)))
 
 
