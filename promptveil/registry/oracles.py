@@ -386,3 +386,13 @@ ORACLES["redacted_prompts"] = f"""{FLOW} SELECT request_id, CASE WHEN terminatin
     OR terminating_stage IN ('proxy', 'egress') THEN md5(t) END AS prompt_md5 FROM flow JOIN pii USING (doc_id)"""
 ORACLES["audit_outcomes"] = f"""{ECHO_FLOW} SELECT decision, status_code, terminating_stage, count(*) AS n FROM flow
     GROUP BY ALL"""
+ORACLES["stream_repeated_requests"] = ORACLES["stream_audit"]
+ORACLES["stream_late_responses"] = f"{FLOW} SELECT {AUDIT_COLUMNS.replace(', latency_ms', '')} FROM flow"
+ORACLES["stream_vault"] = f"""{ECHO_FLOW} SELECT request_id, label, idx::BIGINT AS idx, '[' || label || '_' || idx || ']' AS placeholder,
+    original FROM ({pii_entries('doc_id')}) JOIN flow USING (doc_id)
+    WHERE terminating_stage IS NULL OR terminating_stage IN ('proxy', 'egress')"""
+ORACLES["stream_responses"] = f"""{ECHO_FLOW} SELECT request_id, CASE WHEN doc_id % 3 = 1 THEN 'model-a' ELSE '{DEFAULT_MODEL}' END
+    AS model, md5('{ECHO_PREFIX}' || text) AS content_md5, redactions FROM flow JOIN documents USING (doc_id)
+    WHERE terminating_stage IS NULL"""
+ORACLES["stream_quarantine"] = """SELECT 'doc-' || doc_id AS request_id, ['bad_max_tokens', 'no_messages', 'not_json'][doc_id % 9 + 1]
+    AS invalid_reason FROM documents WHERE doc_id % 9 < 3"""

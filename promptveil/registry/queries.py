@@ -19,6 +19,7 @@ from promptveil.settings import Settings
 from promptveil.sources import audit_store, demo_requests
 from promptveil.sources import requests as request_source
 from promptveil.sources import signatures as signature_source
+from promptveil.streaming import flow
 from promptveil.streaming import requests as request_stream
 from promptveil.streaming import token_bucket as bucket_stream
 
@@ -588,6 +589,82 @@ def stream_audit(spark, folder):
     return flat_audit(audit_store.read_audit(spark, f"{target}/audit")).drop("latency_ms")
 
 
+ECHO = Settings(jwt_secret=demo_requests.SECRET, rate_capacity=3, rate_refill_per_sec=1 / 3600)
+
+
+def flow_stores(spark, folder, arriving, settings=ECHO, responses=None):
+    """The streams over a folder of arriving request files, and of response files if given, run until they have seen
+    all: the stores of what was decided and answered."""
+    target = arriving.rsplit("/", 1)[0]
+    words = dictionaries(spark, folder)
+    finish(flow.land(request_source.stream_requests(spark, arriving), settings, target, f"{target}/state-land"))
+    finish(flow.decide(spark, words, settings, target, f"{target}/state-decide", later=responses is not None))
+    if responses is not None:
+        came = spark.readStream.schema(flow.ARRIVED_RESPONSE).json(responses)
+        finish(flow.answer(spark, came, words, settings, target, f"{target}/state-answer"))
+    return flow.decided_store(spark, settings, target), flow.answered_store(spark, target)
+
+
+def arriving_documents(spark, folder):
+    target = f"{run_folder(spark, 'flow')}/in"
+    demo_requests.document_requests(documents(spark, folder)).drop("latency_ms").write.json(target)
+    return target
+
+
+def stream_vault(spark, folder):
+    """The vault that the stream stores with its audit."""
+    rows = flow_stores(spark, folder, arriving_documents(spark, folder))[0].read("vault")
+    return rows.select("request_id", "label", F.col("idx").cast("bigint").alias("idx"), "placeholder",
+                       F.regexp_replace("original", ACCENTED, "z").alias("original"))
+
+
+def stream_responses(spark, folder):
+    """The answers of the stream, originals put back."""
+    rows = flow_stores(spark, folder, arriving_documents(spark, folder))[0].read("responses")
+    return rows.select("request_id", "model", F.md5("content").alias("content_md5"), F.col("redactions").cast("bigint").alias("redactions"))
+
+
+def stream_quarantine(spark, folder):
+    """Refused rows of the stream, among them lines that are no JSON."""
+    kind = F.pmod("key", F.lit(9))
+    rows = demo_requests.document_requests(documents(spark, folder)).withColumn("key", F.substring("request_id", 5, 20).cast("bigint"))
+    rows = rows.withColumns({"max_tokens": F.when(kind == 0, 0).otherwise(F.col("max_tokens")),
+                             "messages": F.when(kind == 1, F.slice("messages", 1, 0)).otherwise(F.col("messages"))})
+    line = F.to_json(F.struct("request_id", "ts", "authorization", "client_ip", "messages", "model", "max_tokens"))
+    target = f"{run_folder(spark, 'flow')}/in"
+    rows.select(F.when(kind == 2, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line).alias("value")).write.text(target)
+    refused = flow_stores(spark, folder, target)[0].read("quarantine")
+    text = F.coalesce(F.col("request_id"), F.regexp_extract(request_source.CORRUPT, '"request_id":"([^"]+)"', 1))
+    return refused.select(text.alias("request_id"), "invalid_reason")
+
+
+def stream_repeated_requests(spark, folder):
+    """A third of the requests arrive twice, in files of their own: the outcome is that of each once."""
+    target = arriving_documents(spark, folder)
+    rows = demo_requests.document_requests(documents(spark, folder)).drop("latency_ms")
+    rows.where(F.substring("request_id", 5, 20).cast("bigint") % 3 == 0).write.mode("append").json(target)
+    return flat_audit(flow_stores(spark, folder, target)[0].read("audit")).drop("latency_ms")
+
+
+def stream_late_responses(spark, folder):
+    """Responses that arrive as a stream, up to 49 seconds after their requests, some never."""
+    docs = documents(spark, folder)
+    target = arriving_documents(spark, folder)
+    far = F.timestamp_seconds(F.lit(demo_requests.START + 10 ** 9))  # moves the watermark on, as later traffic would
+    tick = docs.agg(F.count("*")).select(F.lit("tick").alias("request_id"), far.alias("ts"), F.lit("10.0.0.0").alias("client_ip"),
+                                         F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"))).alias("messages"))
+    demo_requests.with_authorization(tick, F.lit(11), F.lit("tick"), F.col("ts")).write.mode("append").json(target)
+    number = F.substring("request_id", 5, 20).cast("bigint")
+    came = demo_requests.document_responses(docs).withColumn(
+        "received", F.timestamp_seconds(F.lit(demo_requests.START) + number * 37 + F.pmod(number, F.lit(50))))
+    responses = f"{target.rsplit('/', 1)[0]}/responses"
+    came.unionByName(tick.select(F.lit("none").alias("request_id"), F.lit(200).alias("http_status"), F.lit("").alias("body"),
+                                 F.col("ts").alias("received"))).write.json(responses)
+    before, after = flow_stores(spark, folder, target, DEMO, responses)
+    rows = before.read("audit").unionByName(after.read("audit")).where("request_id <> 'tick'")
+    return flat_audit(rows).drop("latency_ms")
+
+
 def audit_by_decision(spark, folder):
     return rollups.by_decision(audit(spark, folder)).select(
         F.col("day").cast("string").alias("day"), "stage", F.col("status_code").cast("bigint").alias("status_code"),
@@ -620,4 +697,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
     response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit,
     source_audit_split, redacted_prompts, audit_outcomes, audit_upsert, echo_audit,
-    stream_audit, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}
+    stream_audit, stream_vault, stream_responses, stream_quarantine, stream_repeated_requests, stream_late_responses, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
+FEW_SPLITS = 64
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,9 +61,10 @@ def settled(df: DataFrame, limit: int = 100_000) -> DataFrame | None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use more cores for a file of very few splits; inputs with a fair number of splits stay as they were read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() < cores else df
+    """Use more cores for a small input: splits can be fewer than cores, and all but one of a file with a single row group
+    are empty. Inputs of ``FEW_SPLITS`` or more, some gigabytes, stay as they were read."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
 
 
 def worker_cache() -> dict:
