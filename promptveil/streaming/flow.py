@@ -14,13 +14,16 @@ go to the provider are left waiting, their scrubbed texts and vault stored.
 request's time answers it (of several in a micro-batch a good one counts before any other), and a request without one is
 refused with 502 when the watermark has passed its time-out. Originals are put back from the stored vault.
 
-A response can arrive before its request. One that is later than its time-out is not looked at. Rows without request id
-are not compared with others. The stored tables of ``land`` and ``waiting`` and ``vault`` hold original values: guard the
+A response can arrive before its request. One that is later than its time-out is not looked at. A request that reaches
+``answer`` behind its watermark is left waiting; ``overdue`` closes such requests, so that every one gets its row. Rows
+without request id are not compared with others. The stored tables of ``land`` and ``waiting`` and ``vault`` hold original values: guard the
 folder as you guard the vault.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,3 +183,14 @@ def answer(spark: SparkSession, responses: DataFrame, words: Dictionaries, setti
 
     return (joined.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def overdue(spark: SparkSession, words: Dictionaries, settings: Settings, path: str, as_of: datetime, timeout: str = TIMEOUT) -> bool:
+    """Refuse with 502 every waiting request of a time-out before ``as_of`` that has no answer, in a batch of its own
+    (numbered below 0, by the time, so a repetition changes nothing)."""
+    before, store = decided_store(spark, settings, path), answered_store(spark, path)
+    old = before.read("waiting").where(F.col("ts") + F.expr(f"INTERVAL {timeout}") < F.lit(as_of)).drop("batch")
+    rows = old.join(store.read("audit").select("request_id"), "request_id", "left_anti")
+    replied = providers.with_responses(rows, spark.createDataFrame([], RESPONSE), settings.provider)
+    decided = plan.stored(decisions.decide(plan.filtered(replied, words)))
+    return store.commit(-int(as_of.timestamp()), {**_outputs(decided, settings), "carried": spark.createDataFrame([], _CARRIED)})
