@@ -19,12 +19,12 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptveil.functions.text import (
     alternation, ascii_fold, bind, bytes_before, constant_look_up, extract_all, fold_literal)
-from promptveil.session import read_bounded
+from promptveil.session import read_bounded, written
 
 ANCHOR = 6
 WORD_START_GRAMS = rf"(?s)(?<![A-Za-z0-9])(?=([A-Za-z0-9].{{{ANCHOR - 1}}}))"
@@ -155,10 +155,18 @@ def least_shared(entries: DataFrame, choices: str, chosen: str) -> DataFrame:
 
 
 def scan_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The same rows for a dictionary of any size.
+    """The same rows for a dictionary of any size."""
+    before = bytes_before(F.col("body"), F.col("pattern"))
+    return verified_pairs(texts, signatures, key, text).select(
+        key, "sig_id", "name", "pattern", (before + F.octet_length("pattern")).alias("first_end"))
+
 
-    Only (key, gram) pairs are shuffled, already distinct within a text; the texts come back for the candidate pairs
-    alone. Which side is broadcast is left to Spark's own size statistics, and hot grams to its skew-join splitting.
+def verified_pairs(texts: DataFrame, signatures: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, sig_id, name, pattern, body) of every text, folded, and signature in it, for a dictionary of any size.
+
+    Only (key, gram) pairs are shuffled, already distinct within a text, and stored once joined. Of the texts only those
+    with a candidate are brought together with their pairs. Which side is broadcast is left to Spark's own size
+    statistics, and hot grams to its skew-join splitting.
     """
     folded_pattern = ascii_fold(F.col("pattern"))
     known = (signatures.where(F.length("pattern") > 0)
@@ -178,17 +186,12 @@ def scan_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "te
                                                    else rf"(?s)(?=(.{{{kind}}}))", 1)).alias("grams"))
              for kind in kinds]
     if not lists:
-        return texts.select(key, F.lit(None).cast("int").alias("sig_id"), F.lit("").alias("name"),
-                            F.lit("").alias("pattern"), F.lit(0).alias("first_end")).where(F.lit(False))
-    pairs = (bodies.select(key, F.inline(F.array(*lists)))
-             .select(key, "kind", F.explode("grams").alias("gram"))
-             .join(anchors, ["kind", "gram"])
-             .select(key, "sig_id", "name", "pattern"))
-    before = bytes_before(F.col("body"), F.col("pattern"))
-    return (pairs.join(bodies, key)
-            .where(F.contains("body", F.col("pattern")))
-            .select(key, "sig_id", "name", "pattern",
-                    (before + F.octet_length("pattern")).alias("first_end")))
+        return texts.select(key, F.lit(None).cast("int").alias("sig_id"), *[F.lit("").alias(c) for c in ("name", "pattern", "body")]
+                            ).where(F.lit(False))
+    pairs = written(bodies.select(key, F.inline(F.array(*lists))).select(key, "kind", F.explode("grams").alias("gram"))
+                    .join(anchors, ["kind", "gram"]).select(key, "sig_id", "name", "pattern"), "scan-pairs")
+    candidates = bodies.join(pairs.select(key).distinct(), key, "left_semi")
+    return pairs.join(candidates, key).where(F.contains("body", F.col("pattern")))
 
 
 def quoted(text: Column) -> Column:
@@ -196,28 +199,53 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def running_sums(sizes: Column) -> Column:
+    """The sums up to each entry. In blocks of about the square root of their number: a fold that grows an array copies
+    it each time."""
+    def folded(some: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("sums"))
+        return F.aggregate(some, begin, lambda done, n: F.struct(
+            (done["at"] + n).alias("at"), F.concat(done["sums"], F.array(done["at"] + n)).alias("sums")))
+
+    def shifted(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: b["at"])
+        before = F.transform(blocks, lambda _, i: F.aggregate(F.slice(totals, F.lit(1), i), F.lit(0).cast("bigint"),
+                                                              lambda total, n: total + n))
+        return F.flatten(F.zip_with(blocks, before, lambda b, more: F.transform(b["sums"], lambda n: n + more)))
+
+    width = F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1))
+    starts = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), width)).otherwise(F.array().cast("array<int>"))
+    return bind(F.transform(starts, lambda at: folded(F.slice(sizes, at, width))), shifted)
+
+
+def starts_of(body: Column, pattern: Column) -> Column:
+    """First bytes of all occurrences of a pattern that is in ``body``. Cutting before each occurrence leaves pieces whose
+    running length gives them."""
+    ahead = F.concat(F.lit("(?="), quoted(pattern), F.lit(")"))
+
+    def summed(pieces: Column) -> Column:
+        sizes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.octet_length)
+        # the cut never shows an occurrence at the very beginning
+        return running_sums(F.when(F.startswith(body, pattern), F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes))
+
+    return bind(F.split(body, ahead, F.lit(-1)), summed)
+
+
 def occurrences(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Every occurrence, overlaps and repeats included: (key, sig_id, start, end) in bytes, half-open."""
+    """Every occurrence, overlaps and repeats included: (key, sig_id, start, end) in bytes, half-open. A projection: a
+    text is folded and held once, whatever its number of hits."""
+    def placed(body: Column, sig: Column) -> Column:
+        size = F.octet_length(sig["pattern"])
+        return F.transform(starts_of(body, sig["pattern"]), lambda at: F.struct(
+            sig["sig_id"].alias("sig_id"), at.alias("start"), (at + size).alias("end")))
+
     dictionary = read_dictionary(signatures)
     if dictionary is None:
-        found = scan_join(texts, signatures, key, text).select(key, "sig_id", "pattern")
-        found = found.join(texts.select(key, ascii_fold(F.col(text)).alias("body")), key)
-    else:
-        found = (texts.select(key, text, F.inline(hits_column(F.col(text), dictionary)))
-                 .select(key, "sig_id", "pattern", ascii_fold(F.col(text)).alias("body")))
-    # Cutting before each occurrence leaves pieces whose running length gives the starts.
-    ahead = F.concat(F.lit("(?="), quoted(F.col("pattern")), F.lit(")"))
-    sizes = F.transform(F.split("body", ahead, F.lit(-1)), F.octet_length)
-    # the cut never shows an occurrence at the very beginning
-    sizes = F.when(F.startswith("body", F.col("pattern")), F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)
-    pieces = found.select(key, "sig_id", F.octet_length("pattern").alias("size"),
-                          F.posexplode(sizes).alias("pos", "piece"), F.size(sizes).alias("pieces"))
-    # one window per (text, signature): as long as one text's hits, never longer
-    running = Window.partitionBy(key, "sig_id").orderBy("pos")
-    start = F.sum(F.col("piece").cast("bigint")).over(running)
-    return (pieces.withColumn("start", start)
-            .where(F.col("pos") < F.col("pieces") - 1)
-            .select(key, "sig_id", "start", (F.col("start") + F.col("size")).alias("end")))
+        found = verified_pairs(texts, signatures, key, text).withColumn("sig__", F.struct("sig_id", "pattern"))
+        return found.select(key, F.inline(placed(F.col("body"), F.col("sig__"))))
+    found = bind(hits_column(F.col(text), dictionary), lambda hits: F.when(F.size(hits) > 0, bind(
+        ascii_fold(F.col(text)), lambda body: F.flatten(F.transform(hits, lambda sig: placed(body, sig))))))
+    return texts.select(key, F.inline(found))
 
 
 def matches(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
