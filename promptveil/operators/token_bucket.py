@@ -12,12 +12,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptveil.functions.times import micros_of
-from promptveil.session import fix, settled
+from promptveil.session import fix, settled, written
 
 # users with more events than this are replayed in pieces of about this size
 HOT_EVENTS = 5_000_000
@@ -77,10 +78,7 @@ def replay(events: DataFrame, capacity: int, refill_per_sec: float, user: str =
     schema = moments.withColumn("offered", F.lit(0).cast("bigint")).schema
     order = [user, "micros", event_id]
 
-    # A bucket of one token forgets its remainder at each grant, which leaves nothing to compose: always one chain.
-    hot = None
-    if capacity > 1:
-        hot = settled(moments.groupBy(user).count().where(F.col("count") > hot_events))
+    hot = settled(moments.groupBy(user).count().where(F.col("count") > hot_events))
     usual = moments if hot is None else moments.join(hot.select(user), user, "left_anti").select(*moments.columns)
     out = (usual.repartition(F.col(user)).sortWithinPartitions(*order)
            .mapInArrow(_Fold(rate, user, {}), schema))
@@ -90,8 +88,10 @@ def replay(events: DataFrame, capacity: int, refill_per_sec: float, user: str =
         ranged = fix(busy.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
                      .withColumn("piece", F.spark_partition_id()))
         # one summary row per piece comes to the driver, as for the bounds of a range partitioning
-        rows = ranged.mapInArrow(_Summary(rate, user), _SUMMARY).orderBy("piece").collect()
-        begun = _starts(rows, rate)
+        if capacity == 1:
+            begun = single_starts(ranged, rate, user)
+        else:
+            begun = _starts(ranged.mapInArrow(_Summary(rate, user), _SUMMARY).orderBy("piece").collect(), rate)
         piece_schema = ranged.withColumn("offered", F.lit(0).cast("bigint")).schema
         out = out.unionByName(ranged.mapInArrow(_Fold(rate, user, begun), piece_schema).drop("piece"))
     return out.withColumns(outcome_columns(F.col("offered"), rate)).drop("micros", "offered")
@@ -131,16 +131,19 @@ class _Fold:
 
 
 _SUMMARY = ("piece int, first_user string, last_user string, first_micros bigint, last_micros bigint, final bigint,"
-            " stretches array<struct<offer:bigint,net:bigint,low:bigint>>")
+            " stretches array<struct<add:bigint,top:bigint,net:bigint,low:bigint>>")
 
 
 class _Summary:
     """One row per piece: what its last user's bucket holds at the end of it.
 
     Where that is certain it is ``final``. Otherwise the piece is all one user's, the result depends on what the user
-    brings, and ``stretches`` tells how. Within a stretch the bucket cannot overflow, and the k-th of its requests is
-    refused exactly if the units gained so far do not cover k tokens, so the whole stretch comes down to two numbers:
-    what it adds net of one token per request, and the lowest that sum gets on the way.
+    brings, and ``stretches`` tells how. A stretch has two parts. As long as every request is granted whatever the user
+    brought, any number of them, overflowing or not, comes down to two numbers: x units become min(top, x + add). From the
+    first request that may be refused on, the bucket cannot overflow within the stretch, and the k-th of these requests is
+    refused exactly if the units gained so far do not cover k tokens: two more numbers, what they add net of one token per
+    request, and the lowest that sum gets on the way. The next request that may overflow begins a new stretch, so there
+    are as many as times at which a possible refusal is followed by a possible overflow, not as requests.
     """
 
     def __init__(self, rate: Rate, user: str):
@@ -150,6 +153,7 @@ class _Summary:
         rate = self.rate
         piece, opener, owner, first, last = -1, None, None, 0, 0
         low, high, stretches = 0, rate.full, []  # bounds on what is left; equal once it is certain
+        refusing = True  # the second part of the last stretch has begun
         for _, users, times, batch_piece in _runs(batches, self.user):
             for who, now in zip(users, times):
                 if piece < 0:  # what was gained since the piece before is added when the pieces are joined
@@ -163,16 +167,23 @@ class _Summary:
                 elif low == high:
                     low = high = rate.after(low + gain)
                 else:
-                    if not stretches or high + gain > rate.full:  # it may overflow here
-                        stretches.append([min(gain, rate.full), 0, 0])
-                        gain_here = 0
-                    else:
-                        gain_here = gain
-                    stretch = stretches[-1]
-                    # a request is granted on what was gained before its own token is taken
-                    stretch[1] += gain_here - rate.token
-                    stretch[2] = min(stretch[2], stretch[1])
                     top, bottom = min(rate.full, high + gain), low + gain
+                    if not stretches or (refusing and high + gain > rate.full):
+                        stretches.append([0, rate.full, 0, 0])
+                        refusing = False
+                    stretch = stretches[-1]
+                    if not refusing:
+                        stretch[0], stretch[1] = stretch[0] + gain, min(rate.full, stretch[1] + gain)
+                        gain = 0  # is in the first part
+                        if bottom >= rate.token:
+                            stretch[0] -= rate.token
+                            stretch[1] -= rate.token
+                        else:
+                            refusing = True
+                        stretch[0] = min(stretch[:2])  # more than the top makes no difference
+                    if refusing:  # a request is granted on what was gained before its own token is taken
+                        stretch[2] += gain - rate.token
+                        stretch[3] = min(stretch[3], stretch[2])
                     high = max(top - rate.token, rate.token - 1) if top >= rate.token else top
                     low = bottom - rate.token if bottom >= rate.token else (0 if top >= rate.token else bottom)
         if piece < 0:
@@ -180,14 +191,14 @@ class _Summary:
         certain = low == high
         row = {"piece": piece, "first_user": repr(opener), "last_user": repr(owner), "first_micros": first,
                "last_micros": last, "final": low if certain else None,
-               "stretches": [] if certain else [dict(zip(("offer", "net", "low"), s)) for s in stretches]}
+               "stretches": [] if certain else [dict(zip(("add", "top", "net", "low"), s)) for s in stretches]}
         yield pa.RecordBatch.from_pylist([row], schema=_SUMMARY_ARROW)
 
 
 _SUMMARY_ARROW = pa.schema([
     ("piece", pa.int32()), ("first_user", pa.string()), ("last_user", pa.string()), ("first_micros", pa.int64()),
     ("last_micros", pa.int64()), ("final", pa.int64()),
-    ("stretches", pa.list_(pa.struct([("offer", pa.int64()), ("net", pa.int64()), ("low", pa.int64())])))])
+    ("stretches", pa.list_(pa.struct([(n, pa.int64()) for n in ("add", "top", "net", "low")])))])
 
 
 def _starts(summaries: list, rate: Rate) -> dict[int, tuple[int, int]]:
@@ -202,8 +213,123 @@ def _starts(summaries: list, rate: Rate) -> dict[int, tuple[int, int]]:
             left = row["final"]
         else:
             for stretch in row["stretches"]:
-                left = min(rate.full, left + stretch["offer"])
+                left = min(stretch["top"], left + stretch["add"])
                 refused = -min(0, (left + stretch["low"]) // rate.token)
                 left += stretch["net"] + refused * rate.token
         carried = (row["last_user"], left, row["last_micros"])
     return begun
+
+
+# --- a bucket of one token ---
+#
+# A grant empties it, so what comes after depends on the time of the last grant alone: the next one goes to the first
+# request a whole refill later. From each request that can be granted first in a piece the grants within it are one chain,
+# and only the time of the last matters outside. These times, the ways out of a piece, are linked to the ways out of the
+# piece that they lead into, and doubling the links marks the ways taken in as many rounds as the number of pieces has
+# binary digits. All requests of a piece are looked at in one task, of all pieces side by side.
+
+_BOUNDS = "piece int, first_user string, last_user string, last_micros bigint"
+_WAYS = "piece int, tau bigint"
+
+
+def _ways_out(times: np.ndarray, period: int) -> np.ndarray:
+    """For each request the time of the last grant in the piece, if it is the first to be granted."""
+    after = np.searchsorted(times, times + period)
+    last = np.where(after < len(times), after, np.arange(len(times)))
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            return times[last]
+        last = further
+
+
+class _Bounds:
+    """The first and last user of each piece, and its last time."""
+
+    def __init__(self, user: str):
+        self.user = user
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = None
+        for _, users, times, piece in _runs(batches, self.user):
+            row = row or {"piece": piece, "first_user": repr(users[0])}
+            row |= {"last_user": repr(users[-1]), "last_micros": times[-1]}
+        if row:
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([
+                ("piece", pa.int32()), ("first_user", pa.string()), ("last_user", pa.string()), ("last_micros", pa.int64())]))
+
+
+class _Ways:
+    """The distinct ways out of each piece for its last user: one where the user begins in it."""
+
+    def __init__(self, user: str, period: int, fresh: set[int]):
+        self.user, self.period, self.fresh = user, period, fresh
+
+    def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, owner, parts = -1, None, []
+        for _, users, times, piece in _runs(batches, self.user):
+            if users[-1] != owner:
+                owner, parts = users[-1], []
+            begin = len(users)
+            while begin and users[begin - 1] == owner:
+                begin -= 1
+            parts = [] if begin else parts
+            parts.append(np.array(times[begin:], np.int64))
+        if piece >= 0:
+            out = _ways_out(np.concatenate(parts), self.period)
+            out = out[:1] if piece in self.fresh else np.unique(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), piece, np.int32)), pa.array(out)], names=["piece", "tau"])
+
+
+def single_starts(ranged: DataFrame, rate: Rate, user: str) -> dict[int, tuple[int, int]]:
+    """What a bucket of one token brings into each piece that its user goes on in: (0, time of the last grant)."""
+    period = -(-rate.token // rate.per_micro)
+    bounds = ranged.mapInArrow(_Bounds(user), _BOUNDS).orderBy("piece").collect()
+    goes_on = {b["piece"] for a, b in zip(bounds, bounds[1:]) if a["last_user"] == b["first_user"]}
+    through = [b["piece"] for b in bounds if b["piece"] in goes_on and b["first_user"] == b["last_user"]]
+    fresh = {b["piece"] for b in bounds} - set(through)
+    # for each piece those after it that are all its last user's, up to the first that is not, with their last times
+    known, ahead, run = {b["piece"]: b for b in bounds}, {}, []
+    for b in reversed(bounds):
+        ahead[b["piece"]] = run
+        run = [b["piece"], *run] if b["piece"] in through else []
+    ways = written(ranged.mapInArrow(_Ways(user, period, fresh), _WAYS), "bucket-ways")
+
+    @F.pandas_udf("int")
+    def leads_to(pieces, taus):
+        import pandas as pd
+        out = np.full(len(pieces), -1, np.int64)
+        for piece in pieces.unique():
+            mine, run = (pieces == piece).to_numpy(), ahead[piece]
+            ends = np.array([known[q]["last_micros"] for q in run], np.int64)
+            at = np.searchsorted(ends, taus[mine].to_numpy() + period)
+            out[mine] = np.array([*run, -1])[at]
+        return pd.Series(out).astype("int32")
+
+    def linked(key, nodes, events):
+        times = np.sort(events["micros"].to_numpy())
+        if len(nodes):
+            at = np.searchsorted(times, nodes["tau"].to_numpy() + period)
+            nodes = nodes.assign(to_piece=nodes["to"], to_tau=_ways_out(times, period)[at])
+        else:
+            nodes = nodes.assign(to_piece=nodes["to"], to_tau=nodes["tau"])
+        return nodes[["piece", "tau", "to_piece", "to_tau"]]
+
+    leading = written(ways.withColumn("to", leads_to("piece", "tau")).where("to >= 0"), "bucket-leading")
+    events = ranged.where(F.col("piece").isin(through)).select(F.col("piece").alias("to"), "micros")
+    jumps = [written(leading.groupBy("to").cogroup(events.groupBy("to")).applyInPandas(
+        linked, f"{_WAYS}, to_piece int, to_tau bigint"), "bucket-jumps")]
+    while (1 << len(jumps)) <= len(through):  # a way has a link for each piece it goes through at most
+        step = jumps[-1]
+        on = step.toDF("to_piece", "to_tau", "then_piece", "then_tau")
+        jumps.append(written(step.join(on, ["to_piece", "to_tau"]).select("piece", "tau", F.col("then_piece").alias("to_piece"),
+                                                                          F.col("then_tau").alias("to_tau")), "bucket-jumps"))
+    taken = ways.where(F.col("piece").isin(list(fresh)))
+    for step in reversed(jumps):  # one way for each piece at most
+        taken = written(taken.unionAll(taken.join(step, ["piece", "tau"]).select("to_piece", "to_tau")), "bucket-taken")
+    out, begun, carried = dict(map(tuple, taken.collect())), {}, None
+    for b in bounds:
+        if b["piece"] in goes_on:
+            begun[b["piece"]] = (0, carried)
+        carried = out.get(b["piece"], carried)
+    return begun

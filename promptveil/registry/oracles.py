@@ -396,3 +396,5 @@ ORACLES["stream_responses"] = f"""{ECHO_FLOW} SELECT request_id, CASE WHEN doc_i
     WHERE terminating_stage IS NULL"""
 ORACLES["stream_quarantine"] = """SELECT 'doc-' || doc_id AS request_id, ['bad_max_tokens', 'no_messages', 'not_json'][doc_id % 9 + 1]
     AS invalid_reason FROM documents WHERE doc_id % 9 < 3"""
+ORACLES["rate_outcomes_single"] = "WITH RECURSIVE " + bucket_ctes(
+    "(SELECT event_id, user_id % 3 AS user_id, epoch_us(ts) AS us FROM events)", 1, 900) + f" SELECT {bucket_columns(900)} FROM metered"

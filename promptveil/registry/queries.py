@@ -342,6 +342,12 @@ def rate_outcomes_pieces(spark, folder):
     return bucket_columns(token_bucket.replay(rows, 5, 1 / 900, hot_events=piece))
 
 
+def rate_outcomes_single(spark, folder):
+    """The same three users with buckets of one token."""
+    rows = events(spark, folder).withColumn("user_id", F.pmod("user_id", F.lit(3)))
+    return bucket_columns(token_bucket.replay(rows, 1, 1 / 900, hot_events=max(1, rows.count() // 16)))
+
+
 def stream_rate_outcomes(spark, folder):
     """The same as keyed state over the events file, run until it has seen all of it."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
@@ -693,7 +699,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     scan_clean, ingress_scan, message_scan, egress_scan,
     pii_vault, vault_opened, pii_planted, pii_counts, pii_redacted, pii_restore, page_pii_counts, message_vault, message_redacted,
     entity_spans, entity_spans_join, entity_vault, entity_restored, span_vault,
-    rate_outcomes, rate_outcomes_pieces, stream_rate_outcomes, auth_outcomes, metered_events,
+    rate_outcomes, rate_outcomes_pieces, rate_outcomes_single, stream_rate_outcomes, auth_outcomes, metered_events,
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
     response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit,
     source_audit_split, redacted_prompts, audit_outcomes, audit_upsert, echo_audit,

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from promptveil.operators import token_bucket
@@ -71,6 +73,51 @@ def test_pieces_give_the_same(spark, capacity, refill, seed):
             assert left == pytest.approx(hand[event][2], abs=1e-6) and wait == pytest.approx(hand[event][1], abs=1e-3)
 
 
+@pytest.mark.parametrize("refill,seed,hot", [(0.1, 5, 100), (0.002, 6, 40), (3.0, 7, 60), (1e-5, 8, 30)])
+def test_one_token_in_pieces(spark, refill, seed, hot):
+    """Buckets of one token: several busy users, equal times, refills from many in a piece to one in many pieces."""
+    rng, rows, clock = random.Random(seed), [], {}
+    for i in range(2000):
+        user = rng.choice(["a", "a", "a", "b", "b", f"u{rng.randrange(9)}"])
+        clock[user] = clock.get(user, 0) + rng.choice([0, 0, 1, 5, 9, 30]) * rng.randrange(1, 1_000_000)
+        rows.append((i, user, clock[user]))
+    plain = outcome(token_bucket.replay(events(spark, rows), 1, refill))
+    assert plain == outcome(token_bucket.replay(events(spark, rows), 1, refill, hot_events=hot))
+    assert len(plain) == 2000 and 0 < sum(a for a, _, _ in plain.values()) < 2000
+
+
+def test_ways_out_of_a_piece():
+    rng = np.random.default_rng(1)
+    for period in (1, 7, 50, 10_000):
+        times = np.sort(rng.integers(0, 1000, 300))
+        out = token_bucket._ways_out(times, period)
+        for i in range(300):
+            last = times[i]
+            for t in times[i:]:
+                last = t if t >= last + period else last
+            assert out[i] == last
+
+
+@pytest.mark.parametrize("pause", [10_100_000, 9_900_000, 10_000_000])
+def test_summaries_stay_small_near_the_refill_rate(pause):
+    """A client a little slower or faster than the refill: what a piece tells doesn't grow with its requests."""
+    rate = token_bucket.Rate.of(5, 0.1)
+    batch = pa.RecordBatch.from_pydict({"piece": [0] * 5000, "user": ["u"] * 5000, "micros": [n * pause for n in range(5000)]})
+    for size in (300, 5000):
+        [row] = next(token_bucket._Summary(rate, "user")([batch.slice(0, size)])).to_pylist()
+        assert row["final"] is not None or len(row["stretches"]) <= 2
+        for left in range(0, rate.full + 1, rate.token // 7):
+            state = left
+            for _ in range(size):
+                state = rate.after(state)
+                state = min(rate.full, state + pause * rate.per_micro)
+            begun = token_bucket._starts([
+                {"piece": -1, "first_user": "'u'", "last_user": "'u'", "first_micros": 0, "last_micros": 0, "final": left, "stretches": []},
+                {**row, "first_micros": 0}, {**row, "piece": 1, "first_micros": 0}], rate)
+            end, at = begun[1]
+            assert min(rate.full, end + pause * rate.per_micro) == state
+
+
 def test_stream_over_several_batches_equals_batch(spark, tmp_path):
     rng = random.Random(7)
     rows = sorted([(i, f"u{rng.randrange(6)}", rng.randrange(10**9)) for i in range(400)], key=lambda r: r[2])
