@@ -132,6 +132,24 @@ def test_stream_over_several_batches_equals_batch(spark, tmp_path):
     assert streamed == outcome(token_bucket.replay(events(spark, rows), 3, 0.01))
 
 
+def test_idle_buckets_leave_the_state(spark, tmp_path):
+    """Bursts of new users with long gaps between: results as without clean-up, and the state holds the last burst only."""
+    rng = random.Random(8)
+    rows = [(n * 100 + i, f"u{n}-{rng.randrange(10)}" if i % 5 else "regular", n * 10**10 + rng.randrange(10**8))
+            for n in range(4) for i in range(100)]
+    for n in range(4):
+        events(spark, rows[n * 100:(n + 1) * 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    held = {}
+    for name, late in (("kept", None), ("dropped", "60 seconds")):
+        arriving = (spark.readStream.schema(events(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        query = (replay_stream(arriving, 3, 0.01, late=late).writeStream.format("parquet").option("path", str(tmp_path / name))
+                 .option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start())
+        assert query.awaitTermination(300)
+        held[name] = [p.stateOperators[0].numRowsTotal for p in query.recentProgress][-1]
+        assert outcome(spark.read.parquet(str(tmp_path / name))) == outcome(token_bucket.replay(events(spark, rows), 3, 0.01))
+    assert held["dropped"] < held["kept"]
+
+
 def test_a_clock_that_goes_back_adds_nothing():
     rate = token_bucket.Rate.of(3, 0.5)
     assert rate.offered(rate.token, -5_000_000) == rate.token
