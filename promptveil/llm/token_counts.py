@@ -8,6 +8,10 @@ old one behind the edit: from there on the pattern sees what it saw before. New
 leaves, and the sums on the way up follow. The pattern looks at most one character behind a pre-token's end, so the
 boundary context is the pre-token that ends at the edit or one character before it.
 
+``write_trees`` keeps the trees as a table, and ``edited`` applies edits to kept trees: it reads pre-token lengths and counts
+instead of making them, so documents without an edit are not encoded at all and others only where an edit reaches.
+``counted`` makes the trees and edits them in one pass, without a table between.
+
 Edits of a document apply in order, each to the text that those before left; places beyond the text are its end.
 A null text is empty, null edits are none, a null field of an edit counts as 0 or as no text. Repeated rows are counted
 each, other columns are ignored.
@@ -79,6 +83,18 @@ class CountTree:
         parts = counter.pattern.findall(text) if parts is None else parts
         self._fill(list(map(len, parts)), counter.counts(parts) if counts is None else counts)
 
+    @classmethod
+    def kept(cls, text: str, lengths: bytes, counts: bytes, counter: PreTokens, leaf: int = LEAF) -> CountTree:
+        """A tree from what ``packed`` gave: nothing is cut or encoded."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counter, tree.leaf, tree.reencoded = text, counter, leaf, 0
+        tree._fill(np.frombuffer(lengths, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist())
+        return tree
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """Lengths and token counts of all pre-tokens."""
+        return tuple(np.array([x for leaf in self.leaves for x in leaf[i]], "<u4").tobytes() for i in (0, 1))
+
     def _fill(self, lengths: list[int], counts: list[int]) -> None:
         n = max(1, -(-len(lengths) // self.leaf))
         self.leaves = [(lengths[i * self.leaf:(i + 1) * self.leaf], counts[i * self.leaf:(i + 1) * self.leaf]) for i in range(n)]
@@ -210,3 +226,60 @@ def counted(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id",
 
     return (small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
             .mapInArrow(run, schema).withColumnRenamed("id", id_col))
+
+
+_KEPT = ("text string, lengths binary, counts binary, n_tokens long, n_pretokens long")
+
+
+def kept_trees(df: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, lengths, counts, n_tokens, n_pretokens) of every row: its tree, and the text that edits need."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T._parse_datatype_string(_KEPT).fields])
+
+    def run(batches):
+        counter = pre_tokens(tokenizer, pattern)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            rows = []
+            for at in range(0, len(texts), 100):
+                rows += [(t.text, *t.packed(), t.total, sum(len(a) for a, _ in t.leaves)) for t in trees(texts[at:at + 100], counter)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_columns(rows)], names=schema.names)
+
+    return small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def _columns(rows: list[tuple], more: int = 0) -> list[pa.Array]:
+    kinds = [pa.string(), pa.binary(), pa.binary(), *[pa.int64()] * (2 + more)]
+    return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+
+def write_trees(df: DataFrame, path: str, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Keep the trees of all rows in the folder ``path``."""
+    kept_trees(df, tokenizer, pattern, id_col, text_col).write.parquet(path)
+
+
+def edited(kept: DataFrame, edits: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+    """``kept`` trees (``read.parquet`` of what ``write_trees`` wrote) after the edits (id, edits) of their documents, with
+    n_edits and n_reencoded. Trees without edits come back as they are, edits without a tree change nothing, an id with
+    several rows of edits gets those of all, in no order between the rows; all rows of a repeated id are edited."""
+    names = [f.name for f in T._parse_datatype_string(_KEPT)]
+    schema = T.StructType([kept.schema["id"], *T._parse_datatype_string(_KEPT).fields,
+                           *[T.StructField(n, T.LongType()) for n in ("n_edits", "n_reencoded")]])
+
+    def run(batches):
+        counter = pre_tokens(tokenizer, pattern)
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                tree = CountTree.kept(r["text"], r["lengths"], r["counts"], counter)
+                own = [e for e in r["edits"] if e is not None]
+                for e in own:
+                    tree.edit(e["place"] or 0, e["delete"] or 0, e["insert"] or "")
+                rows.append((tree.text, *tree.packed(), tree.total, sum(len(a) for a, _ in tree.leaves), len(own), tree.reencoded))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_columns(rows, 2)], names=schema.names)
+
+    wanted = (edits.select(F.col(edits.columns[0]).alias("id"), F.col("edits")).where(F.size("edits") > 0)
+              .groupBy("id").agg(F.flatten(F.collect_list("edits")).alias("edits")))
+    found = small_batches(kept).select("id", *names).join(wanted.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left")
+    zero = F.lit(0).cast("bigint")
+    return (found.where("edits IS NOT NULL").select("id", *names, "edits").mapInArrow(run, schema)
+            .unionAll(found.where("edits IS NULL").select("id", *names, zero, zero)))

@@ -83,3 +83,25 @@ def test_odd_rows(spark, whole):
         want.append((doc, whole(text or ""), len(own), whole(last), len(last)))
     assert [tuple(r)[:5] for r in got] == want
     assert token_counts.counted(df.where("false"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_kept_trees(spark, whole, tmp_path):
+    """Trees written, read and edited, twice over: equal to whole counts, and little is encoded again."""
+    edits = "array<struct<place: bigint, delete: bigint, insert: string>>"
+    long = "some plain words of a long text, again and again. " * 400
+    rows = [(1, long), (2, "one two"), (3, None), (4, "untouched 123"), (5, long[::-1]), (5, "twice"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lengths", F.lit("x"))
+    token_counts.write_trees(df, str(tmp_path / "0"), PATH, public_tokenizers.PATTERN)
+    first = {1: [(500, 3, "new"), (9000, 0, " words")], 2: [(3, 1, "")], 3: [(0, 0, "from nothing")], 5: [(2, 2, "x")], 77: [(0, 0, "none")], None: [(0, 2, "")]}
+    second = {1: [(0, 100, "")], 2: [(99, 0, "!")], 4: None, 5: []}
+    texts, kept = [(d, t or "") for d, t in rows], spark.read.parquet(str(tmp_path / "0"))
+    for n, step in enumerate((first, second), 1):
+        table = spark.createDataFrame(list(step.items()), f"doc_id bigint, edits {edits}")
+        token_counts.edited(kept, table, PATH, public_tokenizers.PATTERN).write.parquet(str(tmp_path / str(n)))
+        kept = spark.read.parquet(str(tmp_path / str(n)))
+        texts = [(d, after(t, step.get(d) or [])) for d, t in texts]
+        got = kept.collect()
+        assert sorted((repr(r["id"]), r["text"], r["n_tokens"], r["n_edits"]) for r in got) == sorted(
+            (repr(d), t, whole(t), len(step.get(d) or [])) for d, t in texts)
+        assert sum(r["n_reencoded"] for r in got) < 60
+    assert token_counts.edited(kept.where("false"), table, PATH, public_tokenizers.PATTERN).count() == 0
