@@ -7,11 +7,14 @@ identity numbers, secrets. Six labelers vote yes, no or nothing on every candida
 0. the strict rule of its kind; 1. its outer form; 2. gazetteers (domain endings, card issuers, reserved areas);
 3. words before it that announce its kind; 4. words before it that speak against it; 5. whether it stands alone.
 
-Only counts per kind and pattern of votes leave the tasks. From them EM estimates, per kind, the share of true spans
-and how often each labeler says yes or no to true and to false ones (starting from the majority; the rule's own prior is as strong as
-the data, since what fails a check digit is hardly ever a true number), and a logistic
-classifier over kind, votes and length is trained on the resulting probabilities. A candidate that is no base span is
-kept when the classifier gives it at least ``KEEP`` and it meets no base span or kept one before it.
+From the counts per kind and pattern of votes EM estimates, per kind, the share of true spans and how often each labeler
+says yes or no to true and to false ones (starting from the majority; the rule's own prior is as strong as the data,
+since what fails a check digit is hardly ever a true number). A logistic classifier over the votes and over what the
+labelers don't look at, the span's own form (digits, letters, separators, length), the characters beside it and the words
+around it, is then trained on these probabilities, on a sample of spans: by a hash of their places, about ``SAMPLE`` in
+all, with as many of each pattern of votes, so that rare ones count too. Every candidate is scored by its own features.
+One that is no base span is kept when the classifier gives it at least ``KEEP`` and it meets no base span or kept one
+before it.
 
 A null or empty text has no spans. Rows are judged one by one, so repeated rows repeat; other columns are ignored. With
 no candidates at all nothing is learned and nothing added. Places are code points, end exclusive.
@@ -20,6 +23,7 @@ no candidates at all nothing is learned and nothing added. Places are code point
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "secret")
 LABELERS = 6
 KEEP = 0.5
+SAMPLE = 10_000
 LENGTHS = (8, 14, 20)
 MAX_PATTERNS = len(KINDS) * 3 ** LABELERS * (len(LENGTHS) + 1)  # all there can be
 #: Shares of no, nothing and yes that true and false spans get, before any data: from the rule, from another labeler.
@@ -65,6 +70,11 @@ FOR = {"email": ("mail", "e-mail", "contact", "write"), "ip": ("ip", "address",
 AGAINST = ("version", "release", "isbn", "figure", "section", "chapter", "page", "table", "line", "total", "sha", "commit")
 _WORD = r"[^\W\d_]+(?:-[^\W\d_]+)?"
 _BEFORE = 40
+_AFTER = 24
+#: Blocks of features: how many values each has for a kind, and hashed words for all.
+_FORMS = {"length": len(LENGTHS) + 1, "digits": 4, "letters": 4, "separator": 6, "left": 6, "right": 6}
+WORDS = 128
+N_FEATURES = len(KINDS) * (1 + sum(_FORMS.values())) + 2 * LABELERS + WORDS
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -200,14 +210,39 @@ def estimated(kinds: np.ndarray, own: np.ndarray, n: np.ndarray, rounds: int = 6
     return truth
 
 
-def features(kinds: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Kind, votes for and against by kind of vote, length class by kind."""
-    rows = np.arange(len(kinds))
-    one = np.zeros((len(kinds), len(KINDS)))
-    one[rows, kinds] = 1
-    long = np.zeros((len(kinds), len(KINDS) * (len(LENGTHS) + 1)))
-    long[rows, kinds * (len(LENGTHS) + 1) + size] = 1
-    return np.concatenate([one, own > 0, own < 0, long], axis=1).astype(np.float64)
+def _beside(c: str) -> int:
+    """Class of a character beside a span: none, space, letter, digit, bracket or quote, other."""
+    return 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c in "()[]{}<>\"'" else 5
+
+
+def features(text: str, kind: int, start: int, end: int, own: list[int]) -> list[int]:
+    """Numbers of the features that a span has: its kind, votes for and against, form, surroundings, and words around."""
+    part = text[start:end]
+    digits = sum(c.isdigit() for c in part)
+    letters = {c.isupper() for c in part if c.isalpha()}
+    between = {c for c in part if not c.isalnum()}
+    separator = 0 if not between else 5 if len(between) > 1 else " -.@".find(next(iter(between))) + 1 or 5
+    form = {"length": sum(len(part) > n for n in LENGTHS), "digits": 4 * digits // (len(part) + 1),
+            "letters": 0 if not letters else 3 if len(letters) > 1 else 1 + letters.pop(), "separator": separator,
+            "left": _beside(text[start - 1:start]), "right": _beside(text[end:end + 1])}
+    out, at = [kind], len(KINDS)
+    for name, size in _FORMS.items():
+        out.append(at + kind * size + form[name])
+        at += len(KINDS) * size
+    for v in own:
+        if v:
+            out.append(at + (v > 0))
+        at += 2
+    around = re.findall(_WORD, text[max(0, start - _BEFORE):start].lower())[-3:]
+    around += [w + ">" for w in re.findall(_WORD, text[end:end + _AFTER].lower())[:2]]
+    return out + sorted({at + zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in around})
+
+
+def matrix(rows: list[list[int]]) -> np.ndarray:
+    x = np.zeros((len(rows), N_FEATURES))
+    for n, own in enumerate(rows):
+        x[n, own] = 1
+    return x
 
 
 def trained(x: np.ndarray, truth: np.ndarray, n: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
@@ -225,43 +260,52 @@ def trained(x: np.ndarray, truth: np.ndarray, n: np.ndarray, rounds: int = 30, r
 
 
 def extracted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array of (kind, start, end, base, pattern)) of every text's candidates."""
+    """(id, spans array of (kind, start, end, base, pattern, features)) of every text's candidates."""
     span = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()),
                          T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()),
-                         T.StructField("pattern", T.LongType())])
+                         T.StructField("pattern", T.LongType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("spans", T.ArrayType(span))])
     arrow = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()),
-                                ("pattern", pa.int64())]))
+                                ("pattern", pa.int64()), ("features", pa.list_(pa.int32()))]))
 
     def run(batches):
         for batch in batches:
             spans = []
             for text in batch.column("text").to_pylist():
-                spans.append([{"kind": k, "start": a, "end": b, "base": base, "pattern": pattern(k, votes(text, k, a, b, base), b - a)}
-                              for k, a, b, base in candidates(text or "")])
+                own = [(c, votes(text, *c)) for c in candidates(text or "")]
+                spans.append([{"kind": k, "start": a, "end": b, "base": base, "pattern": pattern(k, v, b - a),
+                               "features": features(text, k, a, b, v)} for (k, a, b, base), v in own])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, arrow)], names=["id", "spans"])
 
     return small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def learned(found: DataFrame) -> dict[int, float]:
-    """The classifier's probability of each pattern that occurs."""
-    rows = read_bounded(found.select(F.explode("spans.pattern").alias("pattern")).groupBy("pattern")
-                        .agg(F.count("*").alias("n")), MAX_PATTERNS)
+def learned(found: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The classifier's weights; all 0 where there is nothing to learn from."""
+    spans = found.select("id", F.explode("spans").alias("s")).select("id", "s.*")
+    rows = read_bounded(spans.groupBy("pattern").agg(F.count("*").alias("n")), MAX_PATTERNS)
     if not rows:
-        return {}
-    rows = sorted(rows)
-    codes, n = np.array([r["pattern"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
-    kinds, own, size = unpacked(codes)
-    x = features(kinds, own, size)
-    w = trained(x, estimated(kinds, own, n), n)
-    return dict(zip(codes.tolist(), (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
+        return np.zeros(N_FEATURES)
+    codes, n = (np.array(c) for c in zip(*sorted(map(tuple, rows)), strict=True))
+    kinds, own, _ = unpacked(codes)
+    truth = dict(zip(codes.tolist(), estimated(kinds, own, n.astype(np.float64)).tolist(), strict=True))
+    of_each = max(1, sample // len(codes))
+    shares = found.sparkSession.createDataFrame([(int(c), min(1.0, of_each / int(k))) for c, k in zip(codes, n, strict=True)], "pattern long, share double")
+    draw = F.pmod(F.xxhash64("id", "kind", "start"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = (spans.join(shares, "pattern").where(draw < F.col("share")).groupBy("pattern", "features").agg(F.count("*").alias("n"))
+             .orderBy("pattern", "features").collect())
+    x = matrix([r["features"] for r in drawn])
+    return trained(x, np.array([truth[r["pattern"]] for r in drawn]), np.array([r["n"] for r in drawn], np.float64))
+
+
+def probability(own: list[int], weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[own].sum(), -30, 30))))
 
 
-def chosen(spans: list[dict], keep: dict[int, float]) -> list[tuple[int, int, int]]:
+def chosen(spans: list[dict], weights: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end) of base spans and the added ones that meet none before them."""
     base = [(s["kind"], s["start"], s["end"]) for s in spans if s["base"]]
-    more = sorted((s["start"], s["end"], s["kind"]) for s in spans if not s["base"] and keep.get(s["pattern"], 0.0) >= KEEP)
+    more = sorted((s["start"], s["end"], s["kind"]) for s in spans if not s["base"] and probability(s["features"], weights) >= KEEP)
     taken = sorted((a, b) for _, a, b in base)
     out, floor, at, reach = list(base), -1, 0, -1
     for a, b, kind in more:
@@ -277,14 +321,14 @@ def chosen(spans: list[dict], keep: dict[int, float]) -> list[tuple[int, int, in
 def detected(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base array of (kind, start, end), spans array of the same) of every row."""
     found = written(extracted(df, id_col, text_col), "personal-data")
-    keep = learned(found)
+    weights = learned(found)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                      T.StructField("end", T.LongType())]))
 
     @F.pandas_udf(span)
     def pick(rows):
         import pandas as pd
-        return pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in chosen(list(own), keep)] for own in rows])
+        return pd.Series([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in chosen(list(own), weights)] for own in rows])
 
     names = F.array(*map(F.lit, KINDS))
     base = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(

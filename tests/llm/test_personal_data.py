@@ -107,3 +107,48 @@ def test_odd_rows(spark):
         assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
     assert personal_data.detected(df.where("false")).count() == 0
     assert [r["spans"] for r in personal_data.detected(df.where("doc_id < 3")).collect()] == [[], []]
+
+
+def planted(rng, n):
+    """(texts, true added spans by text): each text has one thing that no base rule finds, personal or only looking like it."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    prose = lambda: " ".join(word() for _ in range(rng.randint(3, 12)))
+    true = [lambda: ("ssn ", f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{digits(4)}", "id"),
+            lambda: ("call ", f"({rng.randint(200, 999)}) {digits(3)}-{digits(4)}", "phone"),
+            lambda: ("phone ", f"{rng.randint(200, 999)}-{digits(3)}-{digits(4)}", "phone"),
+            lambda: ("mail ", f"{word()} (at) {word()} (dot) com", "email"),
+            lambda: ("token ", "ghp_" + hexes(30), "secret"), lambda: ("api key ", hexes(40), "secret")]
+    false = [lambda: ("commit ", hexes(40), "secret"), lambda: ("sha ", hexes(64), "secret"),
+             lambda: ("version ", f"{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(256, 900)}.{rng.randint(256, 999)}", "ip"),
+             lambda: ("total ", digits(16), "card"), lambda: ("page ", f"000-{rng.randint(10, 99)}-{digits(4)}", "id"),
+             lambda: ("isbn ", f"978{digits(10)}", "card")]
+    texts, spans = [], {}
+    for i in range(n):
+        good = i % 2 == 0
+        cue, part, kind = rng.choice(true if good else false)()
+        head = prose() + " " + cue
+        texts.append((i, head + part + " " + prose()))
+        if good:
+            spans[i] = f"{kind}:{len(head)}:{len(head) + len(part)}"
+    return texts, spans
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    rows, spans = planted(random.Random(12), 1200)
+    got = personal_data.detected(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    added = {(r["doc_id"], f"{s['kind']}:{s['start']}:{s['end']}") for r in got for s in r["spans"] if s not in r["base"]}
+    right = added & set(spans.items())
+    assert len(right) / len(added) > 0.95 and len(right) / len(spans) > 0.95, (len(right), len(added), len(spans))
+
+
+def test_the_classifier_sees_more_than_the_votes():
+    """Equal votes, another form or other words: other features, within bounds."""
+    seen = set()
+    for text in ("key abcdef12", "key ABCDEF12", "key [abcdef12]", "word abcdef12", "key abcdef12 then"):
+        start = text.lower().index("abcdef12")
+        own = personal_data.features(text, 5, start, start + 8, [0] * 6)
+        assert len(set(own)) == len(own) and 0 <= min(own) and max(own) < personal_data.N_FEATURES
+        seen.add(tuple(own))
+    assert len(seen) == 5
