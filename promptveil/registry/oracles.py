@@ -398,3 +398,4 @@ ORACLES["stream_quarantine"] = """SELECT 'doc-' || doc_id AS request_id, ['bad_m
     AS invalid_reason FROM documents WHERE doc_id % 9 < 3"""
 ORACLES["rate_outcomes_single"] = "WITH RECURSIVE " + bucket_ctes(
     "(SELECT event_id, user_id % 3 AS user_id, epoch_us(ts) AS us FROM events)", 1, 900) + f" SELECT {bucket_columns(900)} FROM metered"
+ORACLES["audit_compacted"] = ORACLES["audit_upsert"]

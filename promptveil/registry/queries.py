@@ -573,6 +573,18 @@ def audit_upsert(spark, folder):
                        "terminating_stage", "latency_ms")
 
 
+def audit_compacted(spark, folder):
+    """The same two writes, compacted after each."""
+    path, target = run_folder(spark, "audit"), run_folder(spark, "compacted")
+    audit_store.write_audit(plan_echo_audit(spark, folder), path, 0)
+    audit_store.compact_new(spark, path, target)
+    again = audit_store.read_audit_rows(spark, path).drop("write_seq", "date").where(F.substring("request_id", 5, 20).cast("bigint") % 3 == 0)
+    audit_store.write_audit(again.withColumn("latency_ms", F.lit(-1.0)), path, 1)
+    audit_store.compact_new(spark, path, target)
+    return audit_store.read_compacted_rows(spark, target).select(
+        "request_id", "decision", F.col("status_code").cast("bigint").alias("status_code"), "terminating_stage", "latency_ms")
+
+
 def plan_echo_audit(spark, folder):
     settings = Settings(jwt_secret=demo_requests.SECRET, rate_capacity=3, rate_refill_per_sec=1 / 3600)
     docs = demo_requests.document_requests(documents(spark, folder))
@@ -702,5 +714,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     rate_outcomes, rate_outcomes_pieces, rate_outcomes_single, stream_rate_outcomes, auth_outcomes, metered_events,
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
     response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit,
-    source_audit_split, redacted_prompts, audit_outcomes, audit_upsert, echo_audit,
+    source_audit_split, redacted_prompts, audit_outcomes, audit_upsert, audit_compacted, echo_audit,
     stream_audit, stream_vault, stream_responses, stream_quarantine, stream_repeated_requests, stream_late_responses, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}

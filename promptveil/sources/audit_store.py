@@ -54,6 +54,50 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     write_audit(rows, target, last)
 
 
+SNAPSHOT = T.StructType([T.StructField("version", T.LongType()), T.StructField("through", T.LongType()),
+                         T.StructField("date", T.DateType())])
+
+
+def _versions(spark: SparkSession, target: str) -> DataFrame:
+    """(version, through, date): which compaction wrote which dates, and the last batch it had read."""
+    spark.createDataFrame([], SNAPSHOT).write.mode("ignore").json(f"{target}/versions")
+    return spark.read.schema(SNAPSHOT).json(f"{target}/versions")
+
+
+def compact_new(spark: SparkSession, path: str, target: str) -> int:
+    """Bring the compacted store ``target`` up to date with the batches written below ``path`` since the last time, and
+    return its version. Only dates with rows in these batches are written anew, each beside its former files, and a
+    version is there when its lines are: readers of an earlier one keep seeing it."""
+    known = _versions(spark, target).agg(F.max("version"), F.max("through")).head()
+    version, through = (known[0] or 0) + 1, -1 if known[1] is None else known[1]
+    rows = spark.read.schema(T.StructType([*STORED.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    new = rows.where(F.col("batch") > through)  # folders of earlier batches are not read
+    last = new.agg(F.max("batch")).head()[0]
+    if last is None:
+        return version - 1
+    dates = [r["date"] for r in new.select("date").distinct().collect()]  # days
+    old = read_compacted_rows(spark, target).where(F.col("date").isin(dates))
+    merged = newest(new.select(*STORED.names).unionByName(old)).join(
+        new.select("request_id", "write_seq").unionByName(old.select("request_id", "write_seq")).groupBy("request_id").agg(
+            F.max("write_seq").alias("write_seq")), "request_id")
+    merged.write.mode("overwrite").partitionBy("date").parquet(f"{target}/rows/version={version}")
+    lines = spark.createDataFrame([(version, last, d) for d in dates], SNAPSHOT)
+    lines.coalesce(1).write.mode("append").json(f"{target}/versions")
+    return version
+
+
+def read_compacted_rows(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
+    """The newest row per request in the compacted store, as of ``version`` (the last one if not given)."""
+    lines = _versions(spark, target)
+    if version is not None:
+        lines = lines.where(F.col("version") <= version)
+    current = lines.groupBy("date").agg(F.max("version").alias("version"))
+    if current.isEmpty():
+        return spark.createDataFrame([], STORED)
+    rows = spark.read.schema(T.StructType([*STORED.fields, T.StructField("version", T.LongType())])).parquet(f"{target}/rows")
+    return rows.join(current, ["date", "version"], "left_semi").select(*STORED.names)
+
+
 def outcomes(audit: DataFrame) -> DataFrame:
     """The narrow projection most readers want."""
     return audit.select("decision", "status_code", "terminating_stage")
