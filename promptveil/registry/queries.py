@@ -241,7 +241,7 @@ def page_pii_counts(spark, folder):
 def source_messages(spark, folder):
     """All documents of a source as the messages of one request."""
     return table(spark, folder, "documents").select(
-        F.col("source").alias("request_id"), F.col("doc_id").cast("int").alias("msg_idx"),
+        F.col("source").alias("request_id"), F.col("doc_id").alias("msg_idx"),
         F.lit("user").alias("role"), F.col("text").alias("content"))
 
 
