@@ -399,3 +399,9 @@ ORACLES["stream_quarantine"] = """SELECT 'doc-' || doc_id AS request_id, ['bad_m
 ORACLES["rate_outcomes_single"] = "WITH RECURSIVE " + bucket_ctes(
     "(SELECT event_id, user_id % 3 AS user_id, epoch_us(ts) AS us FROM events)", 1, 900) + f" SELECT {bucket_columns(900)} FROM metered"
 ORACLES["audit_compacted"] = ORACLES["audit_upsert"]
+ORACLES["scan_offsets_cut"] = ORACLES["scan_offsets"]
+ORACLES["scan_delta"] = f"{SCAN} WHERE (sig_id // 1000) % 5 > 0 AND doc_id % 6 <> 1"
+ORACLES["stream_denied_share"] = ORACLES["audit_denied_share"]
+ORACLES["audit_latency_merged"] = f"""{FLOW} SELECT coalesce(terminating_stage, 'none') AS stage, count(*) AS n,
+    count(DISTINCT user_id) AS exact, true AS users_near, true AS p50_near, true AS p95_near, true AS p99_near
+    FROM flow GROUP BY 1"""

@@ -7,13 +7,15 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptveil.functions.patterns import PLACEHOLDER
 from promptveil.functions.text import ascii_fold
 from promptveil.functions.times import as_instant
-from promptveil.operators import auth, decisions, entities, message_rows, providers, redact, scan, token_bucket
+from promptveil.operators import (
+    auth, decisions, entities, hit_table, long_texts, message_rows, providers, redact, scan, token_bucket)
 from promptveil.plans import requests as plan
-from promptveil.plans import any_size, long_requests, rollups
+from promptveil.plans import any_size, daily_sketches, long_requests, rollups
 from promptveil.session import run_folder, spread, written
 from promptveil.settings import Settings
 from promptveil.sources import audit_store, demo_requests
@@ -21,6 +23,7 @@ from promptveil.sources import requests as request_source
 from promptveil.sources import signatures as signature_source
 from promptveil.streaming import flow
 from promptveil.streaming import requests as request_stream
+from promptveil.streaming import rollups as rollup_stream
 from promptveil.streaming import token_bucket as bucket_stream
 
 DEMO = Settings(jwt_secret=demo_requests.SECRET, rate_capacity=3, rate_refill_per_sec=1 / 3600, provider="anthropic")
@@ -145,6 +148,29 @@ def scan_offsets(spark, folder):
     return scan.occurrences(documents(spark, folder), phrases(spark, folder), "doc_id")
 
 
+def scan_offsets_cut(spark, folder):
+    """The same with every text cut into overlapping pieces of a few hundred bytes."""
+    return long_texts.occurrences(documents(spark, folder), phrases(spark, folder), "doc_id", piece=300)
+
+
+def scan_delta(spark, folder):
+    """A stored hit table brought up to date twice: texts come, change and go, signatures are added, removed and added
+    again. The hits are those of a whole scan of what is there at the end."""
+    store = hit_table.hit_store(spark, run_folder(spark, "hits"), T.StructField("doc_id", T.LongType()))
+    docs = documents(spark, folder)
+    item = F.floor(F.col("sig_id") / 1000)
+    signatures = phrases(spark, folder)
+    kind = F.pmod("doc_id", F.lit(6))
+    first = docs.where(kind < 4)
+    before = first.withColumn("text", F.when(kind == 0, F.reverse("text")).otherwise(F.col("text")))
+    hit_table.update(store, 0, docs.where("false"), before, signatures.where(F.pmod(item, F.lit(5)) < 3), "doc_id")
+    hit_table.update(store, 1, before, docs.where(kind == 4), signatures.where(F.pmod(item, F.lit(5)) > 1), "doc_id")
+    # now texts of kind 0 change, those of kind 1 go, and signatures of residue 1 come back
+    hit_table.update(store, 2, docs.where(kind <= 4), docs.where((kind == 0) | (kind == 5)),
+                     signatures.where(F.pmod(item, F.lit(5)) > 0), "doc_id", gone=docs.where(kind <= 1).select("doc_id"))
+    return hit_table.read_hits(store, "doc_id").select("doc_id", "sig_id", "first_end")
+
+
 def scan_names(spark, folder):
     found = scan.matches(documents(spark, folder), phrases(spark, folder), "doc_id")
     return found.select("doc_id", F.array_join("names", "|").alias("names"))
@@ -701,13 +727,50 @@ def audit_denied_share(spark, folder):
     return rollups.denied_share(audit(spark, folder)).withColumn("hour", F.unix_seconds("hour"))
 
 
+def stream_denied_share(spark, folder):
+    """The same from a stream of audit rows. A tenth of them come when their hours are closed and are counted apart."""
+    path, target = run_folder(spark, "audit"), run_folder(spark, "shares")
+    rows = written(audit(spark, folder), "audit-rows")
+    late = F.pmod(F.xxhash64("request_id"), F.lit(10)) == 0
+    given = {"ts": F.col("last") + F.expr("INTERVAL 10 DAYS"), "jwt_valid": F.lit(True)}
+    tick = rows.agg(F.max("ts").alias("last")).select(*[  # moves the watermark on, as later traffic would
+        given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    for n, batch in enumerate((rows.where(~late), tick, rows.where(late))):
+        audit_store.write_audit(batch, path, n)
+        finish(rollup_stream.hourly_shares(rollup_stream.arriving_audit(spark, path), f"{target}/rows", f"{target}/state"))
+    shares = rollup_stream.read_shares(spark, f"{target}/rows")
+    found = rollup_stream.amended(audit_store.read_audit_rows(spark, path), shares)
+    return found.withColumn("hour", F.unix_seconds("hour"))
+
+
 def audit_latency(spark, folder):
     return rollups.latency(audit(spark, folder))
 
 
+def audit_latency_merged(spark, folder):
+    """Sketches of three batches of the audit merged by stage, against exact ranks and numbers of users."""
+    store = daily_sketches.sketch_store(spark, run_folder(spark, "sketches"))
+    rows = written(audit(spark, folder), "audit-rows")
+    for n in range(3):
+        daily_sketches.add_batch(store, n, rows.where(F.pmod(F.xxhash64("request_id"), F.lit(3)) == n))
+    marks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = daily_sketches.answers(daily_sketches.merged(store.read("days"), "stage"), tuple(marks.values()))
+    timed = rows.select(F.coalesce("terminating_stage", F.lit("none")).alias("stage"), "latency_ms", "user_id")
+    ranks = timed.join(found.select("stage", *marks), "stage").groupBy("stage").agg(
+        F.count("latency_ms").alias("timed"), F.count_distinct("user_id").alias("exact"),
+        *[F.count_if(F.col("latency_ms") < F.col(p)).alias(f"below_{p}") for p in marks],
+        *[F.count_if(F.col("latency_ms") <= F.col(p)).alias(f"upto_{p}") for p in marks])
+    bound = daily_sketches.RANK_BOUND
+    near = [((F.col(f"below_{p}") / F.col("timed") <= mark + bound) & (F.col(f"upto_{p}") / F.col("timed") >= mark - bound)).alias(f"{p}_near")
+            for p, mark in marks.items()]
+    users = F.abs(F.col("users") - F.col("exact")) <= F.col("exact") * daily_sketches.USERS_BOUND
+    return found.join(ranks, "stage").select("stage", "n", "exact", users.alias("users_near"), *near)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     conv_requests, validate_requests, quarantined_requests, request_parse, stored_requests,
-    signature_file, pattern_count, scan_distinct, scan_join, scan_offsets, scan_names, scan_hit_counts, scan_blocked,
+    signature_file, pattern_count, scan_distinct, scan_join, scan_offsets, scan_offsets_cut,
+    scan_delta, scan_names, scan_hit_counts, scan_blocked,
     scan_clean, ingress_scan, message_scan, egress_scan,
     pii_vault, vault_opened, pii_planted, pii_counts, pii_redacted, pii_restore, page_pii_counts, message_vault, message_redacted,
     entity_spans, entity_spans_join, entity_vault, entity_restored, span_vault,
@@ -715,4 +778,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     provider_body_block, provider_body_choice, model_resolution, echo_responses, parse_block, parse_choice,
     response_join, request_decisions, audit_rows, audit_rows_large_dictionary, response_projection, rejection_projection, source_audit,
     source_audit_split, redacted_prompts, audit_outcomes, audit_upsert, audit_compacted, echo_audit,
-    stream_audit, stream_vault, stream_responses, stream_quarantine, stream_repeated_requests, stream_late_responses, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share, audit_latency)}
+    stream_audit, stream_vault, stream_responses, stream_quarantine, stream_repeated_requests, stream_late_responses, audit_by_decision, audit_by_user, audit_by_label, audit_denied_share,
+    stream_denied_share, audit_latency, audit_latency_merged)}
