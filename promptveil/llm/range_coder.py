@@ -3,13 +3,17 @@
 A block is cut into lanes of equal length that are coded in step, one symbol of every lane at a time, all against one
 model that learns from every lane. The model starts empty in each block, so blocks stand alone. For a symbol,
 
-- order 2 (the two ids before it, hashed) and order 1 (the id before it) each predict one id, with a confidence;
-- how often each is right at its confidence is counted, and two online-trained mixers turn both into the probabilities
-  of "order 2 is right", "order 1 is right", "neither";
-- an id that neither predicts is coded by order 0, the adaptive frequencies of such ids.
-
-All of it is integer arithmetic or single float additions, products and quotients in fixed order, so that any machine
-decodes what another has encoded. The range coder keeps 48 bits and moves 16 at a time, without carry.
+- order 2 (the two ids before it, hashed) predicts one id, with a confidence. How often it is right at its confidence, and
+  at the probability that order 1 gives the same id, is counted, and an online-trained mixer turns both into the
+  probability that it is right;
+- if it is not, order 1 (the id before it) gives a distribution over all ids seen after that id: their counts, mixed with
+  those of order 0, without the id that order 2 has named, and with room for an id not seen there (half a count for each
+  one seen);
+- such an id is coded by order 0, the adaptive frequencies of such ids.
+
+Order 2 and the mixer learn at every step, the distributions are made anew at steps that grow apart. All of it is integer
+arithmetic or single float additions, products and quotients in fixed order, so that any machine decodes what another
+has encoded. The range coder keeps 48 bits and moves 16 at a time, without carry.
 """
 
 from __future__ import annotations
@@ -19,13 +23,19 @@ import numpy as np
 FLAG_BITS = 14
 ZERO_BITS = 18
 _TWO_BITS = 18
+_SLOT_BITS = 20
+_COUNT = 32  # weight of one occurrence after the same id
+_PRIOR = 512  # weight of order 0's distribution in that of order 1
+_MOST = 1 << 15  # occurrences from which on an id's successors are scaled down
 _MASK = np.uint64((1 << 48) - 1)
 _BOT = np.uint64(1 << 24)
 _W = np.uint64(16)
 _TOP = np.uint64(32)
 _LINE = np.uint64(1 << 32)
-_STATES = np.arange(128)
-_CONF2, _CONF1, _SAME = _STATES & 7, _STATES >> 3 & 7, _STATES >> 6 == 1
+_STATES = np.arange(64)
+_SURE, _NEAR = _STATES & 7, _STATES >> 3
+# by 1/256 of probability: 0 for none, then a step up at each of these
+_LEVEL = np.searchsorted(np.array([1, 3, 8, 20, 50, 110, 180]), np.arange(257), side="right")
 _RATE = 0.5
 
 
@@ -51,16 +61,19 @@ class Model:
 
     def __init__(self, alphabet: int):
         self.alphabet = alphabet
-        self.one = np.full(alphabet + 1, alphabet << 3, np.int64)  # predicted id << 3 | confidence, 0 for nothing yet
-        self.two = np.full(1 << _TWO_BITS, alphabet << 3, np.int64)
-        self.right = np.ones((2, 8), np.int64)  # by order 2 and 1, and confidence
+        self.two = np.full(1 << _TWO_BITS, alphabet << 3, np.int64)  # predicted id << 3 | confidence, 0 for nothing yet
+        self.right = np.ones((2, 8), np.int64)  # by confidence, and by what order 1 says
         self.tried = np.full((2, 8), 2, np.int64)
-        self.weights = np.array([[0.0, 0.7, 0.3], [0.0, 0.7, 0.3]])
-        self.seen = np.zeros(384, np.int64)
+        self.weights = np.array([0.0, 0.7, 0.3])
+        self.seen = np.zeros(128, np.int64)
+        self.keys = np.zeros(0, np.int64)  # id * alphabet + next id, ascending, with the times it was seen
+        self.times = np.zeros(0, np.int64)
+        self.fresh: list[np.ndarray] = []
         self.escaped: list[np.ndarray] = []
         self.counts = np.zeros(alphabet, np.int64)
         self.step = 0
         self._order0()
+        self._order1()
         self._mix()
 
     def _order0(self) -> None:
@@ -80,71 +93,99 @@ class Model:
             self.slots = np.repeat(np.arange(self.alphabet), self.freq0.astype(np.int64))
         return _take(self.slots, slot)
 
+    def _order1(self) -> None:
+        if self.fresh:
+            keys, times = np.unique(np.concatenate(self.fresh), return_counts=True)
+            self.fresh.clear()
+            at = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), np.bool_)
+            if len(self.keys):
+                known = _take(self.keys, at) == keys
+            self.times[at[known]] += times[known]
+            self.times = np.insert(self.times, at[~known], times[~known])
+            self.keys = np.insert(self.keys, at[~known], keys[~known])
+        keys, times, size = self.keys, self.times, len(self.keys)
+        after = keys // self.alphabet
+        self.symbols = keys - after * self.alphabet
+        several = np.bincount(after, minlength=self.alphabet + 1)
+        ends = np.concatenate([[0], np.cumsum(times)])
+        first = np.cumsum(several) - several
+        scale = np.maximum(ends[first + several] - ends[first], _MOST)
+        alone = np.bincount(self.symbols, weights=times, minlength=self.alphabet).astype(np.int64)  # whole numbers
+        freq = (_COUNT * times - _COUNT // 2) * _MOST // scale[after] + _PRIOR * alone[self.symbols] // max(1, int(ends[-1])) + 1
+        self.cum = np.concatenate([[0], np.cumsum(freq)])
+        self.freq = np.append(freq, 0)
+        self.base = self.cum[first]
+        self.unseen = np.maximum(several * (_COUNT // 2) * _MOST // scale, 1)
+        self.total = self.cum[first + several] - self.base + self.unseen
+        self.known = np.append(keys, -1)
+        self.table = np.full(1 << _SLOT_BITS, size, np.int32)
+        slot, place = self._slot(keys), np.arange(size, dtype=np.int32)
+        for least in (1, 4, 32):  # of keys that share a slot the frequent one is found; the other counts as not seen
+            some = times >= least
+            self.table[slot[some]] = place[some]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def place(self, last: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where ``ids`` stand among the successors of ``last``; the number of all keys for those that don't."""
+        keys = last * self.alphabet + ids
+        at = _take(self.table, self._slot(keys)).astype(np.int64)
+        return np.where(_take(self.known, at) == keys, at, len(self.keys))
+
     def _mix(self) -> None:
         known = _stretch(self.right / self.tried)
-        self.in2 = np.where(_CONF2 > 0, known[0][_CONF2], 0.0)
-        self.in1 = np.where(_CONF1 > 0, known[1][_CONF1], 0.0)
-        sign = np.where(_SAME, 1.0, -1.0)
-        a, b = self.weights
-        self.p2 = _squash(a[0] + a[1] * self.in2 + a[2] * sign * self.in1)
-        self.p1 = _squash(b[0] + b[1] * self.in1 - b[2] * self.in2)
+        self.in2, self.in1 = known[0][_SURE], known[1][_NEAR]
+        a = self.weights
+        self.p2 = _squash(a[0] + a[1] * self.in2 + a[2] * self.in1)
         top = 1 << FLAG_BITS
-        f2 = np.where(_CONF2 > 0, np.clip((self.p2 * top).astype(np.int64), 1, top - 2), 0)
-        f1 = np.where((_CONF1 > 0) & ~_SAME, np.clip(((top - f2) * self.p1).astype(np.int64), 1, top - f2 - 1), 0)
-        freq = np.stack([f2, f1, top - f2 - f1], axis=1)
-        self.freq = freq.ravel().astype(np.uint64)
-        self.cum = (np.cumsum(freq, axis=1) - freq).ravel().astype(np.uint64)
-        self.edge2, self.edge1 = f2.astype(np.uint64), (f2 + f1).astype(np.uint64)
+        f2 = np.where(_SURE > 0, np.clip((self.p2 * top).astype(np.int64), 1, top - 1), 0)
+        self.flag = np.stack([f2, top - f2], axis=1).ravel().astype(np.uint64)
+        self.edge = f2.astype(np.uint64)
 
     def _learn(self) -> None:
-        n = self.seen.reshape(128, 3)
+        n = self.seen.reshape(64, 2)
         total = n.sum(axis=1)
-        cube = n.reshape(2, 8, 8, 3)  # same, order 1's confidence, order 2's, outcome
-        self.right[0] += cube[..., 0].sum(axis=(0, 1))
-        self.tried[0] += cube.sum(axis=(0, 1, 3))
-        self.right[1] += cube[1, :, :, 0].sum(axis=1) + cube[0, :, :, 1].sum(axis=1)
-        self.tried[1] += cube.sum(axis=(0, 2, 3))
-        self.right[:, 0], self.tried[:, 0] = 1, 2
+        cube = n.reshape(8, 8, 2)  # what order 1 says, confidence, outcome
+        for row, axis in ((0, 0), (1, 1)):
+            self.right[row] += cube[:, 1:, 0].sum(axis=1) if axis else cube[..., 0].sum(axis=0)
+            self.tried[row] += cube[:, 1:].sum(axis=(1, 2)) if axis else cube.sum(axis=(0, 2))
+        self.right[0, 0], self.tried[0, 0] = 1, 2
         if int(self.tried.max()) > 1 << 16:
             self.right, self.tried = self.right // 2 + 1, self.tried // 2 + 2
-        sign = np.where(_SAME, 1.0, -1.0)
-        off2 = np.where(_CONF2 > 0, n[:, 0] - total * self.p2, 0.0)
-        rest = total - n[:, 0]
-        off1 = np.where((_CONF1 > 0) & ~_SAME, n[:, 1] - rest * self.p1, 0.0)
+        off = np.where(_SURE > 0, n[:, 0] - total * self.p2, 0.0)
         rate = _RATE / max(1, int(total.sum()))
-        for row, off, ins in ((0, off2, (1.0, self.in2, sign * self.in1)), (1, off1, (1.0, self.in1, -self.in2))):
-            for i, x in enumerate(ins):
-                self.weights[row, i] += rate * _sum(off * x)
+        for i, x in enumerate((1.0, self.in2, self.in1)):
+            self.weights[i] += rate * _sum(off * x)
         self.seen[:] = 0
         self._mix()
 
     def look(self, before: np.ndarray, last: np.ndarray):
-        """What both orders say about the next symbol of every lane."""
+        """What order 2 says about the next symbol of every lane, and order 1 about that."""
         at = before * 0x9E3779B1 + last * 0x85EBCA6B
         at >>= 13
         at &= (1 << _TWO_BITS) - 1
-        e2, e1 = _take(self.two, at), _take(self.one, last)
-        c2, c1 = e2 >> 3, e1 >> 3
-        sure2, sure1 = e2 & 7, e1 & 7
-        state = (c1 == c2).astype(np.int64)
-        state <<= 3
-        state += sure1
+        e2 = _take(self.two, at)
+        c2, sure2 = e2 >> 3, e2 & 7
+        place2 = self.place(last, c2)
+        freq2 = _take(self.freq, place2)
+        state = _take(_LEVEL, (freq2 << 8) // _take(self.total, last))
         state <<= 3
         state += sure2
-        return at, e2, e1, c2, c1, sure2, sure1, state
-
-    def learn(self, last, at, e2, e1, sure2, sure1, hit2, hit1, x, outcome_at) -> None:
-        anew = x << 3
-        anew += 1
-        for table, where, entry, sure, hit in ((self.two, at, e2, sure2, hit2), (self.one, last, e1, sure1, hit1)):
-            # up by one when right (7 at most), down by one when wrong, replaced when there was little trust
-            table[where] = np.where(hit, entry + (sure < 7), np.where(sure > 1, entry - 1, anew))
-        self.seen += np.bincount(outcome_at, minlength=384)
+        return at, e2, c2, sure2, place2, freq2, state
+
+    def learn(self, last, at, e2, sure2, hit2, x, outcome_at) -> None:
+        # up by one when right (7 at most), down by one when wrong, replaced when there was little trust
+        self.two[at] = np.where(hit2, e2 + (sure2 < 7), np.where(sure2 > 1, e2 - 1, (x << 3) + 1))
+        self.seen += np.bincount(outcome_at, minlength=128)
+        self.fresh.append(last * self.alphabet + x)
         self.step += 1
         if self.step < 8 or self.step % 8 == 0:
             self._learn()
-        if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
+        if self.step & (self.step - 1) == 0 or self.step % 32 == 0:
             self._order0()
+            self._order1()
 
 
 def _layout(n: int, lanes: int) -> tuple[int, int]:
@@ -191,23 +232,36 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
         k = lanes if t < steps - 1 else full
         x = source[t, :k].astype(np.int64)
         now = last[:k]
-        at, e2, e1, c2, c1, sure2, sure1, state = model.look(before[:k], now)
-        hit2, hit1 = c2 == x, c1 == x
-        spot = state * 3 + np.where(hit2, 0, 2 - hit1)
+        at, e2, c2, sure2, place2, freq2, state = model.look(before[:k], now)
+        hit2 = c2 == x
+        hit2 &= sure2 > 0
+        spot = state * 2 + ~hit2
         lo, ra = low[:k], rng[:k]
         part = ra >> np.uint64(FLAG_BITS)
-        lo += part * _take(model.cum, spot)
-        np.multiply(part, _take(model.freq, spot), out=ra)
+        lo += np.where(hit2, np.uint64(0), part * _take(model.edge, state))
+        np.multiply(part, _take(model.flag, spot), out=ra)
         settle(lo, ra, every)
-        i = np.flatnonzero(~(hit2 | hit1))
+        i = np.flatnonzero(~hit2)
         if len(i):
-            xs = x[i]
-            part = ra[i] >> np.uint64(ZERO_BITS)
-            a, r = lo[i] + part * _take(model.cum0, xs), part * _take(model.freq0, xs)
+            xs, ctx, gone = x[i], now[i], np.where(sure2[i] > 0, freq2[i], 0)
+            own = model.place(ctx, xs)
+            total, unseen = _take(model.total, ctx) - gone, _take(model.unseen, ctx)
+            new = own == len(model.keys)
+            begin = _take(model.cum, own) - _take(model.base, ctx) - np.where(own > place2[i], gone, 0)
+            part = ra[i] // total.astype(np.uint64)
+            a = lo[i] + part * np.where(new, total - unseen, begin).astype(np.uint64)
+            r = part * np.where(new, unseen, _take(model.freq, own)).astype(np.uint64)
             settle(a, r, every[i])
+            j = np.flatnonzero(new)
+            if len(j):
+                xs = xs[j]
+                part = r[j] >> np.uint64(ZERO_BITS)
+                b, q = a[j] + part * _take(model.cum0, xs), part * _take(model.freq0, xs)
+                settle(b, q, every[i[j]])
+                a[j], r[j] = b, q
+                model.escaped.append(xs)
             lo[i], ra[i] = a, r
-            model.escaped.append(xs)
-        model.learn(now, at, e2, e1, sure2, sure1, hit2, hit1, x, spot)
+        model.learn(now, at, e2, sure2, hit2, x, spot)
         before[:k] = now
         last[:k] = x
     for shift in (32, 16, 0):
@@ -253,28 +307,46 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
     for t in range(steps):
         k = lanes if t < steps - 1 else full
         now = last[:k]
-        at, e2, e1, c2, c1, sure2, sure1, state = model.look(before[:k], now)
+        at, e2, c2, sure2, place2, freq2, state = model.look(before[:k], now)
         lo, ra, co, wo = low[:k], rng[:k], code[:k], at_word[:k]
         part = ra >> np.uint64(FLAG_BITS)
-        above = co - lo  # against the edges times the part: a product is cheaper than a quotient
-        hit2 = above < part * _take(model.edge2, state)
-        escape = above >= part * _take(model.edge1, state)
-        spot = state * 3 + np.where(hit2, 0, 1 + escape)
-        lo += part * _take(model.cum, spot)
-        np.multiply(part, _take(model.freq, spot), out=ra)
+        edge = part * _take(model.edge, state)
+        hit2 = co - lo < edge  # against the edge times the part: a product is cheaper than a quotient
+        spot = state * 2 + ~hit2
+        lo += np.where(hit2, np.uint64(0), edge)
+        np.multiply(part, _take(model.flag, spot), out=ra)
         settle(lo, ra, co, wo)
-        x = np.where(hit2, c2, c1)
-        i = np.flatnonzero(escape)
+        x = c2.copy()
+        i = np.flatnonzero(~hit2)
         if len(i):
-            part = ra[i] >> np.uint64(ZERO_BITS)
-            slot = np.minimum((co[i] - lo[i]) // part, np.uint64((1 << ZERO_BITS) - 1))
-            xs = model.symbol_of(slot.astype(np.int64))
-            a, r, c, w = lo[i] + part * _take(model.cum0, xs), part * _take(model.freq0, xs), co[i], wo[i]
+            ctx, gone = now[i], np.where(sure2[i] > 0, freq2[i], 0)
+            total, unseen, base = _take(model.total, ctx) - gone, _take(model.unseen, ctx), _take(model.base, ctx)
+            a, r, c, w = lo[i], ra[i], co[i], wo[i]
+            part = r // total.astype(np.uint64)
+            spent = np.minimum(((c - a) // part).astype(np.int64), total - 1)
+            new = spent >= total - unseen
+            at_most = spent + base
+            at_most += np.where(at_most >= _take(model.cum, place2[i]), gone, 0)
+            own = np.searchsorted(model.cum, at_most, side="right") - 1
+            own[new] = len(model.keys)
+            begin = _take(model.cum, own) - base - np.where(own > place2[i], gone, 0)
+            a += part * np.where(new, total - unseen, begin).astype(np.uint64)
+            r = part * np.where(new, unseen, _take(model.freq, own)).astype(np.uint64)
             settle(a, r, c, w)
+            xs = _take(model.symbols, own) if len(model.symbols) else np.zeros(len(i), np.int64)
+            j = np.flatnonzero(new)
+            if len(j):
+                part = r[j] >> np.uint64(ZERO_BITS)
+                slot = np.minimum((c[j] - a[j]) // part, np.uint64((1 << ZERO_BITS) - 1))
+                met = model.symbol_of(slot.astype(np.int64))
+                b, q, d, v = a[j] + part * _take(model.cum0, met), part * _take(model.freq0, met), c[j], w[j]
+                settle(b, q, d, v)
+                a[j], r[j], c[j], w[j] = b, q, d, v
+                xs[j] = met
+                model.escaped.append(met)
             lo[i], ra[i], co[i], wo[i] = a, r, c, w
             x[i] = xs
-            model.escaped.append(xs)
-        model.learn(now, at, e2, e1, sure2, sure1, hit2, c1 == x, x, spot)
+        model.learn(now, at, e2, sure2, hit2, x, spot)
         out[t, :k] = x
         before[:k] = now
         last[:k] = x

@@ -5,7 +5,7 @@ one pass and writes one file per partition, as rows (part, block, first, n_ids,
 task that runs twice leaves one file. A block ends at a document's end once it has ``BLOCK`` ids, holds whole
 documents, and can be decoded alone. ``data`` is, little-endian:
 
-    "IDC1", u32 alphabet, u32 lanes, u32 documents, u64 ids, u64 words, documents x (i64 id, u64 ids),
+    "IDC2", u32 alphabet, u32 lanes, u32 documents, u64 ids, u64 words, documents x (i64 id, u64 ids),
     bytes that tell which ids are null, lanes x u32 words per lane, words x u16, u32 CRC-32 of all before
 
 ``first`` is the number of ids before the block in its part; the ids of earlier parts come from sums over one row per
@@ -31,7 +31,7 @@ from promptveil.llm import range_coder
 from promptveil.llm.common import give_back, pieces, small_batches, utf8, worker_cache
 
 BLOCK = 1 << 21
-_MAGIC = b"IDC1"
+_MAGIC = b"IDC2"
 _HEAD = "<4sIIIQQ"
 _MEMO_WORDS = 400_000
 _MEMO_BYTES = 64

@@ -76,6 +76,34 @@ def test_contexts_shorten_what_they_predict():
     assert len(words) < len(free) / 2
 
 
+@pytest.mark.parametrize("bits", [2, 20])
+def test_frequent_successors_and_shared_slots(monkeypatch, bits):
+    monkeypatch.setattr(range_coder, "_SLOT_BITS", bits)  # with few slots most pairs can't be found and are coded by order 0
+    rng = np.random.default_rng(bits)
+    hot = np.where(rng.random(400_000) < 0.9, 7, rng.integers(0, 3000, 400_000))  # scaled counts after id 7
+    for ids in (hot, np.zeros(300_000, np.int64), rng.integers(0, 60, 50_000)):
+        words, per_lane = range_coder.encode(ids, 5000, range_coder.lanes_for(len(ids)))
+        assert np.array_equal(range_coder.decode(words, per_lane, len(ids), 5000), ids)
+
+
+def test_shorter_than_order_0_alone():
+    """A whole block of the given documents: at least 15 % under the entropy of its ids."""
+    import pyarrow.parquet as pq
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")
+    coder, held, size = token_files.WordEncoder(tokenizer_path()), [], 0
+    for text in table.column("text").to_pylist():
+        held += [*coder.encode([(text or "").encode()]), struct.pack("<I", 2)]
+        size += len(held[-2]) // 4 + 1
+        if size >= token_files.BLOCK:
+            break
+    ids = np.frombuffer(b"".join(held), "<u4")
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    words, per_lane = range_coder.encode(ids, coder.alphabet, range_coder.lanes_for(len(ids)))
+    assert len(words) * 16 < 0.85 * len(ids) * -(share * np.log2(share)).sum()
+    assert np.array_equal(range_coder.decode(words, per_lane, len(ids), coder.alphabet), ids)
+
+
 def test_damage_is_an_error():
     data = token_files.pack([4, None], [np.array([5, 6], "<u4").tobytes(), np.array([2], "<u4").tobytes()], 10)
     docs, sizes, ids = token_files.unpack(data)
