@@ -68,6 +68,7 @@ class Model:
         self.seen = np.zeros(128, np.int64)
         self.keys = np.zeros(0, np.int64)  # id * alphabet + next id, ascending, with the times it was seen
         self.times = np.zeros(0, np.int64)
+        self.table = np.zeros(1 << _SLOT_BITS, np.int32)  # place of a key among all, by its hash
         self.fresh: list[np.ndarray] = []
         self.escaped: list[np.ndarray] = []
         self.counts = np.zeros(alphabet, np.int64)
@@ -112,18 +113,27 @@ class Model:
         first = np.cumsum(several) - several
         scale = np.maximum(ends[first + several] - ends[first], _MOST)
         alone = np.bincount(self.symbols, weights=times, minlength=self.alphabet).astype(np.int64)  # whole numbers
-        freq = (_COUNT * times - _COUNT // 2) * _MOST // scale[after] + _PRIOR * alone[self.symbols] // max(1, int(ends[-1])) + 1
+        freq = _COUNT * times - _COUNT // 2
+        hot = scale > _MOST
+        if hot.any():
+            some = np.flatnonzero(hot[after])
+            freq[some] = freq[some] * _MOST // scale[after[some]]
+        freq += (_PRIOR * alone // max(1, int(ends[-1])) + 1)[self.symbols]
         self.cum = np.concatenate([[0], np.cumsum(freq)])
         self.freq = np.append(freq, 0)
         self.base = self.cum[first]
+        # for every multiple of a power of two near the mean frequency, the number of sums up to it: where a search begins
+        self.shift = max(0, (int(self.cum[-1]) // max(1, size)).bit_length() - 1)
+        self.guide = np.cumsum(np.bincount((self.cum + (1 << self.shift) - 1) >> self.shift))
         self.unseen = np.maximum(several * (_COUNT // 2) * _MOST // scale, 1)
         self.total = self.cum[first + several] - self.base + self.unseen
         self.known = np.append(keys, -1)
-        self.table = np.full(1 << _SLOT_BITS, size, np.int32)
-        slot, place = self._slot(keys), np.arange(size, dtype=np.int32)
-        for least in (1, 4, 32):  # of keys that share a slot the frequent one is found; the other counts as not seen
-            some = times >= least
-            self.table[slot[some]] = place[some]
+        self.table.fill(size)
+        slot = self._slot(keys)
+        self.table[slot] = np.arange(size, dtype=np.int32)
+        for least in (4, 32):  # of keys that share a slot the frequent one is found; the other counts as not seen
+            some = np.flatnonzero(times >= least)
+            self.table[slot[some]] = some
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
@@ -134,6 +144,17 @@ class Model:
         at = _take(self.table, self._slot(keys)).astype(np.int64)
         return np.where(_take(self.known, at) == keys, at, len(self.keys))
 
+    def holding(self, sums: np.ndarray) -> np.ndarray:
+        """The place whose part of all frequencies holds each of ``sums``."""
+        at = _take(self.guide, sums >> self.shift)
+        left = np.flatnonzero(_take(self.cum, at) <= sums)
+        for _ in range(3):  # nearly all are found here, the others among all sums
+            at[left] += 1
+            left = left[_take(self.cum, at[left]) <= sums[left]]
+        if len(left):
+            at[left] = np.searchsorted(self.cum, sums[left], side="right")
+        return at - 1
+
     def _mix(self) -> None:
         known = _stretch(self.right / self.tried)
         self.in2, self.in1 = known[0][_SURE], known[1][_NEAR]
@@ -183,7 +204,7 @@ class Model:
         self.step += 1
         if self.step < 8 or self.step % 8 == 0:
             self._learn()
-        if self.step & (self.step - 1) == 0 or self.step % 32 == 0:
+        if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
             self._order0()
             self._order1()
 
@@ -327,7 +348,7 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
             new = spent >= total - unseen
             at_most = spent + base
             at_most += np.where(at_most >= _take(model.cum, place2[i]), gone, 0)
-            own = np.searchsorted(model.cum, at_most, side="right") - 1
+            own = model.holding(at_most)
             own[new] = len(model.keys)
             begin = _take(model.cum, own) - base - np.where(own > place2[i], gone, 0)
             a += part * np.where(new, total - unseen, begin).astype(np.uint64)
