@@ -3,10 +3,10 @@
 A block is cut into lanes of equal length that are coded in step, one symbol of every lane at a time, all against one
 model that learns from every lane. The model starts empty in each block, so blocks stand alone. For a symbol,
 
-- order 2 (the two ids before it, hashed) predicts one id, with a confidence. How often it is right at its confidence, and
-  at the probability that order 1 gives the same id, is counted, and an online-trained mixer turns both into the
-  probability that it is right;
-- if it is not, order 1 (the id before it) gives a distribution over all ids seen after that id: their counts, mixed with
+- order 2 (the two ids before it, hashed) predicts one id, with a confidence, and names it once that was right before. How
+  often it is right at its confidence, and at the probability that order 1 gives the same id, is counted, and an
+  online-trained mixer turns both into the probability that it is right;
+- otherwise order 1 (the id before it) gives a distribution over all ids seen after that id: their counts, mixed with
   those of order 0, without the id that order 2 has named, and with room for an id not seen there (half a count for each
   one seen);
 - such an id is coded by order 0, the adaptive frequencies of such ids.
@@ -183,22 +183,25 @@ class Model:
         self._mix()
 
     def look(self, before: np.ndarray, last: np.ndarray):
-        """What order 2 says about the next symbol of every lane, and order 1 about that."""
+        """What order 2 says about the next symbol of every lane."""
         at = before * 0x9E3779B1 + last * 0x85EBCA6B
         at >>= 13
         at &= (1 << _TWO_BITS) - 1
         e2 = _take(self.two, at)
-        c2, sure2 = e2 >> 3, e2 & 7
+        return at, e2, e2 >> 3, e2 & 7
+
+    def named(self, last: np.ndarray, c2: np.ndarray, sure2: np.ndarray):
+        """What order 1 says about the ids that order 2 names, and the mixer's state for both."""
         place2 = self.place(last, c2)
         freq2 = _take(self.freq, place2)
         state = _take(_LEVEL, (freq2 << 8) // _take(self.total, last))
         state <<= 3
         state += sure2
-        return at, e2, c2, sure2, place2, freq2, state
+        return place2, freq2, state
 
-    def learn(self, last, at, e2, sure2, hit2, x, outcome_at) -> None:
+    def learn(self, last, at, e2, sure2, right, x, outcome_at) -> None:
         # up by one when right (7 at most), down by one when wrong, replaced when there was little trust
-        self.two[at] = np.where(hit2, e2 + (sure2 < 7), np.where(sure2 > 1, e2 - 1, (x << 3) + 1))
+        self.two[at] = np.where(right, e2 + (sure2 < 7), np.where(sure2 > 1, e2 - 1, (x << 3) + 1))
         self.seen += np.bincount(outcome_at, minlength=128)
         self.fresh.append(last * self.alphabet + x)
         self.step += 1
@@ -215,6 +218,16 @@ def _layout(n: int, lanes: int) -> tuple[int, int]:
     return steps, n - (steps - 1) * lanes
 
 
+def _others(k: int, named: np.ndarray, hit: np.ndarray, freq: np.ndarray, place: np.ndarray):
+    """Of ``k`` lanes those without a hit, and the frequency and place that order 1 gives to what order 2 has named there."""
+    missed = np.ones(k, np.bool_)
+    missed[named[hit]] = False
+    gone, where = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    gone[named], where[named] = freq, place
+    i = np.flatnonzero(missed)
+    return i, gone[i], where[i]
+
+
 def lanes_for(n: int, most: int = 8192) -> int:
     return max(1, min(most, n // 64))
 
@@ -253,22 +266,26 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
         k = lanes if t < steps - 1 else full
         x = source[t, :k].astype(np.int64)
         now = last[:k]
-        at, e2, c2, sure2, place2, freq2, state = model.look(before[:k], now)
-        hit2 = c2 == x
-        hit2 &= sure2 > 0
-        spot = state * 2 + ~hit2
+        at, e2, c2, sure2 = model.look(before[:k], now)
+        right = c2 == x
         lo, ra = low[:k], rng[:k]
-        part = ra >> np.uint64(FLAG_BITS)
-        lo += np.where(hit2, np.uint64(0), part * _take(model.edge, state))
-        np.multiply(part, _take(model.flag, spot), out=ra)
-        settle(lo, ra, every)
-        i = np.flatnonzero(~hit2)
+        j = np.flatnonzero(sure2 > 1)
+        place2, freq2, state = model.named(now[j], c2[j], sure2[j])
+        hit2 = right[j]
+        spot = state * 2 + ~hit2
+        a, r = lo[j], ra[j]
+        part = r >> np.uint64(FLAG_BITS)
+        a += np.where(hit2, np.uint64(0), part * _take(model.edge, state))
+        r = part * _take(model.flag, spot)
+        settle(a, r, every[j])
+        lo[j], ra[j] = a, r
+        i, gone, place2 = _others(k, j, hit2, freq2, place2)
         if len(i):
-            xs, ctx, gone = x[i], now[i], np.where(sure2[i] > 0, freq2[i], 0)
+            xs, ctx = x[i], now[i]
             own = model.place(ctx, xs)
             total, unseen = _take(model.total, ctx) - gone, _take(model.unseen, ctx)
             new = own == len(model.keys)
-            begin = _take(model.cum, own) - _take(model.base, ctx) - np.where(own > place2[i], gone, 0)
+            begin = _take(model.cum, own) - _take(model.base, ctx) - np.where(own > place2, gone, 0)
             part = ra[i] // total.astype(np.uint64)
             a = lo[i] + part * np.where(new, total - unseen, begin).astype(np.uint64)
             r = part * np.where(new, unseen, _take(model.freq, own)).astype(np.uint64)
@@ -282,7 +299,7 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
                 a[j], r[j] = b, q
                 model.escaped.append(xs)
             lo[i], ra[i] = a, r
-        model.learn(now, at, e2, sure2, hit2, x, spot)
+        model.learn(now, at, e2, sure2, right, x, spot)
         before[:k] = now
         last[:k] = x
     for shift in (32, 16, 0):
@@ -328,29 +345,33 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
     for t in range(steps):
         k = lanes if t < steps - 1 else full
         now = last[:k]
-        at, e2, c2, sure2, place2, freq2, state = model.look(before[:k], now)
+        at, e2, c2, sure2 = model.look(before[:k], now)
         lo, ra, co, wo = low[:k], rng[:k], code[:k], at_word[:k]
-        part = ra >> np.uint64(FLAG_BITS)
+        j = np.flatnonzero(sure2 > 1)
+        place2, freq2, state = model.named(now[j], c2[j], sure2[j])
+        a, r, c, w = lo[j], ra[j], co[j], wo[j]
+        part = r >> np.uint64(FLAG_BITS)
         edge = part * _take(model.edge, state)
-        hit2 = co - lo < edge  # against the edge times the part: a product is cheaper than a quotient
+        hit2 = c - a < edge  # against the edge times the part: a product is cheaper than a quotient
         spot = state * 2 + ~hit2
-        lo += np.where(hit2, np.uint64(0), edge)
-        np.multiply(part, _take(model.flag, spot), out=ra)
-        settle(lo, ra, co, wo)
+        a += np.where(hit2, np.uint64(0), edge)
+        r = part * _take(model.flag, spot)
+        settle(a, r, c, w)
+        lo[j], ra[j], co[j], wo[j] = a, r, c, w
         x = c2.copy()
-        i = np.flatnonzero(~hit2)
+        i, gone, place2 = _others(k, j, hit2, freq2, place2)
         if len(i):
-            ctx, gone = now[i], np.where(sure2[i] > 0, freq2[i], 0)
+            ctx = now[i]
             total, unseen, base = _take(model.total, ctx) - gone, _take(model.unseen, ctx), _take(model.base, ctx)
             a, r, c, w = lo[i], ra[i], co[i], wo[i]
             part = r // total.astype(np.uint64)
             spent = np.minimum(((c - a) // part).astype(np.int64), total - 1)
             new = spent >= total - unseen
             at_most = spent + base
-            at_most += np.where(at_most >= _take(model.cum, place2[i]), gone, 0)
+            at_most += np.where(at_most >= _take(model.cum, place2), gone, 0)
             own = model.holding(at_most)
             own[new] = len(model.keys)
-            begin = _take(model.cum, own) - base - np.where(own > place2[i], gone, 0)
+            begin = _take(model.cum, own) - base - np.where(own > place2, gone, 0)
             a += part * np.where(new, total - unseen, begin).astype(np.uint64)
             r = part * np.where(new, unseen, _take(model.freq, own)).astype(np.uint64)
             settle(a, r, c, w)
@@ -367,7 +388,7 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
                 model.escaped.append(met)
             lo[i], ra[i], co[i], wo[i] = a, r, c, w
             x[i] = xs
-        model.learn(now, at, e2, sure2, hit2, x, spot)
+        model.learn(now, at, e2, sure2, c2 == x, x, spot)
         out[t, :k] = x
         before[:k] = now
         last[:k] = x
