@@ -117,7 +117,7 @@ def scan_messages(messages: DataFrame, signatures: DataFrame, key: str = "reques
     """
     rows = messages.withColumn("at__", F.struct(key, "msg_idx"))
     plain = signatures.where(~F.contains("pattern", F.lit("\n")))
-    found = scan.scan(rows.select("at__", F.col("content").alias("text")), plain, "at__")
+    found = scan.found(rows.select("at__", F.col("content").alias("text")), plain, "at__")
     broken = signatures.where(F.contains("pattern", F.lit("\n")))
     reach = broken.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("\n"), F.lit(""))))).first()[0]
     if reach:
@@ -129,7 +129,7 @@ def scan_messages(messages: DataFrame, signatures: DataFrame, key: str = "reques
         joined = reduce(lambda left, step: left.join(follower(step), [key, "pos__"], "left"), range(1, reach + 1), placed)
         text: Column = F.concat_ws("\n", "content", *[f"next{step}" for step in range(1, reach + 1)])
         spanning = joined.select(F.struct(key, "msg_idx").alias("at__"), text.alias("text"))
-        found = found.unionByName(scan.scan(spanning, broken, "at__"))
+        found = found.unionByName(scan.found(spanning, broken, "at__"))
     return found.select(F.col(f"at__.{key}").alias(key), "sig_id", "name").distinct()
 
 

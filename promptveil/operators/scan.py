@@ -34,6 +34,12 @@ MAX_SIGNATURES = 20_000
 MAX_DIRECT = 200
 # so few signatures are looked for one by one: quicker than taking anchors from every text
 FEW = 32
+# found by their first characters at any place, four at least to six, if they have as many; of signatures up to WINDOW
+# characters the rest is compared there and then
+LEAST_GRAM = 4
+WINDOW = 16
+# so many short signatures are sent to every task
+MAX_BROADCAST = 100_000
 HIT = "struct<sig_id:int,pattern:string,name:string>"
 
 
@@ -85,7 +91,7 @@ def counted(rows: DataFrame, text: Column, words: Dictionary | DataFrame, live:
     if not isinstance(words, DataFrame):
         raise TypeError("give a signature set as usable() returns it")
     texts = rows.where(live).select(key, text.alias("text"))
-    found = scan_join(texts, words, key).groupBy(key).agg(F.count_distinct("sig_id").cast("int").alias(name))
+    found = found_join(texts, words, key).groupBy(key).agg(F.count_distinct("sig_id").cast("int").alias(name))
     return rows.join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
@@ -165,8 +171,8 @@ def verified_pairs(texts: DataFrame, signatures: DataFrame, key: str, text: str)
     """(key, sig_id, name, pattern, body) of every text, folded, and signature in it, for a dictionary of any size.
 
     Only (key, gram) pairs are shuffled, already distinct within a text, and stored once joined. Of the texts only those
-    with a candidate are brought together with their pairs. Which side is broadcast is left to Spark's own size
-    statistics, and hot grams to its skew-join splitting.
+    with a candidate are brought together with their pairs. Anchors are broadcast by their number; grams and pairs never,
+    as Spark knows no more of their size than that of the files they come from. Hot grams are left to skew-join splitting.
     """
     folded_pattern = ascii_fold(F.col("pattern"))
     known = (signatures.where(F.length("pattern") > 0)
@@ -179,7 +185,8 @@ def verified_pairs(texts: DataFrame, signatures: DataFrame, key: str, text: str)
              .withColumn("gram", F.substring("pattern", 1, 4)))
     anchors = anchored.unionByName(loose)
     # the kinds in use (at most five values) decide which grams the texts must give
-    kinds = sorted(row["kind"] for row in anchors.select("kind").distinct().collect())
+    counts = {row["kind"]: row["count"] for row in anchors.groupBy("kind").count().collect()}
+    kinds, few = sorted(counts), sum(counts.values()) <= MAX_BROADCAST
     bodies = texts.select(key, ascii_fold(F.col(text)).alias("body"))
     lists = [F.struct(F.lit(kind).alias("kind"),
                       F.array_distinct(extract_all(F.col("body"), WORD_START_GRAMS if kind == 0
@@ -188,10 +195,58 @@ def verified_pairs(texts: DataFrame, signatures: DataFrame, key: str, text: str)
     if not lists:
         return texts.select(key, F.lit(None).cast("int").alias("sig_id"), *[F.lit("").alias(c) for c in ("name", "pattern", "body")]
                             ).where(F.lit(False))
-    pairs = written(bodies.select(key, F.inline(F.array(*lists))).select(key, "kind", F.explode("grams").alias("gram"))
-                    .join(anchors, ["kind", "gram"]).select(key, "sig_id", "name", "pattern"), "scan-pairs")
+    given = bodies.select(key, F.inline(F.array(*lists))).select(key, "kind", F.explode("grams").alias("gram"))
+    pairs = written((given if few else given.hint("merge")).join(F.broadcast(anchors) if few else anchors, ["kind", "gram"])
+                    .select(key, "sig_id", "name", "pattern"), "scan-pairs")
     candidates = bodies.join(pairs.select(key).distinct(), key, "left_semi")
-    return pairs.join(candidates, key).where(F.contains("body", F.col("pattern")))
+    return pairs.hint("merge").join(candidates, key).where(F.contains("body", F.col("pattern")))
+
+
+def windows(gram: int, width: int) -> str:
+    """A regex for what begins at each place of a text: ``gram`` characters, and the next ones up to ``width``. Java's search
+    also tries the places inside surrogate pairs, at which nothing begins."""
+    return rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{gram - 1}}}.{{0,{width - gram}}}))"
+
+
+def found(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The hits of ``scan`` without their places, (key, sig_id, name); a row may be there several times."""
+    if read_dictionary(signatures) is None:
+        return found_join(texts, signatures, key, text)
+    return scan(texts, signatures, key, text).select(key, "sig_id", "name")
+
+
+def found_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The same rows for a dictionary of any size; texts without a key have none.
+
+    Signatures of up to ``WINDOW`` characters need no text brought back: if any must be looked for at every place, the
+    texts give the windows there, which are joined on their first characters and hold the rest. Others go through
+    ``verified_pairs``. Spark would take the windows for no larger than the texts' files and could broadcast them, so
+    the signatures are broadcast by their number, or neither side.
+    """
+    size = F.char_length("pattern")
+    known = signatures.where(F.length("pattern") > 0).select("sig_id", "name", ascii_fold(F.col("pattern")).alias("pattern"))
+    free = F.size(extract_all(F.col("pattern"), INNER_WORD_START, 1)) == 0
+    gram, width, tiny, few, long = known.agg(
+        F.min(F.when(free & (size >= LEAST_GRAM), F.least(size, F.lit(ANCHOR)))), F.max(F.when(size <= WINDOW, size)),
+        F.sort_array(F.collect_set(F.when(free & (size < LEAST_GRAM), size))),
+        F.count_if(size <= WINDOW) <= MAX_BROADCAST, F.count_if(size > WINDOW) > 0).head()
+    # without windows at every place, word starts find the signatures that hold one
+    near = size <= WINDOW if gram else size < LEAST_GRAM
+    kinds = {kind: kind for kind in tiny} | ({gram: max(gram, width or 0)} if gram else {})
+    if not kinds:
+        return verified_pairs(texts, known, key, text).select(key, "sig_id", "name")
+    short = known.where(near).withColumn("kind", F.when(size < LEAST_GRAM, size).otherwise(F.lit(gram)).cast("int"))
+    short = short.withColumn("gram", F.substr("pattern", F.lit(1), F.col("kind")))
+    lists = [F.struct(F.lit(kind).alias("kind"), F.array_distinct(extract_all(F.col("body"), windows(kind, reach), 1)).alias("windows"))
+             for kind, reach in kinds.items()]
+    given = (texts.where(F.col(key).isNotNull()).select(key, ascii_fold(F.col(text)).alias("body"))
+             .select(key, F.inline(F.array(*lists))).select(key, "kind", F.explode("windows").alias("window"))
+             .withColumn("gram", F.substr("window", F.lit(1), F.col("kind"))))
+    hits = (given.hint("merge") if not few else given).join(F.broadcast(short) if few else short, ["kind", "gram"])
+    hits = hits.where(F.startswith("window", "pattern")).select(key, "sig_id", "name")
+    if gram and not long:
+        return hits
+    return hits.unionByName(verified_pairs(texts, known.where(~near), key, text).select(key, "sig_id", "name"))
 
 
 def quoted(text: Column) -> Column:
@@ -263,7 +318,7 @@ def hit_counts(texts: DataFrame, signatures: DataFrame, key: str, text: str = "t
     """(key, n_hits): distinct signature ids per text, for texts with a hit."""
     dictionary = read_dictionary(signatures)
     if dictionary is None:
-        return scan_join(texts, signatures, key, text).groupBy(key).agg(F.count_distinct("sig_id").alias("n_hits"))
+        return found_join(texts, signatures, key, text).groupBy(key).agg(F.count_distinct("sig_id").alias("n_hits"))
     return per_text(texts, dictionary, key, text, "n_hits", lambda hits: F.size(hits).cast("bigint"))
 
 
@@ -279,7 +334,7 @@ def blocked(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text
     """Texts with at least one hit."""
     dictionary = read_dictionary(signatures)
     if dictionary is None:
-        return texts.join(scan_join(texts, signatures, key, text).select(key), key, "left_semi")
+        return texts.join(found_join(texts, signatures, key, text).select(key), key, "left_semi")
     return texts.where(any_hit(F.col(text), dictionary))
 
 
@@ -287,5 +342,5 @@ def clean(texts: DataFrame, signatures: DataFrame, key: str, text: str = "text")
     """Texts without any hit."""
     dictionary = read_dictionary(signatures)
     if dictionary is None:
-        return texts.join(scan_join(texts, signatures, key, text).select(key), key, "left_anti")
+        return texts.join(found_join(texts, signatures, key, text).select(key), key, "left_anti")
     return texts.where(~any_hit(F.col(text), dictionary))

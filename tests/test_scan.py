@@ -156,3 +156,51 @@ def test_shipped_signatures(spark):
     assert scan.scan(hit, source.load_signatures(spark, "signatures/injection.json"), "id").select("name").first()[0] \
         == "instruction_override:ignore previous instructions"
     assert hit.where(F.lit(True)).count() == 1
+
+
+def short_signatures(spark):
+    """More short signatures than the plan holds: 1 to 11 characters, ids and patterns that repeat, and a long one."""
+    found = ["cdefgh", "CdEf", "?bcdef", "\U0001F600cdefg", "e", "fg", "gh?", "defgh?bcdef", "nowhere", "fgh?bcdefg and much more text"]
+    rows = [(n, p, f"n:{p}") for n, p in enumerate(found)] + [(0, "bcdefg", "n:bcdefg"), (1, "CDEF", "n:CDEF")]
+    return spark.createDataFrame(rows + [(1000 + n, f"x{n:05d}", "x") for n in range(scan.MAX_DIRECT + 1)], "sig_id int, pattern string, name string")
+
+
+def brute_counts(texts, signatures):
+    hits = {}
+    for key, text in texts:
+        if key is not None and text is not None:
+            hits.setdefault(key, set()).update(i for i, p, _ in signatures if p.lower() in text.lower())
+    return {key: len(ids) for key, ids in hits.items() if ids}
+
+
+def test_short_signatures_beyond_the_plan(spark, monkeypatch):
+    texts = [(1, "ab\U0001F600CDEFGH?bcdefg"), (1, "x00007"), (2, "?bcdefg"), (2, "?bcdefg"), (3, "zzz"), (4, None), (5, ""), (None, "cdefgh"),
+             (6, "cdefgh?bcdefg and much more text")]
+    signatures = short_signatures(spark)
+    table = spark.createDataFrame(texts, "doc_id int, text string")
+    rows = [tuple(r) for r in signatures.collect()]
+    assert scan.read_dictionary(signatures) is None
+    want = brute_counts(texts, rows)
+    for bound in (scan.MAX_SIGNATURES, 5):  # known grams in the plan, or joined alone
+        monkeypatch.setattr(scan, "MAX_SIGNATURES", bound)
+        assert dict(scan.hit_counts(table, signatures, "doc_id").collect()) == want
+    monkeypatch.setattr(scan, "MAX_BROADCAST", 5)
+    assert dict(scan.hit_counts(table, signatures, "doc_id").collect()) == want
+    assert {r["doc_id"] for r in scan.clean(table, signatures, "doc_id").collect()} == {3, 4, 5, None}
+
+
+def test_short_signatures_store_no_pairs_and_broadcast_no_windows(spark, monkeypatch, tmp_path):
+    """Candidate pairs of short signatures are far more than the texts; windows look as small as the texts' files."""
+    def refuse(*_):
+        raise AssertionError("pairs are stored")
+
+    monkeypatch.setattr(scan, "written", refuse)
+    spark.createDataFrame([(n, f"x{n:05d} CDEFGH") for n in range(50)], "doc_id int, text string").write.parquet(str(tmp_path / "texts"))
+    signatures = short_signatures(spark).where("length(pattern) <= 16")
+    counted = scan.hit_counts(spark.read.parquet(str(tmp_path / "texts")), signatures, "doc_id")
+    lines = counted._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [next(n for n, ch in enumerate(line) if ch not in " :+-") for line in lines if line.strip()]
+    below = [line for at, line in enumerate(lines) for up in range(at) if "BroadcastExchange" in lines[up]
+             and all(depth[n] > depth[up] for n in range(up + 1, at + 1))]
+    assert any("Generate explode" in line for line in lines) and not any("Generate" in line for line in below)
+    assert counted.count() == 50
