@@ -237,8 +237,17 @@ def found_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "t
         return verified_pairs(texts, known, key, text).select(key, "sig_id", "name")
     short = known.where(near).withColumn("kind", F.when(size < LEAST_GRAM, size).otherwise(F.lit(gram)).cast("int"))
     short = short.withColumn("gram", F.substr("pattern", F.lit(1), F.col("kind")))
-    lists = [F.struct(F.lit(kind).alias("kind"), F.array_distinct(extract_all(F.col("body"), windows(kind, reach), 1)).alias("windows"))
-             for kind, reach in kinds.items()]
+    grams = read_bounded(short.select("kind", "gram").distinct(), MAX_SIGNATURES)
+
+    def given_by(kind: int, reach: int) -> Column:
+        """The windows of a text, only those of known grams if these are few enough for the plan."""
+        all_of = extract_all(F.col("body"), windows(kind, reach), 1)
+        if grams is not None:
+            wanted = [row["gram"] for row in grams if row["kind"] == kind]
+            all_of = F.filter(all_of, lambda w: (w if kind == reach else F.substr(w, F.lit(1), F.lit(kind))).isin(wanted))
+        return F.array_distinct(all_of)
+
+    lists = [F.struct(F.lit(kind).alias("kind"), given_by(kind, reach).alias("windows")) for kind, reach in kinds.items()]
     given = (texts.where(F.col(key).isNotNull()).select(key, ascii_fold(F.col(text)).alias("body"))
              .select(key, F.inline(F.array(*lists))).select(key, "kind", F.explode("windows").alias("window"))
              .withColumn("gram", F.substr("window", F.lit(1), F.col("kind"))))
