@@ -54,6 +54,7 @@ VAULT = T.StructType([T.StructField("request_id", T.StringType()), T.StructField
                       T.StructField("placeholder", T.StringType()), T.StructField("original", T.StringType())])
 QUARANTINE = T.StructType([f for f in with_corrupt(REQUEST).fields if f.name != "authorization"] + [T.StructField("invalid_reason", T.StringType())])
 ARRIVED_RESPONSE = T.StructType([*RESPONSE.fields, T.StructField("received", T.TimestampType())])
+_LANDED_RESPONSE = T.StructType([*ARRIVED_RESPONSE.fields, T.StructField("row_id", T.StringType())])
 _CARRIED = T.StructType([T.StructField("ts", T.TimestampType()), *RESPONSE.fields])
 _LIMITED = T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType()),
                          T.StructField("retry_after_header", T.IntegerType())])
@@ -152,21 +153,42 @@ def decide(spark: SparkSession, words: Dictionaries, settings: Settings, path: s
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def land_responses(responses: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Store arriving (request_id, http_status, body, received) below ``path``, with an id for each row."""
+    rows = responses.withColumn("row_id", F.expr("uuid()")).select(*_LANDED_RESPONSE.names)
+    return (rows.writeStream.format("parquet").option("path", f"{path}/replies").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def answer(spark: SparkSession, responses: DataFrame, words: Dictionaries, settings: Settings, path: str, checkpoint: str,
            timeout: str = TIMEOUT, late: str = LATE, early: str = "0 seconds", files: int = FILES, **trigger) -> StreamingQuery:
     """Answer the waiting requests below ``path`` from a stream of (request_id, http_status, body, received). Rows later
-    than the watermark by ``late`` don't count; a response may be dated ``early`` before its request."""
+    than the watermark by ``late`` don't count; a response may be dated ``early`` before its request.
+
+    The join's state holds ids and times; the responses are stored as they arrive and their bodies are joined back from
+    those files. ``land_responses`` does that in a query of its own, which the default trigger lets finish first; with a
+    trigger that goes on it is left running beside the one returned."""
+    landing = land_responses(responses, path, f"{checkpoint}-land", **trigger)
+    if not trigger or {"availableNow", "once"} & trigger.keys():
+        landing.awaitTermination()
     before, store = decided_store(spark, settings, path), answered_store(spark, path)
     asked = (_arrived(spark, settings, path, files).where(_TAKES).select("request_id", "ts").withWatermark("ts", late))
-    came = responses.select(F.col("request_id").alias("of"), "http_status", "body", "received").withWatermark("received", late)
+    came = (spark.readStream.schema(_LANDED_RESPONSE).parquet(f"{path}/replies")
+            .select(F.col("request_id").alias("of"), "received", "row_id", F.col("_metadata.file_path").alias("file"))
+            .withWatermark("received", late))
     within = F.expr(f"of = request_id AND received >= ts - INTERVAL {early} AND received <= ts + INTERVAL {timeout}")
-    joined = asked.join(came, within, "leftOuter").select("ts", "request_id", "http_status", "body")
+    joined = asked.join(came, within, "leftOuter").select("ts", "request_id", "row_id", "file")
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         if store.has(batch_id):
             return
         carried = store.read("carried").where(F.col("batch") == store.read("carried").agg(F.max("batch")).head()[0]).drop("batch")
-        todo = written(batch.unionByName(carried), "answers")
+        outcome = written(batch, "outcomes")
+        names = [r["file"] for r in outcome.where("file IS NOT NULL").select("file").distinct().collect()]
+        bodies = (batch.sparkSession.read.schema(_LANDED_RESPONSE).parquet(*names) if names
+                  else batch.sparkSession.createDataFrame([], _LANDED_RESPONSE)).select("row_id", "http_status", "body")
+        found = outcome.join(bodies, "row_id", "left").select(*_CARRIED.names)
+        todo = written(found.unionByName(carried), "answers")
         if todo.isEmpty():
             return
         first, last = todo.agg(F.min("ts"), F.max("ts")).head()
