@@ -19,7 +19,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptveil.functions.text import (
@@ -91,7 +91,7 @@ def counted(rows: DataFrame, text: Column, words: Dictionary | DataFrame, live:
     if not isinstance(words, DataFrame):
         raise TypeError("give a signature set as usable() returns it")
     texts = rows.where(live).select(key, text.alias("text"))
-    found = found_join(texts, words, key).groupBy(key).agg(F.count_distinct("sig_id").cast("int").alias(name))
+    found = found_counts(texts, words, key, "text").select(key, F.col("n_hits").cast("int").alias(name))
     return rows.join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
@@ -193,8 +193,8 @@ def verified_pairs(texts: DataFrame, signatures: DataFrame, key: str, text: str)
                                                    else rf"(?s)(?=(.{{{kind}}}))", 1)).alias("grams"))
              for kind in kinds]
     if not lists:
-        return texts.select(key, F.lit(None).cast("int").alias("sig_id"), *[F.lit("").alias(c) for c in ("name", "pattern", "body")]
-                            ).where(F.lit(False))
+        return texts.select(key, *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("sig_id", "name", "pattern")],
+                            F.lit("").alias("body")).where(F.lit(False))
     given = bodies.select(key, F.inline(F.array(*lists))).select(key, "kind", F.explode("grams").alias("gram"))
     pairs = written((given if few else given.hint("merge")).join(F.broadcast(anchors) if few else anchors, ["kind", "gram"])
                     .select(key, "sig_id", "name", "pattern"), "scan-pairs")
@@ -258,6 +258,24 @@ def found_join(texts: DataFrame, signatures: DataFrame, key: str, text: str = "t
     return hits.unionByName(verified_pairs(texts, known.where(~near), key, text).select(key, "sig_id", "name"))
 
 
+def weighed(signatures: DataFrame) -> DataFrame:
+    """A signature table for counting, (sig_id, name, pattern): a row stands for all signatures with the same folded pattern,
+    ``name`` is their number and ``sig_id`` the smallest of their ids. Ids with several patterns keep rows of their own, so
+    that each counts once. A text can hold no more such rows than its length allows, however many signatures there are."""
+    known = (signatures.where(F.length("pattern") > 0)
+             .select("sig_id", ascii_fold(F.col("pattern")).alias("pattern")).distinct())
+    own = Window.partitionBy("sig_id", F.when(F.col("sig_id").isNull(), F.col("pattern")))  # null ids are never counted
+    several = F.min("pattern").over(own) < F.max("pattern").over(own)
+    return (known.withColumn("apart__", F.when(several, F.col("sig_id"))).groupBy("pattern", "apart__")
+            .agg(F.min("sig_id").alias("sig_id"), F.count("sig_id").alias("name")).select("sig_id", "name", "pattern"))
+
+
+def found_counts(texts: DataFrame, signatures: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_hits) of ``hit_counts`` for a dictionary of any size."""
+    found = found_join(texts, weighed(signatures), key, text)
+    return found.distinct().groupBy(key).agg(F.sum("name").alias("n_hits"))
+
+
 def quoted(text: Column) -> Column:
     """A regex that reads ``text`` literally."""
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
@@ -327,7 +345,7 @@ def hit_counts(texts: DataFrame, signatures: DataFrame, key: str, text: str = "t
     """(key, n_hits): distinct signature ids per text, for texts with a hit."""
     dictionary = read_dictionary(signatures)
     if dictionary is None:
-        return found_join(texts, signatures, key, text).groupBy(key).agg(F.count_distinct("sig_id").alias("n_hits"))
+        return found_counts(texts, signatures, key, text)
     return per_text(texts, dictionary, key, text, "n_hits", lambda hits: F.size(hits).cast("bigint"))
 
 
