@@ -59,8 +59,8 @@ def _sum(x: np.ndarray) -> float:
 class Model:
     """Predictions of the three orders for one block."""
 
-    def __init__(self, alphabet: int):
-        self.alphabet = alphabet
+    def __init__(self, alphabet: int, steps: int):
+        self.alphabet, self.steps = alphabet, steps
         self.two = np.full(1 << _TWO_BITS, alphabet << 3, np.int64)  # predicted id << 3 | confidence, 0 for nothing yet
         self.right = np.ones((2, 8), np.int64)  # by confidence, and by what order 1 says
         self.tried = np.full((2, 8), 2, np.int64)
@@ -205,6 +205,8 @@ class Model:
         self.seen += np.bincount(outcome_at, minlength=128)
         self.fresh.append(last * self.alphabet + x)
         self.step += 1
+        if self.step == self.steps:
+            return  # nothing is left to predict
         if self.step < 8 or self.step % 8 == 0:
             self._learn()
         if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
@@ -241,7 +243,7 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.n
     source = np.zeros((steps, lanes), np.int32)  # a row for each step
     source[:, :full] = ids[:full * steps].reshape(full, steps).T
     source[:steps - 1, full:] = ids[full * steps:].reshape(lanes - full, steps - 1).T
-    model = Model(alphabet)
+    model = Model(alphabet, steps)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
     before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
     words: list[np.ndarray] = []
@@ -319,7 +321,7 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np
     ends = np.cumsum(per_lane.astype(np.int64))
     at_word = ends - per_lane
     words = np.concatenate([words, np.zeros(4, np.uint16)]).astype(np.uint64)
-    model = Model(alphabet)
+    model = Model(alphabet, steps)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
     code = np.zeros(lanes, np.uint64)
     for _ in range(3):

@@ -15,7 +15,9 @@ keep to one partition. Other columns are ignored. A block whose checksum fails i
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,9 +38,31 @@ _HEAD = "<4sIIIQQ"
 _MEMO_WORDS = 400_000
 _MEMO_BYTES = 64
 _TOGETHER = 8 << 20
+# letters that stay one character each in any composition or case
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
 _MARKED = r"([a-z])([.,;:!?%&*#$]+)([ \t-\r]|$)"
 
 
+def _plain_words(settings: dict) -> bool:
+    """Whether a tokenizer file does no more to a word of Latin letters than lower-case it and hand its bytes to BPE."""
+    normalizer = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    split = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+             "behavior": "Removed", "invert": True}
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    known = all(t["content"].startswith("<|") for t in settings.get("added_tokens") or [])
+    return (known and (settings.get("normalizer") or {}).get("normalizers") == normalizer and len(steps) == 2
+            and steps[0] == split and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space")
+            and not steps[1].get("use_regex", True) and settings["model"].get("type") == "BPE"
+            and not settings["model"].get("dropout") and not settings.get("truncation") and not settings.get("padding"))
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter by which byte-level tokenizers write each byte: printable ones themselves, the others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
 class WordEncoder:
     """Token ids of whole texts, each word encoded once. For tokenizers that lower-case, drop white space and never join
     across it: a text's ids are then those of its lower-cased runs between ASCII white space, one after the other.
@@ -51,6 +75,9 @@ class WordEncoder:
         self.alphabet = self.tokenizer.get_vocab_size()
         self.ends_word = np.zeros(self.alphabet, np.bool_)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as file:
+            self.plain = _plain_words(json.load(file))
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -67,6 +94,20 @@ class WordEncoder:
                 made.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, [0, *ends], ends, strict=False))
         return made
 
+    def _direct(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of Latin letters, by the model alone where all else does nothing to them."""
+        made, tokenize, letters, u32 = {}, self.model.tokenize, self.letters, struct.Struct("<I").pack
+        for word in words:
+            if word.isalpha():  # bytes: ASCII letters only
+                text = word.lower().decode()
+            else:
+                text = word.decode("utf-8", "replace")
+                if not _LATIN.fullmatch(text):
+                    continue
+                text = text.lower().encode().decode("latin-1").translate(letters)
+            made[word] = b"".join([u32(token.id) for token in tokenize(text)])
+        return made
+
     def _single(self, words: list[bytes]) -> dict[bytes, bytes]:
         made = {}
         for at in range(0, len(words), 20000):
@@ -88,7 +129,8 @@ class WordEncoder:
                 parts[i] = self.memo[words[i]] = part
         if fresh:
             anew = [words[i] for i in fresh]
-            made = self._joined([w for w in anew if w.isalpha()])  # bytes: ASCII letters only
+            # bytes: ASCII letters only
+            made = self._direct(anew) if self.plain else self._joined([w for w in anew if w.isalpha()])
             made.update(self._single([w for w in anew if w not in made]))
             for i in fresh:
                 parts[i] = made[words[i]]
@@ -134,14 +176,12 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _MARKED, r"\1 \2\3"))
         coded = split.flatten().dictionary_encode()
         parts = self.ids_of(_values(coded.dictionary))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        table = np.frombuffer(b"".join(parts), "<u4")
-        word = coded.indices.to_numpy()
-        size = sizes[word]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        begin = (np.cumsum(sizes) - sizes)[word] - ends[:-1]
-        data = table[np.repeat(begin, size) + np.arange(ends[-1])].tobytes()
-        at = (ends[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4).tolist()
+        held = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4, out=held[1:])
+        every = pa.LargeListArray.from_arrays(held, np.frombuffer(b"".join(parts), "<u4")).take(coded.indices)
+        data = every.flatten().to_numpy().tobytes()
+        at = ((every.offsets.to_numpy() - every.offsets[0].as_py())[
+            split.offsets.to_numpy() - split.offsets[0].as_py()] * 4).tolist()
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
