@@ -13,7 +13,11 @@ model that learns from every lane. The model starts empty in each block, so bloc
 
 Order 2 and the mixer learn at every step, the distributions are made anew at steps that grow apart. All of it is integer
 arithmetic or single float additions, products and quotients in fixed order, so that any machine decodes what another
-has encoded. The range coder keeps 48 bits and moves 16 at a time, without carry.
+has encoded.
+
+A lane's range is a whole number of 36 to 52 bits and moves 16 at a time, by words; ranges, lower ends and codes are doubles,
+which hold such numbers exactly and which processors divide many at a time. The lower end is never cut: what goes beyond a
+word is added to the words before it at the end. The words of all lanes stand in the order in which decoding takes them.
 """
 
 from __future__ import annotations
@@ -27,11 +31,10 @@ _SLOT_BITS = 20
 _COUNT = 32  # weight of one occurrence after the same id
 _PRIOR = 512  # weight of order 0's distribution in that of order 1
 _MOST = 1 << 15  # occurrences from which on an id's successors are scaled down
-_MASK = np.uint64((1 << 48) - 1)
-_BOT = np.uint64(1 << 24)
-_W = np.uint64(16)
-_TOP = np.uint64(32)
-_LINE = np.uint64(1 << 32)
+_START = float(1 << 48)
+_BOT = float(1 << 36)
+_WORD = float(1 << 16)
+_LINE = float(1 << 32)
 _STATES = np.arange(64)
 _SURE, _NEAR = _STATES & 7, _STATES >> 3
 # by 1/256 of probability: 0 for none, then a step up at each of these
@@ -61,14 +64,20 @@ class Model:
 
     def __init__(self, alphabet: int, steps: int):
         self.alphabet, self.steps = alphabet, steps
-        self.two = np.full(1 << _TWO_BITS, alphabet << 3, np.int64)  # predicted id << 3 | confidence, 0 for nothing yet
+        # the narrowest kind that holds a pair of ids: half the memory to look through
+        self.kind = np.uint32 if alphabet * (alphabet + 2) < 1 << 32 else np.uint64
+        self.hash = self.kind(0x9E3779B1 if self.kind is np.uint32 else 0x9E3779B97F4A7C15)
+        self.hash_shift = self.kind(8 * np.dtype(self.kind).itemsize - _SLOT_BITS)
+        self.radix = self.kind(alphabet)
+        self.two = np.full(1 << _TWO_BITS, alphabet << 3, np.int32)  # predicted id << 3 | confidence, 0 for nothing yet
         self.right = np.ones((2, 8), np.int64)  # by confidence, and by what order 1 says
         self.tried = np.full((2, 8), 2, np.int64)
         self.weights = np.array([0.0, 0.7, 0.3])
         self.seen = np.zeros(128, np.int64)
-        self.keys = np.zeros(0, np.int64)  # id * alphabet + next id, ascending, with the times it was seen
+        self.keys = np.zeros(0, self.kind)  # id * alphabet + next id, ascending, with the times it was seen
         self.times = np.zeros(0, np.int64)
         self.table = np.zeros(1 << _SLOT_BITS, np.int32)  # place of a key among all, by its hash
+        self.met: list[np.ndarray] = []  # places of what was seen since, and the keys that were not found
         self.fresh: list[np.ndarray] = []
         self.escaped: list[np.ndarray] = []
         self.counts = np.zeros(alphabet, np.int64)
@@ -85,8 +94,8 @@ class Model:
         total = max(1, int(self.counts.sum()))
         freq = self.counts * free // total + 1
         freq[int(np.argmax(freq))] += (1 << ZERO_BITS) - int(freq.sum())
-        self.freq0 = freq.astype(np.uint64)
-        self.cum0 = (np.cumsum(freq) - freq).astype(np.uint64)
+        self.freq0 = freq.astype(np.float64)
+        self.cum0 = (np.cumsum(freq) - freq).astype(np.float64)
         self.slots: np.ndarray | None = None
 
     def symbol_of(self, slot: np.ndarray) -> np.ndarray:
@@ -95,8 +104,10 @@ class Model:
         return _take(self.slots, slot)
 
     def _order1(self) -> None:
-        if self.fresh:
+        if self.met:
+            self.times += np.bincount(np.concatenate(self.met), minlength=len(self.keys) + 1)[:-1]
             keys, times = np.unique(np.concatenate(self.fresh), return_counts=True)
+            self.met.clear()
             self.fresh.clear()
             at = np.searchsorted(self.keys, keys)
             known = np.zeros(len(keys), np.bool_)
@@ -106,8 +117,9 @@ class Model:
             self.times = np.insert(self.times, at[~known], times[~known])
             self.keys = np.insert(self.keys, at[~known], keys[~known])
         keys, times, size = self.keys, self.times, len(self.keys)
-        after = keys // self.alphabet
-        self.symbols = keys - after * self.alphabet
+        after = keys // self.radix
+        self.symbols = (keys - after * self.radix).astype(np.int32)
+        after = after.astype(np.int64)
         several = np.bincount(after, minlength=self.alphabet + 1)
         ends = np.concatenate([[0], np.cumsum(times)])
         first = np.cumsum(several) - several
@@ -119,15 +131,19 @@ class Model:
             some = np.flatnonzero(hot[after])
             freq[some] = freq[some] * _MOST // scale[after[some]]
         freq += (_PRIOR * alone // max(1, int(ends[-1])) + 1)[self.symbols]
-        self.cum = np.concatenate([[0], np.cumsum(freq)])
-        self.freq = np.append(freq, 0)
-        self.base = self.cum[first]
+        cum = np.concatenate([[0], np.cumsum(freq)])
+        narrow = np.int32 if cum[-1] < 1 << 30 else np.int64
+        self.cum = cum.astype(narrow)
+        self.freq = np.append(freq, 0).astype(narrow)
+        base = cum[first]
+        self.base = base.astype(narrow)
         # for every multiple of a power of two near the mean frequency, the number of sums up to it: where a search begins
-        self.shift = max(0, (int(self.cum[-1]) // max(1, size)).bit_length() - 1)
-        self.guide = np.cumsum(np.bincount((self.cum + (1 << self.shift) - 1) >> self.shift))
-        self.unseen = np.maximum(several * (_COUNT // 2) * _MOST // scale, 1)
-        self.total = self.cum[first + several] - self.base + self.unseen
-        self.known = np.append(keys, -1)
+        self.shift = max(0, (int(cum[-1]) // max(1, size)).bit_length() - 2)
+        self.guide = np.cumsum(np.bincount((cum + (1 << self.shift) - 1) >> self.shift), dtype=np.int32)
+        unseen = np.maximum(several * (_COUNT // 2) * _MOST // scale, 1)
+        self.unseen = unseen.astype(narrow)
+        self.total = (cum[first + several] - base + unseen).astype(narrow)  # below 1 << 21
+        self.known = np.append(keys, np.iinfo(self.kind).max).astype(self.kind)
         self.table.fill(size)
         slot = self._slot(keys)
         self.table[slot] = np.arange(size, dtype=np.int32)
@@ -136,17 +152,19 @@ class Model:
             self.table[slot[some]] = some
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        return (keys * self.hash >> self.hash_shift).astype(np.int64)
+
+    def pairs(self, last: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return last.astype(self.kind) * self.radix + ids.astype(self.kind)
 
-    def place(self, last: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Where ``ids`` stand among the successors of ``last``; the number of all keys for those that don't."""
-        keys = last * self.alphabet + ids
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Where pairs of ids stand among all that were seen; the number of all for those that don't."""
         at = _take(self.table, self._slot(keys)).astype(np.int64)
         return np.where(_take(self.known, at) == keys, at, len(self.keys))
 
     def holding(self, sums: np.ndarray) -> np.ndarray:
         """The place whose part of all frequencies holds each of ``sums``."""
-        at = _take(self.guide, sums >> self.shift)
+        at = _take(self.guide, sums >> self.shift).astype(np.int64)
         left = np.flatnonzero(_take(self.cum, at) <= sums)
         for _ in range(3):  # nearly all are found here, the others among all sums
             at[left] += 1
@@ -162,8 +180,8 @@ class Model:
         self.p2 = _squash(a[0] + a[1] * self.in2 + a[2] * self.in1)
         top = 1 << FLAG_BITS
         f2 = np.where(_SURE > 0, np.clip((self.p2 * top).astype(np.int64), 1, top - 1), 0)
-        self.flag = np.stack([f2, top - f2], axis=1).ravel().astype(np.uint64)
-        self.edge = f2.astype(np.uint64)
+        self.flag = np.stack([f2, top - f2], axis=1).ravel().astype(np.float64)
+        self.edge = f2.astype(np.float64)
 
     def _learn(self) -> None:
         n = self.seen.reshape(64, 2)
@@ -184,26 +202,27 @@ class Model:
 
     def look(self, before: np.ndarray, last: np.ndarray):
         """What order 2 says about the next symbol of every lane."""
-        at = before * 0x9E3779B1 + last * 0x85EBCA6B
-        at >>= 13
-        at &= (1 << _TWO_BITS) - 1
+        at = before.astype(np.uint32) * np.uint32(0x9E3779B1) + last.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        at = (at >> np.uint32(32 - _TWO_BITS)).astype(np.int64)
         e2 = _take(self.two, at)
         return at, e2, e2 >> 3, e2 & 7
 
     def named(self, last: np.ndarray, c2: np.ndarray, sure2: np.ndarray):
         """What order 1 says about the ids that order 2 names, and the mixer's state for both."""
-        place2 = self.place(last, c2)
+        place2 = self.place(self.pairs(last, c2))
         freq2 = _take(self.freq, place2)
-        state = _take(_LEVEL, (freq2 << 8) // _take(self.total, last))
+        state = _take(_LEVEL, (freq2 * 256.0 / _take(self.total, last)).astype(np.int64))
         state <<= 3
         state += sure2
         return place2, freq2, state
 
-    def learn(self, last, at, e2, sure2, right, x, outcome_at) -> None:
+    def learn(self, last, at, e2, sure2, right, x, place, outcome_at) -> None:
         # up by one when right (7 at most), down by one when wrong, replaced when there was little trust
         self.two[at] = np.where(right, e2 + (sure2 < 7), np.where(sure2 > 1, e2 - 1, (x << 3) + 1))
         self.seen += np.bincount(outcome_at, minlength=128)
-        self.fresh.append(last * self.alphabet + x)
+        new = np.flatnonzero(place == len(self.keys))
+        self.met.append(place)
+        self.fresh.append(self.pairs(last.take(new), x.take(new)))
         self.step += 1
         if self.step == self.steps:
             return  # nothing is left to predict
@@ -221,176 +240,184 @@ def _layout(n: int, lanes: int) -> tuple[int, int]:
 
 
 def _others(k: int, named: np.ndarray, hit: np.ndarray, freq: np.ndarray, place: np.ndarray):
-    """Of ``k`` lanes those without a hit, and the frequency and place that order 1 gives to what order 2 has named there."""
+    """Of ``k`` lanes those without a hit, the frequency and place that order 1 gives to what order 2 has named there, and
+    such places of all lanes."""
     missed = np.ones(k, np.bool_)
-    missed[named[hit]] = False
-    gone, where = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    missed[named] = ~hit
+    gone, where = np.zeros(k, freq.dtype), np.zeros(k, place.dtype)
     gone[named], where[named] = freq, place
     i = np.flatnonzero(missed)
-    return i, gone[i], where[i]
+    return i, gone.take(i), where.take(i), where
 
 
 def lanes_for(n: int, most: int = 8192) -> int:
     return max(1, min(most, n // 64))
 
 
-def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit words lane after lane, number of words of each lane)."""
+def _stream(words: list[np.ndarray], owners: list[np.ndarray], lanes: int) -> np.ndarray:
+    """The words as decoding takes them, from those that encoding has moved out (the last three of each lane at the end):
+    three of each lane to begin with, then for every word moved out its lane's third next."""
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    sums = np.concatenate(words).take(order)  # lane after lane
+    while (extra := sums >> 16).any():
+        sums &= 0xFFFF
+        sums[:-1] += extra[1:]  # a lane's first word never goes beyond
+    ends = np.cumsum(np.bincount(owner, minlength=lanes))
+    starts = np.concatenate([[0], ends[:-1]])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(3, len(order) + 3)
+    return sums.astype(np.uint16).take(np.concatenate([starts, starts + 1, starts + 2, at[:len(at) - 3 * lanes]]))
+
+
+def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, int]:
+    """(16-bit words, lanes)."""
     n = len(ids)
     if n == 0:
-        return np.zeros(0, np.uint16), np.zeros(lanes, np.uint32)
+        return np.zeros(0, np.uint16), lanes
     steps, full = _layout(n, lanes)
     source = np.zeros((steps, lanes), np.int32)  # a row for each step
     source[:, :full] = ids[:full * steps].reshape(full, steps).T
     source[:steps - 1, full:] = ids[full * steps:].reshape(lanes - full, steps - 1).T
     model = Model(alphabet, steps)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
+    low, rng = np.zeros(lanes), np.full(lanes, _START)
     before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
     words: list[np.ndarray] = []
     owners: list[np.ndarray] = []
-    every = np.arange(lanes, dtype=np.uint16)
 
-    def settle(lo, ra, own):
-        """Moves out what is decided; changes lo and ra in place."""
-        i = np.flatnonzero(((lo ^ (lo + ra)) < _LINE) | (ra < _BOT))
+    def settle(i):
+        """Moves a word out of the lanes ``i`` and of those that need it again."""
         while len(i):
-            a, r = lo.take(i, mode="clip"), ra.take(i, mode="clip")
-            r = np.where((a ^ (a + r)) < _LINE, r, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
-            words.append((a >> _TOP).astype(np.uint16))
-            owners.append(own.take(i, mode="clip"))
-            a <<= _W
-            a &= _MASK
-            r <<= _W
-            lo[i], ra[i] = a, r
-            i = i[((a ^ (a + r)) < _LINE) | (r < _BOT)]
+            a, r = low.take(i), rng.take(i)
+            word = np.floor(a * (1 / _LINE))
+            words.append(word.astype(np.uint32))
+            owners.append(i.astype(np.uint16))
+            a -= word * _LINE
+            a *= _WORD
+            r *= _WORD
+            low[i], rng[i] = a, r
+            i = i[r < _BOT]
 
     for t in range(steps):
         k = lanes if t < steps - 1 else full
-        x = source[t, :k].astype(np.int64)
-        now = last[:k]
+        x, now = source[t, :k], last[:k]
         at, e2, c2, sure2 = model.look(before[:k], now)
         right = c2 == x
-        lo, ra = low[:k], rng[:k]
         j = np.flatnonzero(sure2 > 1)
-        place2, freq2, state = model.named(now[j], c2[j], sure2[j])
-        hit2 = right[j]
+        place2, freq2, state = model.named(now.take(j), c2.take(j), sure2.take(j))
+        hit2 = right.take(j)
         spot = state * 2 + ~hit2
-        a, r = lo[j], ra[j]
-        part = r >> np.uint64(FLAG_BITS)
-        a += np.where(hit2, np.uint64(0), part * _take(model.edge, state))
-        r = part * _take(model.flag, spot)
-        settle(a, r, every[j])
-        lo[j], ra[j] = a, r
-        i, gone, place2 = _others(k, j, hit2, freq2, place2)
+        part = np.floor(rng.take(j) * (1 / (1 << FLAG_BITS)))
+        low[j] += np.where(hit2, 0.0, part * _take(model.edge, state))
+        rng[j] = part * _take(model.flag, spot)
+        i, gone, place2, place = _others(k, j, hit2, freq2, place2)
+        j = i[:0]
         if len(i):
-            xs, ctx = x[i], now[i]
-            own = model.place(ctx, xs)
-            total, unseen = _take(model.total, ctx) - gone, _take(model.unseen, ctx)
-            new = own == len(model.keys)
-            begin = _take(model.cum, own) - _take(model.base, ctx) - np.where(own > place2, gone, 0)
-            part = ra[i] // total.astype(np.uint64)
-            a = lo[i] + part * np.where(new, total - unseen, begin).astype(np.uint64)
-            r = part * np.where(new, unseen, _take(model.freq, own)).astype(np.uint64)
-            settle(a, r, every[i])
-            j = np.flatnonzero(new)
-            if len(j):
-                xs = xs[j]
-                part = r[j] >> np.uint64(ZERO_BITS)
-                b, q = a[j] + part * _take(model.cum0, xs), part * _take(model.freq0, xs)
-                settle(b, q, every[i[j]])
-                a[j], r[j] = b, q
-                model.escaped.append(xs)
-            lo[i], ra[i] = a, r
-        model.learn(now, at, e2, sure2, right, x, spot)
+            ctx = now.take(i)
+            own = place[i] = model.place(model.pairs(ctx, x.take(i)))
+            total = _take(model.total, ctx) - gone
+            gone *= own > place2
+            begin, size = _take(model.cum, own) - _take(model.base, ctx) - gone, _take(model.freq, own)
+            new = np.flatnonzero(own == len(model.keys))
+            size[new] = _take(model.unseen, ctx.take(new))
+            begin[new] = total.take(new) - size.take(new)
+            part = np.floor(rng.take(i) / total)
+            low[i] += part * begin
+            rng[i] = part * size
+            j = i.take(new)
+        settle(np.flatnonzero(rng[:k] < _BOT))
+        if len(j):
+            xs = x.take(j)
+            part = np.floor(rng.take(j) * (1 / (1 << ZERO_BITS)))
+            low[j] += part * _take(model.cum0, xs)
+            rng[j] = part * _take(model.freq0, xs)
+            settle(j[rng.take(j) < _BOT])
+            model.escaped.append(xs)
+        model.learn(now, at, e2, sure2, right, x, place, spot)
         before[:k] = now
         last[:k] = x
-    for shift in (32, 16, 0):
-        words.append((low >> np.uint64(shift)).astype(np.uint16))
-        owners.append(every)
-    owner = np.concatenate(owners)
-    per_lane = np.bincount(owner, minlength=lanes).astype(np.uint32)
-    return np.concatenate(words)[np.argsort(owner, kind="stable")], per_lane
+    every = np.arange(lanes, dtype=np.uint16)
+    # one word names a number within what is left, zeros follow
+    words += [np.ceil(low * (1 / _LINE)).astype(np.uint32), np.zeros(2 * lanes, np.uint32)]
+    owners += [every, every, every]
+    return _stream(words, owners, lanes), lanes
 
 
-def decode(words: np.ndarray, per_lane: np.ndarray, n: int, alphabet: int) -> np.ndarray:
+def decode(words: np.ndarray, lanes: int, n: int, alphabet: int) -> np.ndarray:
     """The ids that ``encode`` was given."""
     if n == 0:
         return np.zeros(0, np.int64)
-    lanes = len(per_lane)
     steps, full = _layout(n, lanes)
-    ends = np.cumsum(per_lane.astype(np.int64))
-    at_word = ends - per_lane
-    words = np.concatenate([words, np.zeros(4, np.uint16)]).astype(np.uint64)
     model = Model(alphabet, steps)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(3):
-        code = code << _W | words[at_word]
-        at_word = at_word + 1
-    before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
-    out = np.zeros((steps, lanes), np.int32)
+    rng, code = np.full(lanes, _START), np.zeros(lanes)
+    taken = 0
 
-    def settle(lo, ra, co, at):
-        i = np.flatnonzero(((lo ^ (lo + ra)) < _LINE) | (ra < _BOT))
+    def settle(i):
+        nonlocal taken
         while len(i):
-            a, r, c, w = lo.take(i, mode="clip"), ra.take(i, mode="clip"), co.take(i, mode="clip"), at.take(i, mode="clip")
-            r = np.where((a ^ (a + r)) < _LINE, r, (~a + np.uint64(1)) & (_BOT - np.uint64(1)))
-            c <<= _W
-            c &= _MASK
-            c |= words.take(w, mode="clip")
-            a <<= _W
-            a &= _MASK
-            r <<= _W
-            lo[i], ra[i], co[i], at[i] = a, r, c, w + 1
-            i = i[((a ^ (a + r)) < _LINE) | (r < _BOT)]
+            r = rng.take(i)
+            r *= _WORD
+            rng[i] = r
+            code[i] = code.take(i) * _WORD + words[taken:taken + len(i)]
+            taken += len(i)
+            i = i[r < _BOT]
 
+    for _ in range(3):
+        code = code * _WORD + words[taken:taken + lanes]
+        taken += lanes
+    before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
+    out = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
         k = lanes if t < steps - 1 else full
         now = last[:k]
         at, e2, c2, sure2 = model.look(before[:k], now)
-        lo, ra, co, wo = low[:k], rng[:k], code[:k], at_word[:k]
         j = np.flatnonzero(sure2 > 1)
-        place2, freq2, state = model.named(now[j], c2[j], sure2[j])
-        a, r, c, w = lo[j], ra[j], co[j], wo[j]
-        part = r >> np.uint64(FLAG_BITS)
+        place2, freq2, state = model.named(now.take(j), c2.take(j), sure2.take(j))
+        part = np.floor(rng.take(j) * (1 / (1 << FLAG_BITS)))
         edge = part * _take(model.edge, state)
-        hit2 = c - a < edge  # against the edge times the part: a product is cheaper than a quotient
+        c = code.take(j)
+        hit2 = c < edge
         spot = state * 2 + ~hit2
-        a += np.where(hit2, np.uint64(0), edge)
-        r = part * _take(model.flag, spot)
-        settle(a, r, c, w)
-        lo[j], ra[j], co[j], wo[j] = a, r, c, w
+        code[j] = c - np.where(hit2, 0.0, edge)
+        rng[j] = part * _take(model.flag, spot)
         x = c2.copy()
-        i, gone, place2 = _others(k, j, hit2, freq2, place2)
+        i, gone, place2, place = _others(k, j, hit2, freq2, place2)
+        j = i[:0]
         if len(i):
-            ctx = now[i]
+            ctx = now.take(i)
             total, unseen, base = _take(model.total, ctx) - gone, _take(model.unseen, ctx), _take(model.base, ctx)
-            a, r, c, w = lo[i], ra[i], co[i], wo[i]
-            part = r // total.astype(np.uint64)
-            spent = np.minimum(((c - a) // part).astype(np.int64), total - 1)
-            new = spent >= total - unseen
+            part = np.floor(rng.take(i) / total)
+            c = code.take(i)
+            spent = np.floor(c / part)
+            spent -= spent * part > c  # a quotient may be rounded up to a whole number
+            spent = np.minimum(spent, total - 1).astype(total.dtype)
+            new = np.flatnonzero(spent >= total - unseen)
             at_most = spent + base
-            at_most += np.where(at_most >= _take(model.cum, place2), gone, 0)
+            at_most += gone * (at_most >= _take(model.cum, place2))
             own = model.holding(at_most)
             own[new] = len(model.keys)
-            begin = _take(model.cum, own) - base - np.where(own > place2, gone, 0)
-            a += part * np.where(new, total - unseen, begin).astype(np.uint64)
-            r = part * np.where(new, unseen, _take(model.freq, own)).astype(np.uint64)
-            settle(a, r, c, w)
-            xs = _take(model.symbols, own) if len(model.symbols) else np.zeros(len(i), np.int64)
-            j = np.flatnonzero(new)
-            if len(j):
-                part = r[j] >> np.uint64(ZERO_BITS)
-                slot = np.minimum((c[j] - a[j]) // part, np.uint64((1 << ZERO_BITS) - 1))
-                met = model.symbol_of(slot.astype(np.int64))
-                b, q, d, v = a[j] + part * _take(model.cum0, met), part * _take(model.freq0, met), c[j], w[j]
-                settle(b, q, d, v)
-                a[j], r[j], c[j], w[j] = b, q, d, v
-                xs[j] = met
-                model.escaped.append(met)
-            lo[i], ra[i], co[i], wo[i] = a, r, c, w
-            x[i] = xs
-        model.learn(now, at, e2, sure2, c2 == x, x, spot)
+            place[i] = own
+            gone *= own > place2
+            begin, size = _take(model.cum, own) - base - gone, _take(model.freq, own)
+            size[new] = unseen.take(new)
+            begin[new] = total.take(new) - size.take(new)
+            code[i] = c - part * begin
+            rng[i] = part * size
+            x[i] = _take(model.symbols, own) if len(model.symbols) else 0
+            j = i.take(new)
+        settle(np.flatnonzero(rng[:k] < _BOT))
+        if len(j):
+            part = np.floor(rng.take(j) * (1 / (1 << ZERO_BITS)))
+            c = code.take(j)
+            slot = np.floor(c / part)
+            slot -= slot * part > c
+            met = model.symbol_of(np.minimum(slot, (1 << ZERO_BITS) - 1).astype(np.int64))
+            code[j] = c - part * _take(model.cum0, met)
+            rng[j] = part * _take(model.freq0, met)
+            settle(j[rng.take(j) < _BOT])
+            x[j] = met
+            model.escaped.append(met)
+        model.learn(now, at, e2, sure2, c2 == x, x, place, spot)
         out[t, :k] = x
         before[:k] = now
         last[:k] = x

@@ -5,8 +5,8 @@ one pass and writes one file per partition, as rows (part, block, first, n_ids,
 task that runs twice leaves one file. A block ends at a document's end once it has ``BLOCK`` ids, holds whole
 documents, and can be decoded alone. ``data`` is, little-endian:
 
-    "IDC2", u32 alphabet, u32 lanes, u32 documents, u64 ids, u64 words, documents x (i64 id, u64 ids),
-    bytes that tell which ids are null, lanes x u32 words per lane, words x u16, u32 CRC-32 of all before
+    "IDC3", u32 alphabet, u32 lanes, u32 documents, u64 ids, u64 words, documents x (i64 id, u64 ids),
+    bytes that tell which ids are null, words x u16, u32 CRC-32 of all before
 
 ``first`` is the number of ids before the block in its part; the ids of earlier parts come from sums over one row per
 part. A null text has the end id alone. Null ids come first. Rows with equal ids are ordered by text hash; equal rows
@@ -15,12 +15,14 @@ keep to one partition. Other columns are ignored. A block whose checksum fails i
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,17 @@ from promptveil.llm import range_coder
 from promptveil.llm.common import give_back, pieces, small_batches, utf8, worker_cache
 
 BLOCK = 1 << 21
-_MAGIC = b"IDC2"
+_MAGIC = b"IDC3"
 _HEAD = "<4sIIIQQ"
 _MEMO_WORDS = 400_000
 _MEMO_BYTES = 64
 _TOGETHER = 8 << 20
+_ID = attrgetter("id")
 # letters that stay one character each in any composition or case
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
 _MARKED = r"([a-z])([.,;:!?%&*#$]+)([ \t-\r]|$)"
+# after any of those letters too, where a tokenizer keeps them whole
+_MARKED_LATIN = r"([a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17e}])([.,;:!?%&*#$]+)([ \t-\r]|$)"
 
 
 def _plain_words(settings: dict) -> bool:
@@ -56,11 +61,14 @@ def _plain_words(settings: dict) -> bool:
             and not settings["model"].get("dropout") and not settings.get("truncation") and not settings.get("padding"))
 
 
-def _byte_letters() -> dict[int, int]:
-    """The letter by which byte-level tokenizers write each byte: printable ones themselves, the others from 256 on."""
+def _byte_letters() -> str:
+    """The letter by which byte-level tokenizers write each byte: printable ones themselves, the others from 256 on. Line
+    ends, which are in no word, stay."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: 256 + n for n, b in enumerate(others)}
+    others = iter(range(256, 512))
+    letters = [chr(b if b in printable else next(others)) for b in range(256)]
+    letters[10] = "\n"
+    return "".join(letters)
 
 
 class WordEncoder:
@@ -78,6 +86,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             self.plain = _plain_words(json.load(file))
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.marked = _MARKED_LATIN if self.plain else _MARKED
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -96,16 +105,21 @@ class WordEncoder:
 
     def _direct(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words of Latin letters, by the model alone where all else does nothing to them."""
-        made, tokenize, letters, u32 = {}, self.model.tokenize, self.letters, struct.Struct("<I").pack
-        for word in words:
-            if word.isalpha():  # bytes: ASCII letters only
-                text = word.lower().decode()
-            else:
-                text = word.decode("utf-8", "replace")
-                if not _LATIN.fullmatch(text):
-                    continue
-                text = text.lower().encode().decode("latin-1").translate(letters)
-            made[word] = b"".join([u32(token.id) for token in tokenize(text)])
+        plain = [w for w in words if w.isalpha()]  # bytes: ASCII letters only
+        latin = [w for w in words if not w.isalpha() and _LATIN.fullmatch(w.decode("utf-8", "replace"))]
+        # lower-cased and written in the tokenizer's letters all at once; words hold no line ends
+        texts = b"\n".join(plain).lower().decode().split("\n") if plain else []
+        if latin:
+            lower = b"\n".join(latin).decode().lower().encode()
+            texts += codecs.charmap_decode(lower, "strict", self.letters)[0].split("\n")
+        made, names = {}, plain + latin
+        for at in range(0, len(texts), 1000):
+            ids, ends = [], []
+            for tokens in map(self.model.tokenize, texts[at:at + 1000]):
+                ids += map(_ID, tokens)
+                ends.append(4 * len(ids))
+            data = np.array(ids, "<u4").tobytes()
+            made.update((w, data[i:j]) for w, i, j in zip(names[at:at + 1000], [0, *ends], ends, strict=False))
         return made
 
     def _single(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -173,7 +187,7 @@ class WordEncoder:
                     for w in ((row if b"<|" in row else row.lower()).split() for row in rows)]
         lower = pc.ascii_lower(pa.array(rows, pa.binary()).cast(pa.string()))
         # marks after a word are a token of their own: set apart, they leave fewer distinct words
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _MARKED, r"\1 \2\3"))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, self.marked, r"\1 \2\3"))
         coded = split.flatten().dictionary_encode()
         parts = self.ids_of(_values(coded.dictionary))
         held = np.zeros(len(parts) + 1, np.int64)
@@ -205,13 +219,12 @@ def pack(doc_ids: list[int | None], ids: list[bytes], alphabet: int) -> bytes:
     """One block."""
     every = np.frombuffer(b"".join(ids), "<u4")
     lanes = range_coder.lanes_for(len(every))
-    words, per_lane = range_coder.encode(every, alphabet, lanes)
+    words, lanes = range_coder.encode(every, alphabet, lanes)
     docs = np.empty((len(doc_ids), 2), "<i8")
     docs[:, 0] = [0 if d is None else d for d in doc_ids]
     docs[:, 1] = [len(x) // 4 for x in ids]
     body = b"".join([struct.pack(_HEAD, _MAGIC, alphabet, lanes, len(doc_ids), len(every), len(words)), docs.tobytes(),
-                     np.array([d is None for d in doc_ids], np.uint8).tobytes(), per_lane.astype("<u4").tobytes(),
-                     words.astype("<u2").tobytes()])
+                     np.array([d is None for d in doc_ids], np.uint8).tobytes(), words.astype("<u2").tobytes()])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -227,10 +240,8 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     at += docs.nbytes
     null = np.frombuffer(data, np.uint8, n_docs, at)
     at += n_docs
-    per_lane = np.frombuffer(data, "<u4", lanes, at)
-    at += per_lane.nbytes
     words = np.frombuffer(data, "<u2", n_words, at)
-    ids = range_coder.decode(words, per_lane, n_ids, alphabet)
+    ids = range_coder.decode(words, lanes, n_ids, alphabet)
     return [None if gone else int(d) for d, gone in zip(docs[:, 0], null, strict=True)], docs[:, 1], ids
 
 

@@ -30,6 +30,17 @@ def test_plain_words_skip_the_pipeline(monkeypatch):
                  for w in ("plain", "words", "été"))]
 
 
+def test_marks_after_any_latin_letter_are_words_of_their_own(monkeypatch):
+    coder, single = token_files.WordEncoder(tokenizer_path()), []
+    text = "\u00e9t\u00e9. \u00d1and\u00fa, \u0141\u00f3d\u017a;\tna\u00efvet\u00e9?! fa\u00e7ade a\u0301. \u00e9\u0301. \u0130. \u017f, \u00e9.b \u00e8$$$"
+    real = coder._single
+    monkeypatch.setattr(coder, "_single", lambda words: single.extend(words) or real(words))
+    assert coder.encode([text.encode()]) == [
+        np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert not {w.decode() for w in single} & {"\u00e9t\u00e9.", "\u00d1and\u00fa,", "\u0141\u00f3d\u017a;", "\u00e8$$$"}
+    assert "a\u0301." in {w.decode() for w in single}  # a letter that is composed stays with what follows
+
+
 def test_other_tokenizers_keep_the_pipeline():
     settings = {"normalizer": None, "pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "BPE"}}
     assert not token_files._plain_words(settings)

@@ -113,3 +113,30 @@ def test_damage_is_an_error():
             token_files.unpack(data[:i] + bytes([data[i] ^ 1]) + data[i + 1:])
     with pytest.raises(ValueError):
         token_files.unpack(b"")
+
+
+@pytest.mark.parametrize("alphabet", [300, 65_534, 65_535, 200_000])
+def test_pairs_of_any_alphabet(alphabet):
+    rng = np.random.default_rng(alphabet)
+    walk = (alphabet - 1 - np.cumsum(rng.integers(0, 3, 30_000)) % 250)  # the highest pairs, often again
+    for ids in (walk, rng.integers(0, alphabet, 5000)):
+        words, lanes = range_coder.encode(ids, alphabet, range_coder.lanes_for(len(ids)))
+        assert np.array_equal(range_coder.decode(words, lanes, len(ids), alphabet), ids)
+
+
+def test_words_in_the_order_of_decoding():
+    # lane 0: 1, then 0xFFFF twice, then one beyond its 16 bits, which goes up to the first; lane 1: as it is
+    moved = [np.array([1, 5]), np.array([0xFFFF]), np.array([0xFFFF]), np.array([0x10007, 6]), np.zeros(4, np.int64)]
+    owners = [np.array([0, 1]), np.array([0]), np.array([0]), np.array([0, 1]), np.array([0, 1, 0, 1])]
+    got = range_coder._stream([m.astype(np.uint32) for m in moved], [o.astype(np.uint16) for o in owners], 2)
+    assert got.dtype == np.uint16
+    # three of each lane, then for every word moved out before the last three the third next of its lane: 0, 1, 0, 0
+    assert got.tolist() == [2, 5, 0, 6, 0, 0, 7, 0, 0, 0]
+
+
+def test_a_block_holds_nothing_for_each_lane():
+    ids = np.random.default_rng(3).integers(0, 1000, 64 * 512).astype("<u4")
+    data = token_files.pack([1], [ids.tobytes()], 1000)
+    words, lanes = range_coder.encode(ids, 1000, range_coder.lanes_for(len(ids)))
+    assert lanes == 512 and len(data) == struct.calcsize("<4sIIIQQ") + 16 + 1 + 2 * len(words) + 4
+    assert token_files.unpack(data)[2].tolist() == ids.tolist()
