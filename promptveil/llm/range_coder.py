@@ -137,15 +137,12 @@ class Model:
         self.freq = np.append(freq, 0).astype(narrow)
         base = cum[first]
         self.base = base.astype(narrow)
-        # for every multiple of a power of two near the mean frequency, the number of sums up to it: where a search begins
-        self.shift = max(0, (int(cum[-1]) // max(1, size)).bit_length() - 2)
-        self.guide = np.cumsum(np.bincount((cum + (1 << self.shift) - 1) >> self.shift), dtype=np.int32)
+        self.shift, self.guide = max(0, (int(cum[-1]) // max(1, size)).bit_length() - 2), None
         unseen = np.maximum(several * (_COUNT // 2) * _MOST // scale, 1)
         self.unseen = unseen.astype(narrow)
         self.total = (cum[first + several] - base + unseen).astype(narrow)  # below 1 << 21
         self.known = np.append(keys, np.iinfo(self.kind).max).astype(self.kind)
-        self.table.fill(size)
-        slot = self._slot(keys)
+        slot = self._slot(keys)  # those of earlier keys are among them, so nothing is left of earlier places
         self.table[slot] = np.arange(size, dtype=np.int32)
         for least in (4, 32):  # of keys that share a slot the frequent one is found; the other counts as not seen
             some = np.flatnonzero(times >= least)
@@ -164,6 +161,9 @@ class Model:
 
     def holding(self, sums: np.ndarray) -> np.ndarray:
         """The place whose part of all frequencies holds each of ``sums``."""
+        if self.guide is None:
+            # for every multiple of a power of two near the mean frequency, the number of sums up to it: where a search begins
+            self.guide = np.cumsum(np.bincount((self.cum + ((1 << self.shift) - 1)) >> self.shift), dtype=np.int32)
         at = _take(self.guide, sums >> self.shift).astype(np.int64)
         left = np.flatnonzero(_take(self.cum, at) <= sums)
         for _ in range(3):  # nearly all are found here, the others among all sums
@@ -277,8 +277,12 @@ def encode(ids: np.ndarray, alphabet: int, lanes: int) -> tuple[np.ndarray, int]
         return np.zeros(0, np.uint16), lanes
     steps, full = _layout(n, lanes)
     source = np.zeros((steps, lanes), np.int32)  # a row for each step
-    source[:, :full] = ids[:full * steps].reshape(full, steps).T
-    source[:steps - 1, full:] = ids[full * steps:].reshape(lanes - full, steps - 1).T
+    whole, shorter = ids[:full * steps].reshape(full, steps), ids[full * steps:].reshape(lanes - full, steps - 1)
+    for a in range(0, lanes, 64):  # few lanes at a time stay in the processor's cache
+        some = whole[a:a + 64]
+        source[:, a:a + len(some)] = some.T
+        some = shorter[a:a + 64]
+        source[:steps - 1, full + a:full + a + len(some)] = some.T
     model = Model(alphabet, steps)
     low, rng = np.zeros(lanes), np.full(lanes, _START)
     before, last = np.full(lanes, alphabet), np.full(lanes, alphabet)
