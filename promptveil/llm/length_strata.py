@@ -38,9 +38,12 @@ from promptveil.llm.common import give_back, small_batches, utf8, worker_cache
 from promptveil.session import run_folder, written
 
 BEST = 20
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 1 << 16
 SLICE_CHARS = 4 << 20
+# a block is a row group of its own: else Spark's writer holds a hundred rows before it looks at their size, and its reader
+# decodes all rows of a row group at once
+ROW_GROUPS = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _ARRAYS = {"strata": np.int64, "first_doc": np.int32, "first_group": np.int32, "group_stratum": np.uint16,
            "group_tf": np.int32, "group_size": np.int32, "docs": np.uint16}
@@ -160,7 +163,7 @@ def index(df: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", text
 
     folder = run_folder(df.sparkSession, "lexical-index")
     (small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-     .mapInArrow(run, schema).write.parquet(folder))
+     .mapInArrow(run, schema).write.options(**ROW_GROUPS).parquet(folder))
     return df.sparkSession.read.schema(schema).parquet(folder)
 
 

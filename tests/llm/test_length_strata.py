@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,11 @@ def test_blocks_of_any_size_agree(odd):
                 plain(docs, [(item, text)]), key=lambda r: r[1])
             if size == 1:
                 assert visited < strata  # bounds pass strata over
+
+
+def test_a_block_is_a_row_group(spark):
+    """Writer and reader hold one block at a time, however many a task makes."""
+    df = spark.createDataFrame([(n, "alpha beta " * 700_000) for n in range(3)], "doc_id bigint, text string").coalesce(1)
+    files = length_strata.index(df, 3, 4_200_000).inputFiles()
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert [m.row_group(n).num_rows for m in found for n in range(m.num_row_groups)] == [1, 1, 1]
