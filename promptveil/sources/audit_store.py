@@ -14,7 +14,13 @@ STORED = T.StructType([*AUDIT.fields, T.StructField("write_seq", T.LongType()),
 def write_audit(rows: DataFrame, path: str, write_seq: int) -> None:
     """Append a batch. ``write_seq`` grows from batch to batch; rewriting the same one replaces its files only."""
     stamped = rows.withColumns({"write_seq": F.lit(write_seq).cast("bigint"), "date": F.to_date("ts")})
-    stamped.write.mode("overwrite").partitionBy("date").parquet(f"{path.rstrip('/')}/batch={write_seq}")
+    _write_dates(stamped, f"{path.rstrip('/')}/batch={write_seq}")
+
+
+def _write_dates(rows: DataFrame, folder: str) -> None:
+    """Rows by date. Those of a date are brought together first, else each task writes a file for each date; adaptive
+    execution cuts large dates."""
+    rows.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date").parquet(folder)
 
 
 def read_audit_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -72,15 +78,14 @@ def compact_new(spark: SparkSession, path: str, target: str) -> int:
     version, through = (known[0] or 0) + 1, -1 if known[1] is None else known[1]
     rows = spark.read.schema(T.StructType([*STORED.fields, T.StructField("batch", T.LongType())])).parquet(path)
     new = rows.where(F.col("batch") > through)  # folders of earlier batches are not read
-    last = new.agg(F.max("batch")).head()[0]
-    if last is None:
+    found = new.groupBy("date").agg(F.max("batch").alias("batch")).collect()  # days
+    if not found:
         return version - 1
-    dates = [r["date"] for r in new.select("date").distinct().collect()]  # days
+    last, dates = max(r["batch"] for r in found), [r["date"] for r in found]
     old = read_compacted_rows(spark, target).where(F.col("date").isin(dates))
-    merged = newest(new.select(*STORED.names).unionByName(old)).join(
-        new.select("request_id", "write_seq").unionByName(old.select("request_id", "write_seq")).groupBy("request_id").agg(
-            F.max("write_seq").alias("write_seq")), "request_id")
-    merged.write.mode("overwrite").partitionBy("date").parquet(f"{target}/rows/version={version}")
+    every = new.select(*STORED.names).unionByName(old).where(F.col("request_id").isNotNull())
+    merged = newest(every.withColumn("seq__", F.col("write_seq")), seq="seq__")
+    _write_dates(merged, f"{target}/rows/version={version}")
     lines = spark.createDataFrame([(version, last, d) for d in dates], SNAPSHOT)
     lines.coalesce(1).write.mode("append").json(f"{target}/versions")
     return version
