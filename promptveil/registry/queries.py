@@ -645,13 +645,14 @@ def flow_stores(spark, folder, arriving, settings=ECHO, responses=None):
     finish(flow.decide(spark, words, settings, target, f"{target}/state-decide", later=responses is not None))
     if responses is not None:
         came = spark.readStream.schema(flow.ARRIVED_RESPONSE).json(responses)
-        finish(flow.answer(spark, came, words, settings, target, f"{target}/state-answer"))
+        finish(flow.land_responses(came, target, f"{target}/state-replies"))
+        finish(flow.answer(spark, flow.landed_responses(spark, target), words, settings, target, f"{target}/state-answer"))
     return flow.decided_store(spark, settings, target), flow.answered_store(spark, target)
 
 
 def arriving_documents(spark, folder):
     target = f"{run_folder(spark, 'flow')}/in"
-    demo_requests.document_requests(documents(spark, folder)).drop("latency_ms").write.json(target)
+    demo_requests.document_requests(documents(spark, folder)).drop("latency_ms").write.json(target, compression="gzip")
     return target
 
 
@@ -703,7 +704,7 @@ def stream_late_responses(spark, folder):
         "received", F.timestamp_seconds(F.lit(demo_requests.START) + number * 37 + F.pmod(number, F.lit(50))))
     responses = f"{target.rsplit('/', 1)[0]}/responses"
     came.unionByName(tick.select(F.lit("none").alias("request_id"), F.lit(200).alias("http_status"), F.lit("").alias("body"),
-                                 F.col("ts").alias("received"))).write.json(responses)
+                                 F.col("ts").alias("received"))).write.json(responses, compression="gzip")
     before, after = flow_stores(spark, folder, target, DEMO, responses)
     rows = before.read("audit").unionByName(after.read("audit")).where("request_id <> 'tick'")
     return flat_audit(rows).drop("latency_ms")

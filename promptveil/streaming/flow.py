@@ -1,6 +1,6 @@
 """The request flow over arriving files, with everything it gives: audit, vault, answers, rejections, refused input.
 
-Three streams, each of which can be stopped and started again at any place:
+Streams, each of which can be stopped and started again at any place:
 
 ``land`` stores arriving requests with their validity and identity, each request id once (a repetition within
 ``REPEATS`` of the first arrival takes no token and gets no second row; the raw token is not stored).
@@ -12,7 +12,11 @@ go to the provider are left waiting, their scrubbed texts and vault stored.
 
 ``answer`` joins waiting requests with responses that arrive as a stream: the first that comes within ``TIMEOUT`` of the
 request's time answers it (of several in a micro-batch a good one counts before any other), and a request without one is
-refused with 502 when the watermark has passed its time-out. Originals are put back from the stored vault.
+refused with 502 when the watermark has passed its time-out. Originals are put back from the stored vault. Responses are
+stored first (``land_responses``); given to ``answer`` as ``landed_responses``, only ids and times pass the state of the join, and
+bodies are read back from their files for requests that wait. A stream with bodies is taken too, and its state holds them.
+
+What a micro-batch stores on the way is removed when it is committed.
 
 A response can arrive before its request. One that is later than its time-out is not looked at. A request that reaches
 ``answer`` behind its watermark is left waiting; ``overdue`` closes such requests, so that every one gets its row. Rows
@@ -34,11 +38,11 @@ from promptveil.operators.redact import vault_rows
 from promptveil.plans import requests as plan
 from promptveil.plans.requests import Dictionaries
 from promptveil.schemas import AUDIT, REQUEST, RESPONSE, VAULT_ENTRY
-from promptveil.session import written
+from promptveil.session import passing, written
 from promptveil.settings import Settings
 from promptveil.sources.batch_store import BatchStore
 from promptveil.sources.requests import CORRUPT, check_requests, with_corrupt
-from promptveil.streaming.token_bucket import replay_stream
+from promptveil.streaming.token_bucket import STATE_STORE, replay_stream
 
 REPEATS = "1 day"
 TIMEOUT = "60 seconds"
@@ -55,6 +59,7 @@ VAULT = T.StructType([T.StructField("request_id", T.StringType()), T.StructField
 QUARANTINE = T.StructType([f for f in with_corrupt(REQUEST).fields if f.name != "authorization"] + [T.StructField("invalid_reason", T.StringType())])
 ARRIVED_RESPONSE = T.StructType([*RESPONSE.fields, T.StructField("received", T.TimestampType())])
 _CARRIED = T.StructType([T.StructField("ts", T.TimestampType()), *RESPONSE.fields])
+_REPLY = T.StructType([*ARRIVED_RESPONSE.fields, T.StructField("reply", T.StringType())])
 _LIMITED = T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType()),
                          T.StructField("retry_after_header", T.IntegerType())])
 
@@ -81,7 +86,7 @@ def land(requests: DataFrame, settings: Settings, path: str, checkpoint: str, re
     first = (checked.where(once).withColumn("arrived__", F.current_timestamp()).withWatermark("arrived__", repeats)
              .dropDuplicatesWithinWatermark(["request_id"]).drop("arrived__"))
     return (first.unionByName(checked.where(~once)).writeStream.format("parquet").option("path", f"{path}/arrived")
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+            .option("compression", "zstd").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def _arrived(spark: SparkSession, settings: Settings, path: str, files: int) -> DataFrame:
@@ -89,6 +94,19 @@ def _arrived(spark: SparkSession, settings: Settings, path: str, files: int) ->
             .select("*", F.col("_metadata.file_path").alias("file")))
 
 
+def land_responses(responses: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Store the arriving ``responses`` (request_id, http_status, body, received) below ``path``."""
+    return (responses.withColumn("reply", F.expr("uuid()")).select(*_REPLY.names).writeStream.format("parquet")
+            .option("path", f"{path}/replies").option("compression", "zstd").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def landed_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The stream of what ``land_responses`` has stored, its bodies by reference."""
+    return spark.readStream.schema(_REPLY).parquet(f"{path}/replies").select(
+        "request_id", "http_status", "received", "reply", F.col("_metadata.file_path").alias("file"))
+
+
 _TAKES = "invalid_reason IS NULL AND auth.ok"
 
 
@@ -124,9 +142,12 @@ def decide(spark: SparkSession, words: Dictionaries, settings: Settings, path: s
     others = narrow.where("NOT takes").select("row_id", "file", *[F.lit(None).cast(f.dataType).alias(f.name) for f in _LIMITED])
 
     def commit(batch: DataFrame, batch_id: int) -> None:
+        if not store.has(batch_id):
+            with passing(spark):
+                commit_new(batch, batch_id)
+
+    def commit_new(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if store.has(batch_id):
-            return
         outcome = written(batch, "outcomes")
         names = [r["file"] for r in outcome.select("file").distinct().collect()]  # ``files`` of them at most
         if not names:
@@ -136,14 +157,14 @@ def decide(spark: SparkSession, words: Dictionaries, settings: Settings, path: s
         limited = valid.join(outcome.drop("file"), "row_id").drop("row_id").withColumn("latency_ms", F.lit(None).cast("double"))
         none = session.createDataFrame([], store.tables["waiting"])
         if later:
-            scrubbed = written(plan.scanned_and_scrubbed(limited, words), "scrubbed")
             waits = F.col("scrubbed_texts").isNotNull()
+            scrubbed = written(plan.scanned_and_scrubbed(limited, words).withColumn("messages", F.when(waits, F.col("messages"))), "scrubbed")
             waiting, vault = scrubbed.where(waits), vault_rows(scrubbed.where(waits), "request_id")
-            decided = plan.stored(decisions.decide(scrubbed.where(~waits).withColumns({
+            decided = plan.stored(decisions.decide(scrubbed.where(~waits).drop("messages").withColumns({
                 "response_text": F.lit(None).cast("string"), "proxy_detail": F.lit(None).cast("string"),
                 "egress_hits": F.lit(0), "restored_text": F.lit(None).cast("string")})))
         else:
-            decided = plan.stored(plan.decided_from(limited, words, settings, responses))
+            decided = plan.stored(plan.decided_from(limited, words, settings, responses).drop("messages"))
             waiting, vault = none, vault_rows(decided, "request_id")
         store.commit(batch_id, {**_outputs(decided, settings), "vault": vault, "waiting": waiting,
                                 "quarantine": rows.where("invalid_reason IS NOT NULL")})
@@ -154,31 +175,51 @@ def decide(spark: SparkSession, words: Dictionaries, settings: Settings, path: s
 
 def answer(spark: SparkSession, responses: DataFrame, words: Dictionaries, settings: Settings, path: str, checkpoint: str,
            timeout: str = TIMEOUT, late: str = LATE, early: str = "0 seconds", files: int = FILES, **trigger) -> StreamingQuery:
-    """Answer the waiting requests below ``path`` from a stream of (request_id, http_status, body, received). Rows later
-    than the watermark by ``late`` don't count; a response may be dated ``early`` before its request."""
+    """Answer the waiting requests below ``path`` from a stream of (request_id, http_status, body, received), or from
+    ``landed_responses``. Rows later than the watermark by ``late`` don't count; a response may be dated ``early`` before its
+    request."""
     before, store = decided_store(spark, settings, path), answered_store(spark, path)
     asked = (_arrived(spark, settings, path, files).where(_TAKES).select("request_id", "ts").withWatermark("ts", late))
-    came = responses.select(F.col("request_id").alias("of"), "http_status", "body", "received").withWatermark("received", late)
+    given = ["body"] if "body" in responses.columns else ["reply", "file"]
+    came = responses.select(F.col("request_id").alias("of"), "http_status", *given, "received").withWatermark("received", late)
+    # one state store for each partition in place of four, whose files are laid out ahead; a stream begun with others keeps them
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
     within = F.expr(f"of = request_id AND received >= ts - INTERVAL {early} AND received <= ts + INTERVAL {timeout}")
-    joined = asked.join(came, within, "leftOuter").select("ts", "request_id", "http_status", "body")
+    joined = asked.join(came, within, "leftOuter").select("ts", "request_id", "http_status", *given)
+
+    def bodies(todo: DataFrame) -> DataFrame:
+        """``todo`` with the bodies that it refers to."""
+        names = [r["file"] for r in todo.where("file IS NOT NULL").select("file").distinct().collect()]
+        if not names:
+            return todo.drop("reply", "file")
+        stored = todo.sparkSession.read.schema(_REPLY).parquet(*names).select("reply", F.col("body").alias("stored__"))
+        return todo.join(stored, "reply", "left").withColumn("body", F.coalesce("body", "stored__")).drop("reply", "file", "stored__")
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        if store.has(batch_id):
-            return
+        if not store.has(batch_id):
+            with passing(spark):
+                commit_new(batch, batch_id)
+
+    def commit_new(batch: DataFrame, batch_id: int) -> None:
         carried = store.read("carried").where(F.col("batch") == store.read("carried").agg(F.max("batch")).head()[0]).drop("batch")
-        todo = written(batch.unionByName(carried), "answers")
+        todo = written(batch.unionByName(carried, allowMissingColumns=True), "answers")
         if todo.isEmpty():
             return
         first, last = todo.agg(F.min("ts"), F.max("ts")).head()
         near = (F.col("ts") >= F.lit(first)) & (F.col("ts") <= F.lit(last))  # row groups of other times are not read
         done = store.read("audit").where(near).select("request_id")
-        todo = written(todo.join(done, "request_id", "left_anti"), "answers")
+        todo = todo.join(done, "request_id", "left_anti")
+        for name in {"reply", "file"}.difference(todo.columns):
+            todo = todo.withColumn(name, F.lit(None).cast("string"))
+        todo = written(todo, "answers")
         ids = todo.select("request_id").distinct()
-        rows = before.read("waiting").where(near).drop("batch").join(ids, "request_id", "left_semi")
-        replied = providers.with_responses(rows, todo.where("http_status IS NOT NULL OR body IS NOT NULL").drop("ts"), settings.provider)
+        rows = before.read("waiting").where(near).drop("batch", "messages").join(ids, "request_id", "left_semi")
+        asking = bodies(todo.join(rows.select("request_id"), "request_id", "left_semi"))
+        replied = providers.with_responses(rows, asking.where("http_status IS NOT NULL OR body IS NOT NULL").drop("ts"), settings.provider)
         decided = plan.stored(decisions.decide(plan.filtered(replied, words)))
         known = before.read("waiting").where(near).select("request_id").unionAll(before.read("audit").where(near).select("request_id"))
-        left = todo.join(known, "request_id", "left_anti")  # ``decide`` has not come to these yet
+        left = bodies(todo.join(known, "request_id", "left_anti"))  # ``decide`` has not come to these yet
         store.commit(batch_id, {**_outputs(decided, settings), "carried": left})
 
     return (joined.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
